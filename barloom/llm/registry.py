@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_prefix
+from .decontaminate import op2_decontaminate
+from .packing import op10_tier_packing
 from .secrets import op1_secret_scan
 from .urls import OP8_SQL, op8_url_rules
+from .warc import op4_warc_chunks
 
 
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_decontaminate": op2_decontaminate,
+        "op4_warc_chunks": op4_warc_chunks,
         "op7_chat_prefix": op7_chat_prefix,
         "op8_url_rules": op8_url_rules,
+        "op10_tier_packing": op10_tier_packing,
     }
 
 
