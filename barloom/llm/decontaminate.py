@@ -115,17 +115,18 @@ class Index:
         return out
 
 
-def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, k: int) -> tuple[int, int] | None:
+def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, k: int, anchored: bool = False) -> tuple[int, int] | None:
     """Least edits, and end, of ``item`` in ``text`` on diagonals first - k to first + width + k; None beyond k edits.
 
     Row i of the matrix is held for the band only. Both ends in the text are
-    free. A gap along the row is a running minimum.
+    free, unless the start is anchored at 0. A gap along the row is a running
+    minimum.
     """
     lo, size = first - k, width + 2 * k + 1
     big = np.int64(1 << 30)
     col = np.arange(size)
     at = lo + col  # text position behind which row 0 stands, per column
-    row = np.where((at >= 0) & (at <= len(text)), 0, big)
+    row = np.where((at >= 0) & (at <= len(text)), at if anchored else 0, big)
     padded = np.concatenate([text, np.zeros(1, text.dtype)])
     for i in range(1, len(item) + 1):
         end = lo + col + i  # text characters consumed
@@ -160,7 +161,7 @@ def matches(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
             continue
         edits, end = hit
         back = codes[max(0, end - n - k) : end][::-1]
-        reverse = banded(item[::-1], back, 0, 1, k)
+        reverse = banded(item[::-1], back, 0, 1, k, True)
         start = end - (reverse[1] if reverse else n)
         found.setdefault(i, []).append((edits, max(0, start), end))
     out = []

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_prefix
 from .decontaminate import op2_decontaminate
+from .neighbors import op5_srs_neighbors
 from .packing import op10_tier_packing
+from .quality import op6_site_quality
 from .secrets import op1_secret_scan
 from .urls import OP8_SQL, op8_url_rules
 from .warc import op4_warc_chunks
@@ -15,6 +17,8 @@ def queries():
         "op1_secret_scan": op1_secret_scan,
         "op2_decontaminate": op2_decontaminate,
         "op4_warc_chunks": op4_warc_chunks,
+        "op5_srs_neighbors": op5_srs_neighbors,
+        "op6_site_quality": op6_site_quality,
         "op7_chat_prefix": op7_chat_prefix,
         "op8_url_rules": op8_url_rules,
         "op10_tier_packing": op10_tier_packing,
