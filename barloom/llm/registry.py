@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat_prefix
 from .decontaminate import op2_decontaminate
+from .jaccard import op9_group_jaccard
 from .neighbors import op5_srs_neighbors
 from .packing import op10_tier_packing
+from .ppm import op3_ppm_score
 from .quality import op6_site_quality
 from .secrets import op1_secret_scan
 from .urls import OP8_SQL, op8_url_rules
@@ -16,11 +18,13 @@ def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_decontaminate": op2_decontaminate,
+        "op3_ppm_score": op3_ppm_score,
         "op4_warc_chunks": op4_warc_chunks,
         "op5_srs_neighbors": op5_srs_neighbors,
         "op6_site_quality": op6_site_quality,
         "op7_chat_prefix": op7_chat_prefix,
         "op8_url_rules": op8_url_rules,
+        "op9_group_jaccard": op9_group_jaccard,
         "op10_tier_packing": op10_tier_packing,
     }
 
