@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
@@ -121,22 +122,24 @@ def redact(text: str, found: list, mark: str = "[SECRET]") -> str:
     return "".join([*parts, text[at:]]) if found else text
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
-    """One row per input row: id, ``findings`` and, if asked for, the ``redacted`` text."""
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id and ``findings``."""
     dtype = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {dtype}, findings array<{FINDING}>" + (", redacted string" if redacted else "")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            found = [find(t) for t in texts]
-            cols = {"id": b["id"], "findings": [[dict(zip(("kind", "start", "end", "entropy"), x)) for x in f] for f in found]}
-            if redacted:
-                cols["redacted"] = [redact(t, f) for t, f in zip(texts, found)]
-            yield pd.DataFrame(cols)
+            found = [find(t) if isinstance(t, str) else [] for t in b["text"]]
+            rows = [[dict(zip(("kind", "start", "end", "entropy"), x)) for x in f] for f in found]
+            yield pd.DataFrame({"id": b["id"], "findings": rows})
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInPandas(scan, schema).withColumnRenamed("id", id_col)
+    return slim.mapInPandas(scan, f"id {dtype}, findings array<{FINDING}>").withColumnRenamed("id", id_col)
+
+
+@F.pandas_udf(StringType())
+def redact_secrets(texts: pd.Series) -> pd.Series:
+    """The texts with every finding replaced by a mark; nulls stay."""
+    return texts.map(lambda t: redact(t, find(t)), na_action="ignore")
 
 
 def _joined(findings: str) -> F.Column:
