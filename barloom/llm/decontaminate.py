@@ -90,6 +90,10 @@ class Index:
     def slot(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(31))) * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)
 
+    @staticmethod
+    def key(item: np.ndarray, band: np.ndarray) -> np.ndarray:
+        return (item << 40) + band + (1 << 39)
+
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item number, first diagonal of the band, its width) where the bound holds."""
         out = []
@@ -107,11 +111,16 @@ class Index:
             width = self.k[item] + 1
             band = diagonal // width
             also = diagonal - band * width < self.k[item]
-            rows = np.concatenate([np.stack([item, band], 1), np.stack([item[also], band[also] - 1], 1)])
-            found, count = np.unique(rows, axis=0, return_counts=True)
-            for i, b in found[count >= self.least[found[:, 0]]].tolist():
+            # an item's q-gram counts once in a band, however often the text repeats it
+            offset = offsets[entry]
+            key = self.key(np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1]))
+            each = np.unique(np.stack([key, np.concatenate([offset, offset[also]])], 1).view("i8,i8"))["f0"]
+            found, count = np.unique(each, return_counts=True)
+            number = found >> 40
+            good = count >= self.least[number]
+            for i, band in zip(number[good].tolist(), ((found[good] & ((1 << 40) - 1)) - (1 << 39)).tolist()):
                 w = int(self.k[i]) + 1
-                out.append((i, b * w, w + int(self.k[i])))
+                out.append((i, band * w, w + int(self.k[i])))
         return out
 
 
@@ -123,27 +132,26 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, k: int, a
     minimum.
     """
     lo, size = first - k, width + 2 * k + 1
-    big = np.int64(1 << 30)
     col = np.arange(size)
     at = lo + col  # text position behind which row 0 stands, per column
-    row = np.where((at >= 0) & (at <= len(text)), at if anchored else 0, big)
-    padded = np.concatenate([text, np.zeros(1, text.dtype)])
-    for i in range(1, len(item) + 1):
-        end = lo + col + i  # text characters consumed
-        ok = (end >= 0) & (end <= len(text))
-        take = padded[np.clip(end - 1, 0, len(text))]
-        same = row + (take != item[i - 1])
-        same[end < 1] = big
-        down = np.empty_like(row)
-        down[:-1], down[-1] = row[1:] + 1, big
-        row = np.minimum(same, down)
-        row[~ok] = big
-        row = np.minimum.accumulate(row - col) + col
-        row[~ok] = big
-        if row.min() > k:
+    row = np.abs(at) if anchored else np.zeros(size, np.int64)
+    # outside the text stands a character that nothing equals, at the price of a gap
+    area = np.full(size + len(item), 0xFFFFFFFF, np.uint32)
+    a, b = max(0, -lo), min(len(area), len(text) - lo)
+    if b > a:
+        area[a:b] = text[lo + a : lo + b]
+    down = np.full(size, 1 << 30, np.int64)
+    for i in range(len(item)):
+        np.add(row[1:], 1, out=down[:-1])
+        row += area[i : i + size] != item[i]
+        np.minimum(row, down, out=row)
+        row -= col
+        np.minimum.accumulate(row, out=row)
+        row += col
+        if i % 8 == 7 and row.min() > k:
             return None
     best = int(row.argmin())
-    return (int(row[best]), lo + best + len(item)) if row[best] <= k else None
+    return (int(row[best]), min(lo + best + len(item), len(text))) if row[best] <= k else None
 
 
 def matches(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
@@ -242,15 +250,20 @@ def drop_contaminated(
     for block in item_blocks(items, item_col, item_text, block_chars):
         held = spark.sparkContext.broadcast(block)
 
-        def keep(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            index = Index(held.value, rate)
-            for texts in batches:
-                yield pd.Series([not (isinstance(t, str) and matches(normal(t), index)) for t in texts], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(keep, "boolean", F.PandasUDFType.SCALAR_ITER)(F.col(text_col).cast("string")))
+        docs = docs.where(_clean(held, rate)(F.col(text_col).cast("string")))
     return docs
 
 
+def _clean(held, rate: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(held.value, rate)
+        for texts in batches:
+            yield pd.Series([not (isinstance(t, str) and matches(normal(t), index)) for t in texts], dtype=bool)
+
+    return clean
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     from ._common import table
 
