@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,34 +43,106 @@ PIECES = (
 )
 
 
+class _Numbers(dict):
+    """Numbers words as they are first asked for.
+
+    Two kinds of words cost no encoding of their own: those that lower-casing
+    (which the vocabulary does too) turns into another, and letters with marks
+    behind them, which the vocabulary always splits there.
+    """
+
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self):
+        super().__init__()
+        self.count = 0
+        self.new: list[tuple[int, str]] = []
+        self.joined: list[tuple[int, int, int]] = []
+
+    def __missing__(self, word: str) -> int:
+        if word and max(word) < "\u0130" and (low := word.lower()) != word:
+            n = self[word] = self[low]
+            return n
+        letters = word.rstrip(self.MARKS)
+        parts = (self[letters], self[word[len(letters) :]]) if letters != word and letters.isalpha() else None
+        n = self[word] = self.count
+        self.count += 1
+        if parts:
+            self.joined.append((n, *parts))
+        else:
+            self.new.append((n, word))
+        return n
+
+
 class WordTokenizer:
     """Encodes word by word and remembers the words.
 
     The vocabulary's tokenizer drops white space and never joins across it, so
-    a text's ids are those of its words in a row.
+    a text's ids are those of its words in a row. A line feed, which no word
+    holds, stands for the end of a text.
     """
 
-    KEEP = 400_000
+    #: Words that are remembered before all are forgotten.
+    KEEP = 1_200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.KEEP:
-            known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.numbers["\n"], self.numbers.count = 0, 1
+        self.ids, self.start, self.size = np.array([END_ID], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and where each word's end."""
+        n = self.size[numbers]
+        stop = np.cumsum(n)
+        return self.ids[np.repeat(self.start[numbers] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+    def place(self, numbers: list[int], ids: np.ndarray, size: np.ndarray) -> None:
+        self.start[numbers] = len(self.ids) + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.ids = np.concatenate([self.ids, ids])
+
+    def learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        joined, self.numbers.joined = self.numbers.joined, []
+        more = np.zeros(self.numbers.count - len(self.start), np.int64)
+        self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, self.t.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4")
-        end = np.array([END_ID], "<u4")
-        return [np.concatenate([known[w] for w in ws] + [end]) for ws in words]
+            each = [e.ids for e in self.t.encode_batch_fast([w for _, w in part], add_special_tokens=False)]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            self.place([n for n, _ in part], np.fromiter(chain.from_iterable(each), "<u4", size.sum()), size)
+        if joined:
+            which = np.array(joined, np.int64)
+            ids, stop = self.gather(which[:, 1:].ravel())
+            self.place(which[:, 0], ids, np.diff(stop[1::2], prepend=0))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id behind them."""
+        if len(self.numbers) > self.KEEP:
+            self.forget()
+        blank = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        words = " \n ".join([*blank, ""])[:-1].split(" ")
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new or self.numbers.joined:
+            self.learn()
+        flat, stop = self.gather(at)
+        return np.split(flat, stop[np.flatnonzero(at == 0)][:-1])
+
+
+_KNOWN: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One per Python worker: what a task has learned serves the next."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordTokenizer(path)
+    return _KNOWN[path]
 
 
 class Packer:
@@ -210,7 +283,7 @@ def pack_documents(
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, window, tiers, step_tokens)
-        tok = WordTokenizer(tokenizer)
+        tok = tokenizer_of(tokenizer)
 
         def flush():
             out, packer.out = packer.out, []
