@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import QUERIES, SQL
+from .queries import indicators as _indicators  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
