@@ -5,6 +5,7 @@ from __future__ import annotations
 from .queries import QUERIES, SQL
 from .queries import indicators as _indicators  # noqa: F401
 from .queries import market as _market  # noqa: F401
+from .queries import stats as _stats  # noqa: F401
 
 
 def queries():
