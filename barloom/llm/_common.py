@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,15 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a number."""
+
+    KEEP = 1_000_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.KEEP:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h

@@ -4,8 +4,12 @@ Texts become sets of hashed word shingles. Equal sets are one class from the
 start. Two different sets with a similarity of at least t share one of their
 first (1 - t) * n + 1 tokens in any fixed order; the order puts tokens last that
 a sample of the texts shows to be frequent, so common lines and phrases rarely
-count. Every token's documents gather behind a leader, the one with the fewest
-rare tokens, and documents with the same leader are a group.
+count. Every token's documents of like size gather behind a leader, the one with the
+fewest rare tokens, and documents with the same leader are a group.
+
+Before any set is sent, a group's members compare small histograms of their
+token hashes, which bound the overlap of two sets from above; a member that
+reaches the threshold with no other leaves the group.
 
 In a group, members similar to the leader are linked to it: that is one link
 each, not one a pair, and settles that they are connected. Only the rest are
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, WORD, materialize, table
+from ._common import LOWER_TABLE, WORD, WordHashes, materialize, table
 
 #: Tokens that are ordered last, at most: those that the sample holds most often.
 FREQUENT = 200_000
@@ -45,21 +49,13 @@ FREQUENT = 200_000
 SAMPLE_EVERY = 16
 #: Tokens of a chunk of a group.
 CHUNK_TOKENS = 4_000_000
-#: Documents in groups up to this many (16 bytes each) are broadcast to the scan of the texts.
-BROADCAST_ROWS = 2_000_000
+#: Documents in groups up to this many (about 300 bytes each) are broadcast to the scan of the texts.
+BROADCAST_ROWS = 300_000
 
 _WORD = re.compile(WORD)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def shingles(text: str | None, n: int, words: dict) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
     found = _WORD.findall(text.translate(LOWER_TABLE)) if isinstance(text, str) else []
@@ -79,11 +75,43 @@ def similar(inter, total, percent: int):
     return 100 * inter >= percent * (total - inter)
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Counts of the tokens by their low bits, about eight a bin."""
+    bins = max(64, 1 << max(len(s) // 8, 1).bit_length())
+    return np.bincount(s & (bins - 1), minlength=bins).astype(np.uint16 if len(s) < 65536 else np.uint32)
+
+
+def _folded(raw: bytes, n: int, bins: int) -> np.ndarray:
+    h = np.frombuffer(raw, np.uint16 if n < 65536 else np.uint32).astype(np.int32)
+    while len(h) > bins:
+        h = h[: len(h) // 2] + h[len(h) // 2 :]
+    return h
+
+
+def alive(sizes: list[int], histograms: list[bytes], percent: int) -> np.ndarray:
+    """Which members can reach the threshold with another member; the leader is the first."""
+    sizes = np.array(sizes, np.int64)
+    bins = min(len(h) // (2 if n < 65536 else 4) for h, n in zip(histograms, sizes))
+    table_ = np.stack([_folded(h, n, bins) for h, n in zip(histograms, sizes)])
+    out = np.zeros(len(sizes), bool)
+
+    def partners(i):
+        hits = similar(np.minimum(table_, table_[i]).sum(1), sizes + sizes[i], percent)
+        hits[i] = False
+        return hits
+
+    for i in range(len(sizes)):
+        if not out[i] and (hits := partners(i)).any():
+            out |= hits
+            out[i] = True
+    return out
+
+
 def _frequent(slim: DataFrame, n: int) -> np.ndarray:
     """Tokens that the sampled texts share, the most frequent last."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
+        words = WordHashes()
         for b in batches:
             own = [shingles(t, n, words) for t in b["text"]]
             if own:
@@ -92,15 +120,15 @@ def _frequent(slim: DataFrame, n: int) -> np.ndarray:
 
     some = slim.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_EVERY)) == 0)
     counts = some.mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where("c >= 3")
-    rows = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
-    return rows["token"].to_numpy(np.int64)[::-1]
+    rows = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    return rows["token"].to_numpy()[::-1]
 
 
 def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     """Per row: id, set size, fingerprint, rarity and prefix tokens."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, order = _Words(), frequent.value
+        words, order = WordHashes(), frequent.value
         keys = np.sort(order)
         rank = np.argsort(order, kind="stable")
         for b in batches:
@@ -108,7 +136,7 @@ def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
             for t in b["text"]:
                 s = shingles(t, n, words)
                 if not len(s):
-                    rows.append((0, None, 0, []))
+                    rows.append((0, None, 0, [], None))
                     continue
                 at = np.searchsorted(keys, s)
                 at[at == len(keys)] = 0
@@ -120,12 +148,12 @@ def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                     late = s[common]
                     late = late[np.argsort(rank[at[common]], kind="stable")]
                     prefix = np.concatenate([prefix, late[: size - len(prefix)]])
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(rare) // len(s), prefix))
-            out = pd.DataFrame(rows, columns=["n", "print", "rarity", "prefix"])
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(rare) // len(s), prefix, histogram(s).tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "print", "rarity", "prefix", "histogram"])
             out.insert(0, "id", b["id"].to_numpy())
             yield out
 
-    return slim.mapInPandas(profile, "id long, n int, print binary, rarity int, prefix array<long>")
+    return slim.mapInPandas(profile, "id long, n int, print binary, rarity int, prefix array<long>, histogram binary")
 
 
 class _Group:
@@ -208,36 +236,69 @@ def _width(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _links(slim: DataFrame, members: DataFrame, n: int, percent: int, chunk_tokens: int) -> DataFrame:
-    """Links (a, b) from the groups. ``members``: leader, id, n; the leader is a member."""
+def _spots(members: DataFrame, chunk_tokens: int) -> DataFrame:
+    """Where each member goes: id, array of (leader, chunks, chunk); a leader goes to all chunks."""
     load = members.groupBy("leader").agg(F.sum("n").alias("load"))
     chunks = F.greatest(F.ceil(F.col("load") / chunk_tokens), F.lit(1)).cast("int")
     placed = members.join(load, "leader").select("leader", "id", chunks.alias("chunks"))
     chunk = F.when(F.col("leader") == F.col("id"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     )
-    placed = materialize(placed.withColumn("chunk", chunk), "placed")
-    spots = placed.groupBy("id").agg(F.collect_list(F.struct("leader", "chunks", "chunk")).alias("spots"))
+    spots = placed.groupBy("id").agg(F.collect_list(F.struct("leader", "chunks", chunk.alias("chunk"))).alias("spots"))
     spots = materialize(spots, "spots")
-    small = spots.count() <= BROADCAST_ROWS
-    sets = slim.join(F.broadcast(spots) if small else spots, "id")
+    return F.broadcast(spots) if spots.count() <= BROADCAST_ROWS else spots
+
+
+def _dealt(rows: DataFrame, *values: str) -> DataFrame:
+    """Rows with ``spots``, once for each spot, a group's rows in one partition and its leader first."""
+    each = rows.select("id", *values, F.explode("spots").alias("s")).select(
+        F.col("s.leader").alias("leader"), "id", F.col("s.chunks").alias("chunks"), *values, F.explode("s.chunk").alias("chunk")
+    )
+    each = each.select("leader", "chunk", (F.col("leader") != F.col("id")).alias("later"), "id", "chunks", *values)
+    return each.repartition(_width(rows), "leader", "chunk").sortWithinPartitions("leader", "chunk", "later", "id")
+
+
+def _living(profiles: DataFrame, members: DataFrame, percent: int, chunk_tokens: int) -> DataFrame:
+    """The members (leader, id, n) that the histograms leave; those of split groups all stay."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for run in _runs(batches, ["leader", "chunk"]):
+            if run[0][4] > 1:
+                stay = np.ones(len(run), bool)
+            else:
+                stay = alive([r[5] for r in run], [r[6] for r in run], percent)
+            if stay.any():
+                stay[0] = True
+                out += [(run[i][0], run[i][3], run[i][5]) for i in np.flatnonzero(stay)]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=["leader", "id", "n"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["leader", "id", "n"])
+
+    rows = profiles.select("id", "n", "histogram").join(_spots(members, chunk_tokens), "id")
+    return _dealt(rows, "n", "histogram").mapInPandas(keep, "leader long, id long, n int").distinct()
+
+
+def _links(slim: DataFrame, members: DataFrame, n: int, percent: int, chunk_tokens: int) -> DataFrame:
+    """Links (a, b) from the groups. ``members``: leader, id, n; the leader is a member."""
+    sets = slim.join(_spots(members, chunk_tokens), "id")
 
     @F.pandas_udf("array<long>")
     def as_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words()
+        words = WordHashes()
         for s in texts:
             yield pd.Series([shingles(t, n, words) for t in s])
 
     sets = sets.select("id", "spots", as_set("text").alias("tokens"))
-    rows = sets.select("id", "tokens", F.explode("spots").alias("s")).select(
-        F.col("s.leader").alias("leader"), "id", F.col("s.chunks").alias("chunks"), "tokens", F.explode("s.chunk").alias("chunk")
-    )
-    rows = rows.select("leader", "chunk", "id", "chunks", "tokens")
+    rows = _dealt(sets, "tokens")
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for run in _runs(batches, ["leader", "chunk"]):
             found = [(r[0], r[3], r[4], np.asarray(r[5], np.int64)) for r in run]
+            found = [found[0], *(x for x in found[1:] if x[1] != x[0])]  # a leader's repeated rows
             if found[0][0] != found[0][1]:
                 raise ValueError("a group has lost its leader")
             edges, rest = _open_group(found, percent)
@@ -248,18 +309,15 @@ def _links(slim: DataFrame, members: DataFrame, n: int, percent: int, chunk_toke
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "link"])
 
-    first = F.col("leader") != F.col("id")
-    dealt = rows.select("leader", "chunk", first.alias("later"), "id", "chunks", "tokens").repartition(_width(slim), "leader", "chunk")
-    out = dealt.sortWithinPartitions("leader", "chunk", "later", "id").mapInPandas(groups, "a long, b long, link boolean")
-    out = materialize(out, "links")
+    out = materialize(rows.mapInPandas(groups, "a long, b long, link boolean"), "links")
     open_queries = out.where("not link").select(F.col("a").alias("leader"), F.col("b").alias("id")).distinct()
     links = out.where("link").select("a", "b")
     if open_queries.isEmpty():
         return links
-    return links.unionByName(_across(rows, open_queries, placed, percent))
+    return links.unionByName(_across(rows, open_queries, percent))
 
 
-def _across(rows: DataFrame, queries: DataFrame, placed: DataFrame, percent: int, block: int = 2_000) -> DataFrame:
+def _across(rows: DataFrame, queries: DataFrame, percent: int, block: int = 2_000) -> DataFrame:
     """Links of the queries of split groups, against every chunk, in blocks of queries.
 
     A cell is (leader, chunk, block); the chunk's members are repeated for each
@@ -331,16 +389,24 @@ def jaccard_components(
     base = materialize(_profiles(slim, shingle, percent, frequent), "profiles")
     sets = base.where("print is not null")
     reps = materialize(sets.groupBy("print").agg(F.min("id").alias("id")), "classes")
-    ours = sets.select("id", "print", "n", "rarity", "prefix").join(reps.select("id", "print"), ["id", "print"], "left_semi").dropDuplicates(["id"])
+    ours = sets.select("id", "print", "n", "rarity", "prefix", "histogram").join(reps.select("id", "print"), ["id", "print"], "left_semi")
+    ours = materialize(ours.dropDuplicates(["id", "print"]), "distinct")
     tokens = ours.select("id", "n", "rarity", F.explode("prefix").alias("token"))
+    # a token that one document alone has in its prefix links nothing
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    tokens = materialize(tokens.join(shared, "token"), "shared")
+    # similar sets lie in the same or in adjoining bands of size: each set is put into its own and the next
+    band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    tokens = tokens.withColumn("band", F.explode(F.array(band, band + 1)))
     # the leader: fewest rare tokens, then the longest
     rank = F.struct("rarity", (-F.col("n")).alias("m"), "id")
-    heads = tokens.groupBy("token").agg(F.min(rank).alias("head"), F.count("*").alias("c")).where("c > 1")
-    heads = heads.select("token", F.col("head.id").alias("leader"), (-F.col("head.m")).alias("leader_n"))
-    pairs = tokens.join(heads, "token").select("leader", "leader_n", "id", "n").distinct()
+    heads = tokens.groupBy("token", "band").agg(F.min(rank).alias("head"), F.count("*").alias("c")).where("c > 1")
+    heads = heads.select("token", "band", F.col("head.id").alias("leader"), (-F.col("head.m")).alias("leader_n"))
+    pairs = materialize(tokens.join(heads, ["token", "band"]).select("leader", "leader_n", "id", "n").distinct(), "pairs")
     own = pairs.select("leader", "leader_n").distinct().select("leader", F.col("leader").alias("id"), F.col("leader_n").alias("n"))
     members = pairs.where("leader <> id").select("leader", "id", "n").unionByName(own)
-    links = _links(slim, materialize(members, "members"), shingle, percent, chunk_tokens)
+    living = materialize(_living(ours, materialize(members, "members"), percent, chunk_tokens), "living")
+    links = _links(slim, living, shingle, percent, chunk_tokens)
     named = components(links)
     classes = reps.join(named, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     out = base.select("id", "n", "print").join(classes, "print", "left")

@@ -191,7 +191,7 @@ def nearest(
     if depth:
         span = 1 << 30
         some = points.where(F.pmod(F.xxhash64("uid"), F.lit(span)) < int(min(1.0, sample / total) * span)).select("v")
-        tree = Tree(_project(_matrix(some.toPandas()["v"]), d), depth)
+        tree = Tree(_project(_matrix(some.toArrow()["v"].to_pandas()), d), depth)
     lo, hi = tree.boxes()
     ratio = math.sqrt(quantile(p))
     held = spark.sparkContext.broadcast((d, tree, lo, hi))

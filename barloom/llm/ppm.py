@@ -4,20 +4,22 @@ The model is a trie of byte contexts up to ``ORDER``. It is kept flat: a gram is
 a context and the byte behind it, packed into one long; counts of shorter
 contexts are sums of those of longer ones. A byte is coded in the longest
 context that has been followed by it; each shorter step costs an escape, whose
-probability is half that of distinct against seen bytes (method D), and bytes that a
-longer context has already ruled out are excluded from the counts of the
+probability is half that of distinct against seen bytes (method D), and bytes
+that a longer context has already ruled out are excluded from the counts of the
 shorter. Below order 0, the bytes never seen share the last escape evenly. All
 of this depends on the gram alone, so every gram of the corpus gets one log
-probability by grouped aggregation and joins on the shorter grams.
+probability, from the shortest context up: one join and one window a level.
 
 A text starts behind ``ORDER`` bytes 0xFE and ends with the byte 0xFF, which
 UTF-8 never uses.
 
-Nothing is held whole: documents are dealt to blocks of a bounded number of
-bytes by a hash of the id, each block asks for the distinct grams and words it
-holds, and its documents meet the answers in one task.
+Documents are dealt to blocks of a bounded number of bytes by a hash of the id.
+Each block asks for the distinct keys it holds (words, and grams) and its
+documents meet the answers in one task. A trie of up to ``BROADCAST_GRAMS``
+grams (16 bytes each) is broadcast instead; then only words are asked for.
 
-Beside the trie's score stands the base score, a unigram model over words.
+Beside the trie's score stands the base score, a unigram model over words. Words
+are told apart by 64-bit hashes.
 
 Edge cases: a null text is empty (one end token, one end byte); an empty
 training part leaves uniform probabilities; repeated rows are scored each.
@@ -31,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, WORD, materialize, table
+from ._common import LOWER_TABLE, WORD, WordHashes, materialize, table
 
 ORDER = 5
 #: Bytes of text in a block, about; a longer text is a block of its own with others.
 BLOCK_BYTES = 32_000_000
 #: Bytes whose grams are counted at a time.
 BATCH_BYTES = 4_000_000
+#: A trie up to this many grams is broadcast.
+BROADCAST_GRAMS = 4_000_000
 START, END = 0xFE, 0xFF
 #: The end token of the word model; no word holds a line feed.
 END_TOKEN = "\n"
@@ -49,7 +53,13 @@ _WORD = re.compile(WORD)
 
 
 def tokens(text: str) -> list[str]:
-    return [*_WORD.findall(text.translate(LOWER_TABLE)), END_TOKEN]
+    return [*_WORD.findall(text.translate(LOWER_TABLE) if not text.isascii() else text.lower()), END_TOKEN]
+
+
+def word_keys(text: str, hashes: WordHashes) -> np.ndarray:
+    """A key for every token; word keys are negative, grams are not."""
+    found = tokens(text)
+    return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)).view(np.int64) | np.int64(-(2**63))
 
 
 def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -80,107 +90,97 @@ def _batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[int]]:
 
 
 class Tally:
-    """Counts of grams and words per block, gathered over a task and flushed when large."""
+    """Counts of keys, gathered over a task and flushed when large."""
+
+    LIMIT = 3_000_000
 
     def __init__(self, order: int):
-        self.order, self.words, self.grams, self.size = order, {}, {}, 0
-
-    def add(self, block: int, texts: list[str], trained: list[bool]) -> None:
-        # words: seen in training, and merely present
-        count = self.words.setdefault(block, Counter())
-        for t, train in zip(texts, trained):
-            if train:
-                count.update(tokens(t))
-            else:
-                for w in set(tokens(t)):
-                    count[w] += 0
+        self.order, self.hashes, self.parts, self.size = order, WordHashes(), [], 0
+
+    def add(self, texts: list[str], trained: list[bool]) -> None:
         for train in (True, False):
             own = [t for t, x in zip(texts, trained) if x == train]
             for at in _batches(own):
-                codes, _ = grams([own[i] for i in at], self.order)
-                g, n = np.unique(codes, return_counts=True)
-                self.grams.setdefault(block, []).append((g, n if train else np.zeros_like(n)))
-                self.size += len(g)
-
-    def full(self) -> bool:
-        return self.size > 4_000_000 or sum(map(len, self.words.values())) > 1_000_000
+                part = [own[i] for i in at]
+                codes, _ = grams(part, self.order)
+                self.keep(codes, train)
+                if train:
+                    self.keep(np.concatenate([word_keys(t, self.hashes) for t in part]), True)
+
+    def keep(self, keys: np.ndarray, train: bool) -> None:
+        found, n = np.unique(keys, return_counts=True)
+        self.parts.append((found, n if train else np.zeros_like(n)))
+        self.size += len(found)
+        if self.size > self.LIMIT:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.parts:
+            key, n = (np.concatenate(x) for x in zip(*self.parts))
+            found, at = np.unique(key, return_inverse=True)
+            self.parts = [(found, np.bincount(at, n, len(found)).astype(np.int64))]
+            self.size = len(found)
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        for block, parts in self.grams.items():
-            g, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            keys, at = np.unique(g, return_inverse=True)
-            total = np.bincount(at, n, len(keys)).astype(np.int64)
-            yield pd.DataFrame({"block": block, "gram": keys, "word": None, "n": total})
-        for block, count in self.words.items():
-            yield pd.DataFrame({"block": block, "gram": None, "word": list(count), "n": list(count.values())})
-        self.words, self.grams, self.size = {}, {}, 0
+        self.merge()
+        for key, n in self.parts:
+            yield pd.DataFrame({"key": key, "n": n})
+        self.parts, self.size = [], 0
 
 
 def _gram_scores(counted: DataFrame, order: int) -> DataFrame:
-    """(gram, value): the log10 probability of every gram.
-
-    ``counted``: gram, c (training count, 0 for grams that only held-out texts
-    hold). Level k has the grams of the last k context bytes; ``n`` counts the
-    symbol in its context, ``all`` and ``kinds`` the context's bytes, in sum and
-    distinct. ``ruled`` is what the counts of the bytes ruled out by the longer
-    context sum to here. From level k's longer neighbour: ``kinds`` symbols are
-    ruled out, since all that followed a context also followed its shorter forms.
+    """(key, value): the log10 probability of every gram.
+
+    ``counted``: key, n (training count, 0 for grams that only other texts
+    hold). On level k a row is a gram of k context bytes. ``all`` and ``kinds``
+    are its context's counts, in sum and distinct; ``ruled`` is what the bytes
+    that followed the context count in the context one byte shorter: they have
+    followed it too, and are excluded there. ``rest`` is the log probability of
+    the byte once the context has been left by an escape.
     """
-    level = {}
-    rows = counted.where("c > 0").select("gram", F.col("c").alias("n"))
-    for k in range(order, -1, -1):
-        mask = (1 << (8 * (k + 1))) - 1
-        g = rows.groupBy((F.col("gram").bitwiseAND(F.lit(mask))).alias("gram")).agg(F.sum("n").alias("n"))
-        level[k] = rows = materialize(g, f"level{k}")
-    contexts = {}
-    for k in range(order, -1, -1):
-        ctx = F.shiftright("gram", 8).alias("ctx")
-        own = level[k].groupBy(ctx).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        if k > 0:
-            # counts, one level down, of the bytes seen in this context
-            low = (1 << (8 * k)) - 1
-            pairs = level[k].select(ctx, F.col("gram").bitwiseAND(F.lit(low)).alias("s"))
-            down = level[k - 1].select(F.col("gram").alias("s"), F.col("n").alias("low_n"))
-            own = own.join(pairs.join(down, "s").groupBy("ctx").agg(F.sum("low_n").alias("ruled")), "ctx", "left")
-        contexts[k] = materialize(own, f"contexts{k}")
-    # p(k): log10 probability of the symbol from level k down, after exclusion of what level k + 1 ruled out.
-    out = counted.select("gram")
-    for k in range(order, -1, -1):
-        mask, ctx_mask = (1 << (8 * (k + 1))) - 1, (1 << (8 * k)) - 1
-        key = F.col("gram").bitwiseAND(F.lit(mask))
-        out = out.withColumns({f"_g{k}": key, f"_c{k}": F.shiftright("gram", 8).bitwiseAND(F.lit(ctx_mask))})
-        names = ["all", "kinds"] + (["ruled"] if k else [])
-        c = contexts[k].select(F.col("ctx").alias(f"_c{k}"), *[F.col(x).alias(f"{x}{k}") for x in names])
-        out = out.join(c, f"_c{k}", "left").join(level[k].select(F.col("gram").alias(f"_g{k}"), F.col("n").alias(f"n{k}")), f"_g{k}", "left")
-    return out.select("gram", _log_probability(order).alias("value"))
-
-
-def _log_probability(order: int) -> Column:
-    zero = F.lit(0)
-    # below order 0: the 255 bytes (254 of text and the end) that order 0 has not seen
-    d0 = F.coalesce("kinds0", zero)
-    value = -F.log10(F.greatest(F.lit(255) - d0, F.lit(1)).cast("double"))
+    rows = {order: counted.select(F.col("key").alias("gram"), "n")}
+    for k in range(order - 1, -1, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+        rows[k] = materialize(rows[k + 1].groupBy(low.alias("gram")).agg(F.sum("n").alias("n")), f"level{k}")
+    by = Window.partitionBy(F.shiftright("gram", 8))
+    seen = (F.col("n") > 0).cast("long")
+    done = None
     for k in range(order + 1):
-        n_all, d_all = F.coalesce(f"all{k}", zero), F.coalesce(f"kinds{k}", zero)
-        out_n = F.coalesce(f"ruled{k + 1}", zero) if k < order else zero
-        out_d = F.coalesce(f"kinds{k + 1}", zero) if k < order else zero
-        n, d = n_all - out_n, d_all - out_d
-        total = n.cast("double")
-        hit = F.log10((F.col(f"n{k}") - 0.5) / total)
-        escape = F.when(total > 0, F.log10(0.5 * d / total) + value).otherwise(value)
-        value = F.when(F.col(f"n{k}").isNotNull(), hit).otherwise(escape)
-    return value
+        here = rows[k]
+        if k:
+            low = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+            shorter = done.select(F.col("gram").alias("low"), *[F.col(c).alias(f"s_{c}") for c in ("n", "all", "kinds", "rest")])
+            here = here.join(shorter, low == F.col("low")).drop("low")
+            here = here.withColumn("ruled", F.sum(seen * F.col("s_n")).over(by))
+        here = here.withColumns({"all": F.sum("n").over(by), "kinds": F.sum(seen).over(by)})
+        if k:
+            total = (F.col("s_all") - F.col("ruled")).cast("double")
+            hit = F.log10((F.col("s_n") - 0.5) / total)
+            escape = F.log10(0.5 * (F.col("s_kinds") - F.col("kinds")) / total) + F.col("s_rest")
+            rest = F.when(total <= 0, F.col("s_rest")).when(F.col("s_n") > 0, hit).otherwise(escape)
+        else:
+            rest = -F.log10(F.greatest(F.lit(255) - F.col("kinds"), F.lit(1)).cast("double"))
+        done = here.select("gram", "n", "all", "kinds", rest.alias("rest"))
+        done = materialize(done, f"trie{k}")
+    value = (
+        F.when(F.col("n") > 0, F.log10((F.col("n") - 0.5) / F.col("all")))
+        .when(F.col("all") > 0, F.log10(0.5 * F.col("kinds") / F.col("all")) + F.col("rest"))
+        .otherwise(F.col("rest"))
+    )
+    return done.select(F.col("gram").alias("key"), value.alias("value"))
 
 
 class Table:
     """Values by long key: open addressing over arrays, looked up all at once."""
 
+    FREE = np.iinfo(np.int64).max  # no gram and no word key
+
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(int(np.ceil(np.log2(max(len(keys), 1) * 2))), 4)
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        self.keys, self.values = np.full(1 << self.bits, self.FREE, np.int64), np.zeros(1 << self.bits)
         at, todo = self.slot(keys), np.arange(len(keys))
         while len(todo):
-            free = self.keys[at[todo]] == -1
+            free = self.keys[at[todo]] == self.FREE
             first = todo[free]
             _, one = np.unique(at[first], return_index=True)
             placed = first[one]
@@ -193,16 +193,23 @@ class Table:
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys; 0 for a key without one."""
         at = self.slot(keys)
-        missed = np.flatnonzero(self.keys[at] != keys)
-        while len(missed):
-            at[missed] = (at[missed] + 1) & ((1 << self.bits) - 1)
-            missed = missed[self.keys[at[missed]] != keys[missed]]
-        return self.values[at]
+        off = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != self.FREE))
+        while len(off):
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
+            off = off[(self.keys[at[off]] != keys[off]) & (self.keys[at[off]] != self.FREE)]
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
 
 
 def ppm_scores(
-    docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    training: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    order: int = ORDER,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """One row per document: n_tokens, n_known, train_tokens, base_score, score, n_bytes and ``trained``."""
     spark = docs.sparkSession
@@ -210,48 +217,65 @@ def ppm_scores(
     slim = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trained")
     )
-    total = slim.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally = Tally(order)
         for b in batches:
-            for block, rows in b.groupby("block"):
-                tally.add(int(block), rows["text"].tolist(), rows["trained"].tolist())
-                if tally.full():
-                    yield from tally.flush()
+            tally.add(b["text"].tolist(), b["trained"].tolist())
+            if tally.size > Tally.LIMIT:
+                yield from tally.flush()
         yield from tally.flush()
 
-    schema = "block int, gram long, word string, n long"
-    # a block is counted by one task; a key that it flushed twice only gets its answer twice
-    asked = materialize(dealt.mapInPandas(count, schema), "asked")
-    counts = asked.groupBy("gram", "word").agg(F.sum("n").alias("c"))
+    counts = slim.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "counts")
-    words, gram = counts.where("word is not null"), counts.where("gram is not null").select("gram", "c")
-    n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    word_value = F.log10((F.col("c") + ALPHA) / F.lit(n + ALPHA * (v + 1)))
-    word_values = words.select("word", word_value.alias("value"), (F.col("c") > 0).alias("known"))
-    gram_values = materialize(_gram_scores(gram, order), "grams")
-    answers = (
-        asked.where("gram is not null").select("block", "gram").join(gram_values, "gram")
-        .select("block", "gram", F.lit(None).cast("string").alias("word"), "value", F.lit(True).alias("known"))
-        .unionByName(asked.where("word is not null").select("block", "word").join(word_values, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "value", "known"))
-    )
+    words = counts.where("key < 0")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
+    trie = materialize(_gram_scores(counts.where("key >= 0"), order), "trie")
+    held, values = None, words.select("key", F.col("n").cast("double").alias("value"))
+    if trie.count() <= broadcast_grams:
+        model = trie.toArrow()
+        held = spark.sparkContext.broadcast((model["key"].to_numpy(), model["value"].to_numpy()))
+    else:
+        values = values.unionByName(trie)
+
+    total = slim.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distinct keys of each block; a key that is flushed twice only gets its answer twice."""
+        tallies: dict[int, Tally] = {}
+        for b in batches:
+            for block, rows in b.groupby("block"):
+                tally = tallies.setdefault(int(block), Tally(order))
+                for at in _batches(rows["text"].tolist()):
+                    texts = rows["text"].iloc[at].tolist()
+                    tally.keep(np.concatenate([word_keys(t, tally.hashes) for t in texts]), False)
+                    if held is None:
+                        tally.keep(grams(texts, order)[0], False)
+        for block, tally in tallies.items():
+            for out in tally.flush():
+                yield pd.DataFrame({"block": block, "key": out["key"]})
+
+    asked = dealt.mapInPandas(ask, "block int, key long")
+    answers = asked.join(values, "key").select("block", "key", "value")
 
     def score(rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        g = answer[answer["gram"].notna()]
-        trie = Table(g["gram"].to_numpy(np.int64), g["value"].to_numpy(float))
-        w = answer[answer["word"].notna()]
-        place = {x: i for i, x in enumerate(w["word"])}
-        value, known = w["value"].to_numpy(float), w["known"].to_numpy(bool)
+        hashes = WordHashes()
+        found = Table(answer["key"].to_numpy(np.int64), answer["value"].to_numpy(float))
+        trie = _trie(held) if held is not None else found
         texts = rows["text"].tolist()
         out = np.zeros((len(texts), 5))
-        for i, t in enumerate(texts):
-            at = np.fromiter(map(place.__getitem__, tokens(t)), np.int64)
-            out[i, :3] = len(at), known[at].sum(), value[at].sum()
+        base = n + ALPHA * (v + 1)
         for at in _batches(texts):
-            codes, starts = grams([texts[i] for i in at], order)
+            part = [texts[i] for i in at]
+            keys = [word_keys(t, hashes) for t in part]
+            size = np.array([len(k) for k in keys])
+            c = found.get(np.concatenate(keys))
+            first = np.cumsum(size) - size
+            out[at, 0], out[at, 1] = size, np.add.reduceat(c > 0, first, dtype=np.int64)
+            out[at, 2] = np.add.reduceat(np.log10((c + ALPHA) / base), first)
+            codes, starts = grams(part, order)
             out[at, 3] = np.add.reduceat(trie.get(codes), starts)
             out[at, 4] = np.diff(np.append(starts, len(codes)))
         return pd.DataFrame(
@@ -271,6 +295,16 @@ def ppm_scores(
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", id_col)
 
 
+_TRIE: dict = {}
+
+
+def _trie(held) -> Table:
+    """The broadcast trie as a table, built once in a Python worker."""
+    if _TRIE.get("of") is not held.value:
+        _TRIE.update(of=held.value, table=Table(*held.value))
+    return _TRIE["table"]
+
+
 def op3_ppm_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
