@@ -6,6 +6,7 @@ from .queries import QUERIES, SQL
 from .queries import indicators as _indicators  # noqa: F401
 from .queries import market as _market  # noqa: F401
 from .queries import jobs as _jobs  # noqa: F401
+from .queries import portfolio as _portfolio  # noqa: F401
 from .queries import stats as _stats  # noqa: F401
 from .queries import structure as _structure  # noqa: F401
 

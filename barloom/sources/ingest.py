@@ -119,7 +119,8 @@ def versioned(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.option("multiLine", True).json(folder).select("*", F.col("_metadata.file_modification_time").alias("version"))
     out = None
     for horizon in ("short", "medium", "long"):
-        if horizon in docs.columns:
+        # a list that is empty in every version has no struct to read
+        if horizon in docs.columns and "struct" in docs.schema[horizon].dataType.simpleString():
             rows = docs.select("version", F.lit(horizon).alias("horizon"), F.explode(horizon).alias("p")).select("version", "horizon", "p.*")
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
