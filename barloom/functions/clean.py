@@ -130,12 +130,13 @@ def sector_name(x) -> Column:
 
 
 #: Words that company names share. Fixed.
-NAME_STOPS = ("for", "and", "the", "of", "co", "company", "s.a.e", "sae", "holding", "group", "egypt", "egyptian")
+NAME_STOPS = ("s.a.e", "sae", "co", "company", "egypt", "egyptian", "for", "and", "of", "the", "in", "holding", "group")
 
 
 def name_tokens(x) -> Column:
     """B12."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9]+", " ")), " +")
+    low = F.replace(F.replace(F.lower(_c(x)), F.lit("_"), F.lit(" ")), F.lit("s.a.e"), F.lit("sae"))
+    words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " +")
     return F.array_except(F.array_distinct(F.filter(words, lambda w: w != "")), F.array(*[F.lit(s) for s in NAME_STOPS]))
 
 

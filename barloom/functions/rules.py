@@ -14,16 +14,26 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
+#: I1, fixed labels.
+TIERS = ([20, 60, 150], ["Very Low (New/Short History)", "Low (<3 Months)", "Medium (<1 Year)", "High (1Y+)"])
+
+
 def confidence_tier(n) -> Column:
     """I1."""
-    n = c(n)
-    return F.when(n < 20, "Very Low").when(n < 60, "Low").when(n < 150, "Moderate").otherwise("High")
+    return bucket(n, *TIERS)
 
 
-def volatility_regime(adx, atr, close) -> Column:
+def volatility_regime(n, adx, atr, close) -> Column:
     """I2."""
-    share = c(atr) / c(close) * 100
-    return F.when(c(adx) >= 25, "trending").when(share >= 4, "volatile").when(share <= 1.5, "quiet").otherwise("ranging")
+    share = F.when(c(close) > 0, c(atr) / c(close) * 100).otherwise(0.0)
+    strong = c(adx) >= 25
+    return (
+        F.when(c(n) < 20, "Insufficient Data")
+        .when(strong & (share >= 2.5), "Trending / Volatile")
+        .when(strong, "Trending")
+        .when(share >= 3.5, "Volatile Range")
+        .otherwise("Range / Consolidation")
+    )
 
 
 def confidence_weight(n) -> Column:
@@ -215,12 +225,12 @@ def wilson(k, n, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(c(n) > 0, lo * 100), F.when(c(n) > 0, hi * 100)
 
 
-def exit_action(n_bars, pnl_pct, close, stop, vwap, target_pct) -> Column:
-    """I18."""
-    fresh = c(n_bars) < T.min_bars
+def exit_action(n_bars, pnl_pct, price, vwap, take_profit) -> Column:
+    """With too short a history a position is only held."""
+    under = (c(price) < c(vwap) * T.vwap_cut) & (c(pnl_pct) < 0)
     return (
-        F.when(fresh, F.when(c(pnl_pct) <= T.cut_loss_pct, "CUT LOSS").when(c(pnl_pct) >= T.default_profit_pct, "TAKE PROFIT").otherwise("HOLD"))
-        .when((c(close) < c(stop)) | ((c(pnl_pct) <= T.cut_loss_pct) & (c(close) < c(vwap) * T.vwap_cut)), "CUT LOSS")
-        .when(c(pnl_pct) >= c(target_pct), "TAKE PROFIT")
+        F.when(c(n_bars) < T.min_bars, "HOLD")
+        .when((c(pnl_pct) <= T.cut_loss_pct) | under, "CUT LOSS")
+        .when(c(price) >= c(take_profit), "TAKE PROFIT")
         .otherwise("HOLD")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,44 +235,57 @@ def without_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
     return df.join(F.broadcast(benchmarks.select("ticker").distinct()), "ticker", "left_anti")
 
 
-def filter_recommendations(rows: DataFrame, actions=None, sectors=None, min_score: float | None = None) -> DataFrame:
+def _every(conditions: list[Column]) -> Column:
+    return reduce(lambda x, y: x & y, conditions, F.lit(True))
+
+
+def recommended(actions=None, sectors=None, min_score: float | None = None) -> Column:
+    """C4, as a condition; a row without a score fails ``min_score``."""
+    parts = [F.col("raw_action").isin(list(actions))] if actions else []
+    parts += [F.col("sector").isin(list(sectors))] if sectors else []
+    parts += [F.coalesce(F.col("score") >= min_score, F.lit(False))] if min_score is not None else []
+    return _every(parts)
+
+
+def filter_recommendations(rows: DataFrame, **conditions) -> DataFrame:
     """C4."""
-    if actions:
-        rows = rows.where(F.col("raw_action").isin(list(actions)))
-    if sectors:
-        rows = rows.where(F.col("sector").isin(list(sectors)))
-    if min_score is not None:
-        rows = rows.where(F.col("score") >= min_score)
-    return rows
+    return rows.where(recommended(**conditions))
 
 
 def presets() -> dict[str, Column]:
     """Named screens."""
-    buying = F.col("raw_action").isin("STRONG BUY") | F.col("raw_action").startswith("BREAKOUT")
+    a = F.col("raw_action")
+    pushing = (a == "STRONG BUY") | R.is_breakout(a)
     return {
-        "strong_momentum": buying & (F.col("rsi_14") >= 55) & (F.col("adx_14") >= 22),
-        "low_vol_accumulate": (F.col("raw_action") == "ACCUMULATE") & (F.col("atr_14") / F.col("close") <= 0.03),
-        "oversold_dip": (F.col("raw_action") == "BUY ON DIP") & (F.col("rsi_14") <= 35),
-        "high_confidence": (F.col("confidence_tier") == "High") & (F.col("score") > 0),
-        "pattern_confirmed": F.col("confirmed") & (F.col("confidence") > 0),
+        "strong_momentum": pushing & (F.col("adx_14") >= 20),
+        "low_vol_accumulate": (a == "ACCUMULATE") & (F.col("adx_14") < 20) & (F.abs("vol_z_score") < 1),
+        "oversold_dip": (a == "BUY ON DIP") & (F.coalesce("rsi_14", F.lit(100.0)) <= 38),
+        "high_confidence": F.col("confidence_tier").contains("High") & (pushing | a.isin("ACCUMULATE", "BUY ON DIP")),
+        "pattern_confirmed": F.col("confidence") >= 60,
     }
 
 
-def ad_hoc_screen(rows: DataFrame, ticker: str = "", action: str = "", trend: str = "", tier: str = "", hide_illiquid=False, hide_unconfirmed=False, preset: str = "") -> DataFrame:
-    """All given conditions hold."""
-    if ticker:
-        rows = rows.where(F.upper("ticker").contains(ticker.upper()))
-    if action:
-        rows = rows.where(F.upper("raw_action").contains(action.upper()))
-    if trend:
-        rows = rows.where(F.col("trend_class") == trend)
-    if tier:
-        rows = rows.where(F.col("confidence_tier") == tier)
-    if hide_illiquid:
-        rows = rows.where("liquid")
-    if hide_unconfirmed:
-        rows = rows.where("confirmed")
-    return rows.where(presets()[preset]) if preset else rows
+def ad_hoc(ticker: str = "", action: str = "", trend: str = "", tier: str = "", hide_illiquid=False, hide_unconfirmed=False, preset: str = "") -> Column:
+    """C6, as a condition: all given ones hold."""
+    parts = [F.upper("ticker").contains(ticker.upper())] if ticker else []
+    parts += [F.upper("raw_action").contains(action.upper())] if action else []
+    parts += [F.col("trend_class") == trend] if trend else []
+    parts += [F.col("confidence_tier") == tier] if tier else []
+    parts += [F.col("liquid")] if hide_illiquid else []
+    parts += [F.col("confirmed")] if hide_unconfirmed else []
+    parts += [presets()[preset]] if preset else []
+    return _every(parts)
+
+
+def ad_hoc_screen(rows: DataFrame, **conditions) -> DataFrame:
+    """C6."""
+    return rows.where(ad_hoc(**conditions))
+
+
+def screens(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """Every named screen's tickers in one pass over the rows."""
+    names = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()]))
+    return rows.select(F.explode(names).alias("screen"), "ticker")
 
 
 def action_listing(rows: DataFrame, action: str, n: int = 10) -> DataFrame:

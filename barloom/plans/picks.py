@@ -12,7 +12,7 @@ from ..functions import clean as C
 #: Target and slots by horizon, and the expected window in days. Fixed.
 TARGETS = {"short": 3.0, "medium": 8.0, "long": 15.0}
 SLOTS = {"short": 5, "medium": 3, "long": 3}
-WINDOWS = {"short": (1, 3), "medium": (5, 20), "long": (20, 90)}
+WINDOWS = {"short": (1, 3), "medium": (14, 45), "long": (60, 180)}
 
 
 def by_horizon(values: dict, horizon: str | Column = "horizon") -> Column:

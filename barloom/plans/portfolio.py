@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import T
+from ..config import ROUND_TRIP, T
 from ..functions import rules as R
 from ..operators import indicators as I
 from ..operators import structure as S
@@ -36,17 +36,19 @@ def exits(owned: DataFrame, bars: DataFrame, latest: DataFrame, as_of: str) -> D
     df = positions_to_latest(owned, latest)
     peaks = I.peak_since(bars, owned.select("ticker", F.col("purchase_date").alias("entry_date")).distinct())
     df = df.join(peaks.select("ticker", F.col("entry_date").alias("purchase_date"), "peak"), ["ticker", "purchase_date"], "left")
+    long = F.coalesce(F.col("n_bars") >= T.min_bars, F.lit(False))
+    atr = F.when(F.col("atr_14") > 0, F.col("atr_14")).otherwise(F.col("price") * 0.02)
     df = df.withColumns(
         {
-            "stop": R.stop_loss("price", F.coalesce("atr_14", F.col("price") * 0.02)),
+            "stop": F.when(long, F.col("price") - T.atr_stop * atr).otherwise(F.col("price") * 0.95),
+            "take_profit": F.when(long, R.take_profit("price", atr)).otherwise(F.col("price") * (1 + T.default_profit_pct / 100 + ROUND_TRIP)),
             "pnl_pct": F.when(F.col("buy_price") > 0, (F.col("price") / F.col("buy_price") - 1) * 100),
             "days": F.datediff(F.lit(as_of).cast("date"), "purchase_date"),
             "peak": F.coalesce("peak", F.greatest("buy_price", "price")),
         }
     )
     df = df.withColumns(R.exit_analytics("pnl_pct", "days", "price", "stop", "peak", "cost", "value")).withColumns(R.breakeven_fields("buy_price", "shares", "price"))
-    target = F.greatest(F.coalesce(F.col("atr_14") * T.profit_atr / F.col("price") * 100, F.lit(T.default_profit_pct)), F.lit(T.profit_floor_pct))
-    return df.withColumn("action", R.exit_action(F.coalesce("n_bars", F.lit(0)), "pnl_pct", "price", "stop", F.coalesce("vwap_20", "price"), target))
+    return df.withColumn("action", R.exit_action(F.coalesce("n_bars", F.lit(0)), "pnl_pct", "price", F.coalesce("vwap_20", "price"), "take_profit"))
 
 
 def market_state(index: DataFrame, sector_indices: DataFrame, pair: tuple[str, str]) -> DataFrame:
@@ -66,21 +68,26 @@ def top_mover(rows: DataFrame) -> DataFrame:
 
 
 def signal_reason() -> Column:
-    """Why a row is where it is."""
+    """Action, trend and what speaks for it."""
+    idle = F.col("raw_action").startswith("HOLD")
     parts = [
-        F.when(F.col("bb_kc_squeeze"), "volatility squeeze"), F.when(F.col("adx_14") >= T.adx_min, "strong trend"), F.when(F.col("cmf_20") >= T.dip_cmf, "money flows in"),
-        F.when(F.col("weekly_aligned"), "weekly trend aligned"), F.when(F.col("volume_ratio") >= T.vol_ratio, "high volume"),
-    ]
-    text = F.concat_ws(", ", F.array_compact(F.array(*parts)))
-    return F.when(text == "", "no single driver").otherwise(text)
+        F.col("raw_action"),
+        F.concat(F.lit("trend="), "trend_class"),
+        F.when(idle, "no decisive edge").when(F.col("confirmed"), "confirmed").otherwise("awaiting confirmation"),
+        F.when(F.col("weekly_aligned"), "weekly aligned"),
+        F.when(F.col("bb_kc_squeeze") & ~idle, "volatility squeeze"),
+        F.when((F.col("cmf_20") > 0) & ~idle, "positive money flow"),
+        F.when(F.col("volume_ratio") >= 1.0, F.format_string("vol x%.2f", "volume_ratio")),
+    ]
+    return F.concat_ws(" | ", F.array_compact(F.array(*parts)))
 
 
 def divergence_note(action: Column, consensus: Column) -> Column:
-    """Where the scan and the outside ratings disagree by a side."""
-    buy, sell = action.contains("BUY") | (action == "ACCUMULATE"), action.startswith("SELL")
-    return (
-        F.when(buy & (consensus <= -1), F.format_string("scan buys, ratings sell (%.2f)", consensus))
-        .when(sell & (consensus >= 1), F.format_string("scan sells, ratings buy (%.2f)", consensus))
+    """The outside ratings are clearly on the other side."""
+    ours = F.when(action.contains("BUY") | action.contains("ACCUMULATE"), 1).when(action.contains("SELL"), -1).otherwise(0)
+    text = "Diverges from external consensus (%+.1f/2, {})"
+    return F.when((ours == 1) & (consensus <= -1), F.format_string(text.format("bearish"), consensus)).when(
+        (ours == -1) & (consensus >= 1), F.format_string(text.format("bullish"), consensus)
     )
 
 

@@ -75,10 +75,10 @@ def _sector_sql() -> str:
     return " ".join(f"WHEN {' OR '.join(f'({hit(w)})' for w in words)} THEN '{name}'" for words, name in C.SECTOR_RULES)
 
 
-@query("B11_clean_sector_name", f"SELECT p_partkey, CASE {_sector_sql()} ELSE s END AS sector FROM (SELECT p_partkey, p_name || ' ' || p_type || ' steel' AS s, lower(p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 0 THEN ' steel' ELSE '' END) AS t FROM part) WHERE p_partkey % 2 = 0")
+@query("B11_clean_sector_name", f"SELECT p_partkey, CASE {_sector_sql()} ELSE s END AS sector FROM (SELECT p_partkey, s, lower(s) AS t FROM (SELECT p_partkey, p_name || ' ' || p_type || CASE WHEN p_size > 25 THEN ' steel' ELSE '' END AS s FROM part))")
 def b11(spark, d):
-    s = F.concat_ws(" ", "p_name", "p_type", F.lit("steel"))
-    return table(spark, d, "part").where("p_partkey % 2 = 0").select("p_partkey", C.sector_name(s).alias("sector"))
+    s = F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") > 25, F.lit("steel")))
+    return table(spark, d, "part").select("p_partkey", C.sector_name(s).alias("sector"))
 
 
 @query("B9_sanitize", "SELECT p_partkey, '''=' || p_name || ' and ’' || p_type || '''' AS clean FROM part")
@@ -170,7 +170,7 @@ NOW = "nowp AS (SELECT ticker, arg_max(close, date) AS price FROM bars GROUP BY
 
 
 @query("D11_I16_I17_K12_picks_to_matrix", ctes(BARS, NOW, PICKS) + f"""
-SELECT id, pick_date + CASE horizon WHEN 'short' THEN 1 WHEN 'medium' THEN 5 ELSE 20 END AS expected_from, pick_date + CASE horizon WHEN 'short' THEN 3 WHEN 'medium' THEN 20 ELSE 90 END AS expected_to,
+SELECT id, pick_date + CASE horizon WHEN 'short' THEN 1 WHEN 'medium' THEN 14 ELSE 60 END AS expected_from, pick_date + CASE horizon WHEN 'short' THEN 3 WHEN 'medium' THEN 45 ELSE 180 END AS expected_to,
 {rnds(6, '(price / ref_price - 1) * 100 AS pct_since', '(price / ref_price - 1) * 100 - 2 AS alpha')} FROM picks LEFT JOIN nowp USING (ticker) WHERE status = 'active'""")
 def d11(spark, d):
     df = P.expected_window(P.with_prices(picks_of(spark, d).where("status = 'active'"), prices_of(spark, d)))
@@ -188,7 +188,9 @@ def k10(spark, d):
 
 @query("K10_D18_D19_refill")
 def k10b(spark, d):
-    active = picks_of(spark, d).where("status = 'active' and id % 3001 = 0")
+    p = picks_of(spark, d)
+    last = p.agg(F.max("pick_date").alias("_last"))  # the picks of the last day are those still running
+    active = p.join(F.broadcast(last)).where("status = 'active' and pick_date = _last").drop("_last").dropDuplicates(["ticker"])
     rows = prices_of(spark, d).join(sector_map(spark, d), "ticker")
     pools = rows.select("ticker", "sector", "price", F.rank().over(Window.orderBy(F.desc("price"))).alias("rank"), F.when(F.col("price") > 100, "scan").otherwise("pre_breakout").alias("source"), F.explode(F.array(*[F.lit(h) for h in P.SLOTS])).alias("horizon"))
     excluded = rows.where("price < 20").select("ticker", F.lit(AS_OF).cast("date").alias("excluded_date"))

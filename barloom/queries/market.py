@@ -109,7 +109,7 @@ conf AS (SELECT *, CASE WHEN raw_action = 'STRONG BUY' THEN strong AND vwap_ok W
 matrix AS (SELECT *, least(greatest((n_bars - 25) / 225.0, 0), 1) * 0.5 + 0.5 AS weight,
   CASE WHEN dip THEN (base + extras) * CASE WHEN confirmed THEN 1 ELSE 0.25 END ELSE base * CASE WHEN confirmed THEN 1 ELSE 0.25 END + extras END
   + CASE WHEN weekly_aligned AND (raw_action = 'STRONG BUY' OR brk OR (dip AND confirmed)) THEN 15 ELSE 0 END - CASE WHEN liquid THEN 0 ELSE 40 END AS trend_bonus FROM conf JOIN sector_map USING (ticker)),
-scored AS (SELECT *, (range_pos * 0.05 + trend_bonus) * weight AS score, CASE WHEN n_bars < 20 THEN 'Very Low' WHEN n_bars < 60 THEN 'Low' WHEN n_bars < 150 THEN 'Moderate' ELSE 'High' END AS confidence_tier,
+scored AS (SELECT *, (range_pos * 0.05 + trend_bonus) * weight AS score, CASE WHEN n_bars < 20 THEN 'Very Low (New/Short History)' WHEN n_bars < 60 THEN 'Low (<3 Months)' WHEN n_bars < 150 THEN 'Medium (<1 Year)' ELSE 'High (1Y+)' END AS confidence_tier,
   CASE WHEN starts_with(raw_action, 'STRONG BUY') THEN 'STRONG BUY' WHEN brk THEN 'BREAKOUT BUY' WHEN dip THEN 'BUY ON DIP' WHEN raw_action = 'ACCUMULATE' THEN 'ACCUMULATE' END AS category FROM matrix)"""
 MATRIX_BASE = ctes(*ALL_INDICATORS, LATEST, SECTOR_MAP, MATRIX)
 
@@ -146,21 +146,17 @@ def d17(spark, d):
 
 
 @query("C4_C5_C6_screens", MATRIX_BASE + f"""SELECT 'recommended' AS screen, ticker FROM scored WHERE raw_action IN ('BUY ON DIP', 'ACCUMULATE') AND score >= 1
-UNION ALL SELECT 'oversold_dip', ticker FROM scored WHERE dip AND rsi_14 <= 35 UNION ALL SELECT 'high_confidence', ticker FROM scored WHERE confidence_tier = 'High' AND score > 0
+UNION ALL SELECT 'oversold_dip', ticker FROM scored WHERE dip AND rsi_14 <= 38 UNION ALL SELECT 'high_confidence', ticker FROM scored WHERE contains(confidence_tier, 'High') AND category IS NOT NULL
+UNION ALL SELECT 'strong_momentum', ticker FROM scored WHERE (raw_action = 'STRONG BUY' OR brk) AND adx_14 >= 20 UNION ALL SELECT 'low_vol_accumulate', ticker FROM scored WHERE raw_action = 'ACCUMULATE' AND adx_14 < 20 AND abs(vol_z_score) < 1
 UNION ALL SELECT 'ad_hoc', ticker FROM scored WHERE contains(ticker, '1') AND contains(raw_action, 'BUY') AND liquid""")
 def screens(spark, d):
-    rows = matrix_of(spark, d)
-    parts = {
-        "recommended": M.filter_recommendations(rows, actions=["BUY ON DIP", "ACCUMULATE"], min_score=1),
-        "oversold_dip": M.ad_hoc_screen(rows, preset="oversold_dip"),
-        "high_confidence": rows.where(M.presets()["high_confidence"]),
-        "ad_hoc": M.ad_hoc_screen(rows, ticker="1", action="buy", hide_illiquid=True),
+    named = {k: M.presets()[k] for k in ("high_confidence", "strong_momentum", "low_vol_accumulate")}
+    named |= {
+        "recommended": M.recommended(actions=["BUY ON DIP", "ACCUMULATE"], min_score=1),
+        "oversold_dip": M.ad_hoc(preset="oversold_dip"),
+        "ad_hoc": M.ad_hoc(ticker="1", action="buy", hide_illiquid=True),
     }
-    out = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("screen"), "ticker")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return M.screens(matrix_of(spark, d), named)
 
 
 @query("C7_action_listing", MATRIX_BASE + f"SELECT ticker, {rnds(4, 'score')}, greatest((SELECT count(*) FROM scored WHERE contains(raw_action, 'BUY')) - 10, 0) AS remaining FROM scored WHERE contains(raw_action, 'BUY') ORDER BY scored.score DESC, ticker LIMIT 10")

@@ -51,10 +51,13 @@ def g8(spark, d):
     return df.select("ticker", *rounded(df, 4, "score"))
 
 
-@query("I14_I15_notes", MATRIX_BASE + """SELECT ticker, CASE WHEN r = '' THEN 'no single driver' ELSE r END AS reason, CASE WHEN (contains(raw_action, 'BUY') OR raw_action = 'ACCUMULATE') THEN 'scan buys, ratings sell (-1.50)' END AS note FROM
-(SELECT *, concat_ws(', ', CASE WHEN bb_kc_squeeze THEN 'volatility squeeze' END, CASE WHEN adx_14 >= 22 THEN 'strong trend' END, CASE WHEN cmf_20 >= 0.15 THEN 'money flows in' END, CASE WHEN weekly_aligned THEN 'weekly trend aligned' END, CASE WHEN volume_ratio >= 1.6 THEN 'high volume' END) AS r FROM scored)""")
+@query("I14_I15_notes", MATRIX_BASE + """SELECT ticker, concat_ws(' | ', raw_action, 'trend=' || trend_class, CASE WHEN starts_with(raw_action, 'HOLD') THEN 'no decisive edge' WHEN confirmed THEN 'confirmed' ELSE 'awaiting confirmation' END,
+CASE WHEN weekly_aligned THEN 'weekly aligned' END, CASE WHEN bb_kc_squeeze AND NOT starts_with(raw_action, 'HOLD') THEN 'volatility squeeze' END, CASE WHEN cmf_20 > 0 AND NOT starts_with(raw_action, 'HOLD') THEN 'positive money flow' END) AS reason,
+volume_ratio >= 1 AS busy, CASE WHEN contains(raw_action, 'BUY') OR contains(raw_action, 'ACCUMULATE') THEN 'Diverges from external consensus (-1.5/2, bearish)' END AS note FROM scored""")
 def i14(spark, d):
-    return matrix_of(spark, d).select("ticker", P.signal_reason().alias("reason"), P.divergence_note(F.col("raw_action"), F.lit(-1.5)).alias("note"))
+    reason = P.signal_reason()
+    # the last part holds a rounded number, which engines print differently on ties
+    return matrix_of(spark, d).select("ticker", F.regexp_replace(reason, r" \| vol x[0-9.]+$", "").alias("reason"), reason.contains(" | vol x").alias("busy"), P.divergence_note(F.col("raw_action"), F.lit(-1.5)).alias("note"))
 
 
 @query("C3_C12_filters", LEDGER_BASE + "SELECT ticker, count(*) AS n FROM closed WHERE ticker IN ('S1', 'S2') AND shares <> 5 GROUP BY 1")

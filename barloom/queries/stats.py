@@ -252,7 +252,8 @@ def e36(spark, d):
 
 @query("I1_to_I10_scalar_rules", LEDGER_BASE + f"""
 , x AS (SELECT ticker, cost / 1000 AS buy, value / 1000 AS price, days_held AS n, cost % 97 / 97 AS w FROM held)
-SELECT ticker, CASE WHEN n % 300 < 20 THEN 'Very Low' WHEN n % 300 < 60 THEN 'Low' WHEN n % 300 < 150 THEN 'Moderate' ELSE 'High' END AS tier,
+SELECT ticker, CASE WHEN n % 300 < 20 THEN 'Very Low (New/Short History)' WHEN n % 300 < 60 THEN 'Low (<3 Months)' WHEN n % 300 < 150 THEN 'Medium (<1 Year)' ELSE 'High (1Y+)' END AS tier,
+CASE WHEN n % 300 < 20 THEN 'Insufficient Data' WHEN n % 50 >= 25 AND n % 7 >= 2.5 THEN 'Trending / Volatile' WHEN n % 50 >= 25 THEN 'Trending' WHEN n % 7 >= 3.5 THEN 'Volatile Range' ELSE 'Range / Consolidation' END AS regime,
 CASE WHEN price * 1.007 >= buy THEN 0 ELSE CAST(ceil(100 * (buy - price * 1.007) / (price * 1.007 - price) - 1e-9) AS bigint) END AS breakeven_shares,
 {rnds(6, '0.5 + 0.5 * least(greatest((n % 300 - 25) / 225.0, 0), 1) AS weight', 'least(greatest((w - (1 - w) / 1.5) * 0.5, 0), 0.25) AS kelly', 'buy * 1.15 AS target_price', '(price - (price - 2)) / price * 100 AS to_stop_pct',
 '(value_ - cost_) - (value_ + cost_) * 0.0035 AS net_pnl')},
@@ -262,7 +263,7 @@ def rules(spark, d):
     df = held_of(spark, d).select("ticker", (F.col("cost") / 1000).alias("buy"), (F.col("value") / 1000).alias("price"), F.col("days_held").alias("n"), (F.col("cost") % 97 / 97).alias("w"))
     exits = R.exit_analytics(F.lit(1.0), F.col("n"), "price", F.col("price") - 2, "price", F.col("buy") * 100, F.col("price") * 100)
     return df.select(
-        "ticker", R.confidence_tier(F.col("n") % 300).alias("tier"), R.breakeven_fields("buy", F.lit(100), "price")["breakeven_shares"].alias("breakeven_shares"),
+        "ticker", R.confidence_tier(F.col("n") % 300).alias("tier"), R.volatility_regime(F.col("n") % 300, F.col("n") % 50, F.col("n") % 7, F.lit(100.0)).alias("regime"), R.breakeven_fields("buy", F.lit(100), "price")["breakeven_shares"].alias("breakeven_shares"),
         rnd(R.confidence_weight(F.col("n") % 300), 6).alias("weight"), rnd(R.kelly_fraction("w", F.lit(1.5)), 6).alias("kelly"),
         rnd(R.target_fields(F.lit("PCT"), F.lit(15.0), "buy", F.lit(100))["target_price"], 6).alias("target_price"), rnd(exits["to_stop_pct"], 6).alias("to_stop_pct"), rnd(exits["net_pnl"], 6).alias("net_pnl"),
         R.position_size(F.lit(50_000.0), "price", F.lit(2.0))["shares"].alias("shares"),
