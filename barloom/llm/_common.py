@@ -55,12 +55,29 @@ def text_or_empty(name: str) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a number."""
+    """64-bit hashes of words in UTF-8, remembered up to a number."""
 
-    KEEP = 1_000_000
+    KEEP = 500_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > self.KEEP:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
+
+
+_KEPT: dict = {"of": None}
+
+
+def kept(group: str, name, make):
+    """What a Python worker keeps between tasks, for one group at a time.
+
+    Workers outlive an operator; the first call of another group lets go of
+    what the last one kept, so that memory follows the largest, not the sum.
+    """
+    if _KEPT["of"] != group:
+        _KEPT.clear()
+        _KEPT["of"] = group
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]

@@ -32,7 +32,6 @@ repeat (rows keep their own set, and share links by id).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, WORD, WordHashes, materialize, table
+from ._common import WordHashes, kept, materialize, table
 
 #: Tokens that are ordered last, at most: those that the sample holds most often.
 FREQUENT = 200_000
@@ -52,13 +51,13 @@ CHUNK_TOKENS = 4_000_000
 #: Documents in groups up to this many (about 300 bytes each) are broadcast to the scan of the texts.
 BROADCAST_ROWS = 300_000
 
-_WORD = re.compile(WORD)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, n: int, words: dict) -> np.ndarray:
     """Distinct shingle hashes of a text, ascending."""
-    found = _WORD.findall(text.translate(LOWER_TABLE)) if isinstance(text, str) else []
+    # bytes lower-case A-Z alone and split at \x20 and \x09-\x0D alone
+    found = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
     if not found:
         return np.empty(0, np.int64)
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -111,7 +110,7 @@ def _frequent(slim: DataFrame, n: int) -> np.ndarray:
     """Tokens that the sampled texts share, the most frequent last."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
+        words = kept("words", "hashes", WordHashes)
         for b in batches:
             own = [shingles(t, n, words) for t in b["text"]]
             if own:
@@ -128,7 +127,7 @@ def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     """Per row: id, set size, fingerprint, rarity and prefix tokens."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, order = WordHashes(), frequent.value
+        words, order = kept("words", "hashes", WordHashes), frequent.value
         keys = np.sort(order)
         rank = np.argsort(order, kind="stable")
         for b in batches:
@@ -287,7 +286,7 @@ def _links(slim: DataFrame, members: DataFrame, n: int, percent: int, chunk_toke
 
     @F.pandas_udf("array<long>")
     def as_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = WordHashes()
+        words = kept("words", "hashes", WordHashes)
         for s in texts:
             yield pd.Series([shingles(t, n, words) for t in s])
 

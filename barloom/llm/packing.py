@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of remainders that a task holds before it packs them.
@@ -83,7 +85,7 @@ class WordTokenizer:
     """
 
     #: Words that are remembered before all are forgotten.
-    KEEP = 1_200_000
+    KEEP = 900_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -135,14 +137,9 @@ class WordTokenizer:
         return np.split(flat, stop[np.flatnonzero(at == 0)][:-1])
 
 
-_KNOWN: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_of(path: str) -> WordTokenizer:
     """One per Python worker: what a task has learned serves the next."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordTokenizer(path)
-    return _KNOWN[path]
+    return kept("tokenizer", path, lambda: WordTokenizer(path))
 
 
 class Packer:
