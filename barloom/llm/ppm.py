@@ -27,8 +27,6 @@ training part leaves uniform probabilities; repeated rows are scored each.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,24 +34,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, WORD, WordHashes, materialize, table
+from ._common import WordHashes, kept, materialize, table
 
 ORDER = 5
 #: Bytes of text in a block, about; a longer text is a block of its own with others.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 24_000_000
 #: Bytes whose grams are counted at a time.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: A trie up to this many grams is broadcast.
 BROADCAST_GRAMS = 4_000_000
 START, END = 0xFE, 0xFF
 #: The end token of the word model; no word holds a line feed.
-END_TOKEN = "\n"
+END_TOKEN = b"\n"
 ALPHA = 0.1
-_WORD = re.compile(WORD)
 
 
-def tokens(text: str) -> list[str]:
-    return [*_WORD.findall(text.translate(LOWER_TABLE) if not text.isascii() else text.lower()), END_TOKEN]
+def tokens(text: str) -> list[bytes]:
+    """Words in UTF-8 and the end token. Bytes lower-case A-Z alone and split at \\x20 and \\x09-\\x0D alone."""
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END_TOKEN]
 
 
 def word_keys(text: str, hashes: WordHashes) -> np.ndarray:
@@ -67,14 +65,13 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     pad = bytes([START]) * order
     joined = b"".join([pad + t.encode("utf-8", "surrogatepass") + bytes([END]) for t in texts])
     raw = np.frombuffer(joined, np.uint8)
-    code = np.zeros(len(raw), np.int64)
-    for i in range(order + 1):
-        # the byte i before this one, i bytes up
-        code[i:] |= raw[: len(raw) - i].astype(np.int64) << (8 * i)
-    real = raw != START
+    # eight bytes from every place on, of which the first order + 1 stay
+    eight = np.ndarray((len(raw) - order,), ">u8", joined + bytes(8), strides=(1,))
+    real = raw[order:] != START
+    code = (eight[real].astype(np.uint64) >> np.uint64(8 * (7 - order))).view(np.int64)
     ends = np.flatnonzero(raw == END)
     lengths = np.diff(np.concatenate([[-1], ends])) - order
-    return code[real], np.cumsum(lengths) - lengths
+    return code, np.cumsum(lengths) - lengths
 
 
 def _batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[int]]:
@@ -92,10 +89,10 @@ def _batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[int]]:
 class Tally:
     """Counts of keys, gathered over a task and flushed when large."""
 
-    LIMIT = 3_000_000
+    LIMIT = 2_000_000
 
     def __init__(self, order: int):
-        self.order, self.hashes, self.parts, self.size = order, WordHashes(), [], 0
+        self.order, self.hashes, self.parts, self.size = order, kept("words", "hashes", WordHashes), [], 0
 
     def add(self, texts: list[str], trained: list[bool]) -> None:
         for train in (True, False):
@@ -195,11 +192,17 @@ class Table:
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values of the keys; 0 for a key without one."""
         at = self.slot(keys)
-        off = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != self.FREE))
+        off, gone = np.flatnonzero(self.keys[at] != keys), []
         while len(off):
+            free = self.keys[at[off]] == self.FREE
+            gone.append(off[free])
+            off = off[~free]
             at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
-            off = off[(self.keys[at[off]] != keys[off]) & (self.keys[at[off]] != self.FREE)]
-        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+            off = off[self.keys[at[off]] != keys[off]]
+        out = self.values[at]
+        for x in gone:
+            out[x] = 0.0
+        return out
 
 
 def ppm_scores(
@@ -240,7 +243,7 @@ def ppm_scores(
 
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(4 * blocks, "block")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Distinct keys of each block; a key that is flushed twice only gets its answer twice."""
@@ -261,7 +264,7 @@ def ppm_scores(
     answers = asked.join(values, "key").select("block", "key", "value")
 
     def score(rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
+        hashes = kept("words", "hashes", WordHashes)
         found = Table(answer["key"].to_numpy(np.int64), answer["value"].to_numpy(float))
         trie = _trie(held) if held is not None else found
         texts = rows["text"].tolist()
@@ -295,14 +298,12 @@ def ppm_scores(
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", id_col)
 
 
-_TRIE: dict = {}
-
-
 def _trie(held) -> Table:
     """The broadcast trie as a table, built once in a Python worker."""
-    if _TRIE.get("of") is not held.value:
-        _TRIE.update(of=held.value, table=Table(*held.value))
-    return _TRIE["table"]
+    at = kept("words", "trie", dict)
+    if at.get("of") is not held.value:
+        at.update(of=held.value, table=Table(*held.value))
+    return at["table"]
 
 
 def op3_ppm_score(spark, sf_dir: str) -> DataFrame:
