@@ -106,11 +106,13 @@ def action_breakdown(trades: DataFrame) -> DataFrame:
 def equity(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """H2: running equity, its peak and the drawdown, in the given order.
 
-    Total losses (a return of -100 % or less) end at an equity of zero.
+    Total losses (a return of -100 % or less) end at an equity of zero, whose
+    ``log_equity`` is null.
     """
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     r = F.col("return_pct") / 100
-    out = trades.withColumn("equity", F.exp(F.sum(F.when(r > -1, F.log1p(r))).over(w)) * F.when(F.min(r).over(w) <= -1, 0.0).otherwise(1.0))
+    log_sum, lost = F.sum(F.when(r > -1, F.log1p(r))).over(w), F.min(r).over(w) <= -1
+    out = trades.withColumns({"log_equity": F.when(~lost, log_sum), "equity": F.exp(log_sum) * F.when(lost, 0.0).otherwise(1.0)})
     out = out.withColumn("peak", F.max("equity").over(w))
     return out.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("equity") - F.col("peak")) / F.col("peak")).otherwise(0.0))
 

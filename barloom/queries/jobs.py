@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..shared import shared_dir
 from ..sources import ingest
 from ..sources.views import BARS, bars, sector_map, table
 from ..streaming import jobs
-from . import query
+from . import SQL, query
 from .indicators import rounded
 from .sqltext import W, ctes, rnds
 
@@ -106,13 +108,17 @@ def d2(spark, d):
 , n AS (SELECT *, row_number() OVER ({W}) AS i FROM bars),
 s AS (SELECT date, ticker, close FROM n WHERE i % 2 = 0), v AS (SELECT date, ticker, close * 2 AS close FROM n WHERE i % 5 = 0)
 SELECT * FROM v UNION ALL SELECT s.* FROM s ANTI JOIN v USING (ticker, date)""")
-def a10(spark, d):
+def a10(spark, d, incoming="i % 5 = 0"):
     n = bars(spark, d).withColumn("i", F.row_number().over(I.w()))
     stored = n.where("i % 2 = 0").select("date", "ticker", "close")
-    new = n.where("i % 5 = 0").select("date", "ticker", "close", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
+    new = n.where(incoming).select("date", "ticker", "close", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
     return ingest.upsert(stored, new.withColumn("close", F.col("close") * F.col("version")), ["ticker", "date"], ["version"])
 
 
+# stored and new bars together are all there are; the query above stays the sample that its SQL states
+query("A10_A22_L3_upsert_bars_every_bar", SQL["A10_A22_L3_upsert_bars"].replace("WHERE i % 5 = 0", "WHERE i % 5 = 0 OR i % 2 = 1"))(partial(a10, incoming="i % 5 = 0 or i % 2 = 1"))
+
+
 @query("A11_A12_F35_latest_enrichment", "SELECT o_custkey AS ticker, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def f35(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_totalprice").alias("value"), "o_orderdate", "o_orderkey")
@@ -189,8 +195,7 @@ def k10(spark, d):
 @query("K10_D18_D19_refill")
 def k10b(spark, d):
     p = picks_of(spark, d)
-    last = p.agg(F.max("pick_date").alias("_last"))  # the picks of the last day are those still running
-    active = p.join(F.broadcast(last)).where("status = 'active' and pick_date = _last").drop("_last").dropDuplicates(["ticker"])
+    active = p.where("status = 'active'")
     rows = prices_of(spark, d).join(sector_map(spark, d), "ticker")
     pools = rows.select("ticker", "sector", "price", F.rank().over(Window.orderBy(F.desc("price"))).alias("rank"), F.when(F.col("price") > 100, "scan").otherwise("pre_breakout").alias("source"), F.explode(F.array(*[F.lit(h) for h in P.SLOTS])).alias("horizon"))
     excluded = rows.where("price < 20").select("ticker", F.lit(AS_OF).cast("date").alias("excluded_date"))

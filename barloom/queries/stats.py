@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import indicators as I
 from ..operators import stats as S
 from ..plans import events as V
 from ..sources.views import BARS, INDEX_BARS, SECTOR_MAP, bars, index_bars, rnd, sector_map, table
-from . import query
+from . import SQL, query
 from .indicators import REGIME_SQL, rounded
 from .sqltext import W, ctes, last, rnds
 
@@ -33,8 +35,8 @@ xt AS (SELECT *, return_pct - benchmark_return_pct AS excess_return_pct FROM tra
 TRADE_BASE = ctes(BARS, SECTOR_MAP, INDEX_BARS, REGIME_SQL, TRADES)
 
 
-def trades_of(spark, d):
-    """A fixed rule's trades: every tenth bar, entered at the next open, left five bars later."""
+def trades_of(spark, d, every=10):
+    """A fixed rule's trades: every tenth bar (or as stated), entered at the next open, left five bars later."""
     w = I.w()
     df = I.volume_stats(bars(spark, d).join(sector_map(spark, d), "ticker"))
     df = df.withColumns(
@@ -42,7 +44,7 @@ def trades_of(spark, d):
             "i": F.row_number().over(w), "pc": F.lag("close").over(w), "m": F.avg("close").over(I.last(20)),
             "entry_price": F.lead("open", 1).over(w), "entry_date": F.lead("date", 1).over(w), "exit_price": F.lead("close", 6).over(w), "exit_date": F.lead("date", 6).over(w),
         }
-    ).where("i % 10 = 0 and exit_price is not null")
+    ).where(f"i % {every} = 0 and exit_price is not null")
     df = df.withColumns(
         {
             "action": F.when(F.col("close") > F.col("m"), "BREAKOUT BUY (MOMENTUM)").otherwise("BUY ON DIP"),
@@ -57,8 +59,8 @@ def trades_of(spark, d):
 
 
 @query("D6_D7_benchmark_and_regime", TRADE_BASE + f"SELECT ticker, entry_date, exit_date, return_pct, entry_regime, {rnds(2, 'benchmark_return_pct', 'excess_return_pct')} FROM xt")
-def d6(spark, d):
-    df = trades_of(spark, d)
+def d6(spark, d, every=10):
+    df = trades_of(spark, d, every)
     return df.select("ticker", "entry_date", "exit_date", "return_pct", "entry_regime", *rounded(df, 2, "benchmark_return_pct", "excess_return_pct"))
 
 
@@ -73,26 +75,26 @@ def _finished(df, *keys):
 
 
 @query("E8_E9_bucket_stats", TRADE_BASE + f"SELECT sector AS bucket, {FINISH} FROM (SELECT sector, {BUCKET}, count(*) FILTER (WHERE return_pct > 0) * 1.0 / count(*) AS p FROM xt GROUP BY 1)")
-def e9(spark, d):
-    return _finished(S.bucket_stats(trades_of(spark, d), "sector"), "bucket")
+def e9(spark, d, every=10):
+    return _finished(S.bucket_stats(trades_of(spark, d, every), "sector"), "bucket")
 
 
 @query("E10_M2_I13_factor_report", TRADE_BASE + " UNION ALL ".join(
     f"SELECT '{k}' AS factor, {c} AS bucket, {FINISH} FROM (SELECT {c}, {BUCKET}, count(*) FILTER (WHERE return_pct > 0) * 1.0 / count(*) AS p FROM xt GROUP BY 1)" for k, c in S.FACTORS.items()
 ))
-def e10(spark, d):
-    return _finished(S.factor_report(trades_of(spark, d)), "factor", "bucket")
+def e10(spark, d, every=10):
+    return _finished(S.factor_report(trades_of(spark, d, every)), "factor", "bucket")
 
 
 @query("E11_benchmark_summary", TRADE_BASE + f"SELECT {rnds(4, 'avg(excess_return_pct) AS avg_excess_pct', 'count(*) FILTER (WHERE excess_return_pct > 0) * 100.0 / count(excess_return_pct) AS beat_pct')}, count(excess_return_pct) AS covered, count(*) AS trades FROM xt")
-def e11(spark, d):
-    df = S.benchmark_summary(trades_of(spark, d).withColumn("excess_return_pct", F.col("excess_return_pct")))
+def e11(spark, d, every=10):
+    df = S.benchmark_summary(trades_of(spark, d, every).withColumn("excess_return_pct", F.col("excess_return_pct")))
     return df.select(*rounded(df, 4, "avg_excess_pct", "beat_pct"), "covered", "trades")
 
 
 @query("E12_action_breakdown", TRADE_BASE + f"SELECT action, count(*) AS trade_count, {rnds(4, 'count(*) FILTER (WHERE return_pct > 0) * 100.0 / count(*) AS win_rate_pct', 'avg(return_pct) AS avg_return_pct')} FROM xt GROUP BY 1")
-def e12(spark, d):
-    df = S.action_breakdown(trades_of(spark, d))
+def e12(spark, d, every=10):
+    df = S.action_breakdown(trades_of(spark, d, every))
     return df.select("action", "trade_count", *rounded(df, 4, "win_rate_pct", "avg_return_pct"))
 
 
@@ -108,25 +110,25 @@ SELECT {part + ',' if part else ''} trade_count, {rnds(6, 'win_rate_pct', 'mean'
 
 
 @query("E5_E6_fold_summary", TRADE_BASE + _perf("fold", "ticker, entry_date") + " FROM e2")
-def e6(spark, d):
-    df = S.perf_metrics(trades_of(spark, d), ["fold"], ["ticker", "entry_date"])
+def e6(spark, d, every=10):
+    df = S.perf_metrics(trades_of(spark, d, every), ["fold"], ["ticker", "entry_date"])
     return df.select("fold", "trade_count", *rounded(df, 6, "win_rate_pct", "mean", "vol", "max_drawdown", "sharpe", "sortino"))
 
 
 @query("E7_H2_overall_summary", TRADE_BASE + _perf("", "ticker, entry_date") + f", {rnds(4, 'gp / gl AS profit_factor')}, fold_count >= 4 AS is_reliable FROM e2")
-def e7(spark, d):
-    df = S.overall(trades_of(spark, d), ["ticker", "entry_date"])
+def e7(spark, d, every=10):
+    df = S.overall(trades_of(spark, d, every), ["ticker", "entry_date"])
     return df.select("trade_count", *rounded(df, 6, "win_rate_pct", "mean", "vol", "max_drawdown", "sharpe", "sortino"), *rounded(df, 4, "profit_factor"), "is_reliable")
 
 
 @query("G10_K9_equity_curve", TRADE_BASE + f"""
 , c AS (SELECT exit_date, return_pct, ticker, row_number() OVER (ORDER BY exit_date, ticker) - 1 AS seq, count(*) OVER () AS n, exp(sum(ln(1 + return_pct / 100)) OVER (ORDER BY exit_date, ticker ROWS UNBOUNDED PRECEDING)) AS equity FROM xt)
 SELECT seq, exit_date, {rnds(6, 'ln(equity) AS log_equity')} FROM c WHERE seq = n - 1 OR seq IN (SELECT floor(k * greatest(n / 200.0, 1) + 1e-9) FROM range(0, 200) r(k), (SELECT max(n) AS n FROM c))""")
-def g10(spark, d):
-    t = trades_of(spark, d)
+def g10(spark, d, every=10):
+    t = trades_of(spark, d, every)
     w = Window.orderBy("exit_date", "ticker")
     df = S.equity(t, [], ["exit_date", "ticker"]).withColumn("seq", F.row_number().over(w) - 1)
-    return S.equity_curve(df).select(F.col("seq").cast("long").alias("seq"), "exit_date", rnd(F.log("equity"), 6).alias("log_equity"))
+    return S.equity_curve(df).select(F.col("seq").cast("long").alias("seq"), "exit_date", rnd(F.col("log_equity"), 6).alias("log_equity"))
 
 
 @query("D13_E13_K8_score_validation", ctes(BARS) + f"""
@@ -134,13 +136,27 @@ def g10(spark, d):
 s AS (SELECT *, volume % 9973 AS score, (best / close - 1) * 100 AS gain FROM b WHERE i % 7 = 0 AND best IS NOT NULL),
 q AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY score, ticker, session_date) - 1) / ceil(count(*) OVER () / 5.0)) + 1 AS integer) AS quintile FROM s)
 SELECT quintile, min(score) AS low, max(score) AS high, count(*) AS n, {rnds(4, 'avg(CASE WHEN gain >= 3 THEN 1 ELSE 0 END) * 100 AS hit_pct', 'avg(gain) AS avg_best_gain_pct')} FROM q GROUP BY 1""")
-def e13(spark, d):
+def e13(spark, d, every=7):
     b = bars(spark, d)
-    snaps = b.withColumn("i", F.row_number().over(I.w())).where("i % 7 = 0").select("ticker", F.col("date").alias("session_date"), (F.col("volume") % 9973).alias("score"))
+    snaps = b.withColumn("i", F.row_number().over(I.w())).where(f"i % {every} = 0").select("ticker", F.col("date").alias("session_date"), (F.col("volume") % 9973).alias("score"))
     df = S.score_quintiles(S.forward_window(b, snaps))
     return df.select("quintile", "low", "high", "n", *rounded(df, 4, "hit_pct", "avg_best_gain_pct"))
 
 
+#: The same reports over every bar. The queries above stay the samples that their SQL states.
+EVERY_BAR = {
+    "D6_D7_benchmark_and_regime": d6, "E8_E9_bucket_stats": e9, "E10_M2_I13_factor_report": e10, "E11_benchmark_summary": e11, "E12_action_breakdown": e12,
+    "E5_E6_fold_summary": e6, "E7_H2_overall_summary": e7, "G10_K9_equity_curve": g10, "D13_E13_K8_score_validation": e13,
+}
+for _name, _f in EVERY_BAR.items():
+    # so many trades take equity below the least double, so its logarithm is taken from the sum
+    _sql = SQL[_name].replace("i % 10 = 0 AND ", "").replace("i % 7 = 0 AND ", "").replace("ln(equity)", "log_equity").replace(
+        "seq, count(*) OVER () AS n, exp(sum(ln(1 + return_pct / 100)) OVER (ORDER BY exit_date, ticker ROWS UNBOUNDED PRECEDING)) AS equity",
+        "seq, count(*) OVER () AS n, sum(ln(1 + return_pct / 100)) OVER (ORDER BY exit_date, ticker ROWS UNBOUNDED PRECEDING) AS log_equity",
+    )
+    query(f"{_name}_every_bar", _sql)(partial(_f, every=1))
+
+
 @query("K6_C15_I11_event_study")
 def k6(spark, d):
     return V.event_study(bars(spark, d), sector_map(spark, d))
