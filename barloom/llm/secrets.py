@@ -7,7 +7,8 @@ Two families of findings:
 * ``entropy`` findings: a window slides over every candidate string, its
   Shannon entropy is kept by incremental counts, and stretches of windows at or
   above the threshold of the string's character class become findings, unless
-  an allow-list entry suppresses them.
+  an allow-list entry suppresses them. Characters of a pattern finding are taken
+  out of a stretch; the rest of it stays a finding, however short.
 
 Edge cases: a null or empty text has no findings; repeated rows are scanned
 each on its own; offsets count code points, ends are exclusive. The scan is one
@@ -37,27 +38,58 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 WINDOW = 24
 #: Least entropy in bits a character, by the character class of the string.
 THRESHOLDS = {"hex": 3.2, "letters": 4.3, "mixed": 4.0}
-#: Strings of these shapes, or holding these words, are not secrets.
+#: Strings of these shapes, and parts of strings that hold these words, are not secrets.
 ALLOW_SHAPES = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]+"),
-    re.compile(r"[/_A-Za-z-]+"),
 )
+JOINS = "+/_=-"
+_PART = re.compile(r"[A-Za-z0-9]+")
 ALLOW_WORDS = ("example", "placeholder", "changeme", "abcdefgh", "0123456789")
 
 FINDING = "struct<kind:string,start:int,end:int,entropy:double>"
 _XLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
+#: Letters and the signs that join words in paths and names.
+_LETTERS = re.compile(r"[/_A-Za-z-]+")
+
+
 def char_class(s: str) -> str:
     if re.fullmatch(r"[0-9a-fA-F]+", s):
         return "hex"
-    return "letters" if s.isalpha() else "mixed"
+    return "letters" if _LETTERS.fullmatch(s) else "mixed"
 
 
 def allowed(s: str) -> bool:
+    return any(p.fullmatch(s) for p in ALLOW_SHAPES)
+
+
+def unworded(s: str) -> list[tuple[int, str]]:
+    """``s`` without the parts (between joining signs) that hold an allow word: offsets and strings of a window or more."""
     low = s.lower()
-    return any(w in low for w in ALLOW_WORDS) or any(p.fullmatch(s) for p in ALLOW_SHAPES)
+    if not any(w in low for w in ALLOW_WORDS):
+        return [(0, s)]
+    out, at = [], 0
+    ends = [m.span() for m in _PART.finditer(low) if any(w in m[0] for w in ALLOW_WORDS)]
+    for a, b in [*ends, (len(s), len(s))]:
+        piece = s[at:a].rstrip(JOINS) if a < len(s) else s[at:a]
+        start = at + (len(piece) - len(piece.lstrip(JOINS)) if at else 0)
+        piece = s[start : at + len(piece)]
+        if len(piece) >= WINDOW:
+            out.append((start, piece))
+        at = b
+    return out
+
+
+def uncovered(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch outside all base spans. ``base``: by start."""
+    out = []
+    for x, y in base:
+        if x < b and a < y:
+            out.append((a, x))
+            a = max(a, y)
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
 def entropy_spans(s: str, window: int = WINDOW) -> list[tuple[int, int, float]]:
@@ -97,14 +129,17 @@ def find(text: str) -> list[tuple[str, int, int, float | None]]:
         found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     # greedy runs: a run of 24 or more is one match of HEX as a whole
     found += [("hex", m.start(), m.end(), None) for m in _LONG_HEX.finditer(text)]
-    base = [(a, b) for _, a, b, _ in found]
+    base = sorted((a, b) for _, a, b, _ in found)
     for m in CANDIDATE.finditer(text):
-        if allowed(m[0]):
-            continue
-        for a, b, h in entropy_spans(m[0]):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y in base) and not allowed(text[a:b]):
-                found.append(("entropy", a, b, h))
+        for at, s in unworded(m[0]):
+            if allowed(s):
+                continue
+            at += m.start()
+            for a, b, h in entropy_spans(s):
+                if allowed(s[a:b]):
+                    continue
+                rest = uncovered(a + at, b + at, base)
+                found += [("entropy", x, y, h) for x, y in rest if text[x:y].strip(JOINS)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
