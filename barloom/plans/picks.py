@@ -97,18 +97,22 @@ def retain_newest(picks: DataFrame, n: int = 500) -> DataFrame:
     return picks.withColumn("_r", F.row_number().over(by)).where((F.col("status") != "achieved") | (F.col("_r") <= n)).drop("_r")
 
 
+def fired_dates(dates: str, days: int) -> Column:
+    """Of a sorted array of distinct dates the first, and each that lies ``days`` or more behind the last taken."""
+
+    def step(kept, x):
+        return F.when(F.datediff(x, F.element_at(kept, -1)) >= days, F.concat(kept, F.array(x))).otherwise(kept)
+
+    return F.aggregate(F.slice(dates, 2, 1_000_000_000), F.slice(dates, 1, 1), step)
+
+
 def dedupe_alerts(events: DataFrame, days: int) -> DataFrame:
     """L4, batch twin, and K18's gate: per key an event fires if the last that fired lies ``days`` or more back.
 
     ``events``: alert_key, event_date. A fold over each key's distinct dates.
     """
     grouped = events.select("alert_key", "event_date").distinct().groupBy("alert_key").agg(F.array_sort(F.collect_list("event_date")).alias("d"))
-
-    def step(kept, x):
-        return F.when(F.datediff(x, F.element_at(kept, -1)) >= days, F.concat(kept, F.array(x))).otherwise(kept)
-
-    fired = F.aggregate(F.slice("d", 2, 1_000_000_000), F.slice("d", 1, 1), step)
-    return grouped.select("alert_key", F.explode(fired).alias("event_date"))
+    return grouped.select("alert_key", F.explode(fired_dates("d", days)).alias("event_date"))
 
 
 def alert_events(achieved: DataFrame, sectors: DataFrame, watchlist: DataFrame, divergence: DataFrame, session_date: str) -> DataFrame:

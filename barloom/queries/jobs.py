@@ -332,11 +332,11 @@ def l7(spark, d):
 def l4s(spark, d):
     stream = jobs.events_stream(spark, f"{d}/[e]vents.parquet")
     keyed = stream.select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("alert_key"), F.to_date("ts").alias("event_date"))
-    return jobs.collect_stream(jobs.dedupe_alerts_stream(keyed, 3), shared_dir(spark, "l4"))
+    return jobs.collect_stream(jobs.dedupe_alerts_stream(keyed, 3), shared_dir(spark, "l4"), "complete")
 
 
 @query("L8_target_reached_stream", "SELECT CAST(user_id AS varchar) AS ticker, min(ts) AS ts FROM events WHERE value >= 50 GROUP BY 1")
 def l8(spark, d):
     stream = jobs.events_stream(spark, f"{d}/[e]vents.parquet").select(F.col("user_id").cast("string").alias("ticker"), "ts", F.col("value").alias("price"))
     picks = table(spark, d, "events").select(F.col("user_id").cast("string").alias("ticker")).distinct().withColumn("target", F.lit(50.0))
-    return jobs.collect_stream(jobs.targets_reached_stream(stream, picks), shared_dir(spark, "l8")).select("ticker", "ts")
+    return jobs.collect_stream(jobs.targets_reached_stream(stream, picks), shared_dir(spark, "l8"), "complete").select("ticker", "ts")

@@ -6,12 +6,10 @@ reads what there is and stops, which is how the batch twins are checked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.picks import fired_dates
 from ..sources import ingest
 
 
@@ -77,41 +75,25 @@ def start_ingest(spark: SparkSession, folder: str, header: list[str], as_of: str
 
 
 def dedupe_alerts_stream(stream: DataFrame, days: int) -> DataFrame:
-    """L4: an event fires if its key has not fired for ``days``; the state is the last date that fired.
+    """L4: an event fires if its key has not fired for ``days``; the state is the key's distinct dates.
 
-    ``stream``: alert_key string, event_date date.
+    ``stream``: alert_key string, event_date date. For complete mode: a late date is put in its place, which may move
+    later ones, so that the result is that of the batch twin for any order of files.
     """
-
-    def fire(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        dates = sorted({d for b in batches for d in b["event_date"]})
-        out = []
-        for d in dates:
-            n = d.toordinal()
-            if last is None or n - last >= days:
-                out.append(d)
-                last = n
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"alert_key": [key[0]] * len(out), "event_date": out})
-
-    return stream.groupBy("alert_key").applyInPandasWithState(fire, "alert_key string, event_date date", "last int", "append", "NoTimeout")
+    dates = stream.groupBy("alert_key").agg(F.array_sort(F.collect_set("event_date")).alias("d"))
+    return dates.select("alert_key", F.explode(fired_dates("d", days)).alias("event_date"))
 
 
 def targets_reached_stream(prices: DataFrame, picks: DataFrame) -> DataFrame:
-    """Per pick, the first price of the stream at or above its target, once.
+    """Per pick, the earliest price of the stream at or above its target (of prices at that time, the least).
 
-    ``prices``: ticker, ts, price. ``picks``: ticker, target (small: open picks).
+    ``prices``: ticker, ts, price. ``picks``: ticker, target; of a ticker's targets the least counts. For complete mode:
+    a later batch may hold an earlier hit. Hits are reduced in each task before the shuffle.
     """
-    joined = prices.join(F.broadcast(picks.select("ticker", "target")), "ticker").where("price >= target").select("ticker", "ts", "price")
-
-    def first(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "price"])
-        if not state.exists:
-            state.update((1,))
-            yield rows.head(1)[["ticker", "ts", "price"]]
-
-    return joined.groupBy("ticker").applyInPandasWithState(first, "ticker string, ts timestamp, price double", "done int", "append", "NoTimeout")
+    open_picks = picks.groupBy("ticker").agg(F.min("target").alias("target"))
+    hits = prices.join(open_picks, "ticker").where("price >= target")
+    first = hits.groupBy("ticker").agg(F.min(F.struct("ts", "price")).alias("first"))
+    return first.select("ticker", "first.ts", "first.price")
 
 
 def notify(batch: DataFrame, channels: list) -> list[str]:
