@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..shared import shared_dir
 
 
 def with_benchmark(trades: DataFrame, index: DataFrame) -> DataFrame:
@@ -103,17 +104,46 @@ def action_breakdown(trades: DataFrame) -> DataFrame:
     )
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in ranges of ``order``, numbered in ``_p``; written once, so that the ranges stay."""
+    path = shared_dir(rows.sparkSession, "ranges")
+    out = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def before(rows: DataFrame, **aggs: tuple[Column, object]) -> DataFrame:
+    """Joins to ``placed`` rows an aggregate over all ranges before their own: name=(aggregate, how to combine). One row a range is ordered."""
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy("_p").agg(*[a.alias(k) for k, (a, _) in aggs.items()])
+    return rows.join(F.broadcast(each.select("_p", *[f(k).over(w).alias(k) for k, (_, f) in aggs.items()])), "_p")
+
+
 def equity(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """H2: running equity, its peak and the drawdown, in the given order.
+    """H2: place (``seq``), running equity, its peak and the drawdown, in the given order.
 
     Total losses (a return of -100 % or less) end at an equity of zero, whose
-    ``log_equity`` is null.
+    ``log_equity`` is null. Without groups the trades are taken in ranges of the order.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     r = F.col("return_pct") / 100
-    log_sum, lost = F.sum(F.when(r > -1, F.log1p(r))).over(w), F.min(r).over(w) <= -1
-    out = trades.withColumns({"log_equity": F.when(~lost, log_sum), "equity": F.exp(log_sum) * F.when(lost, 0.0).otherwise(1.0)})
-    out = out.withColumn("peak", F.max("equity").over(w))
+    log = F.when(r > -1, F.log1p(r))
+    if by:
+        out = trades.withColumns({"_n0": F.lit(0), "_s0": F.lit(None).cast("double"), "_m0": F.lit(None).cast("double")})
+    else:
+        out = before(placed(trades, order), _n0=(F.count("*"), F.sum), _s0=(F.sum(log), F.sum), _m0=(F.min(r), F.min))
+    w = Window.partitionBy(*by or ["_p"]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s0, own = F.col("_s0"), F.sum(log).over(w)
+    log_sum, lost = F.coalesce(s0 + own, s0, own), F.least("_m0", F.min(r).over(w)) <= -1
+    out = out.withColumns(
+        {
+            "seq": F.row_number().over(w) - 1 + F.coalesce("_n0", F.lit(0)),
+            "log_equity": F.when(~lost, log_sum), "equity": F.exp(log_sum) * F.when(lost, 0.0).otherwise(1.0),
+        }
+    ).drop("_n0", "_s0", "_m0")
+    if by:
+        out = out.withColumn("peak", F.max("equity").over(w))
+    else:
+        out = before(out, _e0=(F.max("equity"), F.max)).withColumn("peak", F.greatest("_e0", F.max("equity").over(w))).drop("_e0", "_p")
     return out.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("equity") - F.col("peak")) / F.col("peak")).otherwise(0.0))
 
 
@@ -140,7 +170,7 @@ def perf_metrics(trades: DataFrame, by: list[str], order: list[str]) -> DataFram
 
 
 def overall(trades: DataFrame, order: list[str], min_folds: int = 4) -> DataFrame:
-    """Profit factor (null without a loss) and whether enough folds traded. Orders all trades in one task: trades are few next to bars."""
+    """Profit factor (null without a loss) and whether enough folds traded."""
     folds = trades.agg(F.count_distinct("fold").alias("fold_count"))
     out = perf_metrics(trades, [], order).join(F.broadcast(folds))
     return out.withColumns(
@@ -159,7 +189,9 @@ def equity_curve(daily: DataFrame, points: int = 200) -> DataFrame:
 def score_quintiles(rows: DataFrame, n: int = 5) -> DataFrame:
     """By score, chunks of ceil(rows / n). ``rows``: ticker, session_date, score, hit, best_gain_pct."""
     total = rows.agg(F.count("*").alias("_n"))
-    ranked = rows.join(F.broadcast(total)).withColumn("_r", F.row_number().over(Window.orderBy("score", "ticker", "session_date")) - 1)
+    order = ["score", "ticker", "session_date"]
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    ranked = before(placed(rows, order), _n0=(F.count("*"), F.sum)).join(F.broadcast(total)).withColumn("_r", own - 1 + F.coalesce("_n0", F.lit(0)))
     chunk = F.floor(F.col("_r") / F.ceil(F.col("_n") / n)) + 1
     return ranked.groupBy(chunk.cast("int").alias("quintile")).agg(
         F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"),

@@ -93,8 +93,8 @@ def achieved_within(picks: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def retain_newest(picks: DataFrame, n: int = 500) -> DataFrame:
     """The newest n achieved picks, and all others."""
-    by = Window.partitionBy("status").orderBy(F.desc("achieved_date"), F.desc("id"))
-    return picks.withColumn("_r", F.row_number().over(by)).where((F.col("status") != "achieved") | (F.col("_r") <= n)).drop("_r")
+    done = F.col("status").eqNullSafe("achieved")
+    return picks.where(~done).unionByName(picks.where(done).orderBy(F.desc("achieved_date"), F.desc("id")).limit(n))
 
 
 def fired_dates(dates: str, days: int) -> Column:

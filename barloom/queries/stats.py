@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -125,9 +124,7 @@ def e7(spark, d, every=10):
 , c AS (SELECT exit_date, return_pct, ticker, row_number() OVER (ORDER BY exit_date, ticker) - 1 AS seq, count(*) OVER () AS n, exp(sum(ln(1 + return_pct / 100)) OVER (ORDER BY exit_date, ticker ROWS UNBOUNDED PRECEDING)) AS equity FROM xt)
 SELECT seq, exit_date, {rnds(6, 'ln(equity) AS log_equity')} FROM c WHERE seq = n - 1 OR seq IN (SELECT floor(k * greatest(n / 200.0, 1) + 1e-9) FROM range(0, 200) r(k), (SELECT max(n) AS n FROM c))""")
 def g10(spark, d, every=10):
-    t = trades_of(spark, d, every)
-    w = Window.orderBy("exit_date", "ticker")
-    df = S.equity(t, [], ["exit_date", "ticker"]).withColumn("seq", F.row_number().over(w) - 1)
+    df = S.equity(trades_of(spark, d, every), [], ["exit_date", "ticker"])
     return S.equity_curve(df).select(F.col("seq").cast("long").alias("seq"), "exit_date", rnd(F.col("log_equity"), 6).alias("log_equity"))
 
 
