@@ -39,8 +39,6 @@ SUPPORT = 8
 WORD_PRIOR = 10.0
 #: Sites up to this many (about 60 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
-#: Bound of a site's effect on the log-odds.
-SITE_LIMIT = 1.5
 
 FEATURES = ("upper", "symbols", "digits", "distinct", "top_word", "repeats", "marks", "pipes", "word_len", "log_words", "lexicon")
 _WORD = re.compile(WORD)
@@ -186,7 +184,7 @@ def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text_c
     path_rate = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     site = F.log(path_rate / (1 - path_rate)) - float(np.log(mean / (1 - mean)))
-    logit = F.col("_evidence") + F.least(F.greatest(site, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
+    logit = F.col("_evidence") + site  # bounded by the site's own size: its rate is shrunk by the prior
     judged = F.struct(
         F.col("_evidence").alias("evidence"),
         F.col("_s_host_rate").alias("host_rate"),
