@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,18 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. A temporary
-    folder of this machine is taken only where that setting is missing.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where that is
+    missing, a temporary folder serves if driver and executors are one process;
+    on a cluster it is an error, as executors would not see the driver's folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of texts in a batch that goes to a Python worker, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_ROWS`` for this session, so that texts are not held by the ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -57,7 +72,7 @@ def text_or_empty(name: str) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words in UTF-8, remembered up to a number."""
 
-    KEEP = 500_000
+    KEEP = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.KEEP:

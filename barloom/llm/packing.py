@@ -14,11 +14,13 @@ task's end becomes windows of falling powers of two, so no window is padded.
 Windows of one tier are dealt to step groups of equal token counts.
 
 Edge cases: a null text is empty and yields the end id alone; repeated rows are
-packed each; an empty table yields no pieces.
+packed each (null ids too); an empty table yields no pieces; a very long text is
+many windows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import kept, small_batches
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of remainders that a task holds before it packs them.
-HOLD_TOKENS = 2_000_000
+HOLD_TOKENS = 1_000_000
 #: Tokens of a step group.
 STEP_TOKENS = 64 * 2048
 END_ID = 1
@@ -66,7 +68,7 @@ class _Numbers(dict):
             n = self[word] = self[low]
             return n
         letters = word.rstrip(self.MARKS)
-        parts = (self[letters], self[word[len(letters) :]]) if letters != word and letters.isalpha() else None
+        parts = (self[letters], self[word[len(letters) :]]) if letters != word and _all_letters(letters) else None
         n = self[word] = self.count
         self.count += 1
         if parts:
@@ -76,6 +78,11 @@ class _Numbers(dict):
         return n
 
 
+def _all_letters(word: str) -> bool:
+    """Whether the word is letters alone in the vocabulary's normal form too (some letters turn into one with a mark)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word.lower()).isalpha())
+
+
 class WordTokenizer:
     """Encodes word by word and remembers the words.
 
@@ -85,7 +92,7 @@ class WordTokenizer:
     """
 
     #: Words that are remembered before all are forgotten.
-    KEEP = 900_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -273,6 +280,7 @@ def pack_documents(
     step_tokens: int = STEP_TOKENS,
 ) -> DataFrame:
     """One row per piece. ``tokenizer`` is the path of the vocabulary file on the executors."""
+    small_batches(docs.sparkSession)
     dtype = docs.schema[id_col].dataType.simpleString()
     schema = PIECES.format(dtype)
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
@@ -303,7 +311,7 @@ def pack_documents(
     return slim.mapInPandas(pack, schema).withColumnRenamed("doc_id", id_col)
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of about so many characters."""
     lo = size = 0
     for i, t in enumerate(texts):

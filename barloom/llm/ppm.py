@@ -13,16 +13,18 @@ probability, from the shortest context up: one join and one window a level.
 A text starts behind ``ORDER`` bytes 0xFE and ends with the byte 0xFF, which
 UTF-8 never uses.
 
-Documents are dealt to blocks of a bounded number of bytes by a hash of the id.
-Each block asks for the distinct keys it holds (words, and grams) and its
-documents meet the answers in one task. A trie of up to ``BROADCAST_GRAMS``
-grams (16 bytes each) is broadcast instead; then only words are asked for.
+Documents are dealt to blocks of a bounded number of bytes by a hash of id and
+text. Each block asks for the distinct keys it holds (words and grams), a join
+answers them, and the block's documents meet the answers in one task. Nothing
+of the model goes through the driver, at any size.
 
 Beside the trie's score stands the base score, a unigram model over words. Words
 are told apart by 64-bit hashes.
 
 Edge cases: a null text is empty (one end token, one end byte); an empty
-training part leaves uniform probabilities; repeated rows are scored each.
+training part leaves uniform probabilities; repeated rows, repeated ids and null
+ids are scored each; a text longer than a block is scored in a block with
+others; an empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, kept, materialize, table
+from ._common import WordHashes, kept, materialize, small_batches, table
 
 ORDER = 5
-#: Bytes of text in a block, about; a longer text is a block of its own with others.
-BLOCK_BYTES = 24_000_000
-#: Bytes whose grams are counted at a time.
-BATCH_BYTES = 1_500_000
-#: A trie up to this many grams is broadcast.
-BROADCAST_GRAMS = 4_000_000
+#: Bytes of text in a block, about; a longer text is in a block with others.
+BLOCK_BYTES = 32_000_000
+#: Bytes whose grams are counted at a time, and scored at a time.
+BATCH_BYTES, SCORE_BYTES = 1_500_000, 500_000
 START, END = 0xFE, 0xFF
 #: The end token of the word model; no word holds a line feed.
 END_TOKEN = b"\n"
@@ -89,34 +91,40 @@ def _batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[list[int]]:
 class Tally:
     """Counts of keys, gathered over a task and flushed when large."""
 
-    LIMIT = 2_000_000
+    LIMIT = 1_500_000
 
     def __init__(self, order: int):
         self.order, self.hashes, self.parts, self.size = order, kept("words", "hashes", WordHashes), [], 0
 
-    def add(self, texts: list[str], trained: list[bool]) -> None:
+    def add(self, texts: list[str], trained: list[bool] | None = None) -> None:
+        """Counts of training texts; of the others only that their grams exist. Without ``trained``: that grams and words exist."""
         for train in (True, False):
-            own = [t for t, x in zip(texts, trained) if x == train]
+            own = [t for t, x in zip(texts, trained or [False] * len(texts)) if x == train]
             for at in _batches(own):
                 part = [own[i] for i in at]
                 codes, _ = grams(part, self.order)
                 self.keep(codes, train)
-                if train:
-                    self.keep(np.concatenate([word_keys(t, self.hashes) for t in part]), True)
+                if train or trained is None:
+                    self.keep(np.concatenate([word_keys(t, self.hashes) for t in part]), train)
 
     def keep(self, keys: np.ndarray, train: bool) -> None:
+        if not len(keys):
+            return
         found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found, n if train else np.zeros_like(n)))
+        self.parts.append((found, n.astype(np.int64) if train else np.zeros(len(n), np.int64)))
         self.size += len(found)
         if self.size > self.LIMIT:
             self.merge()
 
     def merge(self) -> None:
-        if self.parts:
+        if len(self.parts) > 1:
             key, n = (np.concatenate(x) for x in zip(*self.parts))
-            found, at = np.unique(key, return_inverse=True)
-            self.parts = [(found, np.bincount(at, n, len(found)).astype(np.int64))]
-            self.size = len(found)
+            self.parts = []
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            self.parts = [(key[first], np.add.reduceat(n, first))]
+            self.size = len(first)
 
     def flush(self) -> Iterator[pd.DataFrame]:
         self.merge()
@@ -173,7 +181,7 @@ class Table:
     FREE = np.iinfo(np.int64).max  # no gram and no word key
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(int(np.ceil(np.log2(max(len(keys), 1) * 2))), 4)
+        self.bits = max(int(np.ceil(np.log2(max(len(keys), 1) * 1.4))), 4)
         self.keys, self.values = np.full(1 << self.bits, self.FREE, np.int64), np.zeros(1 << self.bits)
         at, todo = self.slot(keys), np.arange(len(keys))
         while len(todo):
@@ -212,10 +220,9 @@ def ppm_scores(
     text_col: str = "text",
     order: int = ORDER,
     block_bytes: int = BLOCK_BYTES,
-    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """One row per document: n_tokens, n_known, train_tokens, base_score, score, n_bytes and ``trained``."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     dtype = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trained")
@@ -233,17 +240,11 @@ def ppm_scores(
     counts = materialize(counts, "counts")
     words = counts.where("key < 0")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    trie = materialize(_gram_scores(counts.where("key >= 0"), order), "trie")
-    held, values = None, words.select("key", F.col("n").cast("double").alias("value"))
-    if trie.count() <= broadcast_grams:
-        model = trie.toArrow()
-        held = spark.sparkContext.broadcast((model["key"].to_numpy(), model["value"].to_numpy()))
-    else:
-        values = values.unionByName(trie)
+    values = words.select("key", F.col("n").cast("double").alias("value")).unionByName(_gram_scores(counts.where("key >= 0"), order))
 
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(4 * blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(4 * blocks, "block")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Distinct keys of each block; a key that is flushed twice only gets its answer twice."""
@@ -251,59 +252,40 @@ def ppm_scores(
         for b in batches:
             for block, rows in b.groupby("block"):
                 tally = tallies.setdefault(int(block), Tally(order))
-                for at in _batches(rows["text"].tolist()):
-                    texts = rows["text"].iloc[at].tolist()
-                    tally.keep(np.concatenate([word_keys(t, tally.hashes) for t in texts]), False)
-                    if held is None:
-                        tally.keep(grams(texts, order)[0], False)
+                tally.add(rows["text"].tolist())
+                if tally.size > Tally.LIMIT:
+                    yield from (out[["key"]].assign(block=int(block)) for out in tally.flush())
         for block, tally in tallies.items():
-            for out in tally.flush():
-                yield pd.DataFrame({"block": block, "key": out["key"]})
+            yield from (out[["key"]].assign(block=block) for out in tally.flush())
 
-    asked = dealt.mapInPandas(ask, "block int, key long")
-    answers = asked.join(values, "key").select("block", "key", "value")
+    asked = dealt.mapInPandas(ask, "key long, block int")
+    # one row a key on the model's side, so its hashed partitions are even
+    answers = asked.join(values.hint("shuffle_hash"), "key").select("block", "key", "value")
 
-    def score(rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+    def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         hashes = kept("words", "hashes", WordHashes)
-        found = Table(answer["key"].to_numpy(np.int64), answer["value"].to_numpy(float))
-        trie = _trie(held) if held is not None else found
-        texts = rows["text"].tolist()
-        out = np.zeros((len(texts), 5))
+        found = Table(answer["key"].to_numpy(), answer["value"].to_numpy())
+        size = pc.binary_length(texts["text"]).to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(np.cumsum(size) // SCORE_BYTES)) + 1, len(size))
+        out = np.zeros((texts.num_rows, 5))
         base = n + ALPHA * (v + 1)
-        for at in _batches(texts):
-            part = [texts[i] for i in at]
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            part = texts["text"].slice(lo, hi - lo).to_pylist()
             keys = [word_keys(t, hashes) for t in part]
             size = np.array([len(k) for k in keys])
             c = found.get(np.concatenate(keys))
             first = np.cumsum(size) - size
-            out[at, 0], out[at, 1] = size, np.add.reduceat(c > 0, first, dtype=np.int64)
-            out[at, 2] = np.add.reduceat(np.log10((c + ALPHA) / base), first)
+            out[lo:hi, 0], out[lo:hi, 1] = size, np.add.reduceat(c > 0, first, dtype=np.int64)
+            out[lo:hi, 2] = np.add.reduceat(np.log10((c + ALPHA) / base), first)
             codes, starts = grams(part, order)
-            out[at, 3] = np.add.reduceat(trie.get(codes), starts)
-            out[at, 4] = np.diff(np.append(starts, len(codes)))
-        return pd.DataFrame(
-            {
-                "id": rows["id"],
-                "trained": rows["trained"],
-                "n_tokens": out[:, 0].astype(np.int64),
-                "n_known": out[:, 1].astype(np.int64),
-                "train_tokens": n,
-                "base_score": out[:, 2],
-                "score": out[:, 3],
-                "n_bytes": out[:, 4].astype(np.int64),
-            }
-        )
+            out[lo:hi, 3] = np.add.reduceat(found.get(codes), starts)
+            out[lo:hi, 4] = np.diff(np.append(starts, len(codes)))
+        columns = {"n_tokens": out[:, 0].astype(np.int64), "n_known": out[:, 1].astype(np.int64), "train_tokens": np.full(len(out), n, np.int64)}
+        columns |= {"base_score": out[:, 2], "score": out[:, 3], "n_bytes": out[:, 4].astype(np.int64)}
+        return pa.table({"id": texts["id"], "trained": texts["trained"]} | columns)
 
     schema = f"id {dtype}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema).withColumnRenamed("id", id_col)
-
-
-def _trie(held) -> Table:
-    """The broadcast trie as a table, built once in a Python worker."""
-    at = kept("words", "trie", dict)
-    if at.get("of") is not held.value:
-        at.update(of=held.value, table=Table(*held.value))
-    return at["table"]
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
 def op3_ppm_score(spark, sf_dir: str) -> DataFrame:

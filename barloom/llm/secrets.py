@@ -11,14 +11,17 @@ Two families of findings:
   out of a stretch; the rest of it stays a finding, however short.
 
 Edge cases: a null or empty text has no findings; repeated rows are scanned
-each on its own; offsets count code points, ends are exclusive. The scan is one
-pass without a shuffle, so a hot source or a very long text costs only its size.
+each on its own, null ids stay; an empty table gives no rows; only the id and
+the text are read, so other columns may have any name. Offsets count code
+points, ends are exclusive. The scan is one pass without a shuffle, so a hot
+source or a very long text costs only its size.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ._common import small_batches
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A
@@ -82,13 +87,26 @@ def unworded(s: str) -> list[tuple[int, str]]:
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same characters as disjoint spans, by start."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def uncovered(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of a stretch outside all base spans. ``base``: by start."""
-    out = []
-    for x, y in base:
-        if x < b and a < y:
+    """The parts of a stretch outside all base spans. ``base``: disjoint, by start; only those in reach are looked at."""
+    out, i = [], max(bisect_right(base, (a, a)) - 1, 0)
+    while i < len(base) and base[i][0] < b:
+        x, y = base[i]
+        if a < y:
             out.append((a, x))
-            a = max(a, y)
+            a = y
+        i += 1
     return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
@@ -129,7 +147,7 @@ def find(text: str) -> list[tuple[str, int, int, float | None]]:
         found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     # greedy runs: a run of 24 or more is one match of HEX as a whole
     found += [("hex", m.start(), m.end(), None) for m in _LONG_HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b, _ in found)
+    base = merged([(a, b) for _, a, b, _ in found])
     for m in CANDIDATE.finditer(text):
         for at, s in unworded(m[0]):
             if allowed(s):
@@ -159,6 +177,7 @@ def redact(text: str, found: list, mark: str = "[SECRET]") -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``findings``."""
+    small_batches(docs.sparkSession)
     dtype = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
