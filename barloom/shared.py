@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder if all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
     return f"{base.rstrip('/')}/barloom-{label}-{uuid.uuid4().hex}"
