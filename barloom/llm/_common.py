@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by ``BATCH_ROWS`` for this session, so that texts are not held by the ten thousand."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound Arrow batches by ``rows`` for this session, so that texts are not held by the ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -7,17 +7,20 @@ makes the formatted text readable again by plain splitting.
 Every assistant turn becomes an example of its own: all preceding turns are its
 context and only the reply lies under the loss mask. Examples are kept as end
 and loss offsets into the conversation's formatted text (which is stored once),
-so a conversation of n turns costs n, not n squared; ``materialize_examples``
-writes the texts out where a trainer wants them.
+so a conversation of n turns costs n, not n squared. ``expand_examples`` makes
+them rows; ``materialize_examples`` writes the texts out where a trainer wants
+them.
 
 Edge cases: null texts and roles count as empty; turns with equal numbers are
 ordered by role, then text; repeated rows stay; a conversation without an
-assistant turn has no examples. Offsets count code points.
+assistant turn has no examples; a null conversation id is a conversation of its
+own; an empty table gives no rows; other columns may have any name. Offsets
+count code points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, COLON, END = "### ", ": ", "</turn>\n"
@@ -48,56 +51,52 @@ def format_conversations(
 
     ``examples`` holds, per assistant turn in order, the turn's position, the
     length of the prefix that is the example, and the loss span within it.
+    Offsets are running sums over a conversation's rows, so that its length may
+    be any; window and grouping share one shuffle.
     """
     slim = turns.select(
         F.col(conv).alias("conv"),
-        F.struct(
-            F.col(turn).alias("n"),
-            F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-        ).alias("t"),
+        F.col(turn).alias("n"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    grouped = slim.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    pieces = grouped.select(
+    by = Window.partitionBy("conv").orderBy("n", "role", "text")
+    rows = slim.select(
         "conv",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                (t["role"] == trained).alias("trained"),
-                F.concat(F.lit(HEAD), escape_role(t["role"]), F.lit(COLON)).alias("head"),
-                escape(t["text"]).alias("body"),
-            ),
-        ).alias("pieces"),
+        (F.row_number().over(by) - 1).alias("turn"),
+        (F.col("role") == trained).alias("trained"),
+        F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(COLON)).alias("head"),
+        escape(F.col("text")).alias("body"),
     )
-    # a fold over the turns carries the offset; each step appends one struct
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("i"),
-        F.expr("cast(array() as array<struct<turn:int,end:int,loss_start:int,loss_end:int>>)").alias("out"),
+    rows = rows.withColumn("size", F.length("head") + F.length("body") + len(END))
+    end = F.sum("size").over(Window.partitionBy("conv").orderBy("turn")).cast("int")
+    rows = rows.select("conv", "turn", "trained", end.alias("end"), (end - F.length("body") - len(END)).alias("loss_start"), F.concat("head", "body", F.lit(END)).alias("piece"))
+    grouped = rows.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "trained", "end", "loss_start", "piece"))).alias("rows"))
+    spans = F.transform(
+        F.filter("rows", lambda r: r["trained"]),
+        lambda r: F.struct(r["turn"].alias("turn"), r["end"].alias("end"), r["loss_start"].alias("loss_start"), (r["end"] - len(END)).alias("loss_end")),
     )
+    return grouped.select(F.col("conv").alias(conv), F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"), spans.alias("examples"))
 
-    def step(acc, p):
-        loss = acc["at"] + F.length(p["head"])
-        stop = loss + F.length(p["body"])
-        end = stop + F.lit(len(END))
-        row = F.struct(acc["i"].alias("turn"), end.alias("end"), loss.alias("loss_start"), stop.alias("loss_end"))
-        return F.struct(
-            end.alias("at"),
-            (acc["i"] + 1).alias("i"),
-            F.when(p["trained"], F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return pieces.select(
-        F.col("conv").alias(conv),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("pieces", start, step, lambda acc: acc["out"]).alias("examples"),
-    )
+
+def expand_examples(formatted: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
+    """One row per example: ``keep``, ``formatted`` and the example ``e`` (turn, end, loss span).
+
+    The example's text is the first ``e.end`` characters of ``formatted``. With
+    ``outer`` a conversation without an example keeps one row with a null ``e``.
+    """
+    explode = F.explode_outer if outer else F.explode
+    return formatted.select(*keep, "formatted", explode("examples").alias("e"))
+
+
+def target(example: Column, e: Column) -> Column:
+    """The reply that an example is trained on: its text under the loss mask, unescaped."""
+    return unescape(F.substring(example, e["loss_start"] + 1, e["loss_end"] - e["loss_start"]))
 
 
 def materialize_examples(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     """One row per example: its text, and the loss span within it."""
-    e = formatted.select(conv, "formatted", F.explode("examples").alias("e"))
-    return e.select(
+    return expand_examples(formatted, [conv]).select(
         conv,
         F.col("e.turn").alias("target_turn"),
         F.substring("formatted", F.lit(1), F.col("e.end")).alias("example"),
@@ -129,18 +128,26 @@ def op7_chat_prefix(spark, sf_dir: str) -> DataFrame:
         f"SELECT cast(-7 AS bigint) conv_id, cast(turn AS bigint) turn, role, text FROM VALUES (0, 'user', {hard}), (1, 'assistant', {hard}) t(turn, role, text)"
     )
     out = format_conversations(turns.unionByName(extra))
-    losses = F.transform(
-        "examples",
-        lambda e: unescape(F.substring(F.col("formatted"), e["loss_start"] + 1, e["loss_end"] - e["loss_start"])),
-    )
-    parsed = out.select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"), F.array_join(losses, "").alias("loss"))
-    return parsed.select(
+    parsed = out.select("conv_id", "formatted", "examples", parse_turns(F.col("formatted")).alias("turns")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted",
+        "examples",
+    )
+    whole = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    # each reply is read through its own example; the rows of a conversation stay in one partition
+    replies = expand_examples(parsed, whole, outer=True).select(*whole, F.col("e.turn").alias("turn"), target(F.col("formatted"), F.col("e")).alias("reply"))
+    gathered = replies.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("turn", "reply"))).alias("replies"))
+    loss = F.array_join(F.transform("replies", lambda r: r["reply"]), "")
+    return gathered.withColumn("loss", loss).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
 
 

@@ -11,9 +11,12 @@ log-odds of its path (without its own vote) to its evidence.
 Model and lexicon are fitted on at most ``SAMPLE`` labelled rows, chosen by a
 hash of the id; everything else covers all rows.
 
-Edge cases: null and empty texts are rejected; a null host or path is a site of
-its own; unlabelled tables, or labels of one class only, keep every document
-that is not empty; documents without a label are judged like all others.
+Edge cases: null texts, empty ones and those of white space alone are rejected;
+a null host or path is a site of its own; unlabelled tables, or labels of one
+class only, keep every document that has a word; documents without a label are
+judged like all others. Repeated rows vote and are judged each; a very long text
+is measured whole; an empty table gives no rows; log-odds of 0 reject; columns
+of any name are carried, ``_judged`` and ``_measures`` apart.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, table
+from ._common import WORD, materialize, small_batches, table
 
 #: Labelled rows that are used for fitting, at most.
 SAMPLE = 20_000
@@ -92,7 +95,7 @@ class Classifier:
         logit = F.lit(float(self.intercept))
         for i, w in enumerate(self.weights):
             logit = logit + measured[i] * F.lit(float(w))
-        empty = F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0
+        empty = ~F.coalesce(text, F.lit("")).rlike(WORD)
         return F.when(empty, F.lit(-20.0)).otherwise(F.greatest(F.least(logit, F.lit(20.0)), F.lit(-20.0)))
 
 
@@ -117,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     from pyspark.ml.functions import array_to_vector
 
     spark = docs.sparkSession
+    small_batches(spark)
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
     marked = labels.where("quality is not null").select(F.col(id_col).alias("id"), good.alias("good"))
     n, of = marked.agg(F.count("*"), F.sum("good")).head()
@@ -168,35 +172,40 @@ def site_rates(votes: DataFrame) -> tuple[DataFrame, float, float]:
     return materialize(sites, "rates"), mean, path_prior
 
 
-def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_judged``: evidence, host_rate, path_rate, p_good, keep."""
-    measured = docs.withColumns(
-        {"_measures": _measured(F.col(text_col).cast("string"), model.lexicon), "_host": host.cast("string"), "_path": path.cast("string")}
-    )
-    voted = measured.withColumn("_evidence", model.evidence(F.col("_measures"), F.col(text_col).cast("string")))
-    vote = 1 / (1 + F.exp(-F.col("_evidence")))
-    sites, mean, prior = site_rates(voted.select(F.col("_host").alias("host"), F.col("_path").alias("path"), vote.alias("vote")))
-    sites = sites.select(*[F.col(c).alias(f"_s_{c}") for c in sites.columns])
+def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all if None) with a struct ``_judged``: evidence, host_rate, path_rate, p_good, keep.
+
+    The evidence is computed in one pass over the texts and written beside the
+    carried columns; sites are summed from what is written and joined to it.
+    """
+    small_batches(docs.sparkSession)
+    carry = docs.columns if carry is None else carry
+    text = F.col(text_col).cast("string")
+    own = [docs[c] for c in carry]
+    mine = F.struct(model.evidence(F.col("_measures"), text).alias("evidence"), host.cast("string").alias("host"), path.cast("string").alias("path"))
+    voted = materialize(docs.withColumn("_measures", _measured(text, model.lexicon)).select(*[c.alias(f"c{i}") for i, c in enumerate(own)], mine.alias("m")), "evidence")
+    vote = 1 / (1 + F.exp(-F.col("m.evidence")))
+    sites, mean, prior = site_rates(voted.select("m.host", "m.path", vote.alias("vote")))
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    both = voted.join(sites, F.col("_host").eqNullSafe(F.col("_s_host")) & F.col("_path").eqNullSafe(F.col("_s_path")), "left")
-    path_rate = (F.col("_s_votes") - vote + prior * F.col("_s_host_rate")) / (F.col("_s_n") - 1 + prior)
+    both = voted.join(sites, F.col("m.host").eqNullSafe(F.col("host")) & F.col("m.path").eqNullSafe(F.col("path")), "left")
+    path_rate = (F.col("votes") - vote + prior * F.col("host_rate")) / (F.col("n") - 1 + prior)
     path_rate = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     site = F.log(path_rate / (1 - path_rate)) - float(np.log(mean / (1 - mean)))
-    logit = F.col("_evidence") + site  # bounded by the site's own size: its rate is shrunk by the prior
+    logit = F.col("m.evidence") + site  # bounded by the site's own size: its rate is shrunk by the prior
     judged = F.struct(
-        F.col("_evidence").alias("evidence"),
-        F.col("_s_host_rate").alias("host_rate"),
+        F.col("m.evidence").alias("evidence"),
+        F.col("host_rate").alias("host_rate"),
         path_rate.alias("path_rate"),
         (1 / (1 + F.exp(-logit))).alias("p_good"),
         (logit > 0).alias("keep"),
     )
-    return both.select(*docs.columns, judged.alias("_judged"))
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], judged.alias("_judged"))
 
 
 def op6_site_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    out = judge(docs, model, F.col("source"), F.col("lang"))
+    out = judge(docs, model, F.col("source"), F.col("lang"), carry=["doc_id", "source", "lang"])
     return out.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "_judged.*")

@@ -18,7 +18,11 @@ attempt, and only files that the finished job's manifest names are read, so
 lost executors and retried tasks leave no trace in the result.
 
 Edge cases: a null payload is empty; a null URL is written as an empty header;
-keys must be unique and not null.
+repeated rows are a record each, of one kind (all responses if theirs is the
+largest key, else all revisits); a row without a key is a response without a
+record number and comes back without one; an empty table makes an empty
+manifest; other columns may have any name. Keys travel as text, so every 64-bit
+number comes back as it was.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, shared_dir
+from ._common import materialize, shared_dir, small_batches
 
 #: Bytes of payload in a row of the chunk table.
 CHUNK_BYTES = 64 * 1024
+#: Chunks that go to a Python worker at a time, so that it holds 16 MB of them.
+BATCH_CHUNKS = 256
 #: A new archive file is begun beyond this many compressed bytes.
 ARCHIVE_BYTES = 512 * 1024 * 1024
 DATE = "2025-01-01T00:00:00Z"
@@ -59,17 +65,15 @@ def chunk_table(pages: DataFrame, key: str, url: str, payload: str, chunk_bytes:
     digests = full.select("key", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     newest = digests.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha1", "bytes").agg(F.max("key").alias("keep"), F.count("*").alias("n"))
     repeats = newest.where("n > 1").select("sha1", "bytes", "keep")
-    # only revisits join the payloads, and by key, which is spread evenly
-    revisits = digests.join(repeats, ["sha1", "bytes"]).where("key <> keep").select("key", F.col("keep").alias("refers_to"))
-    rows = full.join(revisits, "key", "left").select(
-        "key", "uri", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), "payload"
-    )
+    # only revisits join the payloads, and by key and digest, which are spread evenly
+    revisits = digests.join(repeats, ["sha1", "bytes"]).where("key <> keep").select("key", "sha1", F.col("keep").cast("string").alias("refers_to")).distinct()
+    known = full.select("key", "uri", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    rows = known.join(revisits, ["key", "sha1"], "left")
     n = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(F.greatest(F.ceil(F.col("bytes") / chunk_bytes), F.lit(1))).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b"")),
-    )
-    return rows.select("key", "uri", "refers_to", "bytes", "sha1", n.alias("chunks"), F.posexplode(cut).alias("chunk_no", "chunk"))
+    # the numbers are exploded and each row cuts its own chunk, so no second payload is built
+    each = rows.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunk = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return each.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "uri", "refers_to", "bytes", "sha1", "chunks", "chunk_no", chunk.alias("chunk"))
 
 
 def _open(path: str, write: bool):
@@ -85,7 +89,7 @@ def _open(path: str, write: bool):
 def _header(r) -> bytes:
     digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
     uri = "".join(c for c in r.uri if c >= " " and c != "\x7f")
-    revisit = r.refers_to is not None and r.refers_to == r.refers_to
+    revisit = isinstance(r.refers_to, str)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % r.bytes
     lines = [
         "WARC/1.1",
@@ -95,7 +99,7 @@ def _header(r) -> bytes:
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {r.bytes}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD}{int(r.refers_to)}>"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD}{r.refers_to}>"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (0 if revisit else r.bytes)}",
     ]
@@ -121,7 +125,7 @@ def _writer(folder: str, archive_bytes: int):
                 out.write(z)
                 size += len(z)
                 if r.chunk_no == r.chunks - 1:
-                    if pd.isna(r.refers_to) and (sent != r.bytes or sha.hexdigest() != r.sha1):
+                    if not isinstance(r.refers_to, str) and (sent != r.bytes or sha.hexdigest() != r.sha1):
                         raise ValueError(f"record {r.key}: the chunks do not add up to the payload")
                     z = gz.compress(b"\r\n\r\n") + gz.flush()
                     out.write(z)
@@ -139,6 +143,7 @@ def _writer(folder: str, archive_bytes: int):
 
 def write_warc(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the chunk table as archives; the manifest (path, records, bytes), as it stands in the folder."""
+    small_batches(chunks.sparkSession, BATCH_CHUNKS)
     return materialize(chunks.mapInPandas(_writer(folder, archive_bytes), "path string, records long, bytes long"), "manifest")
 
 
@@ -186,23 +191,26 @@ def records_of(source, chunk_bytes: int) -> Iterator[tuple]:
         if h["Content-Type"].startswith("application/http"):
             left -= len(s.until(b"\r\n\r\n")) + 4
         kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
-        fixed = (int(h["WARC-Payload-Length"]), digest, kind, h.get("WARC-Refers-To", "").strip("<>") or None, h.get("WARC-Target-URI"))
-        sha, n = hashlib.sha1(), 0
+        stated = int(h["WARC-Payload-Length"])
+        fixed = (digest, kind, h.get("WARC-Refers-To", "").strip("<>") or None, h.get("WARC-Target-URI"))
+        sha, n, size = hashlib.sha1(), 0, 0
         while True:
             data = s.take(min(left, chunk_bytes))
             left -= len(data)
             sha.update(data)
+            size += len(data)
             so_far = base64.b32encode(sha.copy().digest()).decode()
-            if not left and kind == "response" and so_far != digest:
-                raise ValueError(f"{h['WARC-Record-ID']}: the payload does not have the digest that its header states")
-            yield (h["WARC-Record-ID"].strip("<>"), n, data, so_far, not left, *fixed)
+            if not left and kind == "response" and (so_far != digest or size != stated):
+                raise ValueError(f"{h['WARC-Record-ID']}: the payload does not have the digest or length that its header states")
+            # of a response the bytes read so far; a revisit has no payload, only its header's length
+            yield (h["WARC-Record-ID"].strip("<>"), n, data, so_far, not left, size if kind == "response" else stated, *fixed)
             n += 1
             if not left:
                 break
         s.take(4)
 
 
-def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, rows: int = 256) -> DataFrame:
+def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, rows: int = BATCH_CHUNKS) -> DataFrame:
     """The chunk rows of the manifest's archives; ``digest`` is that of the payload so far."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
@@ -231,7 +239,7 @@ def op4_warc_chunks(spark, sf_dir: str) -> DataFrame:
     back = read_warc(write_warc(chunks, shared_dir(spark, "warc")))
 
     def page(c):
-        return F.substring(c, len(RECORD) + 1, 20).cast("long")
+        return F.substring(c, len(RECORD) + 1, 20).try_cast("long")
 
     # a record's last chunk row knows the whole payload; no shuffle is needed
     return back.where("last").select(

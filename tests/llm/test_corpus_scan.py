@@ -25,6 +25,27 @@ def test_entropy_equals_recount():
     assert inside == {x for a, b, _ in secrets.entropy_spans(s) for x in range(a, b)}
 
 
+def test_secrets_in_long_and_repeated_texts(spark):
+    key = "Zx9Qw3Rt7Yp1Lk5Jh8Gf2Ds6"
+    long = f"password=hunter{{}} {key} x " * 4000
+    long = long.format(*range(4000))
+    rows = [(1, long), (1, long), (None, key)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["findings"]) for r in secrets.scan_secrets(df).collect()]
+    assert sorted((i or 0, len(f)) for i, f in got) == [(0, 1), (1, 8000), (1, 8000)]
+    assert "hunter" not in secrets.redact(long, secrets.find(long))
+
+
+def test_uncovered_equals_a_count_of_characters():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + r.randint(1, 12)) for a in (r.randrange(60) for _ in range(r.randint(0, 8)))]
+        a, b = sorted((r.randrange(70), r.randrange(70)))
+        inside = {x for p, q in spans for x in range(p, q)}
+        rest = secrets.uncovered(a, b, secrets.merged(spans))
+        assert sorted(x for p, q in rest for x in range(p, q)) == [x for x in range(a, b) if x not in inside]
+
+
 def test_secret_kinds_and_suppression(spark):
     key = "Zx9Qw3Rt7Yp1Lk5Jh8Gf2Ds6"
     rows = [
@@ -96,6 +117,19 @@ def test_decontamination_edge_cases(spark):
     assert decontaminate.find_contamination(docs, items.limit(0)).count() == 0
 
 
+def test_ids_of_all_letters():
+    """Every letter of Unicode, with marks behind it and between others, gets the ids that the tokenizer gives the text."""
+    import sys
+
+    path = packing.vocabulary()
+    words = packing.WordTokenizer(path)
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    texts = [" ".join(f"{c}. a{c}?! {c}{c.upper()}x-" for c in letters[i : i + 2000]) for i in range(0, len(letters), 2000)]
+    for t in texts:
+        want = words.t.encode(t, add_special_tokens=False).ids
+        assert words.encode_all([t])[0].tolist() == [*want, packing.END_ID]
+
+
 def test_packing_covers_every_token(spark):
     from tokenizers import Tokenizer
 
@@ -126,7 +160,7 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a\r\nb", "same"), (2, None, "same"), (3, "u", ""), (4, "v", None), (5, "w", big), (6, "x", "WARC/1.1\r\n\r\n"), (7, "y", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' as key")
     chunks = warc.chunk_table(pages, "page_id", "url", "html", chunk_bytes=1000)
-    assert chunks.where("key = 5").count() == -(-len(big.encode()) // 1000)
+    assert chunks.where("key = '5'").count() == -(-len(big.encode()) // 1000)
     manifest = warc.write_warc(chunks.repartition(2, "key").sortWithinPartitions("key", "chunk_no"), f"file://{tmp_path}/w", archive_bytes=500)
     back = warc.read_warc(manifest, chunk_bytes=700).toPandas()
     newest = {"same": 7, "": 4}
@@ -147,6 +181,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(chunks.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_keys_and_repeated_rows(spark, tmp_path):
+    big = 2**53 + 3
+    rows = [(big, "a", "same"), (5, "b", "same"), (5, "b", "same"), (None, "c", "same"), (big, "a", "same"), (5, "b", "else"), (None, None, None), (-7, "d", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as chunk_no", "'x' as sha1")
+    for i, df in enumerate((pages.coalesce(1), pages.repartition(4))):
+        back = warc.read_warc(warc.write_warc(warc.chunk_table(df, "page_id", "url", "html"), f"file://{tmp_path}/{i}")).where("last")
+        got = sorted((r["record"], r["record_type"], r["refers_to"] or "", r["payload_bytes"]) for r in back.collect())
+        u = warc.RECORD
+        assert got == sorted(
+            [(f"{u}{big}", "response", "", 4)] * 2 + [(f"{u}5", "revisit", f"{u}{big}", 4)] * 2 + [(u, "response", "", 4), (f"{u}5", "response", "", 4)]
+            + [(u, "response", "", 0), (f"{u}-7", "response", "", 0)]
+        )
+
+
+def test_warc_reader_counts_what_it_reads():
+    import io
+
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nWARC-Payload-Digest: sha1:{}\r\nWARC-Payload-Length: {}\r\nContent-Type: text/plain\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    digest = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+    def archive(*at):
+        z = zlib.compressobj(3, zlib.DEFLATED, 31)
+        return io.BytesIO(z.compress(head.format(*at).encode()) + z.flush())
+
+    assert [r[5] for r in warc.records_of(archive(digest, 3), 2)] == [2, 3]
+    for wrong in ((digest, 4), ("A" * 32, 3)):
+        with pytest.raises(ValueError):
+            list(warc.records_of(archive(*wrong), 2))
+
+
 def test_warc_small_payloads_are_not_revisited(spark):
     pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx")], "page_id long, url string, html string")
     assert warc.chunk_table(pages, "page_id", "url", "html", min_revisit_bytes=3).where("refers_to is not null").count() == 0
