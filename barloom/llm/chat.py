@@ -61,9 +61,9 @@ def format_conversations(
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     by = Window.partitionBy("conv").orderBy("n", "role", "text")
-    rows = slim.select(
+    rows = slim.withColumn("turn", F.row_number().over(by) - 1).select(
         "conv",
-        (F.row_number().over(by) - 1).alias("turn"),
+        "turn",
         (F.col("role") == trained).alias("trained"),
         F.concat(F.lit(HEAD), escape_role(F.col("role")), F.lit(COLON)).alias("head"),
         escape(F.col("text")).alias("body"),

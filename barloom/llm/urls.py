@@ -2,20 +2,28 @@
 
 Host and path rules are prefix rules on the parsed URL; the longest rule that
 fits decides. URLs without such a rule go to pattern rules. A pattern rule names
-literal tokens that each URL it matches must contain; it is indexed by the one
-that is rarest in the URLs at hand, a URL's tokens fetch the candidate rules,
-and only those run their regular expression.
+literal tokens that each URL it matches must contain, as groups of alternatives:
+of each group the URL holds at least one. It is indexed by the group that is
+rarest in the URLs at hand. The index is a hash table of tokens in one constant
+of the plan: a URL's tokens fetch the numbers of the candidate rules from it,
+and only those run their regular expression. Without a token there is no
+candidate, so a rule without tokens is an error.
 
-DataFrame functions only. Rule sets up to ``MAX_INLINE`` become one expression
-without a join or shuffle; larger ones are joined on the token, and the rule
-table is broadcast only where its checked size allows it.
+DataFrame functions only, one path for any number of rules, no join and no
+shuffle of URLs. The rules are an argument, held by the driver; above
+``MAX_RULE_BYTES`` of text they are refused, as they travel with the plan.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits
-no host rule and is allowed unless a pattern rule matches its text.
+no host rule and is allowed unless a pattern rule matches its text. Repeated
+rows, and rows with equal or null keys, are judged each; an empty table gives no
+rows; of several matching pattern rules the first in the list decides; a very
+long URL is read whole; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +31,8 @@ from pyspark.sql import functions as F
 
 from ._common import ascii_lower
 
-#: Pattern rules up to this many are compiled into one expression.
-MAX_INLINE = 200
-#: Rule tables up to this many bytes of pattern text are broadcast.
-MAX_BROADCAST = 8_000_000
+#: Patterns and tokens of a rule set, in bytes, at most.
+MAX_RULE_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -42,11 +48,15 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: lower-case alphanumeric tokens that every matching URL holds."""
+    """``tokens``: groups of lower-case alphanumeric tokens; a matching URL holds one of each group (a string is a group of one)."""
 
     action: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str | tuple[str, ...], ...]
+
+    @property
+    def groups(self) -> list[tuple[str, ...]]:
+        return [(t,) if isinstance(t, str) else tuple(t) for t in self.tokens]
 
 
 HOST_RULES = (
@@ -56,11 +66,11 @@ HOST_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 PATTERN_RULES = (
-    PatternRule("block", r"[?&]utm_(source|medium|campaign)=", ("utm",)),
-    PatternRule("block", r"/ads?/(banner|click)[/.]", ()),
+    PatternRule("block", r"[?&]utm_(source|medium|campaign)=", ("utm", ("source", "medium", "campaign"))),
+    PatternRule("block", r"/ads?/(banner|click)[/.]", (("ad", "ads"), ("banner", "click"))),
     PatternRule("block", r"[?&]sessionid=[0-9a-f]+", ("sessionid",)),
     PatternRule("block", r"^https?://([^/]*\.)?doubleclick\.net/", ("doubleclick", "net")),
-    PatternRule("block", r"\.(exe|zip|iso)([?#]|$)", ()),
+    PatternRule("block", r"\.(exe|zip|iso)([?#]|$)", (("exe", "zip", "iso"),)),
     PatternRule("block", r"/wp-login\.php", ("wp", "login", "php")),
 )
 
@@ -88,64 +98,62 @@ def url_tokens(url: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(ascii_lower(F.coalesce(url, F.lit(""))), "[^a-z0-9]+")), "")
 
 
-def rarest_token_index(urls: DataFrame, url_col: str, rules) -> list[tuple[str | None, PatternRule]]:
-    """Each rule with its rarest token; None for a rule without a literal token.
+def rarest_token_index(urls: DataFrame, url_col: str, rules) -> list[tuple[str, ...]]:
+    """Each rule's rarest group of tokens.
 
     The counts cover all URLs; only the rules' own tokens are counted, so the
     result that reaches the driver has at most one row per rule token.
     """
-    wanted = sorted({t for r in rules for t in r.tokens})
+    if any(not r.groups or not all(r.groups) for r in rules):
+        raise ValueError("a pattern rule needs a token that its URLs hold")
+    wanted = sorted({t for r in rules for g in r.groups for t in g})
     counts: dict[str, int] = {}
-    if wanted and any(len(r.tokens) > 1 for r in rules):
-        tokens = urls.select(F.explode(url_tokens(F.col(url_col))).alias("token")).where(F.col("token").isin(wanted))
-        counts = {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
-    return [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else None, r) for r in rules]
-
-
-def _inline(url: Column, tokens: Column, index) -> Column:
-    """The action of the first rule, in list order, that matches; null if none."""
-    action = F.lit(None).cast("string")
-    for token, r in reversed(index):
-        hit = url.rlike(r.pattern)
-        if token is not None:
-            hit = F.array_contains(tokens, token) & hit
-        action = F.when(hit, F.lit(r.action)).otherwise(action)
-    return action
-
-
-def _joined(df: DataFrame, key: str, url_col: str, index) -> DataFrame:
-    """(key, action) of the first matching rule, for rule sets too large to inline."""
-    spark = df.sparkSession
-    rows = [(i, t or "", r.pattern, r.action) for i, (t, r) in enumerate(index)]
-    rules = spark.createDataFrame(rows, "n int, token string, pattern string, act string")
-    if sum(len(p) for _, _, p, _ in rows) <= MAX_BROADCAST:
-        rules = F.broadcast(rules)
-    tokens = df.select(key, url_col, F.explode(F.concat(url_tokens(F.col(url_col)), F.array(F.lit("")))).alias("token"))
-    hits = tokens.join(rules, "token").where(F.expr(f"{url_col} rlike pattern"))
-    return hits.groupBy(key).agg(F.min(F.struct("n", "act")).alias("hit")).select(key, F.col("hit.act").alias("pattern_action"))
-
-
-def judge_urls(
-    df: DataFrame, key: str = "page_id", url_col: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, max_inline: int = MAX_INLINE
-) -> DataFrame:
-    """Key, host, path, rule and verdict of every row; ``key`` must be unique for more than ``max_inline`` patterns."""
+    if any(len(r.groups) > 1 for r in rules):
+        held = F.array_intersect(url_tokens(F.col(url_col)), F.lit(wanted))
+        counts = {r["token"]: r["count"] for r in urls.select(F.explode(held).alias("token")).groupBy("token").count().collect()}
+    return [min(r.groups, key=lambda g: (sum(counts.get(t, 0) for t in g), g)) for r in rules]
+
+
+def _constant(value, ddl: str) -> Column:
+    """A nested constant; the optimizer folds it once."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def pattern_action(url: Column, rules, index: list[tuple[str, ...]]) -> Column:
+    """The action of the first rule, in list order, that matches; null if none. Only rules that the URL's tokens fetch are run."""
+    if not rules:
+        return F.lit(None).cast("string")
+    entries: dict[str, list[int]] = {}
+    for i, tokens in enumerate(index):
+        for t in tokens:
+            entries.setdefault(t, []).append(i)
+    slots = 1 << max(2 * len(entries), 1).bit_length()
+    places: list[list] = [[] for _ in range(slots)]
+    for t, own in entries.items():
+        places[zlib.crc32(t.encode()) % slots].append({"t": t, "r": own})
+    if sum(len(r.pattern) for r in rules) + sum(map(len, entries)) > MAX_RULE_BYTES:
+        raise ValueError(f"rules over {MAX_RULE_BYTES} bytes: pass them in parts")
+    held = _constant(places, "array<array<struct<t:string,r:array<int>>>>")
+    texts = _constant([{"p": r.pattern, "a": r.action} for r in rules], "array<struct<p:string,a:string>>")
+
+    def fetched(token: Column) -> Column:
+        place = F.get(held, F.crc32(token.cast("binary")) % slots)
+        return F.flatten(F.transform(F.filter(place, lambda e: e["t"] == token), lambda e: e["r"]))
+
+    candidates = F.array_sort(F.array_distinct(F.flatten(F.transform(url_tokens(url), fetched))))
+    hits = F.filter(candidates, lambda i: F.rlike(url, F.get(texts, i)["p"]))
+    return F.get(texts, F.get(hits, F.lit(0)))["a"]
+
+
+def judge_urls(df: DataFrame, key: str = "page_id", url_col: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
+    """Key, host, path, rule and verdict of every row."""
     slim = df.select(F.col(key).alias("_k"), F.col(url_col).cast("string").alias("_u"))
     index = rarest_token_index(slim, "_u", pattern_rules)
     host, path = parse_url(F.col("_u"))
     parsed = slim.select("_k", "_u", host.alias("host"), path.alias("path"))
     rule, action = host_rule(F.col("host"), F.col("path"), host_rules)
-    parsed = parsed.select("_k", "_u", "host", "path", rule.alias("rule"), action.alias("_a"))
-    if len(pattern_rules) <= max_inline:
-        judged = parsed.withColumn("pattern_action", _inline(F.col("_u"), url_tokens(F.col("_u")), index))
-    else:
-        judged = parsed.join(_joined(slim, "_k", "_u", index), "_k", "left")
-    return judged.select(
-        F.col("_k").alias(key),
-        "host",
-        "path",
-        "rule",
-        F.coalesce("_a", "pattern_action", F.lit("allow")).alias("verdict"),
-    )
+    verdict = F.coalesce(action, pattern_action(F.col("_u"), pattern_rules, index), F.lit("allow"))
+    return parsed.select(F.col("_k").alias(key), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 def op8_url_rules(spark, sf_dir: str) -> DataFrame:

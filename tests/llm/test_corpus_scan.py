@@ -231,16 +231,33 @@ def test_url_rules(spark):
     }
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id int, url string").selectExpr("*", "'z' as host", "1 as rule")
     want = {i: v for i, v in enumerate(cases.values())}
-    for inline in (200, 0):  # one expression, and the join
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, max_inline=inline).collect()}
-        assert got == want
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(df).collect()}
+    assert got == want
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_many_pattern_rules_and_repeated_keys(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rules = [urls.PatternRule(f"a{i}", f"/{a}/(.*/)?({b}|none)(/|$)", (a, (b, "none"))) for i, (a, b) in enumerate((r.choice(words), r.choice(words)) for _ in range(3000))]
+    rows = [(i % 5 or None, "http://h/" + "/".join(r.choice(words) for _ in range(r.randint(1, 12)))) for i in range(400)] + [(1, "x" * 100_000 + "/w1/w2")]
+    rows += rows[:7]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string"), pattern_rules=rules).collect()
+
+    def first(u):
+        return next((x.action for x in rules if re.search(x.pattern, u)), "allow")
+
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in got) == sorted((k or 0, first(u)) for k, u in rows)
+    with pytest.raises(ValueError):
+        urls.judge_urls(spark.createDataFrame(rows, "page_id int, url string"), pattern_rules=[urls.PatternRule("block", "x", ())])
+
+
 def test_rarest_token_is_the_index(spark):
     df = spark.createDataFrame([("http://a/wp/login",), ("http://a/wp/php",), ("http://a/wp",)], "u string")
     rule = urls.PatternRule("block", "wp", ("wp", "login"))
-    assert urls.rarest_token_index(df, "u", [rule]) == [("login", rule)]
+    assert urls.rarest_token_index(df, "u", [rule]) == [("login",)]
+    rule = urls.PatternRule("block", "wp", (("login", "php"), "wp", ("a", "none")))
+    assert urls.rarest_token_index(df, "u", [rule]) == [("login", "php")]
 
 
 def test_chat_round_trip_and_masks(spark):
@@ -262,6 +279,15 @@ def test_chat_round_trip_and_masks(spark):
         assert e["example"].endswith("</turn>\n")
     assert by == {1: [hard, ""], 3: ["a", "a", "b"]}
     assert chat.format_conversations(df.limit(0)).count() == 0
+    kept = chat.expand_examples(out, ["conv_id"], outer=True).groupBy("conv_id").count().collect()
+    assert sorted((r["conv_id"], r["count"]) for r in kept) == [(1, 2), (2, 1), (3, 3), (4, 1)]
+
+
+def test_a_very_long_conversation(spark):
+    turns = spark.range(20_000).selectExpr("cast(null as long) as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    out = chat.expand_examples(chat.format_conversations(turns), [])
+    got = out.select(chat.target(out["formatted"], out["e"]).alias("t"), "e.turn").orderBy("turn").collect()
+    assert [r["t"] for r in got] == [f"t{i}" for i in range(1, 20_000, 2)]
 
 
 @pytest.mark.parametrize("name", ["op7_chat_prefix", "op8_url_rules"])
