@@ -8,13 +8,20 @@ Shared q-grams are counted in diagonal bands that overlap by k; regions below
 the bound are dropped, the others are verified by banded alignment.
 
 The items are the stated query set: they are split into blocks of at most
-``BLOCK_CHARS`` characters, one block at a time is broadcast, and every text is
-scanned once for each block. Nothing is shuffled.
+``BLOCK_CHARS`` characters, and every text is scanned once for each block. One
+block at a time is held: with several, what a block finds is written before the
+next is broadcast. Texts are not shuffled (with several blocks, only those that
+hold an item are named to the others, by two hashes).
+
+A leak is an item that occurs whole, within its edit budget. Items of every
+length are searched for, short ones by shorter q-grams; an item of under 10
+characters has no edits to spend and must occur as it is.
 
 Both sides are compared in lower case, with every white-space character as a
 space; positions stay those of the text. Edge cases: null and empty texts and
-items match nothing; items under ``MIN_ITEM`` characters are not searched for;
-repeated items and repeated rows are reported each.
+items match nothing; repeated items and repeated rows are reported each, null
+ids too; an empty table of texts or items finds nothing; other columns may have
+any name; a very long text is searched whole.
 """
 
 from __future__ import annotations
@@ -26,10 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize, small_batches, table
+
 EDIT_RATE = 0.1
-MIN_ITEM = 24
 BLOCK_CHARS = 4_000_000
-GRAMS = (8, 4)
+#: Lengths of q-grams; the first that leaves an item enough to share beyond its edits is taken.
+GRAMS = (8, 4, 2, 1)
+#: Texts found by one block, up to this many (16 bytes each), are broadcast; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 22
@@ -68,9 +79,9 @@ class Index:
             codes = normal(text)
             n = len(codes)
             k = int(rate * n)
-            q = next((q for q in GRAMS if n // q - k >= (2 if q > GRAMS[-1] else 1)), None)
-            if n < MIN_ITEM or q is None:
+            if not n:
                 continue
+            q = next((q for q in GRAMS[:2] if n // q - k >= (2 if q > 4 else 1)), 0) or next(q for q in GRAMS[2:] if n // q - k >= 1)
             number = len(self.items)
             self.items.append((item, codes, k, n // q - k))
             h = gram_hashes(codes, q)[::q]
@@ -211,25 +222,29 @@ def find_contamination(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per region of a text that holds an item within the edit budget."""
+    small_batches(docs.sparkSession)
     schema = REGIONS.format(docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString())
     names = ["doc", "item", "start", "end", "edits", "item_chars"]
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    spark, out = docs.sparkSession, None
-    for block in item_blocks(items, item_col, item_text, block_chars):
-        held = spark.sparkContext.broadcast(block)
+    spark = docs.sparkSession
 
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+    def regions(held) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = Index(held.value, rate)
             for b in batches:
                 rows = []
-                for doc, text in zip(b["doc"], b["text"]):
-                    if isinstance(text, str) and len(text) >= MIN_ITEM * (1 - rate):
+                for doc, text in zip(b["doc"].astype(object), b["text"]):
+                    if isinstance(text, str):
                         rows += [
                             (doc, index.items[i][0], a, e, n, len(index.items[i][1])) for i, a, e, n in matches(normal(text), index)
                         ]
                 yield pd.DataFrame(rows, columns=names)
 
-        part = slim.mapInPandas(scan, schema)
+        return slim.mapInPandas(scan, schema)
+
+    out = None
+    for held, alone in _held(items, item_col, item_text, block_chars):
+        part = regions(held) if alone else materialize(regions(held), "regions")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -246,14 +261,33 @@ def drop_contaminated(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; columns as they are."""
-    spark = docs.sparkSession
-    for block in item_blocks(items, item_col, item_text, block_chars):
-        held = spark.sparkContext.broadcast(block)
-
-        docs = docs.where(_clean(held, rate)(F.col(text_col).cast("string")))
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    held_by = [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+    for held, alone in _held(items, item_col, item_text, block_chars):
+        if alone:
+            return docs.where(_clean(held, rate)(text))
+        found = materialize(docs.where(~_clean(held, rate)(text)).select(held_by[0].alias("_h"), held_by[1].alias("_i")).distinct(), "contaminated")
+        if found.count() <= BROADCAST_TEXTS:
+            found = F.broadcast(found)
+        docs = docs.join(found, (held_by[0] == F.col("_h")) & (held_by[1] == F.col("_i")), "left_anti")
     return docs
 
 
+def _held(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple]:
+    """(broadcast block of items, whether it is the only one); a block is let go when the next is asked for."""
+    spark, blocks, held = items.sparkSession, item_blocks(items, id_col, text_col, block_chars), None
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        alone = held is None and after is None
+        held = spark.sparkContext.broadcast(block)
+        yield held, alone
+        if not alone:
+            held.destroy()
+        block = after
+
+
 def _clean(held, rate: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -265,6 +299,4 @@ def _clean(held, rate: float):
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from ._common import table
-
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
