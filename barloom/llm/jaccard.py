@@ -18,7 +18,7 @@ that a query can have with any member, and the group is opened (overlaps counted
 over the token lists) for queries that reach the bound. Every pair that shares
 a prefix token is thereby linked, connected already, or shown to be unlinked.
 
-A group over ``CHUNK_TOKENS`` is split into chunks; its queries then go to every
+A group over ``CHUNK_TOKENS`` or ``CHUNK_MEMBERS`` is split into chunks; its queries then go to every
 chunk whose token union they can match, in blocks. Classes are the connected
 components of the links, found by repeated contraction with written tables.
 
@@ -26,8 +26,11 @@ Tokens are 64-bit hashes; two different shingles of a pair of texts with equal
 hashes would be needed for a wrong count.
 
 Edge cases: null texts and texts without words have empty sets and are linked
-with nothing; with fewer words than a shingle the whole sequence is one; ids may
-repeat (rows keep their own set, and share links by id).
+with nothing; with fewer words than a shingle the whole sequence is one; rows
+with equal id and text are one set; of an id with several texts each row keeps
+its own set, but a group that this id leads takes the first of them only, and
+links are by id; an empty table gives no rows; a very long text is one set,
+whole; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, kept, materialize, table
+from ._common import WordHashes, kept, materialize, small_batches, table
 
 #: Tokens that are ordered last, at most: those that the sample holds most often.
 FREQUENT = 200_000
@@ -48,8 +51,10 @@ FREQUENT = 200_000
 SAMPLE_EVERY = 16
 #: Tokens of a chunk of a group.
 CHUNK_TOKENS = 4_000_000
-#: Documents in groups up to this many (about 300 bytes each) are broadcast to the scan of the texts.
-BROADCAST_ROWS = 300_000
+#: Members of a chunk: comparing their histograms may take the square of it.
+CHUNK_MEMBERS = 8_000
+#: The places of documents in groups are broadcast to the scan of the texts up to this many bytes.
+BROADCAST_BYTES = 40_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,15 +242,20 @@ def _width(df: DataFrame) -> int:
 
 def _spots(members: DataFrame, chunk_tokens: int) -> DataFrame:
     """Where each member goes: id, array of (leader, chunks, chunk); a leader goes to all chunks."""
-    load = members.groupBy("leader").agg(F.sum("n").alias("load"))
-    chunks = F.greatest(F.ceil(F.col("load") / chunk_tokens), F.lit(1)).cast("int")
-    placed = members.join(load, "leader").select("leader", "id", chunks.alias("chunks"))
-    chunk = F.when(F.col("leader") == F.col("id"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    )
+    load = members.groupBy("leader").agg(F.sum("n").alias("load"), F.count("*").alias("c"))
+    parts = F.greatest(F.ceil(F.col("load") / chunk_tokens), F.ceil(F.col("c") / CHUNK_MEMBERS)).cast("int")
+    # few leaders have more than a chunk, at most one for so many tokens or members
+    split = materialize(load.select("leader", parts.alias("parts")).where("parts > 1"), "split")
+    if split.count() <= BROADCAST_BYTES // 16:
+        split = F.broadcast(split)
+    placed = members.join(split, "leader", "left").select("leader", "id", F.coalesce("parts", F.lit(1)).alias("chunks"))
+    chunks = F.col("chunks")
+    chunk = F.when(F.col("leader") == F.col("id"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))
     spots = placed.groupBy("id").agg(F.collect_list(F.struct("leader", "chunks", chunk.alias("chunk"))).alias("spots"))
     spots = materialize(spots, "spots")
-    return F.broadcast(spots) if spots.count() <= BROADCAST_ROWS else spots
+    # a row, and each of its structs with an array of chunks
+    held = spots.agg(F.coalesce(F.sum(40 + F.size("spots") * 64), F.lit(0))).head()[0]
+    return F.broadcast(spots) if held <= BROADCAST_BYTES else spots
 
 
 def _dealt(rows: DataFrame, *values: str) -> DataFrame:
@@ -383,6 +393,7 @@ def jaccard_components(
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id. ``percent``: least similarity, in percent."""
     spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(slim, shingle))
     base = materialize(_profiles(slim, shingle, percent, frequent), "profiles")

@@ -19,7 +19,9 @@ cell and a batch of queries.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part; with fewer candidates than k
-all are returned; ties go to the smaller id. Ids must be unique.
+all are returned; ties go to the smaller id; an empty table gives no rows; other
+columns may have any name. Rows that repeat an id are one row if their vectors
+are equal; of an id with several vectors each is a point and a query of its own.
 """
 
 from __future__ import annotations
