@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm._common import materialize, table
+from barloom.llm._common import materialize, small_batches, table
 from barloom.llm.decontaminate import drop_contaminated
 from barloom.llm.jaccard import jaccard_components
 from barloom.llm.packing import pack_documents, vocabulary
@@ -54,6 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     clean = docs.withColumn("text", redact_secrets(F.col("text")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
