@@ -98,12 +98,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        suffix = getattr(self.t.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.t.get_vocab_size(), bool)
+        for token, i in self.t.get_vocab().items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
         self.forget()
 
     def forget(self) -> None:
         self.numbers = _Numbers()
         self.numbers["\n"], self.numbers.count = 0, 1
-        self.ids, self.start, self.size = np.array([END_ID], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids, self.start, self.size, self.used = np.array([END_ID], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64), 1
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words in a row, and where each word's end."""
@@ -112,17 +116,33 @@ class WordTokenizer:
         return self.ids[np.repeat(self.start[numbers] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
 
     def place(self, numbers: list[int], ids: np.ndarray, size: np.ndarray) -> None:
-        self.start[numbers] = len(self.ids) + np.cumsum(size) - size
+        have, need = len(self.ids), self.used + len(ids)
+        if need > have:
+            self.ids = np.concatenate([self.ids, np.zeros(max(need - have, have), "<u4")])
+        self.start[numbers] = self.used + np.cumsum(size) - size
         self.size[numbers] = size
-        self.ids = np.concatenate([self.ids, ids])
+        self.ids[self.used : need] = ids
+        self.used = need
 
     def learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         joined, self.numbers.joined = self.numbers.joined, []
         more = np.zeros(self.numbers.count - len(self.start), np.int64)
         self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        letters, others = [], []
+        for x in new:
+            (letters if _all_letters(x[1]) else others).append(x)
+        for i in range(0, len(letters), 500):
+            part = letters[i : i + 500]
+            # a word of letters is one word of the vocabulary, so where its last id stands is known
+            ids = np.array(self.t.encode_batch_fast([" ".join([w for _, w in part])], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part):
+                self.place([n for n, _ in part], ids, np.diff(stop, prepend=0))
+            else:
+                others += part
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
             each = [e.ids for e in self.t.encode_batch_fast([w for _, w in part], add_special_tokens=False)]
             size = np.fromiter(map(len, each), np.int64, len(each))
             self.place([n for n, _ in part], np.fromiter(chain.from_iterable(each), "<u4", size.sum()), size)
