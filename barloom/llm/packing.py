@@ -92,7 +92,7 @@ class WordTokenizer:
     """
 
     #: Words that are remembered before all are forgotten.
-    KEEP = 300_000
+    KEEP = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
