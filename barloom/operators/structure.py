@@ -1,7 +1,8 @@
 """Swings, levels and chart patterns.
 
-Reversals, triangles and channels are windows over the swing sequence; flags,
-pennants and cups scan bar by bar and run as one grouped task a ticker.
+Reversals, triangles and channels are windows over the swing sequence. Poles are
+windowed extremes with running counts of steps; the rest behind a pole and the
+cup between two rims are slices of the ticker's bars.
 A pattern row: ticker, pattern, direction, start_index, end_index, start_date,
 end_date, levels, quality.
 """
@@ -11,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import PATTERN_COLUMNS, scan_group
 from .indicators import every, w
 
 EPSILON, ORDER = 0.03, 5
@@ -125,13 +125,13 @@ def reversals(swing: DataFrame, eps: float = EPSILON) -> DataFrame:
     same = pct_diff(p[0], p[2])
     mean = (p[0] + p[2]) / 2
     twin = F.abs(mean - p[1]) / mean >= eps * 1.5
-    pair = {"first": p[0], "second": p[2], "neckline": p[1], "target": 2 * p[1] - mean}
+    top2, low2 = ({f"first_{x}": p[0], f"second_{x}": p[2], "neckline": p[1], "target": 2 * p[1] - mean} for x in ("top", "bottom"))
     q3 = _quality([same], eps)
     return (
         _rows(top, "Head & Shoulders", "bearish", 4, names, q5)
         .unionByName(_rows(low, "Inverse Head & Shoulders", "bullish", 4, names, q5))
-        .unionByName(_rows(three.where((F.col("kind") == "P") & (same <= eps) & twin), "Double Top", "bearish", 2, pair, q3))
-        .unionByName(_rows(three.where((F.col("kind") == "T") & (same <= eps) & twin), "Double Bottom", "bullish", 2, pair, q3))
+        .unionByName(_rows(three.where((F.col("kind") == "P") & (same <= eps) & twin), "Double Top", "bearish", 2, top2, q3))
+        .unionByName(_rows(three.where((F.col("kind") == "T") & (same <= eps) & twin), "Double Bottom", "bullish", 2, low2, q3))
     )
 
 
@@ -144,8 +144,8 @@ def _fit(points: Column) -> tuple[Column, Column, Column]:
     n = F.size(points)
     x, y = total(lambda s: s["idx"].cast("double")), total(lambda s: s["price"])
     xx, xy = total(lambda s: s["idx"].cast("double") * s["idx"]), total(lambda s: s["idx"] * s["price"])
-    slope = (n * xy - x * y) / (n * xx - x * x)
-    return slope, (y - slope * x) / n, n
+    slope = F.try_divide(n * xy - x * y, n * xx - x * x)
+    return slope, F.try_divide(y - slope * x, n), n
 
 
 def triangles_and_channels(swing: DataFrame, eps: float = EPSILON) -> DataFrame:
@@ -179,15 +179,15 @@ def triangles_and_channels(swing: DataFrame, eps: float = EPSILON) -> DataFrame:
         return F.col(slope) * F.col(x) + F.col(intercept)
 
     ends = {"resistance_start": at("ps", "pi", "i0"), "resistance_end": at("ps", "pi", "i1"), "support_start": at("ts", "ti", "i0"), "support_end": at("ts", "ti", "i1")}
-    apex_price = F.col("ps") * apex + F.col("pi")
+    meet = {"apex_index": apex, "apex_price": F.col("ps") * apex + F.col("pi")}
     asc, desc = (F.col("pc") == "flat") & (F.col("tc") == "rising"), (F.col("pc") == "falling") & (F.col("tc") == "flat")
     sym = (F.col("pc") == "falling") & (F.col("tc") == "rising") & (apex.isNull() | (apex > F.col("i1")))
     channel = (F.col("pc") == F.col("tc")) & ((F.col("pc") == "flat") | (F.abs(gap) / (F.abs("ps") + F.abs("ts") + 1e-9) <= eps * 4))
     titled = F.initcap(F.col("pc"))
     parts = [
-        (asc, F.lit("Ascending Triangle"), F.lit("bullish"), {"resistance": F.col("top"), "support_start": ends["support_start"], "support_end": ends["support_end"], "apex_price": apex_price}, flat("peaks", "top")),
-        (desc, F.lit("Descending Triangle"), F.lit("bearish"), {"support": F.col("low"), "resistance_start": ends["resistance_start"], "resistance_end": ends["resistance_end"], "apex_price": apex_price}, flat("troughs", "low")),
-        (sym, F.lit("Symmetrical Triangle"), F.lit("neutral"), ends | {"apex_price": apex_price}, F.lit(0.75)),
+        (asc, F.lit("Ascending Triangle"), F.lit("bullish"), {"resistance": F.col("top"), "support_start": ends["support_start"], "support_end": ends["support_end"]} | meet, flat("peaks", "top")),
+        (desc, F.lit("Descending Triangle"), F.lit("bearish"), {"support": F.col("low"), "resistance_start": ends["resistance_start"], "resistance_end": ends["resistance_end"]} | meet, flat("troughs", "low")),
+        (sym, F.lit("Symmetrical Triangle"), F.lit("neutral"), ends | meet, F.lit(0.75)),
         (channel, F.concat(F.lit("Price Channel ("), titled, F.lit(")")), F.when(F.col("pc") == "rising", "bullish").when(F.col("pc") == "falling", "bearish").otherwise("neutral"), ends, F.lit(0.85)),
     ]
     found = [
@@ -198,10 +198,135 @@ def triangles_and_channels(swing: DataFrame, eps: float = EPSILON) -> DataFrame:
     return out.select("ticker", "m.pattern", "m.direction", "start_index", "end_index", "start_date", "end_date", "m.levels", "m.quality")
 
 
+def histories(bars: DataFrame, least: float = 0.08, longest: int = 15, steady: float = 0.75) -> DataFrame:
+    """One row per ticker: its bars in order, with the signs of the steps to two bars on either side, and its poles.
+
+    A pole leads from a bar to the first extreme of the ``longest`` bars from it
+    on, three bars away or more; the move is ``least`` or more, and ``steady``
+    of its steps go that way. Of two such moves the larger counts. Poles do not
+    overlap: the next one starts at the end of the last or later.
+    """
+    c, ahead = F.col("price"), w().rowsBetween(0, longest - 1)
+    df = numbered(bars).select("ticker", "date", "idx", F.col("close").alias("price"))
+    step = F.signum(c - F.lag("price").over(w()))
+    df = df.withColumns({f"{k}{i}": F.signum(c - f("price", i).over(w())) for k, f in (("back", F.lag), ("ahead", F.lead)) for i in (1, 2)})
+    df = df.withColumn("_step", step)
+    df = df.withColumns({"ups": F.count_if(F.col("_step") >= 0).over(w()), "downs": F.count_if(F.col("_step") <= 0).over(w())})
+    at = F.struct("idx", "date", "price", "ups", "downs")
+    df = df.withColumns({"_top": F.max_by(at, F.struct("price", -F.col("idx"))).over(ahead), "_low": F.min_by(at, F.struct("price", "idx")).over(ahead)})
+
+    def pole(end: str, sign: int, steps: str) -> Column:
+        bars_, move = F.col(f"{end}.idx") - F.col("idx"), F.try_divide(F.col(f"{end}.price"), c) - 1
+        one_way = F.try_divide(F.col(f"{end}.{steps}") - F.col(steps), bars_) >= steady
+        found = F.struct(F.col("idx").alias("i"), F.col(f"{end}.idx").alias("j"), move.alias("move"), c.alias("ci"), F.col(f"{end}.price").alias("cj"), F.col("date").alias("di"))
+        return F.when((bars_ >= 3) & (c != 0) & (sign * move >= least) & one_way, found)
+
+    up, down = pole("_top", 1, "ups"), pole("_low", -1, "downs")
+    best = F.when(F.coalesce(F.abs(down["move"]) > F.abs(up["move"]), up.isNull()), down).otherwise(up)
+    own = F.struct("idx", "date", "price", "back1", "back2", "ahead1", "ahead2")
+    out = df.groupBy("ticker").agg(F.array_sort(F.collect_list(own)).alias("bars"), F.array_sort(F.collect_list(best)).alias("found"))
+    start = F.struct(F.lit(0).alias("free"), F.slice("found", 1, 0).alias("kept"))
+
+    def take(acc, x):
+        return F.when(x["i"] >= acc["free"], F.struct(x["j"].alias("free"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    return out.select("ticker", "bars", F.aggregate("found", start, take, lambda acc: acc["kept"]).alias("poles"))
+
+
+def flags_and_pennants(history: DataFrame, eps: float = EPSILON, longest: int = 20, tight: float = 0.6) -> DataFrame:
+    """What the lines along the swings of the bars behind a pole say; a swing tops or bottoms two bars on either side."""
+    df = history.select("ticker", "bars", F.explode("poles").alias("p")).withColumn("e", F.least(F.col("p.j") + longest, F.size("bars") - 1))
+    df = df.where(F.col("e") - F.col("p.j") >= 5).withColumn("rest", F.slice("bars", F.col("p.j") + 1, F.col("e") - F.col("p.j") + 1))
+
+    def turns(sign: int) -> Column:
+        def turn(x):
+            near = (sign * x["back1"] > 0) & (sign * x["ahead1"] > 0)
+            far = ((x["idx"] - 2 < F.col("p.j")) | (sign * x["back2"] > 0)) & ((x["idx"] + 2 > F.col("e")) | (sign * x["ahead2"] > 0))
+            return (x["idx"] > F.col("p.j")) & (x["idx"] < F.col("e")) & near & far
+
+        return F.filter("rest", turn)
+
+    df = df.withColumns({"tops": turns(1), "lows": turns(-1)}).where("size(tops) >= 2 and size(lows) >= 2")
+    prices = F.transform("rest", lambda x: x["price"])
+    mean = F.try_divide(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x), F.size("rest"))
+    (ts, ti, _), (ls, li, _) = _fit(F.col("tops")), _fit(F.col("lows"))
+    df = df.withColumns({"ts": ts, "ti": ti, "ls": ls, "li": li, "mean": mean, "range": F.array_max(prices) - F.array_min(prices)})
+
+    def way(slope: str) -> Column:
+        move = F.try_divide(F.col(slope) * (F.col("e") - F.col("p.j")), F.col("mean"))
+        return F.when(move > eps, "rising").when(move < -eps, "falling").otherwise("flat")
+
+    df = df.withColumns({"top": way("ts"), "low": way("ls"), "height": F.abs(F.col("p.cj") - F.col("p.ci")), "up": F.col("p.move") > 0})
+    df = df.where((F.col("height") > 0) & (F.col("range") <= tight * F.col("height")))
+    along = F.when(F.col("up"), "rising").otherwise("falling")
+    flag = (F.col("top") == F.col("low")) & (F.col("top") != along)
+    pennant = (F.col("top") == "falling") & (F.col("low") == "rising")
+    ends = [F.col("ts") * F.col("e") + F.col("ti"), F.col("ls") * F.col("e") + F.col("li")]
+    target = 2 * F.col("p.cj") - F.col("p.ci")
+
+    def levels(prefix: str) -> Column:
+        named = {"pole_start": F.col("p.ci"), "pole_end": F.col("p.cj"), f"{prefix}resistance_end": ends[0], f"{prefix}support_end": ends[1], "measured_move_target": target}
+        return F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)])
+
+    return df.where(flag | pennant).select(
+        "ticker",
+        F.when(pennant, "Pennant").when(F.col("up"), "Bull Flag").otherwise("Bear Flag").alias("pattern"),
+        F.when(F.col("up"), "bullish").otherwise("bearish").alias("direction"),
+        F.col("p.i").alias("start_index"),
+        F.col("e").alias("end_index"),
+        F.col("p.di").alias("start_date"),
+        F.element_at("rest", -1)["date"].alias("end_date"),
+        F.when(pennant, levels("")).otherwise(levels("flag_")).alias("levels"),
+        F.bround(F.greatest(F.lit(0.0), 1 - F.try_divide("range", "height")), 2).alias("quality"),
+    )
+
+
+def cups(history: DataFrame, swing: DataFrame, eps: float = EPSILON, shortest: int = 20, longest: int = 150, depth: float = 0.12, handle: float = 0.5) -> DataFrame:
+    """Two rims of like height, a bowl between them, a shallow handle behind.
+
+    Rims are joined by the stretch of ``longest`` bars they lie in or border on.
+    The bowl is a least-squares parabola, in closed form over equal steps.
+    """
+    rims = swing.where("kind = 'P'").select("ticker", F.col("idx").alias("i"), F.col("price").alias("p"), "date")
+    left = rims.select("ticker", F.floor(F.col("i") / longest).alias("_b"), F.col("i").alias("l"), F.col("p").alias("pl"), F.col("date").alias("dl"))
+    right = rims.select("ticker", F.explode(F.array(F.floor(F.col("i") / longest), F.floor(F.col("i") / longest) - 1)).alias("_b"), F.col("i").alias("r"), F.col("p").alias("pr"))
+    pairs = left.join(right, ["ticker", "_b"]).drop("_b").withColumns({"wide": F.col("r") - F.col("l"), "differ": pct_diff("pl", "pr")})
+    pairs = pairs.where(F.col("wide").between(shortest, longest) & (F.col("differ") <= eps)).join(history.select("ticker", "bars"), "ticker")
+    df = pairs.withColumns({"bowl": F.slice("bars", F.col("l") + 1, F.col("wide") + 1), "m": (F.col("wide") + 1).cast("double"), "mid": (F.col("l") + F.col("r")) / 2})
+    square = (F.col("m") * F.col("m") - 1) / 12  # mean square of the centred steps
+
+    def total(f) -> Column:
+        return F.aggregate("bowl", F.lit(0.0), lambda a, x: a + f(x["idx"] - F.col("mid")) * x["price"])
+
+    bend = total(lambda u: u * u - square) / (F.col("m") * (F.col("m") * F.col("m") - 1) * (F.col("m") * F.col("m") - 4) / 180)
+    tilt = total(lambda u: u) / (F.col("m") * square)
+    df = df.withColumns({"bend": bend, "tilt": tilt, "bottom": F.array_min(F.transform("bowl", lambda x: x["price"]))})
+    lowest = (F.col("m") - 1) / 2 - F.try_divide("tilt", 2 * F.col("bend"))
+    df = df.where((F.col("bend") > 0) & (lowest >= 0.25 * F.col("m")) & (lowest <= 0.75 * F.col("m")))
+    end = F.least(F.col("r") + F.greatest(F.lit(5), F.floor(F.col("wide") / 4).cast("int")), F.size("bars") - 1)
+    df = df.withColumns({"rim": (F.col("pl") + F.col("pr")) / 2, "e": end}).where(F.col("e") - F.col("r") >= 3)
+    df = df.withColumn("tail", F.slice("bars", F.col("r") + 1, F.col("e") - F.col("r") + 1))
+    df = df.withColumn("dip", F.array_min(F.transform("tail", lambda x: x["price"])))
+    high, drop, deep = F.col("rim") - F.col("bottom"), F.col("pr") - F.col("dip"), F.greatest("pl", "pr")
+    df = df.where((F.try_divide(high, F.col("rim")) >= depth) & (drop > 0) & (drop <= handle * high) & (F.col("dip") >= (F.col("rim") + F.col("bottom")) / 2))
+    named = {"left_rim": F.col("pl"), "right_rim": F.col("pr"), "cup_bottom": F.col("bottom"), "handle_low": F.col("dip"), "breakout_level": deep, "target": deep + high}
+    return df.select(
+        "ticker",
+        F.lit("Cup & Handle").alias("pattern"),
+        F.lit("bullish").alias("direction"),
+        F.col("l").alias("start_index"),
+        F.col("e").alias("end_index"),
+        F.col("dl").alias("start_date"),
+        F.element_at("tail", -1)["date"].alias("end_date"),
+        F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]).alias("levels"),
+        F.bround(F.greatest(F.lit(0.0), 1 - F.col("differ") / eps), 2).alias("quality"),
+    )
+
+
 def scanned(bars: DataFrame, eps: float = EPSILON, order: int = ORDER) -> DataFrame:
-    """Flags, pennants and cups; a detector that fails leaves a row with its error (M5)."""
-    slim = bars.select("ticker", "date", "close")
-    return slim.groupBy("ticker").applyInPandas(lambda g: scan_group(g, eps, order), PATTERN_COLUMNS)
+    """Flags, pennants and cups."""
+    history = histories(bars)
+    return flags_and_pennants(history, eps).unionByName(cups(history, alternating(swings(bars, order)), eps))
 
 
 def dedupe_overlaps(patterns: DataFrame) -> DataFrame:
@@ -227,7 +352,8 @@ def dedupe_overlaps(patterns: DataFrame) -> DataFrame:
 DETECTORS = {
     "reversals": lambda bars, swing: reversals(swing),
     "triangles_and_channels": lambda bars, swing: triangles_and_channels(swing),
-    "scanned": lambda bars, swing: scanned(bars).where("error is null").drop("error"),
+    "flags_and_pennants": lambda bars, swing: flags_and_pennants(histories(bars)),
+    "cups": lambda bars, swing: cups(histories(bars), swing),
 }
 
 

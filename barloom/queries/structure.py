@@ -77,54 +77,123 @@ REVERSALS = f"""
 ld AS (SELECT ticker, kind, price AS p0, idx AS i0, {LEADS} FROM alt WINDOW o AS (PARTITION BY ticker ORDER BY idx)),
 rev AS (
 SELECT ticker, CASE kind WHEN 'P' THEN 'Head & Shoulders' ELSE 'Inverse Head & Shoulders' END AS pattern, CASE kind WHEN 'P' THEN 'bearish' ELSE 'bullish' END AS direction, i0 AS start_index, i4 AS end_index,
-  greatest(0, 1 - ({_pd('p0', 'p4')} + {_pd('p1', 'p3')}) / 2 / 0.045) AS quality FROM ld
+  greatest(0, 1 - ({_pd('p0', 'p4')} + {_pd('p1', 'p3')}) / 2 / 0.045) AS quality, MAP {{'left_shoulder': p0, 'head': p2, 'right_shoulder': p4, 'neckline': (p1 + p3) / 2, 'target': p1 + p3 - p2}} AS levels FROM ld
   WHERE i4 IS NOT NULL AND {_pd('p0', 'p4')} <= 0.03 AND {_pd('p1', 'p3')} <= 0.045 AND ((kind = 'P' AND p2 > p0 * 1.03 AND p2 > p4 * 1.03) OR (kind = 'T' AND p2 < p0 * 0.97 AND p2 < p4 * 0.97))
-UNION ALL SELECT ticker, CASE kind WHEN 'P' THEN 'Double Top' ELSE 'Double Bottom' END, CASE kind WHEN 'P' THEN 'bearish' ELSE 'bullish' END, i0, i2, greatest(0, 1 - {_pd('p0', 'p2')} / 0.03) FROM ld
+UNION ALL SELECT ticker, CASE kind WHEN 'P' THEN 'Double Top' ELSE 'Double Bottom' END, CASE kind WHEN 'P' THEN 'bearish' ELSE 'bullish' END, i0, i2, greatest(0, 1 - {_pd('p0', 'p2')} / 0.03),
+  MAP {{'first_' || CASE kind WHEN 'P' THEN 'top' ELSE 'bottom' END: p0, 'second_' || CASE kind WHEN 'P' THEN 'top' ELSE 'bottom' END: p2, 'neckline': p1, 'target': 2 * p1 - (p0 + p2) / 2}} FROM ld
   WHERE i2 IS NOT NULL AND {_pd('p0', 'p2')} <= 0.03 AND abs((p0 + p2) / 2 - p1) / ((p0 + p2) / 2) >= 0.045)"""
 
 
-@query("J1_J4_reversals", ctes(*SWING_BASE, REVERSALS) + f"SELECT ticker, pattern, direction, start_index, end_index, {rnds(1, 'round_even(quality, 2) AS quality')} FROM rev")
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def by_level(patterns):
+    """One row per level of a pattern, to be compared."""
+    rows = patterns.select("ticker", "pattern", "direction", "start_index", "end_index", "quality", F.explode("levels").alias("level", "price"))
+    return rows.select("ticker", "pattern", "direction", "start_index", "end_index", "level", *rounded(rows, 2, "quality"), *rounded(rows, 3, "price"))
+
+
+def by_level_sql(*tables: str) -> str:
+    each = " UNION ALL ".join(f"SELECT ticker, pattern, direction, start_index, end_index, quality, unnest(map_entries(levels)) AS lv FROM {t}" for t in tables)
+    return f", found AS ({each}) SELECT ticker, pattern, direction, start_index, end_index, lv.key AS level, {rnds(2, 'round_even(quality, 2) AS quality')}, {rnds(3, 'lv.value AS price')} FROM found"
+
+
+@query("J1_J4_reversals", ctes(*SWING_BASE, REVERSALS) + by_level_sql("rev"))
 def j1(spark, d):
-    df = S.reversals(S.alternating(S.swings(bars(spark, d))))
-    return df.select("ticker", "pattern", "direction", "start_index", "end_index", *rounded(df, 1, "quality"))
+    return by_level(S.reversals(S.alternating(S.swings(bars(spark, d)))))
 
 
-SPANS = """
+SPANS = f"""
 sq AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY idx) AS r FROM alt),
-sp AS (SELECT a.ticker, a.r, k.k, min(b.idx) AS i0, max(b.idx) AS i1, avg(b.price) AS mean, regr_slope(b.price, b.idx) FILTER (WHERE b.kind = 'P') AS ps, regr_slope(b.price, b.idx) FILTER (WHERE b.kind = 'T') AS ts,
-  regr_intercept(b.price, b.idx) FILTER (WHERE b.kind = 'P') AS pi, regr_intercept(b.price, b.idx) FILTER (WHERE b.kind = 'T') AS ti
+sp AS (SELECT a.ticker, a.r, k.k, min(b.idx) AS i0, max(b.idx) AS i1, avg(b.price) AS mean, avg(b.price) FILTER (WHERE b.kind = 'P') AS top, avg(b.price) FILTER (WHERE b.kind = 'T') AS low,
+  regr_slope(b.price, b.idx) FILTER (WHERE b.kind = 'P') AS ps, regr_slope(b.price, b.idx) FILTER (WHERE b.kind = 'T') AS ts, regr_intercept(b.price, b.idx) FILTER (WHERE b.kind = 'P') AS pi, regr_intercept(b.price, b.idx) FILTER (WHERE b.kind = 'T') AS ti
   FROM sq a, range(4, 8) k(k), sq b WHERE b.ticker = a.ticker AND b.r BETWEEN a.r AND a.r + k.k - 1 GROUP BY 1, 2, 3
   HAVING count(*) = k.k AND count(*) FILTER (WHERE b.kind = 'P') >= 2 AND count(*) FILTER (WHERE b.kind = 'T') >= 2),
-sc AS (SELECT *, CASE WHEN ps * (i1 - i0) / mean > 0.03 THEN 'rising' WHEN ps * (i1 - i0) / mean < -0.03 THEN 'falling' ELSE 'flat' END AS pc,
-  CASE WHEN ts * (i1 - i0) / mean > 0.03 THEN 'rising' WHEN ts * (i1 - i0) / mean < -0.03 THEN 'falling' ELSE 'flat' END AS tc FROM sp)"""
+sf AS (SELECT s.*, avg({_pd('b.price', 'top')}) FILTER (WHERE b.kind = 'P') AS off_top, avg({_pd('b.price', 'low')}) FILTER (WHERE b.kind = 'T') AS off_low FROM sp s JOIN sq b ON b.ticker = s.ticker AND b.r BETWEEN s.r AND s.r + s.k - 1 GROUP BY ALL),
+sc AS (SELECT *, CASE WHEN ps * (i1 - i0) / mean > 0.03 THEN 'rising' WHEN ps * (i1 - i0) / mean < -0.03 THEN 'falling' ELSE 'flat' END AS pc, CASE WHEN ts * (i1 - i0) / mean > 0.03 THEN 'rising' WHEN ts * (i1 - i0) / mean < -0.03 THEN 'falling' ELSE 'flat' END AS tc,
+  CASE WHEN abs(ps - ts) >= 1e-9 THEN (ti - pi) / (ps - ts) END AS apex, ps * i0 + pi AS r0, ps * i1 + pi AS r1, ts * i0 + ti AS s0, ts * i1 + ti AS s1 FROM sf),
+tri AS (SELECT ticker, 'Ascending Triangle' AS pattern, 'bullish' AS direction, i0 AS start_index, i1 AS end_index, greatest(0, 1 - off_top / 0.03) AS quality, MAP {{'resistance': top, 'support_start': s0, 'support_end': s1, 'apex_index': apex, 'apex_price': ps * apex + pi}} AS levels FROM sc WHERE pc = 'flat' AND tc = 'rising'
+UNION ALL SELECT ticker, 'Descending Triangle', 'bearish', i0, i1, greatest(0, 1 - off_low / 0.03), MAP {{'support': low, 'resistance_start': r0, 'resistance_end': r1, 'apex_index': apex, 'apex_price': ps * apex + pi}} FROM sc WHERE pc = 'falling' AND tc = 'flat'
+UNION ALL SELECT ticker, 'Symmetrical Triangle', 'neutral', i0, i1, 0.75, MAP {{'resistance_start': r0, 'resistance_end': r1, 'support_start': s0, 'support_end': s1, 'apex_index': apex, 'apex_price': ps * apex + pi}} FROM sc WHERE pc = 'falling' AND tc = 'rising' AND (apex IS NULL OR apex > i1)
+UNION ALL SELECT ticker, 'Price Channel (' || upper(pc[1]) || pc[2:] || ')', CASE pc WHEN 'rising' THEN 'bullish' WHEN 'falling' THEN 'bearish' ELSE 'neutral' END, i0, i1, 0.85, MAP {{'resistance_start': r0, 'resistance_end': r1, 'support_start': s0, 'support_end': s1}} FROM sc
+  WHERE pc = tc AND (pc = 'flat' OR abs(ps - ts) / (abs(ps) + abs(ts) + 1e-9) <= 0.12))"""
 
 
-@query("J5_J8_triangles_and_channels", ctes(*SWING_BASE, SPANS) + """
-SELECT ticker, 'Ascending Triangle' AS pattern, i0 AS start_index, i1 AS end_index FROM sc WHERE pc = 'flat' AND tc = 'rising'
-UNION ALL SELECT ticker, 'Descending Triangle', i0, i1 FROM sc WHERE pc = 'falling' AND tc = 'flat'
-UNION ALL SELECT ticker, 'Symmetrical Triangle', i0, i1 FROM sc WHERE pc = 'falling' AND tc = 'rising' AND (abs(ps - ts) < 1e-9 OR (ti - pi) / (ps - ts) > i1)
-UNION ALL SELECT ticker, 'Price Channel (' || upper(pc[1]) || pc[2:] || ')', i0, i1 FROM sc WHERE pc = tc AND (pc = 'flat' OR abs(ps - ts) / (abs(ps) + abs(ts) + 1e-9) <= 0.12)""")
+@query("J5_J8_triangles_and_channels", ctes(*SWING_BASE, SPANS) + by_level_sql("tri"))
 def j5(spark, d):
-    return S.triangles_and_channels(S.alternating(S.swings(bars(spark, d)))).select("ticker", "pattern", "start_index", "end_index")
+    return by_level(S.triangles_and_channels(S.alternating(S.swings(bars(spark, d)))))
+
+
+POLES = f"""
+pb AS (SELECT ticker, close, row_number() OVER ({W}) - 1 AS idx, count(*) OVER (PARTITION BY ticker) AS n, lag(close) OVER ({W}) AS b1, lag(close, 2) OVER ({W}) AS b2, lead(close) OVER ({W}) AS a1, lead(close, 2) OVER ({W}) AS a2 FROM bars),
+ps AS (SELECT *, count(*) FILTER (WHERE close >= b1) OVER (PARTITION BY ticker ORDER BY idx) AS ups, count(*) FILTER (WHERE close <= b1) OVER (PARTITION BY ticker ORDER BY idx) AS downs FROM pb),
+px AS (SELECT s.ticker, s.idx AS i, any_value(s.close) AS ci, any_value(s.ups) AS ups, any_value(s.downs) AS downs, arg_max({{'i': t.idx, 'c': t.close, 's': t.ups}}, {{'c': t.close, 'i': -t.idx}}) AS t, arg_min({{'i': t.idx, 'c': t.close, 's': t.downs}}, {{'c': t.close, 'i': t.idx}}) AS l
+  FROM ps s JOIN ps t ON s.ticker = t.ticker AND t.idx BETWEEN s.idx AND s.idx + 14 GROUP BY 1, 2),
+pm AS (SELECT *, CASE WHEN t.i - i >= 3 AND t.c / ci - 1 >= 0.08 AND (t.s - ups) / (t.i - i) >= 0.75 THEN t.c / ci - 1 END AS up, CASE WHEN l.i - i >= 3 AND l.c / ci - 1 <= -0.08 AND (l.s - downs) / (l.i - i) >= 0.75 THEN 1 - l.c / ci END AS down FROM px),
+pj AS (SELECT ticker, i, ci, coalesce(up >= down, up IS NOT NULL) AS rise, CASE WHEN rise THEN t.i ELSE l.i END AS j, CASE WHEN rise THEN t.c ELSE l.c END AS cj FROM pm WHERE up IS NOT NULL OR down IS NOT NULL),
+pn AS (SELECT a.*, min(b.i) AS after FROM pj a LEFT JOIN pj b ON a.ticker = b.ticker AND b.i >= a.j GROUP BY ALL),
+pole AS (SELECT * FROM pn WHERE (ticker, i) IN (SELECT (ticker, min(i)) FROM pn GROUP BY ticker) UNION ALL SELECT n.* FROM pole p JOIN pn n ON n.ticker = p.ticker AND n.i = p.after)"""
+FLAGS = """
+rest AS (SELECT p.ticker, p.i, p.j, p.ci, p.cj, p.rise, least(p.j + 20, b.n - 1) AS e, b.idx, b.close,
+  b.idx > p.j AND b.idx < least(p.j + 20, b.n - 1) AND close > b1 AND close > a1 AND (idx - 2 < p.j OR close > b2) AND (idx + 2 > least(p.j + 20, b.n - 1) OR close > a2) AS top,
+  b.idx > p.j AND b.idx < least(p.j + 20, b.n - 1) AND close < b1 AND close < a1 AND (idx - 2 < p.j OR close < b2) AND (idx + 2 > least(p.j + 20, b.n - 1) OR close < a2) AS low
+  FROM pole p JOIN pb b ON b.ticker = p.ticker AND b.idx BETWEEN p.j AND least(p.j + 20, b.n - 1)),
+line AS (SELECT ticker, i, j, e, ci, cj, rise, max(close) - min(close) AS range, avg(close) AS mean, abs(cj - ci) AS height, regr_slope(close, idx) FILTER (WHERE top) AS ts, regr_intercept(close, idx) FILTER (WHERE top) AS ti,
+  regr_slope(close, idx) FILTER (WHERE low) AS ls, regr_intercept(close, idx) FILTER (WHERE low) AS li FROM rest GROUP BY ALL HAVING e - j >= 5 AND count(*) FILTER (WHERE top) >= 2 AND count(*) FILTER (WHERE low) >= 2),
+ways AS (SELECT *, CASE WHEN ts * (e - j) / mean > 0.03 THEN 1 WHEN ts * (e - j) / mean < -0.03 THEN -1 ELSE 0 END AS tw, CASE WHEN ls * (e - j) / mean > 0.03 THEN 1 WHEN ls * (e - j) / mean < -0.03 THEN -1 ELSE 0 END AS lw FROM line WHERE height > 0 AND range <= 0.6 * height),
+flag AS (SELECT ticker, CASE WHEN tw = -1 AND lw = 1 THEN 'Pennant' WHEN rise THEN 'Bull Flag' ELSE 'Bear Flag' END AS pattern, CASE WHEN rise THEN 'bullish' ELSE 'bearish' END AS direction, i AS start_index, e AS end_index, greatest(0, 1 - range / height) AS quality,
+  CASE WHEN tw = -1 AND lw = 1 THEN '' ELSE 'flag_' END AS pre, MAP {'pole_start': ci, 'pole_end': cj, pre || 'resistance_end': ts * e + ti, pre || 'support_end': ls * e + li, 'measured_move_target': 2 * cj - ci} AS levels
+  FROM ways WHERE (tw = lw AND tw <> CASE WHEN rise THEN 1 ELSE -1 END) OR (tw = -1 AND lw = 1))"""
+CUPS = """
+rims AS (SELECT a.ticker, a.idx AS l, b.idx AS r, a.price AS pl, b.price AS pr, b.idx - a.idx AS wide, abs(a.price - b.price) / ((abs(a.price) + abs(b.price)) / 2) AS differ FROM alt a JOIN alt b ON a.ticker = b.ticker AND a.kind = 'P' AND b.kind = 'P' AND b.idx - a.idx BETWEEN 20 AND 150),
+bowl AS (SELECT c.ticker, l, r, pl, pr, wide, differ, any_value(n) AS n, min(close) AS bottom, (wide + 1.0) AS m, sum((pow(idx - (l + r) / 2.0, 2) - (m * m - 1) / 12) * close) / (m * (m * m - 1) * (m * m - 4) / 180) AS bend,
+  sum((idx - (l + r) / 2.0) * close) / (m * (m * m - 1) / 12) AS tilt FROM rims c JOIN pb ON pb.ticker = c.ticker AND pb.idx BETWEEN l AND r WHERE differ <= 0.03 GROUP BY 1, 2, 3, 4, 5, 6, 7),
+hand AS (SELECT b.*, (pl + pr) / 2 AS rim, least(r + greatest(5, wide // 4), b.n - 1) AS e, min(p.close) AS dip FROM bowl b JOIN pb p ON p.ticker = b.ticker AND p.idx BETWEEN r AND least(r + greatest(5, wide // 4), b.n - 1)
+  WHERE bend > 0 AND (m - 1) / 2 - tilt / (2 * bend) BETWEEN 0.25 * m AND 0.75 * m GROUP BY ALL),
+cup AS (SELECT ticker, 'Cup & Handle' AS pattern, 'bullish' AS direction, l AS start_index, e AS end_index, greatest(0, 1 - differ / 0.03) AS quality,
+  MAP {'left_rim': pl, 'right_rim': pr, 'cup_bottom': bottom, 'handle_low': dip, 'breakout_level': greatest(pl, pr), 'target': greatest(pl, pr) + rim - bottom} AS levels
+  FROM hand WHERE e - r >= 3 AND (rim - bottom) / rim >= 0.12 AND pr > dip AND pr - dip <= 0.5 * (rim - bottom) AND dip >= (rim + bottom) / 2)"""
+SCANNED = (POLES, FLAGS, CUPS)
+
+
+@query("J9_J13_M5_flags_and_cups", recursive(ctes(*SWING_BASE, *SCANNED) + by_level_sql("flag", "cup")))
+def j9(spark, d):
+    return by_level(S.scanned(bars(spark, d)))
 
 
-@query("J9_J13_M5_flags_and_cups")
-def j9(spark, d):
-    return S.scanned(bars(spark, d))
+def deduped(*tables: str) -> str:
+    """H6 as a walk from row to row: the last kept match, and whether the row opened a new one."""
+    each = " UNION ALL ".join(f"SELECT ticker, pattern, direction, start_index, end_index, round_even(quality, 2) AS quality, levels FROM {t}" for t in tables)
+    return f"""
+every AS (SELECT *, row_number() OVER (PARTITION BY ticker, pattern ORDER BY start_index, end_index) AS n FROM ({each})),
+walk AS (SELECT ticker, pattern, n, n AS kept, start_index AS s, end_index AS e, quality AS q, true AS opened FROM every WHERE n = 1
+  UNION ALL SELECT x.ticker, x.pattern, x.n, CASE WHEN x.start_index > w.e OR x.quality > w.q OR (x.quality = w.q AND x.end_index - x.start_index > w.e - w.s) THEN x.n ELSE w.kept END,
+    CASE WHEN x.start_index > w.e OR x.quality > w.q OR (x.quality = w.q AND x.end_index - x.start_index > w.e - w.s) THEN x.start_index ELSE w.s END,
+    CASE WHEN x.start_index > w.e OR x.quality > w.q OR (x.quality = w.q AND x.end_index - x.start_index > w.e - w.s) THEN x.end_index ELSE w.e END,
+    CASE WHEN x.start_index > w.e OR x.quality > w.q OR (x.quality = w.q AND x.end_index - x.start_index > w.e - w.s) THEN x.quality ELSE w.q END, x.start_index > w.e
+  FROM walk w JOIN every x ON x.ticker = w.ticker AND x.pattern = w.pattern AND x.n = w.n + 1),
+shown AS (SELECT x.* FROM walk w LEFT JOIN walk v ON v.ticker = w.ticker AND v.pattern = w.pattern AND v.n = w.n + 1 JOIN every x ON x.ticker = w.ticker AND x.pattern = w.pattern AND x.n = w.kept WHERE v.n IS NULL OR v.opened)"""
+
 
+DETECTED = recursive(ctes(*SWING_BASE, REVERSALS, SPANS, *SCANNED, deduped("rev", "tri", "flag", "cup")))
 
-@query("J14_H6_M1_detect_all")
+
+@query("J14_H6_M1_detect_all", DETECTED + by_level_sql("shown"))
 def j14(spark, d):
-    return S.detect_all(bars(spark, d))
+    return by_level(S.detect_all(bars(spark, d)))
 
 
-@query("H6_dedupe_overlaps")
+@query("H6_dedupe_overlaps", recursive(ctes(*SWING_BASE, REVERSALS, deduped("rev"))) + by_level_sql("shown"))
 def h6(spark, d):
     b = bars(spark, d)
-    return S.dedupe_overlaps(S.reversals(S.alternating(S.swings(b))))
+    return by_level(S.dedupe_overlaps(S.reversals(S.alternating(S.swings(b)))))
+
+
+GOOD = ", good AS (SELECT * FROM shown WHERE quality >= 0.75 AND ticker IN (SELECT ticker FROM bars GROUP BY 1 HAVING count(*) >= 40))"
 
 
-@query("J15_E31_pattern_summary")
+@query("J15_E31_pattern_summary", DETECTED + GOOD + " SELECT 'pattern' AS by, pattern AS name, count(*) AS matches FROM good GROUP BY ALL UNION ALL SELECT 'direction', direction, count(*) FROM good GROUP BY ALL")
 def e31(spark, d):
     b = bars(spark, d)
     return S.pattern_summary(S.pattern_filter(S.detect_all(b), b))
@@ -135,15 +204,23 @@ def e31b(spark, d):
     return S.pattern_summary(S.reversals(S.alternating(S.swings(bars(spark, d)))))
 
 
-@query("D12_best_pattern_per_ticker")
+@query("D12_best_pattern_per_ticker", DETECTED + f"""
+, b AS (SELECT ticker, arg_max({{'p': pattern, 'd': direction, 'q': quality}}, {{'b': CAST(direction = 'bullish' AS integer), 'q': quality, 'e': end_index, 'p': pattern}}) AS b FROM shown GROUP BY 1)
+SELECT ticker, b.p AS pattern, b.d AS direction, {rnds(2, 'b.q AS quality')} FROM b""")
 def d12(spark, d):
-    return S.best_pattern(S.detect_all(bars(spark, d)))
+    df = S.best_pattern(S.detect_all(bars(spark, d)))
+    return df.select("ticker", "pattern", "direction", *rounded(df, 2, "quality"))
 
 
-@query("J16_long_term_setup")
+@query("J16_long_term_setup", DETECTED + """
+, lows AS (SELECT ticker, price, row_number() OVER (PARTITION BY ticker ORDER BY idx DESC) AS r FROM alt WHERE kind = 'T'),
+two AS (SELECT ticker, max(price) FILTER (WHERE r = 1) >= max(price) FILTER (WHERE r = 2) * 1.03 AS up FROM lows GROUP BY 1),
+best AS (SELECT ticker, max(quality) >= 0.75 AS good, arg_max(pattern, {'q': quality, 'e': end_index, 'p': pattern}) AS pattern FROM shown WHERE direction = 'bullish' GROUP BY 1),
+own AS (SELECT ticker, n, coalesce(up, false) AS up, coalesce(good, false) AS good, pattern FROM (SELECT ticker, count(*) AS n FROM bars GROUP BY 1) LEFT JOIN two USING (ticker) LEFT JOIN best USING (ticker))
+SELECT ticker, n >= 40 AND up AND good AS confirmed, CASE WHEN up THEN 'Higher-low swing structure confirmed' ELSE 'No confirmed higher-low swing structure yet' END || '; ' || CASE WHEN good THEN pattern || ' match' ELSE 'No bullish pattern match at required quality' END AS reasons FROM own""")
 def j16(spark, d):
     b = bars(spark, d)
-    return S.long_term_setup(b, S.detect_all(b))
+    return S.long_term_setup(b, S.detect_all(b)).select("ticker", "confirmed", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("J17_G9_analog_match", ctes(BARS) + f"""
