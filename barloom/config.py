@@ -41,6 +41,8 @@ class Thresholds:
     gap_days: int = 25
     min_bars: int = 15
     lookback: int = 250
+    #: Days before the latest date that the market scan looks at.
+    scan_days: int = 400
     min_avg_volume: float = 50_000.0
 
 

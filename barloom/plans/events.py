@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import HOLD, ROUND_TRIP, STEP, T, TEST, TRAIN
 from ..functions import rules as R
-from .market import scan, with_sector
+from .market import scan, universe, with_sector
 
 TRADES = (
     "ticker string, fold int, action string, entry_date date, entry_price double, exit_date date, exit_price double, exit_reason string, "
@@ -74,7 +74,8 @@ def walk(g: pd.DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP
 
 
 def event_study(bars: DataFrame, sectors: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP, hold: int = HOLD) -> DataFrame:
-    df = with_sector(signals(bars), sectors).select(
+    """K6: the trades of every ticker, its history from the last long gap on (F1)."""
+    df = with_sector(signals(universe(bars, None)), sectors).select(
         "ticker", "date", "open", "high", "low", "close", "signal", "stop", "target", "raw_action", "sector", "adx_14", "rsi_14", "gap_pct", "volume_ratio", "vol_z_score"
     )
     return df.groupBy("ticker").applyInPandas(lambda g: walk(g, train, test, step, hold), TRADES)

@@ -17,6 +17,11 @@ def with_sector(df: DataFrame, sectors: DataFrame) -> DataFrame:
     return df.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit(NO_SECTOR)))
 
 
+def universe(bars: DataFrame, days: int | None = T.scan_days) -> DataFrame:
+    """A9 and F1 in front of a scan: the last ``days`` days (all for None), each ticker from its last long gap on."""
+    return I.history_trim(I.scan_lookback(bars, days) if days else bars)
+
+
 def scan(bars: DataFrame) -> DataFrame:
     """Indicators, range position and signal flags of every bar, with the raw action and its gates."""
     df = I.range_position(I.indicators(bars))
@@ -25,9 +30,9 @@ def scan(bars: DataFrame) -> DataFrame:
     return df.withColumns(R.gates())
 
 
-def matrix(bars: DataFrame, sectors: DataFrame, analogs: DataFrame | None = None) -> DataFrame:
-    """K2: one scored row per ticker with enough bars."""
-    df = with_sector(I.latest(scan(bars)), sectors).where(F.col("n_bars") >= T.min_bars)
+def matrix(bars: DataFrame, sectors: DataFrame, analogs: DataFrame | None = None, days: int | None = T.scan_days) -> DataFrame:
+    """K2: one scored row per ticker with enough bars (C2) in the universe."""
+    df = with_sector(I.latest(scan(universe(bars, days))), sectors).where(F.col("n_bars") >= T.min_bars)
     if analogs is None:
         df = df.withColumns({"confidence": F.lit(0.0), "projected_pct": F.lit(None).cast("double")})
     else:
@@ -123,7 +128,7 @@ def watchlist(bars: DataFrame, sectors: DataFrame, zones: DataFrame, index_retur
 
     ``zones``: ticker, resistance. ``index_returns``: sector, index_5d.
     """
-    df = I.with_up_down_volume(I.volume_build(scan(bars)))
+    df = I.with_up_down_volume(I.volume_build(scan(universe(bars))))
     df = df.withColumns({"adx_rising": I.adx_rising(), "ret_5": F.coalesce(I.n_bar_return(5), F.lit(0.0)), "high_10": F.max("high").over(I.last(10))})
     now = with_sector(I.latest(df), sectors).where(F.col("liquid") & (F.col("n_bars") >= 20))
     members = with_sector(I.latest(df), sectors).where("n_bars >= 6")
@@ -216,15 +221,18 @@ def rotation_flags(rows: DataFrame, owned: DataFrame, n: int = 10) -> DataFrame:
 
 
 def sector_index(bars: DataFrame, sectors: DataFrame) -> DataFrame:
-    """F37 over D21: members rebased to 100, carried over the union of the sector's dates, then averaged."""
-    own = with_sector(bars, sectors).select("sector", "ticker", "date", "close")
-    base = F.first("close").over(I.w())
-    own = own.withColumn("rebased", F.col("close") / base * 100)
-    grid = own.select("sector", "date").distinct().join(own.select("sector", "ticker").distinct(), "sector")
-    full = grid.join(own.select("ticker", "date", "rebased"), ["ticker", "date"], "left")
-    ahead = F.last("rebased", True).over(I.w())
-    back = F.first("rebased", True).over(I.w().rowsBetween(0, Window.unboundedFollowing))
-    return full.withColumn("v", F.coalesce(ahead, back)).groupBy("sector", "date").agg(F.avg("v").alias("index"))
+    """F37 over D21: members rebased to 100, carried over the union of the sector's dates, then averaged.
+
+    A member stands at 100 before its first bar and at its last value on a date
+    without one, so the sector's sum moves by its members' own changes alone:
+    no grid of dates and members is laid out.
+    """
+    rebased = F.col("close") / F.first("close").over(I.w()) * 100
+    own = bars.select("ticker", "date", rebased.alias("v"))
+    own = own.withColumns({"change": F.col("v") - F.coalesce(F.lag("v").over(I.w()), F.lit(100.0)), "first": (F.row_number().over(I.w()) == 1).cast("int")})
+    days = with_sector(own, sectors).groupBy("sector", "date").agg(F.sum("change").alias("change"), F.sum("first").alias("first"))
+    sector = Window.partitionBy("sector")
+    return days.select("sector", "date", (100 + F.sum("change").over(sector.orderBy("date")) / F.sum("first").over(sector)).alias("index"))
 
 
 # --- filters ---------------------------------------------------------------------------------

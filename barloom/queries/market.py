@@ -8,7 +8,7 @@ from ..plans import market as M
 from ..sources.views import BARS, SECTOR_INDEX_BARS, SECTOR_MAP, bars, rnd, sector_index_bars, sector_map, table
 from . import query
 from .indicators import rounded
-from .sqltext import ALL_INDICATORS, LATEST, W, ctes, last, rnds
+from .sqltext import ALL_INDICATORS, LATEST, UNIVERSE, W, ctes, last, rnds
 
 SECTOR_ROWS = f"""
 sr0 AS (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY ticker) AS n_bars, avg(close) OVER {last(50)} AS sma_50, lag(close) OVER ({W}) AS prev,
@@ -88,6 +88,17 @@ def f37(spark, d):
     return M.sector_index(bars(spark, d), sector_map(spark, d)).select("sector", "date", rnd(F.col("index"), 5).alias("index"))
 
 
+#: J17 over ``bars``: what followed the windows most like the latest one.
+ANALOGS = f"""
+, x AS (SELECT *, row_number() OVER ({W}) - 1 AS idx, count(*) OVER (PARTITION BY ticker) AS n, avg(close) OVER a AS m, stddev_pop(close) OVER a AS s, count(*) OVER a AS k, lead(close, 5) OVER ({W}) AS f
+  FROM bars WINDOW a AS ({W} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)),
+cur AS (SELECT e.ticker, b.idx - e.idx AS off, (b.close - e.m) / (e.s + 1e-8) AS z FROM x e JOIN x b ON b.ticker = e.ticker AND b.idx BETWEEN e.idx - 14 AND e.idx WHERE e.idx = e.n - 1),
+sims AS (SELECT e.ticker, e.idx, e.close, e.f, sum((b.close - e.m) / (e.s + 1e-8) * c.z) / 15 AS sim FROM x e JOIN x b ON b.ticker = e.ticker AND b.idx BETWEEN e.idx - 14 AND e.idx
+  JOIN cur c ON c.ticker = e.ticker AND c.off = b.idx - e.idx WHERE e.k = 15 AND e.n >= 25 AND e.idx + 5 < e.n - 15 GROUP BY 1, 2, 3, 4),
+near AS (SELECT *, (f - close) / close AS ret FROM sims QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY sim DESC, idx) <= 5),
+agg AS (SELECT ticker, avg(sim) AS a, avg(ret) AS r, stddev_pop(ret) AS d, sqrt(avg(pow(least(ret, 0), 2))) AS ds FROM near WHERE sim >= 0.6 GROUP BY 1),
+analogs AS (SELECT ticker, a * 100 * greatest(0, 1 - least(d * 5, 0.5)) * greatest(0.5, 1 - ds * 5) AS confidence, r * 100 AS projected_pct FROM agg)"""
+
 # --- the matrix ------------------------------------------------------------------------------
 
 MATRIX = f"""
@@ -111,7 +122,7 @@ matrix AS (SELECT *, least(greatest((n_bars - 25) / 225.0, 0), 1) * 0.5 + 0.5 AS
   + CASE WHEN weekly_aligned AND (raw_action = 'STRONG BUY' OR brk OR (dip AND confirmed)) THEN 15 ELSE 0 END - CASE WHEN liquid THEN 0 ELSE 40 END AS trend_bonus FROM conf JOIN sector_map USING (ticker)),
 scored AS (SELECT *, (range_pos * 0.05 + trend_bonus) * weight AS score, CASE WHEN n_bars < 20 THEN 'Very Low (New/Short History)' WHEN n_bars < 60 THEN 'Low (<3 Months)' WHEN n_bars < 150 THEN 'Medium (<1 Year)' ELSE 'High (1Y+)' END AS confidence_tier,
   CASE WHEN starts_with(raw_action, 'STRONG BUY') THEN 'STRONG BUY' WHEN brk THEN 'BREAKOUT BUY' WHEN dip THEN 'BUY ON DIP' WHEN raw_action = 'ACCUMULATE' THEN 'ACCUMULATE' END AS category FROM matrix)"""
-MATRIX_BASE = ctes(*ALL_INDICATORS, LATEST, SECTOR_MAP, MATRIX)
+MATRIX_BASE = ctes(UNIVERSE, *ALL_INDICATORS[1:], LATEST, SECTOR_MAP, MATRIX)
 
 
 def matrix_of(spark, d):
@@ -129,6 +140,19 @@ def k2(spark, d):
     return df.select("ticker", "sector", "raw_action", "confirmed", "unmet", "liquid", "weekly_aligned", "confidence_tier", *rounded(df, 4, "trend_bonus", "score", "stop", "take_profit"))
 
 
+@query("K2_I11_I12_C5_matrix_with_analogs", ctes(UNIVERSE, *ALL_INDICATORS[1:], LATEST, SECTOR_MAP, MATRIX) + ANALOGS + f"""
+, x2 AS (SELECT s.*, coalesce(confidence, 0) AS confidence, projected_pct FROM scored s LEFT JOIN analogs USING (ticker))
+SELECT ticker, raw_action, confidence >= 60 AS pattern_confirmed, {rnds(4, '(confidence * 0.3 + coalesce(projected_pct, 0) * 1.5 + range_pos * 0.05 + trend_bonus) * weight AS score',
+  'confidence * 0.3 AS pattern', 'coalesce(projected_pct, 0) * 1.5 AS projected', "close * (1 + CASE WHEN projected_pct IS NOT NULL THEN greatest(projected_pct, 2) / 100 ELSE coalesce(atr_14 * 2.5 / close, 0.03) END + 0.007) AS take_profit")} FROM x2""")
+def k2_analogs(spark, d):
+    from ..operators.structure import analog_match
+
+    b = bars(spark, d)
+    df = M.matrix(b, sector_map(spark, d), analogs=analog_match(M.universe(b)))
+    df = df.select("*", "breakdown.pattern", "breakdown.projected")
+    return df.select("ticker", "raw_action", M.presets()["pattern_confirmed"].alias("pattern_confirmed"), *rounded(df, 4, "score", "pattern", "projected", "take_profit"))
+
+
 @query("G1_G2_top_per_category", MATRIX_BASE + f"""SELECT category, rank, ticker, {rnds(4, 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, ticker) AS rank
   FROM scored WHERE liquid AND category IS NOT NULL AND CAST(substr(ticker, 2) AS integer) % 5 <> 0) WHERE rank <= 10""")
 def g2(spark, d):

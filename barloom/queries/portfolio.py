@@ -39,10 +39,20 @@ def k4(spark, d):
     return P.exits(owned(spark, d), b, matrix_of(spark, d), "2002-01-01").select("c_custkey", "ticker", "price", "stop", "pnl_pct", "days", "drawdown_pct", "net_pnl", "breakeven_shares", "action")
 
 
-@query("K5_market_state", ctes(INDEX_BARS, SECTOR_INDEX_BARS, REGIME_SQL.replace("FROM index_bars", "FROM (SELECT * FROM index_bars UNION ALL SELECT * FROM sector_index_bars)")) + "SELECT ticker AS name, arg_max(regime, date) AS state, max(date) AS date FROM regimes GROUP BY 1")
+@query("K5_market_state", ctes(INDEX_BARS, SECTOR_INDEX_BARS, REGIME_SQL.replace("FROM index_bars", "FROM (SELECT * FROM index_bars UNION ALL SELECT * FROM sector_index_bars)")) + """
+, p AS (SELECT a.date, a.close AS a, b.close AS b FROM sector_index_bars a JOIN sector_index_bars b USING (date) WHERE a.ticker = '.N1' AND b.ticker = '.N2'),
+q AS (SELECT date, CASE WHEN count(*) OVER s = 50 THEN CASE WHEN avg(a / b) OVER f > avg(a / b) OVER s THEN 'a' WHEN avg(a / b) OVER f < avg(a / b) OVER s THEN 'b' ELSE 'flat' END END AS turn FROM p
+  WINDOW f AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), s AS (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+turns AS (SELECT date, lag(turn) OVER (ORDER BY date) AS turn FROM q),
+l AS (SELECT 'a' AS ticker, date, a AS close FROM p UNION ALL SELECT 'b', date, b FROM p),
+k AS (SELECT *, close >= coalesce(max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), close) AND close >= coalesce(max(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), close) AS peak FROM l),
+r AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM k WHERE peak),
+v AS (SELECT max(close) FILTER (WHERE ticker = 'a' AND r = 1) - max(close) FILTER (WHERE ticker = 'a' AND r = 2) AS a, max(close) FILTER (WHERE ticker = 'b' AND r = 1) - max(close) FILTER (WHERE ticker = 'b' AND r = 2) AS b FROM r)
+SELECT ticker AS name, arg_max(regime, date) AS state, max(date) AS date FROM regimes GROUP BY 1
+UNION ALL (SELECT 'rotation', turn, date FROM turns ORDER BY date DESC LIMIT 1)
+UNION ALL SELECT 'divergence', CASE WHEN (SELECT count(*) FROM p) < 60 THEN 'unavailable' WHEN a > 0 AND b < 0 THEN 'bearish' WHEN a < 0 AND b > 0 THEN 'bullish' ELSE 'none' END, (SELECT max(date) FROM regimes) FROM v""")
 def k5(spark, d):
-    out = P.market_state(index_bars(spark, d), sector_index_bars(spark, d), (".N1", ".N2"))
-    return out.where("name not in ('rotation', 'divergence')")
+    return P.market_state(index_bars(spark, d), sector_index_bars(spark, d), (".N1", ".N2"))
 
 
 @query("G8_top_mover", MATRIX_BASE + f"SELECT arg_max(ticker, {{'s': score, 't': ticker}}) AS ticker, {rnds(4, 'max(score) AS score')} FROM scored WHERE contains(raw_action, 'BUY')")

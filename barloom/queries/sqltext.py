@@ -93,6 +93,13 @@ ind AS (SELECT x.*, coalesce(w.w_sma_50, sma_50) AS w_sma_50, coalesce(w.w_rsi,
       WHEN close < sma_50 AND rsi_14 < 40 THEN 'Weak Bearish (Low Trend Strength)' ELSE 'Weak Bearish' END AS trend_class
     FROM ind3 x JOIN wdaily w USING (ticker, date))"""
 
+#: ``bars`` as the market scan takes them: the last 400 days, each ticker from its last gap over 25 days on if 15 bars remain.
+UNIVERSE = BARS.replace("bars", "bars0") + f""",
+back AS (SELECT * FROM bars0 WHERE date >= (SELECT max(date) FROM bars0) - 400),
+back_gap AS (SELECT *, CASE WHEN date - lag(date) OVER ({W}) > 25 THEN date END AS cut FROM back),
+back_cut AS (SELECT ticker, max(cut) AS start FROM back_gap GROUP BY 1),
+back_left AS (SELECT ticker, start, count(*) AS remaining FROM back JOIN back_cut USING (ticker) WHERE start IS NULL OR date >= start GROUP BY 1, 2),
+bars AS (SELECT back.* FROM back JOIN back_left USING (ticker) WHERE start IS NULL OR remaining < 15 OR date >= start)"""
 #: Everything that ``ind`` needs.
 ALL_INDICATORS = (BARS, NUMBERED, SMOOTH_1, SMOOTH_2, WEEKLY, INDICATORS)
 LATEST = "latest AS (SELECT * FROM ind WHERE i = n_bars)"

@@ -256,10 +256,11 @@ def e23(spark, d):
     return df.select("deals", *rounded(df, 2, "turnover", "portfolio_value"))
 
 
-@query("E18_I18_E36_exit_actions", LEDGER_BASE + """SELECT action, count(*) AS count FROM (SELECT CASE WHEN (value / cost - 1) * 100 <= -1 THEN 'CUT LOSS' WHEN (value / cost - 1) * 100 >= 1 THEN 'TAKE PROFIT' ELSE 'HOLD' END AS action FROM held) GROUP BY 1""")
+@query("E18_I18_E36_exit_actions", LEDGER_BASE + """SELECT action, count(*) AS count FROM (SELECT CASE WHEN days_held < 15 THEN 'HOLD' WHEN (price / cost - 1) * 100 <= -8 OR (price < cost * 1.05 * 0.92 AND (price / cost - 1) * 100 < 0) THEN 'CUT LOSS' WHEN price >= cost * 1.05 THEN 'TAKE PROFIT' ELSE 'HOLD' END AS action FROM (SELECT *, cost + (value - cost) * 8 AS price FROM held)) GROUP BY 1""")
 def e36(spark, d):
-    p = F.col("value") / F.col("cost")
-    rows = held_of(spark, d).withColumn("action", F.when((p - 1) * 100 <= -1, "CUT LOSS").when((p - 1) * 100 >= 1, "TAKE PROFIT").otherwise("HOLD"))
+    held = held_of(spark, d).withColumn("price", F.col("cost") + (F.col("value") - F.col("cost")) * 8)  # wide enough for all three actions
+    held = held.withColumns({"pnl": (F.col("price") / F.col("cost") - 1) * 100, "mark": F.col("cost") * 1.05})
+    rows = held.withColumn("action", R.exit_action("days_held", "pnl", "price", "mark", "mark"))
     return S.action_counts(rows)
 
 

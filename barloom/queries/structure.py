@@ -241,7 +241,7 @@ def j17(spark, d):
 def k3(spark, d):
     from .market import _index_of
 
-    b = bars(spark, d)
+    b = M.universe(bars(spark, d))
     zones = S.support_resistance(b).where("side = 'resistance' and rank = 1").select("ticker", F.col("level").alias("resistance"))
     from ..operators import indicators as I
 
