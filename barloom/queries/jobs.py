@@ -296,7 +296,14 @@ def _alerts(spark, d):
     return e.select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("alert_key"), F.to_date("ts").alias("event_date"))
 
 
-@query("K18_L4_alert_dedup")
+#: A key's dates in order; from each the first that lies three days or more behind it; the chain from the first.
+ALERTS = """WITH RECURSIVE d AS (SELECT DISTINCT event_type || ':' || user_id % 20 AS alert_key, CAST(ts AS date) AS event_date FROM events),
+n AS (SELECT a.alert_key, a.event_date, min(b.event_date) AS after FROM d a LEFT JOIN d b ON a.alert_key = b.alert_key AND b.event_date >= a.event_date + 3 GROUP BY 1, 2),
+fired AS (SELECT * FROM n WHERE (alert_key, event_date) IN (SELECT (alert_key, min(event_date)) FROM n GROUP BY alert_key) UNION ALL SELECT n.* FROM fired f JOIN n ON n.alert_key = f.alert_key AND n.event_date = f.after)
+SELECT alert_key, event_date FROM fired"""
+
+
+@query("K18_L4_alert_dedup", ALERTS)
 def l4(spark, d):
     return P.dedupe_alerts(_alerts(spark, d), 3)
 

@@ -8,7 +8,7 @@ from ..plans import market as M
 from ..sources.views import BARS, SECTOR_INDEX_BARS, SECTOR_MAP, bars, rnd, sector_index_bars, sector_map, table
 from . import query
 from .indicators import rounded
-from .sqltext import ALL_INDICATORS, LATEST, UNIVERSE, W, ctes, last, rnds
+from .sqltext import ACTIONS, ALL_INDICATORS, LATEST, UNIVERSE, W, ctes, last, rnds
 
 SECTOR_ROWS = f"""
 sr0 AS (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY ticker) AS n_bars, avg(close) OVER {last(50)} AS sma_50, lag(close) OVER ({W}) AS prev,
@@ -101,22 +101,7 @@ analogs AS (SELECT ticker, a * 100 * greatest(0, 1 - least(d * 5, 0.5)) * greate
 
 # --- the matrix ------------------------------------------------------------------------------
 
-MATRIX = f"""
-act AS (SELECT *, coalesce(pc, close) <= prev_sma AND close > sma_50 AS crossover, close > ema_20 AND rsi_14 >= 55 AS momentum, volume_avg >= 50000 AS liquid,
-  close > w_sma_50 AND w_rsi >= 50 AS weekly_aligned FROM latest WHERE n_bars >= 15),
-raw AS (SELECT *, CASE WHEN close <= sma_50 * 0.75 AND rsi_14 <= 28 THEN 'SELL / AVOID' WHEN range_pos >= 88 AND rsi_14 BETWEEN 58 AND 72 AND gap_pct >= 0.2 THEN 'STRONG BUY'
-  WHEN crossover AND momentum AND gap_pct >= 0 THEN 'BREAKOUT BUY (X-OVER + MOMENTUM)' WHEN crossover AND gap_pct >= 0 THEN 'BREAKOUT BUY (X-OVER)'
-  WHEN momentum AND gap_pct >= 0 THEN 'BREAKOUT BUY (MOMENTUM)' WHEN close < sma_50 * 0.97 AND rsi_14 <= 42 AND cmf_20 <= -0.05 THEN 'SELL / AVOID (TREND)'
-  WHEN range_pos <= 20 OR rsi_14 <= 35 THEN 'BUY ON DIP' WHEN range_pos >= 45 AND rsi_14 >= 45 AND cmf_20 >= 0 AND (close >= ema_20 OR close >= sma_50) THEN 'ACCUMULATE'
-  ELSE 'HOLD / NEUTRAL' END AS raw_action FROM act),
-gate AS (SELECT *, raw_action = 'BUY ON DIP' AS dip, starts_with(raw_action, 'BREAKOUT') AS brk,
-  adx_14 >= 22 AND (volume_ratio >= 1.6 OR vol_z_score >= 1.5) AS strong, close >= vwap_20 * 1.01 AS vwap_ok FROM raw),
-conf AS (SELECT *, CASE WHEN raw_action = 'STRONG BUY' THEN strong AND vwap_ok WHEN brk THEN strong AND vwap_ok AND bb_kc_squeeze WHEN dip THEN weekly_aligned AND cmf_20 >= 0.15 ELSE true END AS confirmed,
-  CASE WHEN raw_action = 'STRONG BUY' OR brk THEN concat_ws(', ', CASE WHEN NOT strong THEN 'low ADX/volume' END, CASE WHEN NOT vwap_ok THEN 'below VWAP' END, CASE WHEN brk AND NOT bb_kc_squeeze THEN 'no squeeze release' END)
-    WHEN dip THEN concat_ws(', ', CASE WHEN NOT weekly_aligned THEN 'weekly trend not aligned' END, CASE WHEN cmf_20 < 0.15 THEN 'CMF below accumulation floor' END) ELSE '' END AS unmet,
-  CASE raw_action WHEN 'SELL / AVOID' THEN -45.0 WHEN 'SELL / AVOID (TREND)' THEN -27.0 WHEN 'STRONG BUY' THEN 48.0 WHEN 'BREAKOUT BUY (X-OVER + MOMENTUM)' THEN 56.0 WHEN 'BREAKOUT BUY (X-OVER)' THEN 32.0
-    WHEN 'BREAKOUT BUY (MOMENTUM)' THEN 24.0 WHEN 'BUY ON DIP' THEN 30.0 WHEN 'ACCUMULATE' THEN 10.0 ELSE 0.0 END AS base,
-  CASE WHEN raw_action IN ('STRONG BUY', 'ACCUMULATE', 'BUY ON DIP') OR brk THEN CASE WHEN cmf_20 >= 0.15 THEN 12.0 ELSE 0.0 END + CASE WHEN bb_kc_squeeze THEN 8.0 ELSE 0.0 END ELSE 0.0 END AS extras FROM gate),
+MATRIX = ACTIONS + f""",
 matrix AS (SELECT *, least(greatest((n_bars - 25) / 225.0, 0), 1) * 0.5 + 0.5 AS weight,
   CASE WHEN dip THEN (base + extras) * CASE WHEN confirmed THEN 1 ELSE 0.25 END ELSE base * CASE WHEN confirmed THEN 1 ELSE 0.25 END + extras END
   + CASE WHEN weekly_aligned AND (raw_action = 'STRONG BUY' OR brk OR (dip AND confirmed)) THEN 15 ELSE 0 END - CASE WHEN liquid THEN 0 ELSE 40 END AS trend_bonus FROM conf JOIN sector_map USING (ticker)),

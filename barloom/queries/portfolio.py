@@ -33,10 +33,16 @@ def d9(spark, d):
     return df.select("c_custkey", "ticker", "has_data", *rounded(df, 4, "value", "target_price", "target_pct"))
 
 
-@query("K4_exits")
+@query("K4_exits", MATRIX_BASE + f""", {OWNED},
+k AS (SELECT c_custkey, ticker, buy_price, shares, purchase_date, n_bars, vwap_20, coalesce(close, buy_price) AS price, n_bars IS NOT NULL AS long, CASE WHEN atr_14 > 0 THEN atr_14 ELSE coalesce(close, buy_price) * 0.02 END AS atr FROM owned LEFT JOIN scored USING (ticker)),
+p AS (SELECT o.ticker, o.purchase_date, max(close) AS peak FROM (SELECT DISTINCT ticker, purchase_date FROM owned) o JOIN bars0 b ON b.ticker = o.ticker AND b.date >= o.purchase_date GROUP BY 1, 2),
+v AS (SELECT k.*, coalesce(peak, greatest(buy_price, price)) AS peak, (price / buy_price - 1) * 100 AS pnl_pct, CASE WHEN long THEN price - 2 * atr ELSE price * 0.95 END AS stop, price * (1 + CASE WHEN long THEN coalesce(atr * 2.5 / price, 0.03) ELSE 0.05 END + 0.007) AS tp FROM k LEFT JOIN p USING (ticker, purchase_date))
+SELECT c_custkey, ticker, CAST(DATE '2002-01-01' - purchase_date AS integer) AS days, {rnds(4, 'price', 'stop', 'pnl_pct', '(price / peak - 1) * 100 AS drawdown_pct', '(price - buy_price) * shares - (price + buy_price) * shares * 0.0035 AS net_pnl')},
+CASE WHEN price * 1.007 >= buy_price THEN 0 ELSE CAST(ceil(shares * (buy_price - price * 1.007) / (price * 1.007 - price) - 1e-9) AS bigint) END AS breakeven_shares,
+CASE WHEN NOT long THEN 'HOLD' WHEN pnl_pct <= -8 OR (price < coalesce(vwap_20, price) * 0.92 AND pnl_pct < 0) THEN 'CUT LOSS' WHEN price >= tp THEN 'TAKE PROFIT' ELSE 'HOLD' END AS action FROM v""")
 def k4(spark, d):
-    b = bars(spark, d)
-    return P.exits(owned(spark, d), b, matrix_of(spark, d), "2002-01-01").select("c_custkey", "ticker", "price", "stop", "pnl_pct", "days", "drawdown_pct", "net_pnl", "breakeven_shares", "action")
+    out = P.exits(owned(spark, d), bars(spark, d), matrix_of(spark, d), "2002-01-01")
+    return out.select("c_custkey", "ticker", "days", *rounded(out, 4, "price", "stop", "pnl_pct", "drawdown_pct", "net_pnl"), "breakeven_shares", "action")
 
 
 @query("K5_market_state", ctes(INDEX_BARS, SECTOR_INDEX_BARS, REGIME_SQL.replace("FROM index_bars", "FROM (SELECT * FROM index_bars UNION ALL SELECT * FROM sector_index_bars)")) + """

@@ -13,7 +13,7 @@ from ..plans import events as V
 from ..sources.views import BARS, INDEX_BARS, SECTOR_MAP, bars, index_bars, rnd, sector_map, table
 from . import SQL, query
 from .indicators import REGIME_SQL, rounded
-from .sqltext import W, ctes, last, rnds
+from .sqltext import ACTIONS, ALL_INDICATORS, UNIVERSE, W, ctes, last, recursive, rnds
 
 CASES = {
     name: "CASE " + " ".join(f"WHEN {col} < {e} THEN '{label}'" for e, label in zip(*rule)) + f" ELSE '{rule[1][-1]}' END"
@@ -154,15 +154,34 @@ for _name, _f in EVERY_BAR.items():
     query(f"{_name}_every_bar", _sql)(partial(_f, every=1))
 
 
-@query("K6_C15_I11_event_study")
+#: K6 as a walk from signal to signal: each signal's exit, the next signal behind it, and the chain from a fold's first.
+STUDY = (
+    UNIVERSE.replace("WHERE date >= (SELECT max(date) FROM bars0) - 400", ""), *ALL_INDICATORS[1:], SECTOR_MAP, ACTIONS.replace("FROM latest WHERE n_bars >= 15", "FROM ind"), """
+sb AS (SELECT *, i - 1 AS s, liquid AND confirmed AND (raw_action IN ('STRONG BUY', 'ACCUMULATE') OR brk OR dip) AS signal, CASE WHEN atr_14 > 0 THEN atr_14 ELSE close * 0.02 END AS a FROM conf JOIN sector_map USING (ticker)),
+sg AS (SELECT *, (s - 250) // 60 + 1 AS fold, least(s + 61, 250 + 60 * fold - 1, n_bars - 1) AS last, round_even(greatest(close - 2 * a, 0.0001), 4) AS stop, round_even(close * (1 + greatest(a * 2.5 / close, 0.02) + 0.007), 4) AS target
+  FROM sb WHERE signal AND s >= 250 AND 250 + 60 * fold <= n_bars AND s + 1 < 250 + 60 * fold),
+sx AS (SELECT g.ticker, g.s, min(b.s) FILTER (WHERE b.low <= stop) AS down, min(b.s) FILTER (WHERE b.high >= target) AS up FROM sg g JOIN sb b ON b.ticker = g.ticker AND b.s BETWEEN g.s + 1 AND last GROUP BY 1, 2),
+so AS (SELECT g.*, coalesce(least(down, up), last) AS x, CASE WHEN down <= coalesce(up, down) THEN 'stop_loss' WHEN up IS NOT NULL THEN 'take_profit' WHEN last < 250 + 60 * fold - 1 THEN 'max_hold' ELSE 'fold_end' END AS why FROM sg g JOIN sx USING (ticker, s)),
+sn AS (SELECT o.*, (SELECT min(n.s) FROM sg n WHERE n.ticker = o.ticker AND n.fold = o.fold AND n.s > o.x) AS after FROM so o),
+chain AS (SELECT * FROM sn WHERE (ticker, fold, s) IN (SELECT (ticker, fold, min(s)) FROM sn GROUP BY ticker, fold) UNION ALL SELECT n.* FROM chain c JOIN sn n ON n.ticker = c.ticker AND n.fold = c.fold AND n.s = c.after),
+t2 AS (SELECT c.ticker, CAST(c.fold AS integer) AS fold, c.raw_action AS action, e.date AS entry_date, e.open AS entry_price, x.date AS exit_date, CASE why WHEN 'stop_loss' THEN stop WHEN 'take_profit' THEN target ELSE x.close END AS exit_price, why AS exit_reason,
+  round((CASE why WHEN 'stop_loss' THEN stop WHEN 'take_profit' THEN target ELSE x.close END / e.open - 1) * 100 - 0.7, 3) AS return_pct, CAST(c.x - c.s - 1 AS integer) AS holding_bars, c.sector, c.adx_14 AS adx, c.rsi_14 AS rsi, c.gap_pct, c.volume_ratio AS vol_ratio, c.vol_z_score AS vol_z
+  FROM chain c JOIN sb e ON e.ticker = c.ticker AND e.s = c.s + 1 JOIN sb x ON x.ticker = c.ticker AND x.s = c.x)""")
+
+
+@query("K6_C15_I11_event_study", recursive(ctes(*STUDY)) + f"SELECT ticker, fold, action, entry_date, entry_price, exit_date, exit_price, exit_reason, return_pct, holding_bars, sector, {rnds(3, 'adx', 'rsi', 'gap_pct', 'vol_ratio', 'vol_z')} FROM t2")
 def k6(spark, d):
-    return V.event_study(bars(spark, d), sector_map(spark, d))
+    df = V.event_study(bars(spark, d), sector_map(spark, d))
+    kept = [c for c in df.columns if c not in ("adx", "rsi", "gap_pct", "vol_ratio", "vol_z")]
+    return df.select(*kept, *rounded(df, 3, "adx", "rsi", "gap_pct", "vol_ratio", "vol_z"))
 
 
-@query("K7_trade_stats")
+@query("K7_trade_stats", recursive(ctes(*STUDY, INDEX_BARS, REGIME_SQL, TRADES[TRADES.index("trades AS (") :].replace("t2.* EXCLUDE (close, date)", "t2.*"))) + " UNION ALL ".join(
+    f"SELECT '{k}' AS factor, {c} AS bucket, {FINISH} FROM (SELECT {c}, {BUCKET}, count(*) FILTER (WHERE return_pct > 0) * 1.0 / count(*) AS p FROM xt GROUP BY 1)" for k, c in S.FACTORS.items()
+))
 def k7(spark, d):
     t = S.with_buckets(S.with_benchmark(V.event_study(bars(spark, d), sector_map(spark, d)), I.regime_series(index_bars(spark, d))))
-    return S.factor_report(t)
+    return _finished(S.factor_report(t), "factor", "bucket")
 
 
 # --- positions -------------------------------------------------------------------------------

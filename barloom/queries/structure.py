@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as S
 from ..plans import market as M
-from ..sources.views import BARS, SECTOR_INDEX_BARS, bars, sector_index_bars, sector_map
+from ..sources.views import BARS, SECTOR_INDEX_BARS, SECTOR_MAP, bars, sector_index_bars, sector_map
 from . import query
-from .indicators import rounded
-from .sqltext import W, ctes, rnds
+from .indicators import ATR_PERCENTILE_SQL, rounded
+from .market import ANALOGS
+from .sqltext import ACTIONS, ALL_INDICATORS, UNIVERSE, W, ctes, last, recursive, rnds
 
 B, A = f"({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", f"({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
 
@@ -84,10 +85,6 @@ UNION ALL SELECT ticker, CASE kind WHEN 'P' THEN 'Double Top' ELSE 'Double Botto
   WHERE i2 IS NOT NULL AND {_pd('p0', 'p2')} <= 0.03 AND abs((p0 + p2) / 2 - p1) / ((p0 + p2) / 2) >= 0.045)"""
 
 
-def recursive(sql: str) -> str:
-    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 def by_level(patterns):
     """One row per level of a pattern, to be compared."""
     rows = patterns.select("ticker", "pattern", "direction", "start_index", "end_index", "quality", F.explode("levels").alias("level", "price"))
@@ -237,7 +234,39 @@ def j17(spark, d):
     return df.select("ticker", "sample_size", *rounded(df, 4, "confidence", "projected_pct", "dispersion_pct"))
 
 
-@query("K3_G3_watchlist")
+def _grade(v: str, soft_lo, lo, hi, soft_hi, points) -> str:
+    return f"""CASE WHEN {v} BETWEEN {lo} AND {hi} THEN {points}.0 WHEN {v} > {soft_lo} AND {v} < {lo} THEN {points} * ({v} - {soft_lo}) / nullif({lo - soft_lo}, 0)
+    WHEN {v} > {hi} AND {v} < {soft_hi} THEN {points} * ({soft_hi} - {v}) / nullif({soft_hi - hi}, 0) ELSE 0 END"""
+
+
+WATCH_POINTS = {
+    "squeeze": "CASE WHEN bb_kc_squeeze THEN 25.0 ELSE 0 END", "adx": f"({_grade('adx_14', 8, 15, 25, 34, 20)}) * CASE WHEN adx_rising THEN 1 ELSE 0.4 END", "rsi": _grade("rsi_14", 42, 50, 65, 73, 15),
+    "volume": _grade("volume_build", 0.9, 1.25, 10, 10, 15), "range": _grade("range_pos", 62, 87, 100, 100, 15), "flow": "CASE WHEN cmf_20 > 0 THEN 10.0 ELSE 0 END", "weekly": "CASE WHEN weekly_aligned THEN 10.0 ELSE 0 END",
+    "sector": _grade("(ret_5 - coalesce(sector_5d, 0))", 0, 6, 999, 999, 12), "index": _grade("(ret_5 - index_5d)", 0, 5, 999, 999, 10), "analog": "CASE WHEN projected_pct > 0 THEN least(12.0, confidence * 0.12) ELSE 0 END",
+    "failed": "CASE WHEN high_10 >= resistance * 0.98 AND close <= resistance * 0.95 THEN -15.0 ELSE 0 END", "dry_up": _grade("dry_up", -1, -1, 0.75, 0.95, 12), "contraction": _grade("atr_percentile", -1, -1, 40, 65, 10),
+    "up_down": _grade("up_down_volume", 0.9, 1.3, 999, 999, 10),
+}
+WATCH = f"""
+wb0 AS (SELECT *, close >= lag(close) OVER ({W}) AS up FROM ind),
+wb AS (SELECT *, CASE WHEN n_bars >= 10 THEN coalesce(avg(volume) OVER {last(5)} / nullif(avg(volume) OVER ({W} ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING), 0), 0) ELSE 1 END AS volume_build,
+  CASE WHEN n_bars >= 50 THEN avg(volume) OVER {last(10)} / nullif(avg(volume) OVER {last(50)}, 0) END AS dry_up, sum(CASE WHEN up THEN volume ELSE 0 END) OVER {last(15)} AS uv, sum(CASE WHEN NOT up THEN volume ELSE 0 END) OVER {last(15)} AS dv,
+  i > 6 AND adx_14 > lag(adx_14, 5) OVER ({W}) AS adx_rising, coalesce((close - lag(close, 5) OVER ({W})) / lag(close, 5) OVER ({W}) * 100, 0) AS ret_5, max(high) OVER {last(10)} AS high_10 FROM wb0),
+latest AS (SELECT *, CASE WHEN i >= 16 THEN CASE WHEN dv > 0 THEN uv / dv WHEN uv > 0 THEN 1.3 END END AS up_down_volume FROM wb WHERE i = n_bars)"""
+WATCHED = f"""
+near_zone AS (SELECT ticker, level FROM zones WHERE side = 'resistance' AND rank = 1),
+sector_mean AS (SELECT sector, avg(ret_5) AS sector_5d FROM latest JOIN sector_map USING (ticker) WHERE n_bars >= 6 GROUP BY 1),
+ix AS (SELECT ticker AS index_ticker, (close - lag(close, 5) OVER ({W})) / lag(close, 5) OVER ({W}) * 100 AS index_5d, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM sector_index_bars),
+sector_ix AS (SELECT n_name AS sector, index_5d FROM nation JOIN ix ON index_ticker = '.N' || n_nationkey AND r = 1 WHERE n_nationkey % 2 = 0),
+wj AS (SELECT c.*, sector, sector_5d, index_5d, atr_percentile, coalesce(level, range_high) AS resistance, confidence, projected_pct FROM conf c JOIN sector_map USING (ticker) LEFT JOIN sector_mean USING (sector) LEFT JOIN sector_ix USING (sector)
+  LEFT JOIN atrp USING (ticker) LEFT JOIN near_zone USING (ticker) LEFT JOIN analogs USING (ticker) WHERE liquid AND n_bars >= 20),
+wp AS (SELECT *, {", ".join(f"{v} AS p_{k}" for k, v in WATCH_POINTS.items())} FROM wj),
+ws AS (SELECT *, greatest({" + ".join(f"p_{k}" for k in WATCH_POINTS)}, 0) AS breakout_score FROM wp WHERE NOT (raw_action = 'STRONG BUY' OR brk OR starts_with(raw_action, 'SELL'))),
+wr AS (SELECT *, row_number() OVER (PARTITION BY breakout_score >= 65 ORDER BY breakout_score DESC, ticker) AS rank FROM ws WHERE breakout_score >= 35)"""
+
+
+@query("K3_G3_watchlist", ctes(UNIVERSE, *ALL_INDICATORS[1:], SECTOR_MAP, SECTOR_INDEX_BARS, WATCH, ACTIONS, ATR_PERCENTILE_SQL, ZONES, ANALOGS.strip().removeprefix(","), WATCHED) + f"""
+SELECT ticker, CASE WHEN breakout_score < 65 THEN 'Watching' WHEN breakout_score >= 78 THEN 'High Confidence' ELSE 'Confirmed' END AS tier, CAST(rank AS integer) AS rank,
+{rnds(3, 'breakout_score', 'greatest((resistance - close) / close * 100, 0) AS dist_to_resistance_pct', *(f'p_{k}' for k in WATCH_POINTS))} FROM wr WHERE rank <= CASE WHEN breakout_score >= 65 THEN 25 ELSE 10 END""")
 def k3(spark, d):
     from .market import _index_of
 
@@ -248,4 +277,5 @@ def k3(spark, d):
     ret = I.latest(sector_index_bars(spark, d).withColumn("index_5d", I.n_bar_return(5))).select(F.col("ticker").alias("index_ticker"), "index_5d")
     index_returns = _index_of(spark, d).join(ret, "index_ticker").select("sector", "index_5d")
     out = M.watchlist(b, sector_map(spark, d), zones, index_returns, analogs=S.analog_match(b))
-    return M.watchlist_tiers(out).select("ticker", "tier", "rank", "breakout_score", "dist_to_resistance_pct", "points")
+    out = M.watchlist_tiers(out).withColumns({f"p_{k}": F.col(f"points.{k}") for k in WATCH_POINTS})
+    return out.select("ticker", "tier", "rank", *rounded(out, 3, "breakout_score", "dist_to_resistance_pct", *(f"p_{k}" for k in WATCH_POINTS)))
