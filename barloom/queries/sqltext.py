@@ -13,7 +13,7 @@ def rnds(k: int, *names: str) -> str:
     return ", ".join(f"{sql_rnd(n.split(' AS ')[0], k)} AS {n.split(' AS ')[-1]}" for n in names)
 
 
-def ewm(name: str, source: str, columns: dict[str, tuple[str, str, int]]) -> str:
+def ewm(name: str, source: str, columns: dict[str, tuple[str, str, int | str]]) -> str:
     """Closed form of exponential smoothing: column -> (input, alpha, number of the first bar)."""
     sums = ", ".join(
         f"sum(CASE WHEN b.i = {first} THEN pow(1 - {alpha}, a.i - b.i) WHEN b.i > {first} THEN ({alpha}) * pow(1 - {alpha}, a.i - b.i) END * b.{x}) AS {c}"
@@ -51,9 +51,10 @@ SMOOTH_1 = ewm(
     },
 )
 SMOOTH_2 = """
-dx AS (SELECT *, ema_12 - ema_26 AS macd,
+dx0 AS (SELECT *, ema_12 - ema_26 AS macd,
     CASE WHEN i > 1 THEN 100 * abs(spdm - smdm) / nullif(spdm + smdm, 0) END AS dx FROM smooth1),
-""" + ewm("smooth2", "dx", {"macd_signal": ("macd", _alpha(9), 1), "adx": ("dx", "1.0 / 14", 2)})
+dx AS (SELECT *, min(i) FILTER (WHERE dx IS NOT NULL) OVER (PARTITION BY ticker) AS dx_from FROM dx0),
+""" + ewm("smooth2", "dx", {"macd_signal": ("macd", _alpha(9), 1), "adx": ("dx", "1.0 / 14", "b.dx_from")})  # from the first bar that has a value
 
 WEEKLY = """
 weeks AS (SELECT ticker, CAST(date AS date) + CAST((12 - isodow(date)) % 7 AS integer) AS label, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
