@@ -130,6 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = marked.where(F.pmod(F.xxhash64("id"), F.lit(span)) < int(min(1.0, sample / n) * span))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(texts.join(F.broadcast(part), "id").select("text", "good"), "labelled")  # at most about SAMPLE ids
+    found, right = rows.agg(F.count("*"), F.sum("good")).head()  # labels may be of other documents
+    if not found or not right or right == found:
+        return Classifier(spark, [0.0] * len(FEATURES), 5.0, {}, 0.5)
     base = of / n
     model = Classifier(spark, [], 0.0, fit_lexicon(rows, base), base)
     data = rows.select(array_to_vector(_measured(F.col("text"), model.lexicon)).alias("features"), F.col("good").cast("double").alias("label"))
