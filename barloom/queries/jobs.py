@@ -335,7 +335,7 @@ def l7(spark, d):
     return jobs.collect_stream(out, shared_dir(spark, "l7"), "complete")
 
 
-@query("L4_alert_dedup_stream")
+@query("L4_alert_dedup_stream", ALERTS)
 def l4s(spark, d):
     stream = jobs.events_stream(spark, f"{d}/[e]vents.parquet")
     keyed = stream.select(F.concat_ws(":", "event_type", (F.col("user_id") % 20).cast("string")).alias("alert_key"), F.to_date("ts").alias("event_date"))
