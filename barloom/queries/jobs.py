@@ -286,7 +286,10 @@ def d14(spark, d):
     return P.choose_candidate(P.price_matches(b, wanted, AS_OF), True).select("id", "candidates", "chosen")
 
 
-@query("K15_repair_pick_dates")
+@query("K15_repair_pick_dates", ctes(BARS, PICKS) + f"""
+, m AS (SELECT p.id, b.date, p.achieved_date AS anchor FROM bars b JOIN picks p USING (ticker) WHERE b.date <= DATE '{AS_OF}' AND abs(b.close - p.ref_price) <= greatest(p.ref_price * 0.5 / 100, 1e-9)),
+c AS (SELECT id, CASE WHEN count(DISTINCT date) = 1 THEN min(date) ELSE max(date) FILTER (WHERE date <= anchor) END AS chosen FROM m GROUP BY 1)
+SELECT id, ticker, pick_date, chosen AS repaired_date, chosen IS NULL AS review FROM picks LEFT JOIN c USING (id)""")
 def k15(spark, d):
     return P.repair_pick_dates(picks_of(spark, d), bars(spark, d), AS_OF).select("id", "ticker", "pick_date", "repaired_date", "review")
 
