@@ -240,7 +240,7 @@ def sector_index(bars: DataFrame, sectors: DataFrame) -> DataFrame:
 
 def without_benchmarks(df: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """C1."""
-    return df.join(F.broadcast(benchmarks.select("ticker").distinct()), "ticker", "left_anti")
+    return df.join(benchmarks.select("ticker").distinct(), "ticker", "left_anti")
 
 
 def _every(conditions: list[Column]) -> Column:

@@ -59,7 +59,7 @@ def refill(picks: DataFrame, pools: DataFrame, excluded: DataFrame, distressed:
     taken = active.select("ticker").unionByName(excluded.where(F.col("excluded_date") == F.lit(session_date).cast("date")).select("ticker")).distinct()
     free = pools.join(taken, "ticker", "left_anti")
     bad = distressed.select("sector").distinct().withColumn("_bad", F.lit(True))
-    free = free.join(F.broadcast(bad), "sector", "left").where(F.col("_bad").isNull() | (F.col("horizon") != "medium")).drop("_bad")
+    free = free.join(bad, "sector", "left").where(F.col("_bad").isNull() | (F.col("horizon") != "medium")).drop("_bad")
     held = active.groupBy("horizon").count()
     out = None
     for horizon, n in slots.items():
@@ -202,7 +202,7 @@ def repair_pick_dates(picks: DataFrame, bars: DataFrame, as_of: str, tol_pct: fl
 def revert_picks(picks: DataFrame, targets: DataFrame) -> DataFrame:
     """Achieved picks of the targets become active again (``action`` revert) or go (delete). ``targets``: ticker, action, pick_date."""
     t = targets.select("ticker", "action", F.col("pick_date").alias("_date"))
-    df = picks.join(F.broadcast(t), "ticker", "left")
+    df = picks.join(t, "ticker", "left")
     back = (F.col("action") == "revert") & (F.col("status") == "achieved")
     back = F.coalesce(back, F.lit(False))
     df = df.where(~F.coalesce((F.col("action") == "delete") & (F.col("status") == "achieved"), F.lit(False)))
@@ -218,7 +218,7 @@ def revert_picks(picks: DataFrame, targets: DataFrame) -> DataFrame:
 def purge_rows(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Without the targets' rows; a target without a date takes all of its ticker. ``rows``: ticker, achieved_date."""
     t = targets.select("ticker", F.col("achieved_date").alias("_date"), F.lit(True).alias("_hit")).distinct()
-    hit = rows.join(F.broadcast(t), "ticker").where(F.col("_date").isNull() | (F.col("_date") == F.col("achieved_date"))).select("ticker", "achieved_date")
+    hit = rows.join(t, "ticker").where(F.col("_date").isNull() | (F.col("_date") == F.col("achieved_date"))).select("ticker", "achieved_date")
     return rows.join(hit.distinct(), ["ticker", "achieved_date"], "left_anti")
 
 

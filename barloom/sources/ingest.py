@@ -93,7 +93,7 @@ def enrichment(raw: DataFrame, numbers: list[str], ratings: list[str]) -> DataFr
 def normalise_history(raw: DataFrame, names: DataFrame) -> DataFrame:
     """Vendor history (Date, Price, Open, High, Low, Vol., _file) as bars; tickers that two files claim are left out."""
     key = C.filename_key(F.regexp_extract("_file", r"([^/]+)$", 1))
-    df = raw.withColumn("filename", key).join(F.broadcast(names.select("filename", "ticker")), "filename")
+    df = raw.withColumn("filename", key).join(names.select("filename", "ticker"), "filename")
     clear = df.groupBy("ticker").agg(F.count_distinct("filename").alias("_n")).where("_n = 1").select("ticker")
     out = df.join(clear, "ticker", "left_semi")
     close = C.price("Price")
