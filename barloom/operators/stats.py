@@ -255,6 +255,46 @@ def exposure(positions: DataFrame, equity_value: Column, sector_limit: float = 3
     return out.withColumns({"sector_warning": many & (F.col("sector_pct") >= sector_limit), "position_warning": many & (F.col("largest_pct") >= position_limit)})
 
 
+def risk_allocations(positions: DataFrame, cash: float, unit_pct: float = 1.0, low_cash_pct: float = 5.0, sector_limit: float = 35.0, position_limit: float = 25.0) -> DataFrame:
+    """E19 in full: value and share of equity by sector, by ticker and of the cash. ``positions``: ticker, sector, value.
+
+    ``risk_multiple``: a position's share over that of a normal one. ``warning``: the largest sector or position at its
+    limit, of two positions or more; too little cash.
+    """
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), "value")
+    sums = positions.select(F.explode(F.array(pair("sector", "sector"), pair("position", "ticker"))).alias("x")).groupBy("x.kind", "x.name").agg(F.sum("x.value").alias("value"))
+    account = positions.agg((F.coalesce(F.sum("value"), F.lit(0.0)) + cash).alias("equity"), F.count_distinct("ticker").alias("held"))
+    top = sums.groupBy("kind").agg(F.min_by("name", F.struct((-F.col("value")).alias("v"), "name")).alias("top"))
+    share = F.when(F.col("equity") > 0, F.col("value") / F.col("equity") * 100)
+    rows = sums.join(F.broadcast(top), "kind").join(F.broadcast(account)).withColumn("pct_of_equity", share)
+    limit = F.when(F.col("kind") == "sector", sector_limit).otherwise(position_limit)
+    rows = rows.select(
+        "kind", "name", "value", "pct_of_equity", F.when(F.col("kind") == "position", F.col("pct_of_equity") / unit_pct).alias("risk_multiple"),
+        F.coalesce((F.col("held") >= 2) & F.col("name").eqNullSafe(F.col("top")) & (F.col("pct_of_equity") >= limit), F.lit(False)).alias("warning"),
+    )
+    drag = F.when(F.col("equity") > 0, F.lit(cash) / F.col("equity") * 100).otherwise(0.0)
+    spare = account.select(F.lit("cash").alias("kind"), F.lit("cash").alias("name"), F.lit(cash).alias("value"), drag.alias("pct_of_equity"), F.lit(None).cast("double").alias("risk_multiple"), (drag < low_cash_pct).alias("warning"))
+    return rows.unionByName(spare)
+
+
+def account_total(positions: DataFrame, closed: DataFrame) -> DataFrame:
+    """E22, the account's row: shares, cost, value, gain, breadth, best and worst position with their share of all gains and
+    losses, who drives half of them (losses first), and the realised trades. ``positions``: ticker, shares, cost, value, days_held."""
+    rows = positions.withColumn("pnl", F.col("value") - F.col("cost"))
+    pnl = F.col("pnl")
+    a = rows.agg(
+        F.count("*").alias("positions"), F.sum("shares").alias("shares"), F.sum("cost").alias("cost"), F.sum("value").alias("value"), F.sum("pnl").alias("pnl"), F.avg("days_held").alias("avg_days"),
+        F.count_if(pnl > 0).alias("winners"), F.count_if(pnl < 0).alias("losers"), F.count_if(pnl == 0).alias("flat"),
+        F.min(F.struct((-pnl).alias("p"), "ticker")).alias("_best"), F.min(F.struct("pnl", "ticker")).alias("_worst"),
+        F.sum(F.when(pnl > 0, pnl)).alias("_gains"), F.sum(F.when(pnl < 0, -pnl)).alias("_losses"),
+    )
+    loss, gain = F.try_divide(F.greatest(-F.col("_worst.pnl"), F.lit(0.0)), F.col("_losses")) * 100, F.try_divide(F.greatest(-F.col("_best.p"), F.lit(0.0)), F.col("_gains")) * 100
+    driver = F.when(loss >= 50, F.concat(F.col("_worst.ticker"), F.lit(" drives losses"))).when(gain >= 50, F.concat(F.col("_best.ticker"), F.lit(" drives gains")))
+    done = realised(closed).agg(F.coalesce(F.sum("realized_pnl"), F.lit(0.0)).alias("realised"))
+    out = a.withColumns({"pnl_pct": F.when(F.col("cost") > 0, pnl / F.col("cost") * 100), "best": F.col("_best.ticker"), "worst": F.col("_worst.ticker"), "loss_share": loss, "gain_share": gain, "driver": driver})
+    return out.drop("_best", "_worst", "_gains", "_losses").join(F.broadcast(done)).withColumn("total_pnl", F.coalesce(pnl, F.lit(0.0)) + F.col("realised"))
+
+
 def statement(positions: DataFrame, closed: DataFrame, cash: float) -> DataFrame:
     """E20. ``positions``: cost, value."""
     a = positions.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
@@ -319,6 +359,13 @@ def coverage_summary(coverage: DataFrame, floors: tuple[int, int] = (310, 490))
     )
 
 
+def coverage_extremes(coverage: DataFrame, n: int = 10) -> DataFrame:
+    """The n tickers with the fewest and the n with the most bars; equal counts by ticker."""
+    worst = coverage.orderBy("bars", "ticker").limit(n).withColumn("side", F.lit("worst"))
+    best = coverage.orderBy(F.desc("bars"), "ticker").limit(n).withColumn("side", F.lit("best"))
+    return worst.unionByName(best)
+
+
 def coverage_diagnosis(coverage: DataFrame, trades: DataFrame, floor: int = 310) -> DataFrame:
     """Tickers by what became of them."""
     traded = trades.select("ticker").distinct().withColumn("_t", F.lit(True))
@@ -334,3 +381,15 @@ def usage_sessions(sessions: DataFrame) -> DataFrame:
         F.count("*").alias("sessions"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("avg_seconds"),
         F.count_if(F.col("source") == "web").alias("web"), F.count_if(F.col("source") == "desktop").alias("desktop"), F.max("last_seen").alias("last_seen"),
     )
+
+
+def usage_report(sessions: DataFrame, stats: DataFrame) -> DataFrame:
+    """E24 in full: usage per user with the user's stored trade statistics, the longest use first.
+
+    Sessions without start or last sign are left out. ``stats``: uid, trade_count, trade_value, portfolio_value; a user may
+    have several rows (one a client), which are summed; without one the sums are 0.
+    """
+    used = usage_sessions(sessions.where("start is not null and last_seen is not null"))
+    sums = ("trade_count", "trade_value", "portfolio_value")
+    stored = stats.where("uid is not null").groupBy(F.col("uid").alias("user")).agg(*[F.sum(c).alias(c) for c in sums])
+    return used.join(stored, "user", "left").fillna(0, list(sums)).orderBy(F.desc("total_seconds"), "user")

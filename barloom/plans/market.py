@@ -199,6 +199,20 @@ def weekly_overview(rows: DataFrame, n: int = 3) -> DataFrame:
     return top.unionByName(low).select("side", "ticker", "ret_5")
 
 
+def weekly_report(rows: DataFrame, summary: DataFrame, regimes: DataFrame, n: int = 3) -> DataFrame:
+    """E4 in full: the week's best and worst tickers (of six bars or more) and sectors, and each index with its regime.
+
+    ``rows``: ticker, ret_5, n_bars. ``summary``: sector, ret_5d. ``regimes``: ticker, regime, one row an index.
+    """
+    none = F.lit(None).cast("string").alias("state")
+    movers = weekly_overview(rows.where("n_bars >= 6"), n).select(F.col("side").alias("kind"), F.col("ticker").alias("name"), F.col("ret_5").alias("pct"), none)
+    ends = summary.where("ret_5d is not null").agg(F.min(F.struct((-F.col("ret_5d")).alias("r"), "sector")).alias("best"), F.min(F.struct("ret_5d", "sector")).alias("worst"))
+    pair = lambda kind, pct: F.struct(F.lit(kind).alias("kind"), F.col(f"{kind.split('_')[0]}.sector").alias("name"), pct.alias("pct"), none)
+    sectors = ends.select(F.inline(F.array(pair("best_sector", -F.col("best.r")), pair("worst_sector", F.col("worst.ret_5d"))))).where("name is not null")
+    index = regimes.select(F.lit("index").alias("kind"), F.col("ticker").alias("name"), F.lit(None).cast("double").alias("pct"), F.col("regime").alias("state"))
+    return movers.unionByName(sectors).unionByName(index)
+
+
 def biggest_movers(rows: DataFrame, n: int = 30) -> DataFrame:
     """By the size of the one-bar move; equal moves by ticker, descending."""
     return rows.orderBy(F.desc(F.abs("ret_1")), F.desc("ticker")).limit(n).select("ticker", "ret_1")

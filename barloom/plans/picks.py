@@ -199,6 +199,25 @@ def repair_pick_dates(picks: DataFrame, bars: DataFrame, as_of: str, tol_pct: fl
     return out.select(*picks.columns, F.col("chosen").alias("repaired_date"), F.col("chosen").isNull().alias("review"))
 
 
+def repair_future_picks(picks: DataFrame, bars: DataFrame, as_of: str, tol_pct: float = 0.5) -> DataFrame:
+    """K15 in full: pick dates, then achieved dates, that lie after ``as_of`` move to a day with their price.
+
+    A pick date is sought before the achieved one (if that is good), an achieved one after the pick date as repaired.
+    ``pick_action`` and ``achieved_action``: kept, repaired or review (no date can be chosen; it stays). ids are unique.
+    """
+    day = F.lit(as_of).cast("date")
+
+    def moved(df, date, price, anchor, after):
+        bad = F.coalesce(F.col(date) > day, F.lit(False))
+        wanted = df.where(bad).select("id", "ticker", F.col(price).alias("price"), F.when(F.col(anchor) <= day, F.col(anchor)).alias("anchor"))
+        found = choose_candidate(price_matches(bars, wanted, as_of, tol_pct), after).select("id", F.col("chosen").alias("_date"))
+        action = F.when(~bad, "kept").when(F.col("_date").isNotNull(), "repaired").otherwise("review")
+        out = df.join(found, "id", "left").withColumns({date.replace("_date", "_action"): action, date: F.coalesce("_date", date)})
+        return out.drop("_date")
+
+    return moved(moved(picks, "pick_date", "ref_price", "achieved_date", True), "achieved_date", "achieved_price", "pick_date", False)
+
+
 def revert_picks(picks: DataFrame, targets: DataFrame) -> DataFrame:
     """Achieved picks of the targets become active again (``action`` revert) or go (delete). ``targets``: ticker, action, pick_date."""
     t = targets.select("ticker", "action", F.col("pick_date").alias("_date"))

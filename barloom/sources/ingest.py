@@ -8,6 +8,7 @@ key and never touch rows that have no new version.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,26 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("valid").drop("valid"), bad.drop("valid")
 
 
+def _file_key(path: str) -> Column:
+    """A path with one slash behind its scheme, as the two readers write it differently."""
+    return F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
+
+
+def file_outcomes(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tracker rows of the discovered files that gave a valid row, and the other files with a message."""
+    seen = rows.groupBy(_file_key("_file").alias("file_path")).agg(F.count_if("valid").alias("valid_rows"))
+    df = found.withColumn("file_path", _file_key("path")).join(seen, "file_path", "left")
+    read = F.coalesce(F.col("valid_rows") > 0, F.lit(False))
+    good = df.where(read).select("file_path", F.col("modificationTime").alias("last_modified"), "file_hash")
+    why = F.when(F.col("valid_rows").isNull(), "no rows").otherwise("no valid row")
+    return good, df.where(~read).select("file_path", why.alias("error_message"))
+
+
+def track(tracker: DataFrame, read: DataFrame) -> DataFrame:
+    """The tracker with the files just read; a file that changed takes the place of its older self."""
+    return upsert(tracker, read, ["file_path"], ["last_modified", "file_hash"])
+
+
 def enrichment(raw: DataFrame, numbers: list[str], ratings: list[str]) -> DataFrame:
     """A3: numbers and ratings of a watchlist, with the consensus; rows without any value are dropped."""
     cols = {c: C.number(c) for c in numbers}
@@ -114,6 +135,34 @@ def run_history(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.desc("run_at"), F.desc("id")).limit(n)
 
 
+def save_run(run: DataFrame, trades: DataFrame, run_id: int, folder: str) -> None:
+    """A run's summary (one row) and its trades, each in a partition of its own; saving a run again replaces it."""
+    trades.write.mode("overwrite").parquet(f"{folder}/trades/run_id={run_id}")
+    run.write.mode("overwrite").parquet(f"{folder}/runs/run_id={run_id}")
+
+
+def saved_runs(spark: SparkSession, folder: str, n: int = 25) -> DataFrame:
+    """The summaries of the newest n runs, without trades."""
+    return run_history(spark.read.parquet(f"{folder}/runs").withColumnRenamed("run_id", "id"), n)
+
+
+def saved_run(spark: SparkSession, folder: str, run_id: int) -> DataFrame:
+    """The trades of one run; no other run's files are read. Empty where there is no such run."""
+    return spark.read.parquet(f"{folder}/trades").where(F.col("run_id") == run_id)
+
+
+def snapshots_since(log: DataFrame, min_date: str | None = None) -> DataFrame:
+    """The logged scores in order of session and ticker, from a date on where one is given."""
+    rows = log if min_date is None else log.where(F.col("session_date") >= F.lit(min_date).cast("date"))
+    return rows.orderBy("session_date", "ticker")
+
+
+def recent(rows: DataFrame, date: str, n: int | None = None) -> DataFrame:
+    """Newest first, on one day the highest id first; the first n where a limit is given."""
+    out = rows.orderBy(F.desc(date), F.desc("id"))
+    return out if n is None else out.limit(n)
+
+
 def versioned(spark: SparkSession, folder: str) -> DataFrame:
     """Every version of a JSON document of picks; one row per version, horizon and pick."""
     docs = spark.read.option("multiLine", True).json(folder).select("*", F.col("_metadata.file_modification_time").alias("version"))
@@ -138,9 +187,17 @@ def publishable(df: DataFrame, private=PRIVATE) -> DataFrame:
 
 
 def write_topics(topics: dict[str, DataFrame], folder: str) -> None:
-    """A JSON folder per topic."""
+    """A JSON folder per topic, and ``manifest``: the topics' columns and rows, written last.
+
+    Topics are not nested into one document, as that would pass all of them through one task.
+    """
+    counted = []
     for name, df in topics.items():
         publishable(df).write.mode("overwrite").json(f"{folder}/{name}")
+        spark = df.sparkSession
+        schema = publishable(df).schema
+        counted.append(spark.read.schema(schema).json(f"{folder}/{name}").agg(F.lit(name).alias("topic"), F.lit(",".join(schema.names)).alias("columns"), F.count("*").alias("rows")))
+    reduce(DataFrame.unionByName, counted).write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def write_per_key(df: DataFrame, key: str, folder: str) -> None:
@@ -149,9 +206,9 @@ def write_per_key(df: DataFrame, key: str, folder: str) -> None:
 
 
 def write_ledger(closed: DataFrame, summary: DataFrame, folder: str) -> None:
-    """Trades that are not demos, and the summary rows below."""
+    """Trades that are not demos, and the summary rows below: parts are numbered in that order."""
     rows = closed.where(~F.coalesce(F.col("is_demo"), F.lit(False))) if "is_demo" in closed.columns else closed
-    rows.unionByName(summary, allowMissingColumns=True).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+    rows.unionByName(summary, allowMissingColumns=True).write.mode("overwrite").option("header", True).csv(folder)
 
 
 def validate_topics(spark: SparkSession, folder: str, required: dict[str, list[str]]) -> list[str]:

@@ -53,23 +53,39 @@ def collect_stream(out: DataFrame, folder: str, mode: str = "append"):
 def start_ingest(spark: SparkSession, folder: str, header: list[str], as_of: str, target: str, checkpoint: str, per_trigger: int = 1000):
     """L1 to L3: new CSV files become bars; impossible rows go to quarantine; the latest file wins per (ticker, date).
 
-    Versions of the table lie in ``target``/bars/v<batch>; a rerun of a batch writes the same version again.
+    The table lies in ``target``/bars by month. A batch merges and rewrites only the months that it touches: the merged
+    rows are written to ``target``/merged/batch=<n> first, and a rerun that finds them whole goes on from there. They go
+    when the next batch begins.
     """
     columns = ingest.resolve(header)
     raw = spark.readStream.schema(", ".join(f"`{h}` string" for h in header)).option("header", True).option("maxFilesPerTrigger", per_trigger).csv(folder)
     raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_file_time"))
     rows = ingest.clean_bars(raw, columns, as_of)
+    schema = "date date, ticker string, open double, high double, low double, close double, volume double, _file_time timestamp, month string"
+    month = F.date_format("date", "yyyy-MM")
+
+    def at(path: str):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(path: str) -> bool:
+        fs, p = at(path)
+        return fs.exists(p)
 
     def sink(batch: DataFrame, n: int) -> None:
-        good, bad = ingest.split_valid(batch)
-        bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={n}")
-        if n == 0:
-            stored = good.limit(0)
-        else:
-            stored = spark.read.parquet(f"{target}/bars/v{n - 1}")
-        stored = stored.select("date", "ticker", "open", "high", "low", "close", "volume", "_file_time")
-        merged = ingest.upsert(stored, good, ["ticker", "date"], ["_file_time", "_file"])
-        merged.write.mode("overwrite").parquet(f"{target}/bars/v{n}")
+        fs, before = at(f"{target}/merged/batch={n - 1}")
+        fs.delete(before, True)
+        merged = f"{target}/merged/batch={n}"
+        if not exists(f"{merged}/_SUCCESS"):
+            good, bad = ingest.split_valid(batch)
+            bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={n}")
+            good = good.withColumn("month", month)
+            stored = spark.read.schema(schema).parquet(f"{target}/bars") if exists(f"{target}/bars") else spark.createDataFrame([], schema)
+            touched = [r[0] for r in good.select("month").distinct().collect()]  # one short text a month
+            stored = stored.where(F.col("month").isin(touched))
+            ingest.upsert(stored, good, ["ticker", "date"], ["_file_time", "_file"]).write.mode("overwrite").parquet(merged)
+        out = spark.read.schema(schema).parquet(merged).repartition("month")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{target}/bars")
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

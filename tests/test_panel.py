@@ -285,7 +285,7 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     jobs.start_ingest(*args).awaitTermination()
     (feed / "b.csv").write_text(",".join(header) + "\n2020-01-02,ABC,1,2,1,3,5\n2020-01-03,ABC,1,2,1,4,5\n")
     jobs.start_ingest(*args).awaitTermination()
-    rows = spark.read.parquet(f"{tmp_path}/out/bars/v1").orderBy("date").collect()
+    rows = spark.read.parquet(f"{tmp_path}/out/bars").orderBy("date").collect()
     assert [(str(r["date"]), r["close"]) for r in rows] == [("2020-01-02", 3.0), ("2020-01-03", 4.0)]
     assert spark.read.parquet(f"{tmp_path}/out/quarantine").count() == 1
 
