@@ -53,7 +53,7 @@ def a1(spark, d):
     return ingest.upsert(stored.limit(0), good, ["ticker", "date"], ["_file_time", "_file"])
 
 
-@query("A4_A13_tracker_and_quarantine", ctes(BARS, FED) + """SELECT CAST(part AS varchar) AS part, CASE WHEN count(*) FILTER (WHERE valid) > 0 THEN 'read' ELSE 'no valid row' END AS outcome, 0 AS found_again,
+@query("A4_A13_tracker_and_quarantine", ctes(BARS, FED) + """SELECT CAST(part AS varchar) AS part, CASE WHEN count(*) FILTER (WHERE valid) > 0 THEN 'read' ELSE 'no valid row' END AS outcome, part = 3 AS found_again,
 count(*) FILTER (WHERE part <> 3 AND NOT valid) AS no_date, count(*) FILTER (WHERE part = 3) AS no_close FROM fed GROUP BY 1, part""")
 def a13(spark, d):
     folder = _feed(spark, d)
@@ -62,12 +62,13 @@ def a13(spark, d):
     rows = ingest.read_feed(spark, [f"{folder}/part=*/*.csv"], LATE)
     read, failed = ingest.file_outcomes(found, rows)
     tracker = ingest.track(tracker, read)
-    again = ingest.discover(spark, folder, tracker.unionByName(tracker)).join(tracker, "file_hash", "left_semi").agg(F.count("*").alias("found_again"))
     part = lambda c: F.regexp_extract(c, r"part=(\d+)", 1).alias("part")
+    again = ingest.discover(spark, folder, tracker).groupBy(part("path")).agg(F.count("*").alias("_n"))  # only the files that failed are found again
     files = tracker.select(part("file_path"), F.lit("read").alias("outcome")).unionByName(failed.select(part("file_path"), F.col("error_message").alias("outcome"))).distinct()
     _, bad = ingest.split_valid(rows)
     faults = bad.groupBy(part("_file")).agg(F.count_if(F.col("error_message") == "no valid date").alias("no_date"), F.count_if(F.col("error_message") == "no valid close").alias("no_close"))
-    return files.join(faults, "part", "left").fillna(0, ["no_date", "no_close"]).join(F.broadcast(again))
+    out = files.join(faults, "part", "left").join(again, "part", "left").fillna(0, ["no_date", "no_close", "_n"])
+    return out.select("part", "outcome", "no_date", "no_close", (F.col("_n") > 0).alias("found_again"))
 
 
 @query("L1_L3_ingest_stream", ctes(BARS, FED) + f"SELECT {AS_FED} FROM fed WHERE valid")
