@@ -5,10 +5,13 @@ from __future__ import annotations
 from .chat import OP7_SQL, op7_chat_prefix
 from .decontaminate import op2_decontaminate
 from .jaccard import op9_group_jaccard
+from .merkle import OP11_SQL, op11_merkle_exchange
 from .neighbors import op5_srs_neighbors
 from .packing import op10_tier_packing
+from .periodic import op12_scale_tiles
 from .ppm import op3_ppm_score
 from .quality import op6_site_quality
+from .repeats import OP13_SQL, op13_recompression
 from .secrets import op1_secret_scan
 from .urls import OP8_SQL, op8_url_rules
 from .warc import op4_warc_chunks
@@ -26,8 +29,11 @@ def queries():
         "op8_url_rules": op8_url_rules,
         "op9_group_jaccard": op9_group_jaccard,
         "op10_tier_packing": op10_tier_packing,
+        "op11_merkle_exchange": op11_merkle_exchange,
+        "op12_scale_tiles": op12_scale_tiles,
+        "op13_recompression": op13_recompression,
     }
 
 
 def oracle_sql():
-    return {"op7_chat_prefix": OP7_SQL, "op8_url_rules": OP8_SQL}
+    return {"op7_chat_prefix": OP7_SQL, "op8_url_rules": OP8_SQL, "op11_merkle_exchange": OP11_SQL, "op13_recompression": OP13_SQL}
