@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import T
+from ..functions.isolation import per_ticker, sound
 from ..functions.smoothing import SMOOTHED, smoothed
 
 
@@ -117,6 +118,19 @@ def with_smoothed(bars: DataFrame) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("w_sma_50", "w_rsi")})
 
 
+def smoothed_or_error(bars: DataFrame) -> DataFrame:
+    """M5: as ``with_smoothed``, with the column ``error``; a ticker whose history cannot be smoothed is one row."""
+    bars = bars.select("ticker", "date", "open", "high", "low", "close", "volume")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema) + "".join(f", {c} double" for c in SMOOTHED)
+
+    def one(g):
+        sound(g)
+        return smoothed(g)
+
+    out = per_ticker(bars, one, schema)
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("w_sma_50", "w_rsi")})
+
+
 def trend_class() -> Column:
     """F13."""
     above, rsi = F.col("close") >= F.col("sma_50"), F.col("rsi_14")

@@ -9,9 +9,12 @@ end_date, levels, quality.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.layout import stored
 from .indicators import every, w
 
 EPSILON, ORDER = 0.03, 5
@@ -235,8 +238,10 @@ def histories(bars: DataFrame, least: float = 0.08, longest: int = 15, steady: f
 
 def flags_and_pennants(history: DataFrame, eps: float = EPSILON, longest: int = 20, tight: float = 0.6) -> DataFrame:
     """What the lines along the swings of the bars behind a pole say; a swing tops or bottoms two bars on either side."""
-    df = history.select("ticker", "bars", F.explode("poles").alias("p")).withColumn("e", F.least(F.col("p.j") + longest, F.size("bars") - 1))
-    df = df.where(F.col("e") - F.col("p.j") >= 5).withColumn("rest", F.slice("bars", F.col("p.j") + 1, F.col("e") - F.col("p.j") + 1))
+    # only the bars behind a pole leave the history's row
+    rest = F.transform("poles", lambda p: F.struct(p.alias("p"), F.slice("bars", p["j"] + 1, F.lit(longest + 1)).alias("rest")))
+    df = history.select("ticker", F.explode(rest).alias("x")).select("ticker", "x.p", "x.rest").withColumn("e", F.col("p.j") + F.size("rest") - 1)
+    df = df.where(F.col("e") - F.col("p.j") >= 5)
 
     def turns(sign: int) -> Column:
         def turn(x):
@@ -291,8 +296,13 @@ def cups(history: DataFrame, swing: DataFrame, eps: float = EPSILON, shortest: i
     left = rims.select("ticker", F.floor(F.col("i") / longest).alias("_b"), F.col("i").alias("l"), F.col("p").alias("pl"), F.col("date").alias("dl"))
     right = rims.select("ticker", F.explode(F.array(F.floor(F.col("i") / longest), F.floor(F.col("i") / longest) - 1)).alias("_b"), F.col("i").alias("r"), F.col("p").alias("pr"))
     pairs = left.join(right, ["ticker", "_b"]).drop("_b").withColumns({"wide": F.col("r") - F.col("l"), "differ": pct_diff("pl", "pr")})
-    pairs = pairs.where(F.col("wide").between(shortest, longest) & (F.col("differ") <= eps)).join(history.select("ticker", "bars"), "ticker")
-    df = pairs.withColumns({"bowl": F.slice("bars", F.col("l") + 1, F.col("wide") + 1), "m": (F.col("wide") + 1).cast("double"), "mid": (F.col("l") + F.col("r")) / 2})
+    pairs = pairs.where(F.col("wide").between(shortest, longest) & (F.col("differ") <= eps))
+    own = pairs.groupBy("ticker").agg(F.collect_list(F.struct("l", "r", "pl", "pr", "dl", "wide", "differ")).alias("rims"))
+    behind = lambda wide: F.greatest(F.lit(5), F.floor(wide / 4).cast("int"))
+    # only the bars from rim to handle leave the history's row
+    reach = F.transform("rims", lambda x: F.struct(x.alias("x"), F.slice("bars", x["l"] + 1, x["wide"] + 1 + behind(x["wide"])).alias("span")))
+    df = own.join(history.select("ticker", "bars"), "ticker").select("ticker", F.explode(reach).alias("y")).select("ticker", "y.x.*", "y.span")
+    df = df.withColumns({"bowl": F.slice("span", F.lit(1), F.col("wide") + 1), "m": (F.col("wide") + 1).cast("double"), "mid": (F.col("l") + F.col("r")) / 2})
     square = (F.col("m") * F.col("m") - 1) / 12  # mean square of the centred steps
 
     def total(f) -> Column:
@@ -303,9 +313,8 @@ def cups(history: DataFrame, swing: DataFrame, eps: float = EPSILON, shortest: i
     df = df.withColumns({"bend": bend, "tilt": tilt, "bottom": F.array_min(F.transform("bowl", lambda x: x["price"]))})
     lowest = (F.col("m") - 1) / 2 - F.try_divide("tilt", 2 * F.col("bend"))
     df = df.where((F.col("bend") > 0) & (lowest >= 0.25 * F.col("m")) & (lowest <= 0.75 * F.col("m")))
-    end = F.least(F.col("r") + F.greatest(F.lit(5), F.floor(F.col("wide") / 4).cast("int")), F.size("bars") - 1)
-    df = df.withColumns({"rim": (F.col("pl") + F.col("pr")) / 2, "e": end}).where(F.col("e") - F.col("r") >= 3)
-    df = df.withColumn("tail", F.slice("bars", F.col("r") + 1, F.col("e") - F.col("r") + 1))
+    df = df.withColumns({"rim": (F.col("pl") + F.col("pr")) / 2, "e": F.col("l") + F.size("span") - 1}).where(F.col("e") - F.col("r") >= 3)
+    df = df.withColumn("tail", F.slice("span", F.col("wide") + 1, F.col("e") - F.col("r") + 1))
     df = df.withColumn("dip", F.array_min(F.transform("tail", lambda x: x["price"])))
     high, drop, deep = F.col("rim") - F.col("bottom"), F.col("pr") - F.col("dip"), F.greatest("pl", "pr")
     df = df.where((F.try_divide(high, F.col("rim")) >= depth) & (drop > 0) & (drop <= handle * high) & (F.col("dip") >= (F.col("rim") + F.col("bottom")) / 2))
@@ -330,10 +339,16 @@ def scanned(bars: DataFrame, eps: float = EPSILON, order: int = ORDER) -> DataFr
 
 
 def dedupe_overlaps(patterns: DataFrame) -> DataFrame:
-    """H6: of overlapping matches of a pattern the better (quality, then span) stays, against the last one kept."""
+    """H6: of overlapping matches of a pattern the better (quality, then span) stays, against the last one kept.
+
+    Matches that begin behind the end of all before them start anew, so the fold is one over each such stretch.
+    """
+    by = Window.partitionBy("ticker", "pattern").orderBy("start_index", "end_index")
+    far = F.max("end_index").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    patterns = patterns.withColumn("_new", F.coalesce(F.col("start_index") > far, F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct("start_index", "end_index", "quality", "direction", "start_date", "end_date", "levels")
     key = F.struct(F.col("start_index"), F.col("end_index"))
-    grouped = patterns.groupBy("ticker", "pattern").agg(F.collect_list(F.struct(key.alias("k"), item.alias("v"))).alias("all"))
+    grouped = patterns.groupBy("ticker", "pattern", "_stretch").agg(F.collect_list(F.struct(key.alias("k"), item.alias("v"))).alias("all"))
     ordered = F.transform(F.array_sort("all", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["v"])
 
     def step(kept, r):
@@ -343,26 +358,40 @@ def dedupe_overlaps(patterns: DataFrame) -> DataFrame:
         overlap = r["start_index"] <= last["end_index"]
         return F.when(overlap & better, F.concat(others, F.array(r))).when(overlap, kept).otherwise(F.concat(kept, F.array(r)))
 
-    kept = F.aggregate(F.slice("s", 2, 1_000_000), F.slice("s", 1, 1), step)
+    kept = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.slice("s", 1, 1), step)
     out = grouped.select("ticker", "pattern", ordered.alias("s")).select("ticker", "pattern", F.explode(kept).alias("v"))
     return out.select("ticker", "pattern", "v.direction", "v.start_index", "v.end_index", "v.start_date", "v.end_date", "v.levels", "v.quality")
 
 
-#: M1: detectors by name; each maps (bars, alternating swings) to pattern rows. Add an entry and detect_all runs it.
+class Prepared:
+    """What detectors share, each made once: the bars by ticker, their alternating swings, and the histories with poles."""
+
+    def __init__(self, bars: DataFrame):
+        self.bars = stored(bars, "bars")
+
+    @cached_property
+    def swing(self) -> DataFrame:
+        return stored(alternating(swings(self.bars)), "swings")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return stored(histories(self.bars), "histories")
+
+
+#: M1: detectors by name; each maps what is prepared to pattern rows. Add an entry and detect_all runs it.
 DETECTORS = {
-    "reversals": lambda bars, swing: reversals(swing),
-    "triangles_and_channels": lambda bars, swing: triangles_and_channels(swing),
-    "flags_and_pennants": lambda bars, swing: flags_and_pennants(histories(bars)),
-    "cups": lambda bars, swing: cups(histories(bars), swing),
+    "reversals": lambda p: reversals(p.swing),
+    "triangles_and_channels": lambda p: triangles_and_channels(p.swing),
+    "flags_and_pennants": lambda p: flags_and_pennants(p.history),
+    "cups": lambda p: cups(p.history, p.swing),
 }
 
 
 def detect_all(bars: DataFrame, dedupe: bool = True, detectors=None) -> DataFrame:
     """Every detector's matches, without overlaps."""
-    swing = alternating(swings(bars))
-    out = None
+    prepared, out = Prepared(bars), None
     for f in (detectors or DETECTORS).values():
-        rows = f(bars, swing)
+        rows = f(prepared)
         out = rows if out is None else out.unionByName(rows)
     return dedupe_overlaps(out) if dedupe else out
 

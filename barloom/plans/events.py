@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import HOLD, ROUND_TRIP, STEP, T, TEST, TRAIN
 from ..functions import rules as R
+from ..functions.isolation import per_ticker, sound
 from .market import scan, universe, with_sector
 
 TRADES = (
@@ -73,9 +74,22 @@ def walk(g: pd.DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP
     return pd.DataFrame(rows, columns=[f.split()[0] for f in TRADES.split(", ")])
 
 
-def event_study(bars: DataFrame, sectors: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP, hold: int = HOLD) -> DataFrame:
-    """K6: the trades of every ticker, its history from the last long gap on (F1)."""
-    df = with_sector(signals(universe(bars, None)), sectors).select(
+def _study_rows(bars: DataFrame, sectors: DataFrame) -> DataFrame:
+    return with_sector(signals(universe(bars, None)), sectors).select(
         "ticker", "date", "open", "high", "low", "close", "signal", "stop", "target", "raw_action", "sector", "adx_14", "rsi_14", "gap_pct", "volume_ratio", "vol_z_score"
     )
-    return df.groupBy("ticker").applyInPandas(lambda g: walk(g, train, test, step, hold), TRADES)
+
+
+def event_study(bars: DataFrame, sectors: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP, hold: int = HOLD) -> DataFrame:
+    """K6: the trades of every ticker, its history from the last long gap on (F1)."""
+    return _study_rows(bars, sectors).groupBy("ticker").applyInPandas(lambda g: walk(g, train, test, step, hold), TRADES)
+
+
+def event_study_or_error(bars: DataFrame, sectors: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STEP, hold: int = HOLD) -> DataFrame:
+    """K6 with M5: trades with the column ``error``; a ticker whose walk fails is one row."""
+
+    def one(g):
+        sound(g)
+        return walk(g, train, test, step, hold)
+
+    return per_ticker(_study_rows(bars, sectors), one, TRADES)

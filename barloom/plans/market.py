@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import NO_SECTOR, T, W
 from ..functions import rules as R
 from ..operators import indicators as I
+from ..sources.layout import stored
 
 
 def with_sector(df: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -123,13 +124,16 @@ def sector_index_return(rows: DataFrame, sector_index: DataFrame, index_of: Data
     return rows.join(index_of, "sector", "left").join(ret, "index_ticker", "left")
 
 
-def watchlist(bars: DataFrame, sectors: DataFrame, zones: DataFrame, index_returns: DataFrame, regime: str = "unknown", analogs: DataFrame | None = None) -> DataFrame:
+def watchlist(bars: DataFrame, sectors: DataFrame, zones: DataFrame, index_returns: DataFrame, regime: str = "unknown", analogs: DataFrame | None = None, days: int | None = T.scan_days) -> DataFrame:
     """K3: additive pre-breakout score of the tickers that have not fired yet; floor 35.
 
-    ``zones``: ticker, resistance. ``index_returns``: sector, index_5d.
+    ``zones``: ticker, resistance. ``index_returns``: sector, index_5d. ``days`` 0: ``bars`` are a universe already.
     """
-    df = I.with_up_down_volume(I.volume_build(scan(universe(bars))))
+    df = I.with_up_down_volume(I.volume_build(scan(bars if days == 0 else universe(bars, days))))
     df = df.withColumns({"adx_rising": I.adx_rising(), "ret_5": F.coalesce(I.n_bar_return(5), F.lit(0.0)), "high_10": F.max("high").over(I.last(10))})
+    # three parts need the last bars of this: it is made once
+    df = df.withColumn("_back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where(F.col("_back") <= 60).drop("_back")
+    df = stored(df, "watched")
     now = with_sector(I.latest(df), sectors).where(F.col("liquid") & (F.col("n_bars") >= 20))
     members = with_sector(I.latest(df), sectors).where("n_bars >= 6")
     mean = members.groupBy("sector").agg(F.avg("ret_5").alias("sector_5d"))

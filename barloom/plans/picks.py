@@ -103,7 +103,7 @@ def fired_dates(dates: str, days: int) -> Column:
     def step(kept, x):
         return F.when(F.datediff(x, F.element_at(kept, -1)) >= days, F.concat(kept, F.array(x))).otherwise(kept)
 
-    return F.aggregate(F.slice(dates, 2, 1_000_000_000), F.slice(dates, 1, 1), step)
+    return F.aggregate(F.slice(dates, F.lit(2), F.size(dates)), F.slice(dates, 1, 1), step)
 
 
 def dedupe_alerts(events: DataFrame, days: int) -> DataFrame:
@@ -280,3 +280,43 @@ def review_split(left: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFr
     """D3: the matched rows, and those that need a review with their best ratio."""
     df = left.join(matches, left["key"] == matches["left_key"], "left").drop("left_key")
     return df.where("matched"), df.where(~F.coalesce(F.col("matched"), F.lit(False)))
+
+
+# --- slots -----------------------------------------------------------------------------------
+
+
+def refill_slots(live: DataFrame, pools: DataFrame, excluded: DataFrame, distressed: DataFrame, session_date: str, slots: dict[str, int] = SLOTS) -> DataFrame:
+    """K10, second half, with D18 and D19, over pools of any size: new picks for the free slots, in the order of ``slots``.
+
+    ``live``: ticker, horizon of the picks that hold a slot; ``pools``: horizon, ticker, sector, score, price, source;
+    ``excluded``: ticker, horizon, excluded_date; ``distressed``: sector. The best score first, pre-breakout candidates
+    behind all others and one at most; no ticker twice, none that is live, none that was removed from its horizon today,
+    in ``medium`` none of a distressed sector.
+
+    Picks of one horizon can take tickers from the next, so of each horizon and kind as many candidates are needed as
+    there are slots; each task keeps no more of them. The choice is a fold over these few rows.
+    """
+    best = F.max(F.struct("score", "price", "sector", "source")).alias("best")
+    each = pools.where("score is not null").groupBy("horizon", "ticker").agg(best).select("horizon", "ticker", "best.*")
+    each = each.join(live.select("ticker").distinct(), "ticker", "left_anti")
+    today = excluded.where(F.col("excluded_date") == F.lit(session_date).cast("date")).select("ticker", "horizon").distinct()
+    each = each.join(today, ["ticker", "horizon"], "left_anti")
+    bad = distressed.select("sector", F.lit("medium").alias("horizon")).distinct()
+    each = each.join(bad, ["sector", "horizon"], "left_anti").withColumn("pre", F.col("source").eqNullSafe("pre_breakout"))
+    few = [
+        each.where((F.col("horizon") == h) & (F.col("pre") == F.lit(pre))).orderBy(F.desc("score"), "ticker").limit(sum(slots.values()))
+        for h in slots for pre in (False, True)
+    ]
+    held = live.groupBy("horizon").agg(F.count("*").alias("held"))
+    turn = by_horizon({h: i for i, h in enumerate(slots)})
+    rows = reduce(DataFrame.unionByName, few).join(held, "horizon", "left").withColumn("free", by_horizon(slots) - F.coalesce("held", F.lit(0)))
+    item = F.struct(turn.alias("turn"), "pre", (-F.col("score")).alias("back"), "ticker", "horizon", "price", "source", "free")
+    ordered = rows.agg(F.array_sort(F.collect_list(item)).alias("all"))
+
+    def take(kept, x):
+        own = F.filter(kept, lambda k: k["turn"] == x["turn"])
+        fits = (F.size(own) < x["free"]) & ~F.exists(kept, lambda k: k["ticker"] == x["ticker"]) & ~(x["pre"] & F.exists(own, lambda k: k["pre"]))
+        return F.when(fits, F.concat(kept, F.array(x))).otherwise(kept)
+
+    chosen = ordered.select(F.explode(F.aggregate("all", F.slice("all", 1, 0), take)).alias("p"))
+    return chosen.select("p.ticker", "p.horizon", F.lit(session_date).cast("date").alias("pick_date"), F.col("p.price").alias("ref_price"), F.lit("active").alias("status"), "p.source")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure as S
 from ..plans import market as M
+from ..sources.layout import stored
 from ..sources.views import BARS, SECTOR_INDEX_BARS, SECTOR_MAP, bars, sector_index_bars, sector_map
 from . import query
 from .indicators import ATR_PERCENTILE_SQL, rounded
@@ -270,12 +271,12 @@ SELECT ticker, CASE WHEN breakout_score < 65 THEN 'Watching' WHEN breakout_score
 def k3(spark, d):
     from .market import _index_of
 
-    b = M.universe(bars(spark, d))
+    b = stored(M.universe(bars(spark, d)), "universe")
     zones = S.support_resistance(b).where("side = 'resistance' and rank = 1").select("ticker", F.col("level").alias("resistance"))
     from ..operators import indicators as I
 
     ret = I.latest(sector_index_bars(spark, d).withColumn("index_5d", I.n_bar_return(5))).select(F.col("ticker").alias("index_ticker"), "index_5d")
     index_returns = _index_of(spark, d).join(ret, "index_ticker").select("sector", "index_5d")
-    out = M.watchlist(b, sector_map(spark, d), zones, index_returns, analogs=S.analog_match(b))
+    out = M.watchlist(b, sector_map(spark, d), zones, index_returns, analogs=S.analog_match(b), days=0)
     out = M.watchlist_tiers(out).withColumns({f"p_{k}": F.col(f"points.{k}") for k in WATCH_POINTS})
     return out.select("ticker", "tier", "rank", *rounded(out, 3, "breakout_score", "dist_to_resistance_pct", *(f"p_{k}" for k in WATCH_POINTS)))

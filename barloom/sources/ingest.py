@@ -8,8 +8,11 @@ key and never touch rows that have no new version.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,43 @@ def track(tracker: DataFrame, read: DataFrame) -> DataFrame:
     return upsert(tracker, read, ["file_path"], ["last_modified", "file_hash"])
 
 
+STORED = "date date, ticker string, open double, high double, low double, close double, volume double, _file string, _file_time timestamp, file_id string"
+TRACKED = "file_path string, last_modified timestamp, file_hash string"
+
+
+def ingest_changed(spark: SparkSession, folder: str, as_of: str, store: str) -> list[str]:
+    """A4 with L1: read the files below ``folder`` that are new or were edited since the last run; their paths.
+
+    ``store``/rows keeps a partition a file, which an edited file overwrites: what it no longer holds is gone.
+    ``store``/tracker has a version a run, written last, so a run that was cut off is done again whole.
+    """
+    spark.createDataFrame([], TRACKED).write.mode("append").parquet(f"{store}/tracker/run=0")
+    runs = spark.read.schema(f"{TRACKED}, run int").parquet(f"{store}/tracker")
+    n = runs.agg(F.coalesce(F.max("run"), F.lit(0))).head()[0]
+    tracker = runs.where(F.col("run") == n).drop("run")
+    found = discover(spark, folder, tracker)
+    found = found.select(_file_key("path").alias("file_path"), F.col("modificationTime").alias("last_modified"), "file_hash", "path")
+    paths = sorted(r[0] for r in found.select("path").collect())  # Spark lists them on the driver, too
+    if not paths:
+        return []
+    rows, _ = split_valid(read_feed(spark, paths, as_of))
+    rows = rows.withColumn("file_id", F.sha2(_file_key("_file"), 256))
+    # a file without a valid row overwrites its partition with none: the rows it had go by the tracker's time
+    rows.select(*[c.split()[0] for c in STORED.split(", ")]).repartition("file_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{store}/rows")
+    track(tracker, found.drop("path")).write.mode("overwrite").parquet(f"{store}/tracker/run={n + 1}")
+    return paths
+
+
+def changed_bars(spark: SparkSession, store: str) -> DataFrame:
+    """The bars of all files as they were read last; of a (ticker, date) in several files that of the newest one."""
+    runs = spark.read.schema(f"{TRACKED}, run int").parquet(f"{store}/tracker")
+    now = runs.join(F.broadcast(runs.agg(F.max("run").alias("run"))), "run").select(F.sha2("file_path", 256).alias("file_id"), F.col("last_modified").alias("_file_time"))
+    # rows of a version that the tracker does not name any more are left out
+    rows = spark.read.schema(STORED).parquet(f"{store}/rows").join(now, ["file_id", "_file_time"], "left_semi")
+    newest = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("_file_time"), F.desc("_file")))
+    return rows.withColumn("_r", newest).where("_r = 1").select("ticker", "date", "open", "high", "low", "close", "volume")
+
+
 def enrichment(raw: DataFrame, numbers: list[str], ratings: list[str]) -> DataFrame:
     """A3: numbers and ratings of a watchlist, with the consensus; rows without any value are dropped."""
     cols = {c: C.number(c) for c in numbers}
@@ -200,6 +240,73 @@ def write_topics(topics: dict[str, DataFrame], folder: str) -> None:
     reduce(DataFrame.unionByName, counted).write.mode("overwrite").json(f"{folder}/manifest")
 
 
+def _opened(path: str, write: bool):
+    """A stream on a file in the shared folder, in a task."""
+    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if write:
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        return system.open_output_stream(at, compression=None)
+    return system.open_input_stream(at, compression=None)
+
+
+def write_named(df: DataFrame, name: str, folder: str) -> int:
+    """One CSV file for each value of ``name``, which is its file name; the number of files. A file is written by one task, in place."""
+
+    def put(g: pd.DataFrame) -> pd.DataFrame:
+        with _opened(f"{folder}/{g[name].iloc[0]}", True) as out:
+            out.write(g.drop(columns=[name]).to_csv(index=False).encode())
+        return pd.DataFrame({"rows": [len(g)]})
+
+    return df.groupBy(name).applyInPandas(put, "rows long").count()
+
+
+def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 << 20) -> str:
+    """All topics as one nested JSON document, an array of rows each; its path.
+
+    The rows are written in parts by many tasks. One task then copies the parts into the document, ``chunk`` bytes at a
+    time, with commas for the ends of lines, so nobody holds a topic. It is renamed when it is whole.
+    """
+    spark = next(iter(topics.values())).sparkSession
+    parts = []
+    for name, df in topics.items():
+        publishable(df).write.mode("overwrite").json(f"{folder}/parts/{name}")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{folder}/parts/{name}").where("length > 0")
+        parts.append(files.select(F.lit(name).alias("topic"), "path"))
+    listed = reduce(DataFrame.unionByName, parts).withColumn("k", F.lit(0))
+    target, names = f"{folder}/document.json", list(topics)
+
+    def lines(paths: list[str]) -> Iterator[bytes]:
+        first = True
+        for p in paths:
+            with _opened(re.sub("^file:/+", "file:///", p), False) as part:
+                end = b"" if first else b","
+                while data := part.read(chunk):
+                    # the line end of a row is written when the next row begins
+                    body = data.rstrip(b"\n")
+                    if body:
+                        yield end + body.replace(b"\n", b",\n")
+                        end = b""
+                    if len(body) < len(data):
+                        end = b",\n"
+                first = False
+
+    def copy(g: pd.DataFrame) -> pd.DataFrame:
+        by = g.sort_values("path").groupby("topic")["path"].apply(list)
+        with _opened(f"{target}.new", True) as out:
+            for i, name in enumerate(names):
+                out.write((("{" if i == 0 else ",\n") + f'"{name}": [').encode())
+                for piece in lines(by.get(name, [])):
+                    out.write(piece)
+                out.write(b"]")
+            out.write(b"}")
+        system, at = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        system.move(f"{at}.new", at)
+        return pd.DataFrame({"bytes": [system.get_file_info(at).size]})
+
+    listed.groupBy("k").applyInPandas(copy, "bytes long").collect()
+    return target
+
+
 def write_per_key(df: DataFrame, key: str, folder: str) -> None:
     """A JSON folder per key; overwriting removes those of keys that are gone."""
     publishable(df).repartition(key).write.mode("overwrite").partitionBy(key).json(folder)
@@ -211,6 +318,11 @@ def write_ledger(closed: DataFrame, summary: DataFrame, folder: str) -> None:
     rows.unionByName(summary, allowMissingColumns=True).write.mode("overwrite").option("header", True).csv(folder)
 
 
+def read_ledger(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """A ledger as it was written; a summary row has no ticker."""
+    return spark.read.option("header", True).schema(schema).csv(folder)
+
+
 def validate_topics(spark: SparkSession, folder: str, required: dict[str, list[str]]) -> list[str]:
     """What is missing or empty; an empty list means that all is well."""
     faults = []
