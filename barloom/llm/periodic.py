@@ -29,7 +29,7 @@ other columns may have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -70,15 +70,31 @@ def z_function(s: list) -> list[int]:
 
 
 def _blocks(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each ``width`` (a power of two) words in a row."""
+    """A hash of each ``width`` (a power of two) words in a row; equal hashes are a hint, which the Z-functions verify."""
     have = 1
     while have < width:
-        h = (h[:-have] ^ (h[:-have] >> np.uint64(31))) * _A + h[have:]
-        h = (h ^ (h >> np.uint64(29))) * _A
+        h = h[:-have] * _A + h[have:]
         have *= 2
     return h
 
 
+def candidates(tiles_: list[np.ndarray], p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, boundary, period) where 2p words from a multiple of p on may equal those a period of p to 2p - 1 further on."""
+    sizes = np.array([len(t) for t in tiles_])
+    rows = -(-sizes // p)  # each tile begins at a multiple of p
+    begin = np.cumsum(rows) - rows
+    h = np.zeros((rows.sum() + 3) * p, np.uint64)
+    for t, at in zip(tiles_, begin * p):
+        h[at : at + len(t)] = t
+    block = _blocks(h, 2 * p)
+    n = len(block) // p - 1
+    row, shift = np.nonzero(block[p : (n + 1) * p].reshape(n, p) == block[: n * p : p, None])
+    tile = np.searchsorted(begin, row, side="right") - 1
+    b, q = (row - begin[tile]) * p, shift + p
+    inside = b + q + 2 * p <= sizes[tile]
+    return tile[inside], b[inside], q[inside]
+
+
 def _primes(q: int) -> list[int]:
     out, d = [], 2
     while d * d <= q:
@@ -104,26 +120,18 @@ def _boundary(h: np.ndarray, b: int, p: int, reach: int) -> tuple[list[int], lis
     return ahead, behind
 
 
-def fragments(h: np.ndarray, p: int, first: int, end: int) -> list[tuple[int, int, int]]:
-    """(period, start, end) of the stretches of repeating words around the boundaries from ``first`` to ``end`` of a tile.
+def fragments(h: np.ndarray, p: int, found) -> list[tuple[int, int, int]]:
+    """(period, start, end) of the stretches of repeating words around the candidates (boundary, period) of a tile, by boundary.
 
-    The periods are those from p to 2p - 1; a stretch covers the words [start, end) and is PERIODS periods long or more.
+    A stretch covers the words [start, end) and is PERIODS periods long or more.
     """
-    block = _blocks(h, 2 * p)
-    bounds = np.arange(first, min(end, len(block) - p), p)
-    if not len(bounds):
-        return []
-    at = bounds[:, None] + np.arange(p, 2 * p)
-    inside = at < len(block)
-    same = inside & (block[np.where(inside, at, 0)] == block[bounds][:, None])
-    out, done, reach = [], {}, REACH * p
-    for i, j in zip(*np.nonzero(same)):
-        b, q = int(bounds[i]), int(j) + p
+    out, done, at, reach = [], {}, None, REACH * p
+    for b, q in found:
         if done.get(q, -1) >= b + 2 * p:
             continue  # a fragment of the period goes on through this boundary
-        if done.get("at") != b:
+        if at != b:
             ahead, behind = _boundary(h, b, p, reach)
-            done["at"] = b
+            at = b
         start, stop = b - behind[q], b + ahead[q]
         # a fragment that was followed to the end of its reach goes on: it is taken up again from a boundary well inside it
         done[q] = stop if ahead[q] + q < len(ahead) else stop - 4 * p
@@ -132,6 +140,21 @@ def fragments(h: np.ndarray, p: int, first: int, end: int) -> list[tuple[int, in
     return out
 
 
+def solve(tiles_: list[np.ndarray], p: int, first: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(tile, period, start, end) of the fragments of tiles of one octave; a tile looks from its boundaries in [first, end)."""
+    tile, b, q = candidates(tiles_, p)
+    own = (b >= first[tile]) & (b < end[tile])
+    tile, b, q = (x[own].tolist() for x in (tile, b, q))
+    out, i = [], 0
+    while i < len(tile):
+        j = i
+        while j < len(tile) and tile[j] == tile[i]:
+            j += 1
+        out += [(tile[i], *x) for x in fragments(tiles_[tile[i]], p, zip(b[i:j], q[i:j]))]
+        i = j
+    return out
+
+
 def tiles(n: Column, tile: int = TILE) -> Column:
     """Array of (p, first, end) for a document of ``n`` words: the octaves that a run can have, each cut at multiples of p."""
     top = F.floor(F.log2((n / PERIODS).cast("double")) + 1e-9).cast("int")
@@ -148,14 +171,16 @@ def tiles(n: Column, tile: int = TILE) -> Column:
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles (key, p, from_, first, end, words) to fragments in the document's own word numbers."""
     schema = pa.schema([("key", pa.binary()), ("q", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    for b in batches:
-        words = b.column("words")
+    for batch in batches:
+        words, keys = batch.column("words"), batch.column("key")
         values, offsets = words.values.to_numpy().view(np.uint64), words.offsets.to_numpy()
-        keys, rows = b.column("key"), []
-        places = [b.column(c).to_numpy() for c in ("p", "from_", "first", "end")]
-        for i, (p, low, first, end) in enumerate(zip(*places)):
-            own = values[offsets[i] : offsets[i + 1]]
-            rows += [(keys[i].as_py(), q, s + int(low), e + int(low)) for q, s, e in fragments(own, int(p), int(first - low), int(end - low))]
+        octave, low, first, end = (batch.column(c).to_numpy() for c in ("p", "from_", "first", "end"))
+        rows = []
+        for p in np.unique(octave).tolist():  # the tiles of an octave are looked through in one go
+            at = np.flatnonzero(octave == p)
+            own = [values[offsets[i] : offsets[i + 1]] for i in at]
+            for k, q, s, e in solve(own, p, (first - low)[at], (end - low)[at]):
+                rows.append((keys[at[k]].as_py(), q, s + int(low[at[k]]), e + int(low[at[k]])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -179,18 +204,19 @@ def periodic_runs(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return runs.where(F.col("length") >= F.greatest(F.lit(WORDS), PERIODS * F.col("period")))
 
 
-def collapse(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def collapse(docs: DataFrame, words: Callable[[DataFrame], DataFrame], tile: int = TILE) -> DataFrame:
     """One row per document with runs: key, runs (start, period, length by start), the best of them, the kept words' digest.
 
-    ``docs``: key, words; rows with equal keys are equal. A run's words after its first period go.
+    ``docs``: key and what ``words`` makes (key, words) of; rows with equal keys are equal. A run's words after its first
+    period go.
     """
     small_batches(docs.sparkSession)
     own = F.array_sort(F.collect_list(F.struct("start", "period", "length")))
-    runs = materialize(periodic_runs(docs, tile).groupBy("key").agg(own.alias("runs")), "runs")
+    runs = materialize(periodic_runs(words(docs), tile).groupBy("key").agg(own.alias("runs")), "runs")
     keys = runs.select("key")
     if runs.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    texts = docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(runs, "key")
+    texts = words(docs.join(keys, "key", "left_semi")).dropDuplicates(["key"]).join(runs, "key")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,24 +240,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def op12_scale_tiles(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", words_of(text_or_empty("text")).alias("w"))
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, words): of every tenth document the words behind the a-th are the first p from there on, again and again."""
+    docs = docs.select("key", "doc_id", words_of(F.col("text")).alias("w"))
     h, n = F.crc32(F.col("doc_id").cast("string")), F.size("w")
     g = F.floor(h / 10)
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    docs = docs.select("doc_id", "w", F.when((h % 10 == 0) & (n > 0), a).cast("int").alias("a"), p.cast("int").alias("p"), n.alias("n"))
-    # the words before a, then the first p from a on, again and again
+    docs = docs.select("doc_id", "key", "w", F.when((h % 10 == 0) & (n > 0), a).cast("int").alias("a"), p.cast("int").alias("p"), n.alias("n"))
     turns = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
     repeated = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(turns), F.lit(1), F.col("n") - F.col("a")))
-    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("w")).alias("words"))
-    joined = F.array_join("words", " ")
+    return docs.select("doc_id", "key", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("w")).alias("words"))
+
+
+def op12_scale_tiles(spark, sf_dir: str) -> DataFrame:
     # rows with one id may hold different texts
-    docs = docs.select("doc_id", "words", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), joined))).alias("key"))
-    found = collapse(docs.select("key", "words"))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text")).withColumn("key", F.unhex(F.md5(own)))
+    found = collapse(docs, _repeated)
     line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
     found = found.select("key", F.size("runs").alias("n_runs"), "best", F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), "collapsed")
-    plain = docs.select("doc_id", "key", F.sha2(F.array_join("words", " "), 256).alias("plain"))
+    plain = _repeated(docs).select("doc_id", "key", F.sha2(F.array_join("words", " "), 256).alias("plain"))
     out = plain.join(materialize(found, "collapsed"), "key", "left")
     best = lambda f: F.col(f"best.{f}").cast("long")
     return out.select(
