@@ -18,7 +18,8 @@ third of all rows share costs one point. Cells are streamed: a task holds one
 cell and a batch of queries.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part; with fewer candidates than k
+hold null or non-finite components take no part; vectors may be of any size, the
+least and the greatest doubles included; with fewer candidates than k
 all are returned; ties go to the smaller id; an empty table gives no rows; other
 columns may have any name. Rows that repeat an id are one row if their vectors
 are equal; of an id with several vectors each is a point and a query of its own.
@@ -145,7 +146,12 @@ class Cell:
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
-    return np.array(s.tolist(), np.float64).reshape(len(s), -1)
+    """Vectors as rows, each times the power of two that brings its largest component to about one.
+
+    No cosine changes by that, not in its last bit, and no square runs over or vanishes, whatever a vector's size.
+    """
+    v = np.array(s.tolist(), np.float64).reshape(len(s), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) if v.size else v
 
 
 def _project(v: np.ndarray, d: np.ndarray) -> np.ndarray:
