@@ -27,10 +27,9 @@ hashes would be needed for a wrong count.
 
 Edge cases: null texts and texts without words have empty sets and are linked
 with nothing; with fewer words than a shingle the whole sequence is one; rows
-with equal id and text are one set; of an id with several texts each row keeps
-its own set, but a group that this id leads takes the first of them only, and
-links are by id; an empty table gives no rows; a very long text is one set,
-whole; other columns may have any name.
+with equal id and text are one set; of an id with several texts each row has its
+own set, each set is searched for, and links are by id; an empty table gives no
+rows; a very long text is one set, whole; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -129,7 +128,7 @@ def _frequent(slim: DataFrame, n: int) -> np.ndarray:
 
 
 def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """Per row: id, set size, fingerprint, rarity and prefix tokens."""
+    """Per row: id, the text's tag, set size, fingerprint, rarity and prefix tokens."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, order = kept("words", "hashes", WordHashes), frequent.value
@@ -155,9 +154,10 @@ def _profiles(slim: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), 1000 * len(rare) // len(s), prefix, histogram(s).tobytes()))
             out = pd.DataFrame(rows, columns=["n", "print", "rarity", "prefix", "histogram"])
             out.insert(0, "id", b["id"].to_numpy())
+            out.insert(1, "tag", b["tag"].to_numpy())
             yield out
 
-    return slim.mapInPandas(profile, "id long, n int, print binary, rarity int, prefix array<long>, histogram binary")
+    return slim.mapInPandas(profile, "id long, tag long, n int, print binary, rarity int, prefix array<long>, histogram binary")
 
 
 class _Group:
@@ -240,8 +240,11 @@ def _width(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _spots(members: DataFrame, chunk_tokens: int) -> DataFrame:
-    """Where each member goes: id, array of (leader, chunks, chunk); a leader goes to all chunks."""
+def _spots(members: DataFrame, chunk_tokens: int, own: DataFrame | None = None) -> DataFrame:
+    """Where each member goes: id, array of (leader, chunks, chunk); a leader goes to all chunks.
+
+    With ``own`` (id, doc, tag) also the document and the tag of the text that is the member's.
+    """
     load = members.groupBy("leader").agg(F.sum("n").alias("load"), F.count("*").alias("c"))
     parts = F.greatest(F.ceil(F.col("load") / chunk_tokens), F.ceil(F.col("c") / CHUNK_MEMBERS)).cast("int")
     # few leaders have more than a chunk, at most one for so many tokens or members
@@ -252,7 +255,7 @@ def _spots(members: DataFrame, chunk_tokens: int) -> DataFrame:
     chunks = F.col("chunks")
     chunk = F.when(F.col("leader") == F.col("id"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))
     spots = placed.groupBy("id").agg(F.collect_list(F.struct("leader", "chunks", chunk.alias("chunk"))).alias("spots"))
-    spots = materialize(spots, "spots")
+    spots = materialize(spots if own is None else spots.join(own, "id"), "spots")
     # a row, and each of its structs with an array of chunks
     held = spots.agg(F.coalesce(F.sum(40 + F.size("spots") * 64), F.lit(0))).head()[0]
     return F.broadcast(spots) if held <= BROADCAST_BYTES else spots
@@ -290,9 +293,10 @@ def _living(profiles: DataFrame, members: DataFrame, percent: int, chunk_tokens:
     return _dealt(rows, "n", "histogram").mapInPandas(keep, "leader long, id long, n int").distinct()
 
 
-def _links(slim: DataFrame, members: DataFrame, n: int, percent: int, chunk_tokens: int) -> DataFrame:
-    """Links (a, b) from the groups. ``members``: leader, id, n; the leader is a member."""
-    sets = slim.join(_spots(members, chunk_tokens), "id")
+def _links(slim: DataFrame, members: DataFrame, own: DataFrame, n: int, percent: int, chunk_tokens: int) -> DataFrame:
+    """Links (a, b) from the groups. ``members``: leader, id, n; the leader is a member. ``own``: id, doc, tag of each set's text."""
+    texts = slim.select(F.col("id").alias("doc"), "tag", "text")
+    sets = texts.join(_spots(members, chunk_tokens, own), ["doc", "tag"])
 
     @F.pandas_udf("array<long>")
     def as_set(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -394,13 +398,16 @@ def jaccard_components(
     """One row per row of ``docs``: id, n_shingles, component_id. ``percent``: least similarity, in percent."""
     spark = docs.sparkSession
     small_batches(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     frequent = spark.sparkContext.broadcast(_frequent(slim, shingle))
     base = materialize(_profiles(slim, shingle, percent, frequent), "profiles")
     sets = base.where("print is not null")
     reps = materialize(sets.groupBy("print").agg(F.min("id").alias("id")), "classes")
-    ours = sets.select("id", "print", "n", "rarity", "prefix", "histogram").join(reps.select("id", "print"), ["id", "print"], "left_semi")
-    ours = materialize(ours.dropDuplicates(["id", "print"]), "distinct")
+    ours = sets.join(reps.select("id", "print"), ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
+    # an id may lead several classes, so from here to the links a class goes by a number of its own
+    ours = ours.select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("doc"), "tag", "n", "rarity", "prefix", "histogram")
+    ours = materialize(ours, "distinct")
+    texts = ours.select("id", "doc", "tag")
     tokens = ours.select("id", "n", "rarity", F.explode("prefix").alias("token"))
     # a token that one document alone has in its prefix links nothing
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
@@ -416,7 +423,9 @@ def jaccard_components(
     own = pairs.select("leader", "leader_n").distinct().select("leader", F.col("leader").alias("id"), F.col("leader_n").alias("n"))
     members = pairs.where("leader <> id").select("leader", "id", "n").unionByName(own)
     living = materialize(_living(ours, materialize(members, "members"), percent, chunk_tokens), "living")
-    links = _links(slim, living, shingle, percent, chunk_tokens)
+    links = _links(slim, living, texts, shingle, percent, chunk_tokens)
+    doc = texts.select(F.col("id").alias("a"), F.col("doc").alias("x"))
+    links = links.join(doc, "a").select("x", "b").join(doc.withColumnsRenamed({"a": "b", "x": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     named = components(links)
     classes = reps.join(named, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     out = base.select("id", "n", "print").join(classes, "print", "left")
