@@ -97,6 +97,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.keep = self.KEEP
         self.t = Tokenizer.from_file(path)
         suffix = getattr(self.t.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.t.get_vocab_size(), bool)
@@ -153,7 +154,7 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id behind them."""
-        if len(self.numbers) > self.KEEP:
+        if len(self.numbers) > self.keep:
             self.forget()
         blank = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
         words = " \n ".join([*blank, ""])[:-1].split(" ")
@@ -298,8 +299,12 @@ def pack_documents(
     tiers: tuple[int, ...] = TIERS,
     hold_tokens: int = HOLD_TOKENS,
     step_tokens: int = STEP_TOKENS,
+    keep_words: int = WordTokenizer.KEEP,
 ) -> DataFrame:
-    """One row per piece. ``tokenizer`` is the path of the vocabulary file on the executors."""
+    """One row per piece. ``tokenizer`` is the path of the vocabulary file on the executors.
+
+    ``keep_words``: words that a worker remembers, about 300 bytes each; fewer cost time and change nothing else.
+    """
     small_batches(docs.sparkSession)
     dtype = docs.schema[id_col].dataType.simpleString()
     schema = PIECES.format(dtype)
@@ -309,6 +314,7 @@ def pack_documents(
         context = TaskContext.get()
         packer = Packer(context.partitionId() if context else 0, window, tiers, step_tokens)
         tok = tokenizer_of(tokenizer)
+        tok.keep = keep_words
 
         def flush():
             out, packer.out = packer.out, []
