@@ -46,6 +46,32 @@ def test_neighbours_against_brute_force(spark):
     assert neighbors.nearest(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_of_any_size(spark):
+    """The least and the greatest doubles lie beside their like: what they point at is found, and they are."""
+    r = np.random.default_rng(7)
+    centres = r.standard_normal((40, 16))
+    x = centres[r.integers(0, 40, 1600)] + 0.3 * r.standard_normal((1600, 16))
+    for every, size in ((401, 1e-200), (397, 1e200), (211, 1e-308), (307, 1e150)):
+        x[3::every] *= size
+    x[7], x[8] = x[8] * 2.0**-600, x[8]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    big = np.abs(x).max(1, keepdims=True)
+    unit = x / big
+    unit = unit / np.sqrt((unit**2).sum(1, keepdims=True))
+    got = neighbors.nearest(df, (F.col("id") % 50 == 0) | (F.col("id") % 401 == 3) | F.col("id").isin(7, 8), cell=256).toPandas()
+    hits, queries = 0, got.groupby("query_id")
+    assert {3, 7, 8, 404, 805} <= set(queries.groups)
+    for q, own in queries:
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -9
+        best = np.lexsort((np.arange(len(x)), -s))[:5]
+        assert len(own) == 5 and np.allclose(own["score"], s[own["vec_id"]], atol=1e-9)
+        hits += len(set(best) & set(own["vec_id"]))
+    assert hits >= 0.95 * 5 * len(queries)
+    assert got[(got["query_id"] == 7) & (got["rank"] == 1)]["vec_id"].tolist() == [8]
+
+
 def _brute_ppm(train, text, order):
     seq = lambda t: [0xFE] * order + list(t.encode()) + [0xFF]
     ctx = collections.defaultdict(collections.Counter)
@@ -189,3 +215,15 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
     packed = cp.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(ids)
+
+
+def test_similar_texts_of_repeated_ids(spark):
+    """An id with two texts leads two classes; copies of either are linked to it, in groups and in chunks of groups."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a + " x"), (1, b + " y"), (2, a), (3, b), (3, b), (4, "c d e f g"), (4, "c d e f g"), (5, None), (5, a)]
+    for n in range(30):
+        rows.append((10 + n, f"{b} z{n}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (jaccard.CHUNK_TOKENS, 50):
+        out = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.jaccard_components(df, 4, 85, chunk_tokens=chunk).collect()}
+        assert out == {(1, 38): 1, (2, 37): 1, (3, 37): 1, (4, 2): 4, (5, 0): 5, (5, 37): 1} | {(10 + n, 38): 1 for n in range(30)}
