@@ -26,6 +26,8 @@ from barloom.llm.quality import fit, judge
 from barloom.llm.secrets import redact_secrets
 
 
+#: Words that the tokenizer of the last stage remembers: its workers have run the other stages, too.
+KEEP_WORDS = 250_000
 #: Removed ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -60,7 +62,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, vocabulary())
+    return pack_documents(docs, vocabulary(), keep_words=KEEP_WORDS)
 
 
 STAGES = [
