@@ -113,10 +113,25 @@ SECTOR_RULES = (
 )
 
 
+#: Spellings that are made one before the rules are looked at. Fixed, in this order.
+SECTOR_SPELLINGS = (
+    (" and ", " & "),
+    (" And ", " & "),
+    ("Textile &", "Textiles &"),
+    ("Non-bank", "Non-Bank"),
+    ("financial services", "Financial Services"),
+    ("Contracting & Construction", "Construction"),
+)
+
+
 def sector_name(x) -> Column:
     t = F.trim(_c(x))
+    blank = t.isNull() | F.lower(t).isin("", "nan", "none", "n/a", "null")
+    t = F.regexp_replace(t, r"(?U)\s+,\s+", ", ")
+    for old, new in SECTOR_SPELLINGS:
+        t = F.replace(t, F.lit(old), F.lit(new))
     low = F.lower(t)
-    out = F.when(t.isNull() | F.lower(t).isin("", "nan", "none", "n/a", "null"), NO_SECTOR)
+    out = F.when(blank, NO_SECTOR)
     out = out.when(low.rlike("^(non[- ]bank )?financial services$"), "Non-Bank Financial Services")
     for words, name in SECTOR_RULES:
         hit = F.lit(False)
@@ -126,7 +141,7 @@ def sector_name(x) -> Column:
                 every = every & low.contains(part)
             hit = hit | every
         out = out.when(hit, name)
-    return out.otherwise(F.replace(t, F.lit(" and "), F.lit(" & ")))
+    return out.otherwise(t)
 
 
 #: Words that company names share. Fixed.

@@ -262,18 +262,46 @@ def first_seen(versions: DataFrame) -> DataFrame:
 # --- names -----------------------------------------------------------------------------------
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, min_ratio: float = 0.5) -> DataFrame:
+#: Names that hold a common token are compared by classes, not one by one.
+COMMON = 1000
+
+
+def _split_names(df: DataFrame, common: DataFrame, as_: str) -> DataFrame:
+    """Key, number of tokens, and the tokens: the common ones and the others."""
+    own = df.select("key", C.name_tokens("name").alias("tokens")).where("size(tokens) > 0")
+    each = own.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(common.withColumn("_common", F.lit(True)), "token", "left")
+    seen = F.col("_common").isNotNull()
+    out = each.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.when(seen, F.col("token")))).alias("common"), F.collect_list(F.when(~seen, F.col("token"))).alias("others"))
+    return out.select(F.col("key").alias(f"{as_}_key"), *[F.col(c).alias(f"{as_}_{c}") for c in ("n", "common", "others")])
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, min_ratio: float = 0.5, common: int = COMMON) -> DataFrame:
     """Shared name tokens over the smaller set; the best of each left row, ties by the right key.
 
-    Both: key, name. Pairs come from shared tokens, so there is no cross join.
+    Both: key, name; keys are unique. Names that share a token which at most ``common`` names of a side hold are
+    compared as pairs. What names share besides lies in common tokens alone, so there it depends on a name's class
+    only (its common tokens and its number of tokens), of which the least key stands for all: a token that a third of
+    the names hold makes pairs of classes.
     """
-    a, b = (x.select("key", C.name_tokens("name").alias("tokens")).where("size(tokens) > 0") for x in (left, right))
-    ta = a.select(F.col("key").alias("left_key"), F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    tb = b.select(F.col("key").alias("right_key"), F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    pairs = ta.join(tb, "token").groupBy("left_key", "right_key", "na", "nb").agg(F.count("*").alias("shared"))
-    pairs = pairs.withColumn("ratio", F.col("shared") / F.least("na", "nb"))
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("left_key").orderBy(F.desc("ratio"), "right_key"))).where("_r = 1")
-    return best.select("left_key", "right_key", "ratio", (F.col("ratio") >= min_ratio).alias("matched"))
+    tokens = [x.select(F.explode(C.name_tokens("name")).alias("token")).groupBy("token").count().where(F.col("count") > common).select("token") for x in (left, right)]
+    often = tokens[0].unionByName(tokens[1]).distinct()
+    a, b = _split_names(left, often, "left"), _split_names(right, often, "right")
+    smaller = F.least("left_n", "right_n")
+    best = F.min(F.struct((-F.col("shared") / smaller).alias("back"), "right_key")).alias("best")
+
+    pairs = a.withColumn("token", F.explode("left_others")).join(b.withColumn("token", F.explode("right_others")), "token")
+    both = F.size(F.array_intersect("left_common", "right_common")) + F.size(F.array_intersect("left_others", "right_others"))
+    near = pairs.withColumn("shared", both).groupBy("left_key").agg(best)
+
+    ca = a.where("size(left_common) > 0").select("left_common", "left_n").distinct()
+    cb = b.where("size(right_common) > 0").groupBy("right_common", "right_n").agg(F.min("right_key").alias("right_key"))
+    classes = ca.withColumn("token", F.explode("left_common")).join(cb.withColumn("token", F.explode("right_common")), "token")
+    far = classes.withColumn("shared", F.size(F.array_intersect("left_common", "right_common"))).groupBy("left_common", "left_n").agg(best)
+    far = a.join(far, ["left_common", "left_n"]).select("left_key", "best")
+
+    out = near.unionByName(far).groupBy("left_key").agg(F.min("best").alias("best"))
+    ratio = -F.col("best.back")
+    return out.select("left_key", F.col("best.right_key").alias("right_key"), ratio.alias("ratio"), (ratio >= min_ratio).alias("matched"))
 
 
 def review_split(left: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,16 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import clean as C
 from ..operators import detectors as X
 from ..operators import indicators as I
 from ..operators import stats as S
 from ..operators import structure as T
+from ..plans import charts
 from ..plans import events as V
 from ..plans import picks as P
 from ..shared import shared_dir
 from ..sources import ingest, layout
 from ..sources.views import BARS, SECTOR_MAP, bars, sector_map, table
-from . import query
+from . import SQL, query
 from .user_detector import KeyReversal
 from .indicators import rounded
 from .jobs import AS_OF, NOW, PICKS, picks_of, prices_of
@@ -217,3 +219,62 @@ def k10(spark, d):
     day = F.when(number % 4 == 0, F.lit(AS_OF)).when(number % 5 == 0, F.lit("2001-05-31")).cast("date")
     excluded = rows.select("ticker", F.lit("long").alias("horizon"), day.alias("excluded_date")).where("excluded_date is not null")
     return P.refill_slots(live, pools, excluded, rows.where("sector like '%3'").select("sector"), AS_OF)
+
+
+# --- sector names (B11) ----------------------------------------------------------------------
+
+#: Names as a feed spells them, before and behind a part's own name; the SQL is written out by hand.
+FED_SECTORS = ("Contracting & Construction Gas", "Food , Beverages And Tobacco", "Textile & Durables", "Non-bank financial services", "financial services", "Education And Utilities", "Media and Paper", "A  ,  B", "Real Estate", "Gas and Steel", "", "null")
+SPELT = """
+fed AS (SELECT p_partkey, p_name AS own, trim([{names}][p_partkey % 12 + 1] || CASE WHEN p_partkey % 5 = 0 AND p_partkey % 12 < 10 THEN ' ' || p_name ELSE '' END) AS raw FROM part),
+one AS (SELECT p_partkey, raw, replace(replace(replace(replace(replace(replace(regexp_replace(raw, '\\s+,\\s+', ', ', 'g'), ' and ', ' & '), ' And ', ' & '), 'Textile &', 'Textiles &'), 'Non-bank', 'Non-Bank'), 'financial services', 'Financial Services'), 'Contracting & Construction', 'Construction') AS s FROM fed),
+low AS (SELECT *, lower(s) AS l FROM one)
+SELECT p_partkey, CASE WHEN lower(raw) IN ('', 'nan', 'none', 'n/a', 'null') THEN 'General / Diversified'
+  WHEN l IN ('non-bank financial services', 'non bank financial services', 'financial services') THEN 'Non-Bank Financial Services'
+  WHEN contains(l, 'food') AND contains(l, 'beverag') THEN 'Food, Beverages & Tobacco'
+  WHEN contains(l, 'textile') OR contains(l, 'durables') THEN 'Textiles & Durables'
+  WHEN contains(l, 'it,') OR contains(l, 'communication') OR contains(l, 'media') OR contains(l, 'technology') THEN 'IT, Media & Communication Services'
+  WHEN contains(l, 'industrial goods') OR contains(l, 'automobiles') THEN 'Industrial Goods, Services & Automobiles'
+  WHEN contains(l, 'construction') OR contains(l, 'contracting') OR contains(l, 'engineering') THEN 'Construction & Engineering'
+  WHEN contains(l, 'health') OR contains(l, 'pharma') OR contains(l, 'medical') THEN 'Health Care & Pharmaceuticals'
+  WHEN contains(l, 'basic resources') OR contains(l, 'mining') OR contains(l, 'steel') THEN 'Basic Resources'
+  WHEN contains(l, 'building materials') OR contains(l, 'cement') OR contains(l, 'porcelain') THEN 'Building Materials'
+  WHEN contains(l, 'travel') OR contains(l, 'leisure') OR contains(l, 'hotels') OR contains(l, 'tourism') THEN 'Travel & Leisure'
+  WHEN contains(l, 'shipping') OR contains(l, 'transportation') OR contains(l, 'cargo') THEN 'Shipping & Transportation Services'
+  WHEN contains(l, 'trade') OR contains(l, 'distributor') THEN 'Trade & Distributors'
+  WHEN contains(l, 'energy') OR contains(l, 'support services') OR contains(l, 'oil') THEN 'Energy & Support Services'
+  WHEN contains(l, 'education') THEN 'Education Services'
+  WHEN contains(l, 'paper') OR contains(l, 'packaging') THEN 'Paper & Packaging'
+  WHEN contains(l, 'banks') OR contains(l, 'banking') THEN 'Banks'
+  WHEN contains(l, 'real estate') OR contains(l, 'housing') OR contains(l, 'development') THEN 'Real Estate'
+  WHEN contains(l, 'chemical') OR contains(l, 'fertilizer') THEN 'Chemicals'
+  WHEN contains(l, 'utilities') OR contains(l, 'gas') THEN 'Utilities' ELSE s END AS sector FROM low"""
+
+
+@query("B11_sector_names_as_fed", "WITH " + SPELT.strip().format(names=", ".join(f"'{n}'" for n in FED_SECTORS)))
+def b11(spark, d):
+    k = F.col("p_partkey")
+    name = F.get(F.array(*[F.lit(n) for n in FED_SECTORS]), (k % 12).cast("int"))
+    raw = F.concat(name, F.when((k % 5 == 0) & (k % 12 < 10), F.concat(F.lit(" "), F.col("p_name"))).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", C.sector_name(raw).alias("sector"))
+
+
+# --- charts by value (A15, A16) --------------------------------------------------------------
+
+
+@query("A16_chart_patterns", f"""WITH pats AS ({SQL['J14_H6_M1_detect_all']}) SELECT DISTINCT ticker, pattern, direction, start_index, end_index, quality FROM pats""")
+def a16p(spark, d):
+    rows = charts.stock_charts(bars(spark, d)).select("ticker", F.explode("patterns").alias("p")).select("ticker", "p.*")
+    return rows.select("ticker", "pattern", "direction", "start_index", "end_index", *rounded(rows, 2, "quality"))
+
+
+@query("A15_shard_arrays", ctes(BARS, SECTOR_MAP) + """, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM bars)
+SELECT ticker, any_value(sector) AS sector, list(open ORDER BY date) FILTER (WHERE r <= 365) AS opens, list(high ORDER BY date) FILTER (WHERE r <= 365) AS highs, list(low ORDER BY date) FILTER (WHERE r <= 365) AS lows,
+list(close ORDER BY date) FILTER (WHERE r <= 365) AS closes, list(volume ORDER BY date) FILTER (WHERE r <= 365) AS volumes FROM r LEFT JOIN sector_map USING (ticker) GROUP BY 1 HAVING count(*) >= 2""")
+def a15v(spark, d):
+    """The shards as they are read back: a JSON file a ticker, its arrays by value."""
+    folder, b = shared_dir(spark, "shards"), bars(spark, d)
+    matrix = I.latest(b).select("ticker", "close")
+    ingest.write_per_key(charts.ticker_shards(charts.stock_charts(b), matrix, sector_map(spark, d)), "ticker", folder)
+    df = spark.read.json(folder)
+    return df.select("ticker", "sector", *[F.col(f"chart_history.{c}s") for c in ("open", "high", "low", "close", "volume")])

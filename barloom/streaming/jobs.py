@@ -13,6 +13,10 @@ from ..plans.picks import fired_dates
 from ..sources import ingest
 
 
+#: Tasks, and so files, that a month of the bars table is written by, at most.
+MONTH_PARTS = 8
+
+
 def events_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """A file stream with the schema of the files there are; at most so many files a batch.
 
@@ -84,7 +88,8 @@ def start_ingest(spark: SparkSession, folder: str, header: list[str], as_of: str
             touched = [r[0] for r in good.select("month").distinct().collect()]  # one short text a month
             stored = stored.where(F.col("month").isin(touched))
             ingest.upsert(stored, good, ["ticker", "date"], ["_file_time", "_file"]).write.mode("overwrite").parquet(merged)
-        out = spark.read.schema(schema).parquet(merged).repartition("month")
+        # a month is spread over a few tasks, by ticker
+        out = spark.read.schema(schema).parquet(merged).repartition("month", F.pmod(F.xxhash64("ticker"), F.lit(MONTH_PARTS)))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{target}/bars")
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
