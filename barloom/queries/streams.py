@@ -98,7 +98,7 @@ GATED = f"""WITH RECURSIVE {ARRIVED},
 d AS (SELECT DISTINCT event_type || ':' || user_id % 20 AS alert_key, CAST(ts AS date) AS event_date FROM ok),
 n AS (SELECT a.alert_key, a.event_date, min(b.event_date) AS after FROM d a LEFT JOIN d b ON a.alert_key = b.alert_key AND b.event_date >= a.event_date + 3 GROUP BY 1, 2),
 fired AS (SELECT * FROM n WHERE (alert_key, event_date) IN (SELECT (alert_key, min(event_date)) FROM n GROUP BY alert_key) UNION ALL SELECT n.* FROM fired f JOIN n ON n.alert_key = f.alert_key AND n.event_date = f.after),
-gated AS (SELECT alert_key, event_date FROM fired, wm WHERE event_date < wm)"""
+gated AS (SELECT alert_key, event_date FROM fired, wm WHERE event_date <= wm)"""
 
 
 def gate(stream):
@@ -114,7 +114,7 @@ def l4(spark, d):
 
 @query("L8_target_watch_append", f"""WITH {ARRIVED}, p AS (SELECT DISTINCT user_id, k.k, user_id * 2 + k.k AS pick_id, 50.0 + 40 * k.k AS target FROM events, range(0, 2) k(k)),
 h AS (SELECT CAST(ok.user_id AS varchar) AS ticker, pick_id, arg_min(value, {{'t': ts, 'v': value}}) AS price, min(ts) AS ts FROM ok JOIN p ON p.user_id = ok.user_id AND value >= target GROUP BY 1, 2)
-SELECT ticker, pick_id, h.ts, price FROM h, wm WHERE date_trunc('millisecond', h.ts) < wm""")
+SELECT ticker, pick_id, h.ts, price FROM h, wm WHERE date_trunc('millisecond', h.ts) <= wm""")
 def l8(spark, d):
     """Two picks a ticker; each leaves once, in whichever of the five runs the watermark passes its hit."""
     k = F.col("user_id")

@@ -131,9 +131,10 @@ def test_smoothing_goes_on_without_the_bad_ticker(spark):
 
 
 def test_a_users_detector_joins_detect_all(spark):
-    b = panel(spark, 4, 120)
+    turns = [("T0", datetime.date(2025, 1, 1 + i), 10.0, 10.5 + i % 2 * 3, 9.5 - i % 2, 10.0 + i % 2 * 3, 1.0) for i in range(6)]
+    b = panel(spark, 4, 120).unionByName(spark.createDataFrame(turns, BAR))
     alone = {tuple(r)[:5] for r in detectors.matches(b, KeyReversal).collect()}
-    assert alone
+    assert alone == {("T0", "Key Reversal", "bullish", 120 + i, 121 + i) for i in (0, 2, 4)}
     detectors.register("mine", KeyReversal)
     try:
         with pytest.raises(ValueError):
