@@ -78,9 +78,9 @@ def fold(node: str, proof: list[str]) -> str:
     return node
 
 
-def _height(count: int) -> int:
+def _height(count: int, most: int) -> int:
     """Levels that a superblock of a tree with ``count`` nodes is reduced by."""
-    return min(LEVELS, (count - 1).bit_length())
+    return min(most, (count - 1).bit_length())
 
 
 def _placed(rows: DataFrame, label: str) -> DataFrame:
@@ -103,32 +103,32 @@ def _placed(rows: DataFrame, label: str) -> DataFrame:
     return at.join(counts, ["tree", "part"]).select(*own, (F.col("row") + F.col("shift")).alias("pos"), "count")
 
 
-def _block() -> Column:
-    return F.shiftright("pos", LEVELS).alias("block")
+def _block(most: int) -> Column:
+    return F.shiftright("pos", most).alias("block")
 
 
-def _above(nodes: DataFrame) -> DataFrame:
+def _above(nodes: DataFrame, most: int) -> DataFrame:
     """Each superblock's own node, as a row of the next table up."""
 
     def top(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos")
         count = int(g["count"].iloc[0])
-        node = reduced([x.hex() for x in g["node"]], _height(count))[-1]
-        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "count": [-(-count >> LEVELS) if count > 1 else 1], "node": [bytes.fromhex(node[0])]})
+        node = reduced([x.hex() for x in g["node"]], _height(count, most))[-1]
+        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "count": [-(-count >> most) if count > 1 else 1], "node": [bytes.fromhex(node[0])]})
 
-    return nodes.select("tree", "pos", "count", "node", _block()).groupBy("tree", "block").applyInPandas(top, "tree string, pos long, count long, node binary")
+    return nodes.select("tree", "pos", "count", "node", _block(most)).groupBy("tree", "block").applyInPandas(top, "tree string, pos long, count long, node binary")
 
 
-def _tables(nodes: DataFrame, label: str) -> list[DataFrame]:
+def _tables(nodes: DataFrame, label: str, most: int) -> list[DataFrame]:
     """The table of nodes and those above it, up to one node a tree."""
     out = [nodes]
     while True:
-        out.append(materialize(_above(out[-1]), label))
+        out.append(materialize(_above(out[-1], most), label))
         if out[-1].where("count > 1").isEmpty():
             return out
 
 
-def _finished(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+def _finished(nodes: DataFrame, outer: DataFrame, most: int) -> DataFrame:
     """Every node with its path to the root. ``outer``: tree, pos, path, subroot, root of the superblocks' own nodes.
 
     The superblock is reduced again, the siblings inside it stand in front of the outer ones, and what the row claims
@@ -137,7 +137,7 @@ def _finished(nodes: DataFrame, outer: DataFrame) -> DataFrame:
 
     def finish(key, own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("pos")
-        levels = reduced([x.hex() for x in own["node"]], _height(int(own["count"].iloc[0])))
+        levels = reduced([x.hex() for x in own["node"]], _height(int(own["count"].iloc[0]), most))
         path = list(above["path"].iloc[0])
         proofs = [[*siblings(levels, i), *path] for i in range(len(own))]
         claims = [n if c is None else c.hex() for n, c in zip(levels[0], own["claim"])]
@@ -145,7 +145,7 @@ def _finished(nodes: DataFrame, outer: DataFrame) -> DataFrame:
             {
                 "tree": key[0],
                 "pos": own["pos"].to_numpy(),
-                "id": own["id"].astype("Int64").to_numpy(),
+                "id": own["id"].to_numpy(),  # as text, which null ids leave whole
                 "node": own["node"].to_numpy(),
                 "path": proofs,
                 "subroot": above["subroot"].iloc[0],
@@ -154,29 +154,29 @@ def _finished(nodes: DataFrame, outer: DataFrame) -> DataFrame:
             }
         )
 
-    left = nodes.select("tree", "pos", "count", "id", "node", "claim", _block()).groupBy("tree", "block")
+    left = nodes.select("tree", "pos", "count", F.col("id").cast("string").alias("id"), "node", "claim", _block(most)).groupBy("tree", "block")
     right = outer.select("tree", F.col("pos").alias("block"), "path", "subroot", "root").groupBy("tree", "block")
-    schema = "tree string, pos long, id long, node binary, path array<string>, subroot string, root string, folded string"
+    schema = "tree string, pos long, id string, node binary, path array<string>, subroot string, root string, folded string"
     return left.cogroup(right).applyInPandas(finish, schema)
 
 
-def _down(tables: list[DataFrame], outer: DataFrame, label: str) -> DataFrame:
+def _down(tables: list[DataFrame], outer: DataFrame, label: str, most: int) -> DataFrame:
     """The lowest table's nodes with their paths, from the outer rows of the highest one."""
     for i, nodes in reversed(list(enumerate(tables[:-1]))):
         if "id" not in nodes.columns:
             nodes = nodes.select("tree", "pos", "count", F.lit(None).cast("long").alias("id"), "node", F.lit(None).cast("binary").alias("claim"))
-        outer = _finished(nodes, outer)
+        outer = _finished(nodes, outer, most)
         if i:
             outer = materialize(outer, label)
     return outer
 
 
-def manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, claim: Column | None = None) -> DataFrame:
+def manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, claim: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row: id, group, leaf, subroot (its group's root), root, proof and folded, digests as hex text.
 
     ``leaf``: the row's digest as bytes. ``claim``: the digest that somebody claims for it, null where it is the leaf.
     ``proof``: the siblings from the leaf to the root, each behind its side (L or R; ``-``: the node stands alone).
-    ``folded``: the root that the claim gives; the claim holds where it equals ``root``.
+    ``folded``: the root that the claim gives; the claim holds where it equals ``root``. ``levels``: those of a superblock.
     """
     group = F.col(group_col).cast("string")
     leaves = rows.select(
@@ -186,19 +186,19 @@ def manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, claim:
         leaf.alias("node"),
         (F.lit(None) if claim is None else claim).cast("binary").alias("claim"),
     )
-    own = _tables(_placed(leaves, "merkle"), "merkle-up")
+    own = _tables(_placed(leaves, "merkle"), "merkle-up", levels)
     roots = own[-1].select(F.lit("").alias("tree"), F.lit(None).cast("long").alias("id"), "node", F.lit(None).cast("binary").alias("claim"), F.col("tree").alias("name"))
     # the groups' roots are ordered by the groups' names: few rows as a rule, but dealt like any others
-    top = _tables(_placed_roots(roots), "merkle-top")
+    top = _tables(_placed_roots(roots), "merkle-top", levels)
     path = F.array().cast("array<string>").alias("path")
     root = F.lower(F.hex("node"))
     outer = top[-1].select("tree", "pos", path, root.alias("subroot"), root.alias("root"))
-    paths = materialize(_down(top, outer, "merkle-paths"), "merkle-paths")
+    paths = materialize(_down(top, outer, "merkle-paths", levels), "merkle-paths")
     named = top[0].select("tree", "pos", "name")
     outer = paths.join(named, ["tree", "pos"]).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.lower(F.hex("node")).alias("subroot"), "root")
-    out = _down(own, materialize(outer, "merkle-outer"), "merkle-paths")
+    out = _down(own, materialize(outer, "merkle-outer"), "merkle-paths", levels)
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast("long").alias(id_col),
         F.when(F.col("tree") == "0", None).otherwise(F.substring("tree", 2, 2**31 - 1)).alias(group_col),
         F.lower(F.hex("node")).alias("leaf"),
         "subroot",
