@@ -245,7 +245,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     docs = docs.select("key", "doc_id", words_of(F.col("text")).alias("w"))
     h, n = F.crc32(F.col("doc_id").cast("string")), F.size("w")
     g = F.floor(h / 10)
-    a = F.pmod(g, n)
+    a = F.pmod(g, F.when(n > 0, n))
     p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
     docs = docs.select("doc_id", "key", "w", F.when((h % 10 == 0) & (n > 0), a).cast("int").alias("a"), p.cast("int").alias("p"), n.alias("n"))
     turns = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
