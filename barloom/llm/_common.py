@@ -43,7 +43,10 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound Arrow batches by ``rows`` for this session, so that texts are not held by the ten thousand."""
+    """Bound Arrow batches by ``rows``, so that texts are not held by the ten thousand.
+
+    The setting is read when a query runs, so it stays for the session: other queries of it get small batches too.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))

@@ -73,27 +73,26 @@ def _order(rows):
     return sorted(rows, key=str)
 
 
-def _manifest(df):
+def _manifest(df, levels=merkle.LEVELS):
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     hit = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
     claim = F.when(hit, merkle.digest(*fields[:3], F.col("n_chars") + 1, fields[4]))
-    out = merkle.manifest(df, "doc_id", "lang", merkle.digest(*fields), claim)
+    out = merkle.manifest(df, "doc_id", "lang", merkle.digest(*fields), claim, levels)
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")), "folded", F.col("folded") == F.col("root"))
 
 
 @pytest.mark.parametrize("levels", [1, 2, 10])
-def test_manifest_of_odd_rows(spark, monkeypatch, levels):
+def test_manifest_of_odd_rows(spark, levels):
     """Null ids, groups and fields, repeated rows, a lone group, superblocks of two leaves and more groups than a superblock."""
-    monkeypatch.setattr(merkle, "LEVELS", levels)
     r = random.Random(levels)
     rows = [(i, r.choice([None, "", "é" * 3, "a b"]), r.choice([None, "en", "", "é", "z"]), r.choice([None, "s"]), r.choice([None, 3, 4])) for i in range(23)]
     rows += [rows[4], rows[4], (None, "t", "en", "s", 1), (7, "other", rows[7][2], None, 2), (99, "x" * 200_000, "alone", "s", 200_000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(x) for x in _manifest(df.selectExpr(*CLASHES)).collect()]
+    got = [tuple(x) for x in _manifest(df.selectExpr(*CLASHES), levels).collect()]
     assert _order(got) == _order(_plain_manifest(rows))
-    one = [tuple(x) for x in _manifest(spark.createDataFrame(rows[-1:], SCHEMA)).collect()]
+    one = [tuple(x) for x in _manifest(spark.createDataFrame(rows[-1:], SCHEMA), levels).collect()]
     assert _order(one) == _order(_plain_manifest(rows[-1:])) and one[0][1] == one[0][3]
-    assert _manifest(df.limit(0)).count() == 0
+    assert _manifest(df.limit(0), levels).count() == 0
 
 
 def test_proofs_show_what_was_changed(spark):
