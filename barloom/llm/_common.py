@@ -99,3 +99,8 @@ def kept(group: str, name, make):
     if name not in _KEPT:
         _KEPT[name] = make()
     return _KEPT[name]
+
+
+#: The reflected polynomial of the cyclic redundancy check, bit by bit over the decimal digits.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten([[ascii(d) + 256, 0, 0, 0, 0, 0, 0, 0] FOR d IN string_split(doc_id::varchar, '')])),
+    lambda a, x: CASE WHEN xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) & 1 = 1 THEN xor(3988292384, xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) >> 1) ELSE xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) >> 1 END))"""

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import CRC32_SQL, materialize, table
 
 #: Levels of the tree in a superblock.
 LEVELS = 10
@@ -240,11 +240,6 @@ def op11_merkle_exchange(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: The reflected polynomial of the cyclic redundancy check, bit by bit over the decimal digits.
-_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten([[ascii(d) + 256, 0, 0, 0, 0, 0, 0, 0] FOR d IN string_split(doc_id::varchar, '')])),
-    lambda a, x: CASE WHEN xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) & 1 = 1 THEN xor(3988292384, xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) >> 1) ELSE xor(a, CASE WHEN x > 0 THEN x - 256 ELSE 0 END) >> 1 END))"""
-
-
 def _enc(e: str) -> str:
     return f"CASE WHEN {e} IS NULL THEN '-' ELSE strlen({e}::varchar) || ':' || {e} END"
 
@@ -259,7 +254,7 @@ def _up(name: str, base: str, by: str) -> str:
   SELECT {by}, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY {by}, lvl, pos // 2, n)"""
 
 
-OP11_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS claim FROM documents),
+OP11_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf, CASE WHEN {CRC32_SQL} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS claim FROM documents),
 l AS MATERIALIZED (SELECT *, leaf AS node, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
 {_up('u', 'l', 'g')},
 s AS MATERIALIZED (SELECT g, node, 0 AS t, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM u WHERE n = 1),

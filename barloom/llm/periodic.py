@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches, table, text_or_empty
+from ._common import CRC32_SQL, materialize, small_batches, table, text_or_empty
 
 #: A run is at least so many periods and so many words long.
 PERIODS, WORDS = 4, 6
@@ -273,3 +273,20 @@ def op12_scale_tiles(spark, sf_dir: str) -> DataFrame:
         F.coalesce("runs_sha256", F.sha2(F.lit(""), 256)).alias("runs_sha256"),
         F.coalesce("collapsed", "plain").alias("collapsed_sha256"),
     )
+
+
+OP12_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC32_SQL} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+t AS (SELECT doc_id, n, k - 1 AS i, w[CASE WHEN a IS NULL OR k - 1 < a THEN k ELSE a + (k - 1 - a) % p + 1 END] AS word FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM f)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+r AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+-- a stretch that a smaller period repeats too is one run, of the smallest
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY 1, 2, 3),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines.text, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""

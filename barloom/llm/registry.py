@@ -8,7 +8,7 @@ from .jaccard import op9_group_jaccard
 from .merkle import OP11_SQL, op11_merkle_exchange
 from .neighbors import op5_srs_neighbors
 from .packing import op10_tier_packing
-from .periodic import op12_scale_tiles
+from .periodic import OP12_SQL, op12_scale_tiles
 from .ppm import op3_ppm_score
 from .quality import op6_site_quality
 from .repeats import OP13_SQL, op13_recompression
@@ -36,4 +36,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_chat_prefix": OP7_SQL, "op8_url_rules": OP8_SQL, "op11_merkle_exchange": OP11_SQL, "op13_recompression": OP13_SQL}
+    return {"op7_chat_prefix": OP7_SQL, "op8_url_rules": OP8_SQL, "op11_merkle_exchange": OP11_SQL, "op12_scale_tiles": OP12_SQL, "op13_recompression": OP13_SQL}
