@@ -10,11 +10,12 @@ stand: what lies around a stretch can change its symbols within ``MARGIN`` words
 of its ends only, as ``LIMITS`` bounds what a round may join.
 
 So two equal windows of ``WINDOW`` words have the same symbols over the words in
-their middle. The least name among these is the window's anchor. Spark names the
-anchors' owners globally: one aggregate finds the anchors that more than one
-document has, one join brings these back to their documents, and only windows at
-such an anchor are verified, by a 128-bit hash of all their words and the
-smallest doc_id that holds it. Texts with more than one document are represented
+their middle. Two symbols that meet there name a pair, and the least of these
+names is the window's anchor (where one symbol fills the middle, its own name).
+Spark names the anchors' owners globally: one aggregate finds the anchors that
+more than one document has, one join brings these back to their documents, and
+only windows at such an anchor are verified, by a 128-bit hash of all their words
+and the smallest doc_id that holds it. Texts with more than one document are represented
 by the smallest of these; in all others every window starts in a smaller
 document too.
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, kept, materialize, small_batches, table, text_or_empty
@@ -49,6 +50,8 @@ WINDOW = 50
 RUN = 4
 #: Words that a joined pair may span, by round.
 LIMITS = (2, 2, 3, 4, 6, 8)
+#: Texts that a worker holds and parses at a time.
+BATCH = 200
 #: Places of documents in later passes over the texts are broadcast up to this many bytes.
 BROADCAST_BYTES = 40_000_000
 
@@ -96,14 +99,18 @@ def _join_pairs(s: np.ndarray, span: np.ndarray, limit: int, turn: int) -> tuple
     return s[keep], span[keep]
 
 
-def symbols(h: np.ndarray, wall: np.ndarray) -> np.ndarray:
-    """For every word the name of the symbol it lies in after all rounds. Nothing is joined across ``wall``."""
-    if not len(h):
-        return h
-    s, span = _join_runs(h, np.where(wall, RUN + max(LIMITS) + 1, 1), RUN)
+def parse(h: np.ndarray, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols after all rounds and the words that each spans. Nothing is joined across ``wall``."""
+    far = RUN + max(LIMITS)
+    s, span = _join_runs(h, np.where(wall, far + 1, 1), RUN)
     for turn, limit in enumerate(LIMITS):
         s, span = _join_pairs(s, span, limit, turn)
-    return np.repeat(s, np.where(span > RUN + max(LIMITS), 1, span))
+    return s, np.where(span > far, 1, span)
+
+
+def symbols(h: np.ndarray, wall: np.ndarray) -> np.ndarray:
+    """For every word the name of the symbol it lies in."""
+    return np.repeat(*parse(h, wall)) if len(h) else h
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -141,7 +148,25 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 def anchors(h: np.ndarray, wall: np.ndarray, window: int) -> np.ndarray:
     """The anchor of the window that starts at each word; windows that run into a wall or the end have none that counts."""
-    return _least(symbols(h, wall), window - 2 * MARGIN)[MARGIN : MARGIN + max(len(h) - window + 1, 0)]
+    n, middle = max(len(h) - window + 1, 0), window - 2 * MARGIN
+    if not n:
+        return h[:0]
+    s, span = parse(h, wall)
+    none = ~np.uint64(0)
+    meet = np.full(len(h), none)  # where a symbol ends, the pair that it and the next one make
+    meet[np.cumsum(span)[:-1] - 1] = _mix(s[:-1], s[1:], _B)
+    pair = _least(meet, middle - 1)[MARGIN : MARGIN + n]
+    return np.where(pair == none, np.repeat(s, span)[MARGIN : MARGIN + n], pair)
+
+
+def _laid_out(texts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text, their hashes end to end with a wall behind each text, the walls, and where each text begins."""
+    found = [split(t) for t in texts]
+    flat = np.concatenate([np.empty(0, np.uint64), *(np.append(_hashed(w), np.uint64(0)) for w in found)])
+    ends = np.cumsum([len(w) + 1 for w in found], dtype=np.int64) - 1
+    wall = np.zeros(len(flat), bool)
+    wall[ends] = True
+    return found, flat, wall, ends - [len(w) for w in found]
 
 
 def _profiles(texts: DataFrame, window: int) -> DataFrame:
@@ -149,16 +174,12 @@ def _profiles(texts: DataFrame, window: int) -> DataFrame:
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [split(t) for t in b["text"]]
-            flat = np.concatenate([np.empty(0, np.uint64), *(np.append(_hashed(w), np.uint64(0)) for w in found)])
-            wall = np.zeros(len(flat), bool)
-            ends = np.cumsum([len(w) + 1 for w in found]) - 1
-            wall[ends.astype(int)] = True  # texts of a batch are parsed in one go
+            found, flat, wall, begin = _laid_out(b["text"])  # texts of a batch are parsed in one go
             each = anchors(flat, wall, window)
             rows = []
-            for w, end in zip(found, ends):
-                own = np.unique(each[end - len(w) : end - window + 1]) if len(w) >= window else []
-                rows.append((len(w), hashlib.sha256(b" ".join(w)).hexdigest(), np.asarray(own, np.uint64).view(np.int64)))
+            for w, at in zip(found, begin):
+                own = np.unique(each[at : at + len(w) - window + 1]) if len(w) >= window else np.empty(0, np.uint64)
+                rows.append((len(w), hashlib.sha256(b" ".join(w)).hexdigest(), own.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "plain", "anchors"])
             out[["id", "print", "tag"]] = b[["id", "print", "tag"]].to_numpy()
             yield out[["id", "print", "tag", "n", "plain", "anchors"]]
@@ -166,73 +187,106 @@ def _profiles(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInPandas(profile, "id long, print binary, tag long, n long, plain string, anchors array<long>")
 
 
-def _sent(places: DataFrame, values: str) -> DataFrame:
-    """A table of arrays by document, with the hint that its measured size allows."""
-    held = places.agg(F.coalesce(F.sum(48 + 8 * F.size(values)), F.lit(0))).head()[0]
+def _sent(places: DataFrame, size) -> DataFrame:
+    """A table of small rows by document, with the hint that its measured size (bytes a row: ``size``) allows."""
+    held = places.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
     return F.broadcast(places) if held <= BROADCAST_BYTES else places
 
 
-def repeated_starts(texts: DataFrame, owners: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document with such: the starts of windows that start in a document with a smaller id too.
+def _owners(base: DataFrame, reps: DataFrame, window: int) -> DataFrame:
+    """One row a text that has a window, that of its smallest id: id, tag, anchors, and ``k``, the text's number among those of its id.
+
+    Copies are few as a rule and ids seldom repeat, so the anchors stay where they are: the rows to leave out or to
+    number are sent to them, if their measured size allows.
+    """
+    rows = base.where(F.col("id").isNotNull() & (F.col("n") >= window)).select("id", "tag", "anchors")
+    late = base.select("id", "tag", "print").join(reps, "print").where("id > owner").select("id", "tag").distinct()
+    rows = rows.join(_sent(materialize(late, "copies"), F.lit(16)), ["id", "tag"], "left_anti")
+    again = materialize(base.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    if again.isEmpty():
+        return rows.withColumn("k", F.lit(0))
+    again = _sent(again, F.lit(8))
+    each = rows.join(again, "id", "left_semi").dropDuplicates(["id", "tag"])
+    each = each.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("tag")) - 1)
+    return rows.join(again, "id", "left_anti").withColumn("k", F.lit(0)).unionByName(each)
+
+
+SPANS = "array<struct<start: int, end: int>>"
+
+
+def merged(starts, window: int) -> list[tuple[int, int]]:
+    """The spans (start, end) that windows with these starts cover."""
+    out: list[list[int]] = []
+    for s in sorted(starts):
+        if out and s <= out[-1][1]:
+            out[-1][1] = int(s) + window
+        else:
+            out.append([int(s), int(s) + window])
+    return [tuple(x) for x in out]
+
 
-    ``texts``: id, tag, text. ``owners``: id, tag, anchors; one row a document, and one document a text.
+def repeated_spans(texts: DataFrame, owners: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document with such: the spans of words that windows cover which start in a document with a smaller id too.
+
+    ``texts``: id, tag, text. ``owners``: id, tag, k, anchors (ascending); one row a document, and one document a text.
     """
-    tokens = owners.select("id", "tag", F.explode("anchors").alias("anchor"))
+    own = materialize(owners.select("id", "k", "tag"), "documents")
+    tokens = owners.select("id", "k", F.posexplode("anchors").alias("pos", "anchor"))
     shared = tokens.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    spots = tokens.join(shared, "anchor").groupBy("id", "tag").agg(F.collect_list("anchor").alias("shared"))
-    spots = materialize(spots, "shared-anchors")
+    spots = tokens.join(shared, "anchor").groupBy("id", "k").agg(F.collect_list("pos").alias("shared"))
+    spots = materialize(spots.join(own, ["id", "k"]), "shared-anchors")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, tag, text, own in b.itertuples(index=False, name=None):
-                h = _hashed(split(text))
-                each = anchors(h, np.zeros(len(h), bool), window)
-                at = np.flatnonzero(np.isin(each, np.asarray(own, np.int64).view(np.uint64)))
-                if len(at):
-                    one, two = (_window_hash(h, window, k)[at].view(np.int64) for k in (_A, _B))
-                    yield pd.DataFrame({"h1": one, "h2": two, "id": doc, "tag": tag, "start": at.astype(np.int32)})
-
-    chosen = texts.join(_sent(spots, "shared"), ["id", "tag"]).select("id", "tag", "text", "shared")
-    windows = materialize(chosen.mapInPandas(verify, "h1 long, h2 long, id long, tag long, start int").distinct(), "windows")
+            found, flat, wall, begin = _laid_out(b["text"])
+            each = anchors(flat, wall, window)
+            at = []
+            for w, low, own_ in zip(found, begin, b["shared"]):
+                mine = each[low : low + len(w) - window + 1]
+                wanted = np.unique(mine)[np.asarray(own_, np.int64)]
+                at.append(low + np.flatnonzero(np.isin(mine, wanted)))
+            if at and sum(map(len, at)):
+                row = np.repeat(np.arange(len(found)), [len(x) for x in at])
+                at = np.concatenate(at)
+                one, two = (_window_hash(flat, window, m)[at].view(np.int64) for m in (_A, _B))
+                yield pd.DataFrame({"h1": one, "h2": two, "id": b["id"].to_numpy()[row], "k": b["k"].to_numpy()[row], "start": (at - begin[row]).astype(np.int32)})
+
+    chosen = texts.join(_sent(spots, 48 + 4 * F.size("shared")), ["id", "tag"]).select("id", "k", "text", "shared")
+    windows = materialize(chosen.mapInPandas(verify, "h1 long, h2 long, id long, k int, start int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).where("id > first")
-    return materialize(later.groupBy("id", "tag").agg(F.collect_list("start").alias("starts")), "repeated")
+    later = windows.join(first, ["h1", "h2"]).where("id > first").groupBy("id", "k").agg(F.collect_set("start").alias("starts"))
 
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [[{"start": s, "end": e} for s, e in merged(x, window)] for x in b["starts"]]
+            yield pd.DataFrame({"id": b["id"], "tag": b["tag"], "spans": found})
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """The words that windows with these starts cover."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.asarray(starts) + window, -1)
-    return np.cumsum(change[:n]) > 0
+    return materialize(later.join(own, ["id", "k"]).mapInPandas(spans, f"id long, tag long, spans {SPANS}"), "repeated")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_words, n_removed, removed (spans of words, end exclusive) and the digest of the kept words."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select("id", "text", F.unhex(F.md5("text")).alias("print"), F.xxhash64("text").alias("tag"))
     base = materialize(_profiles(texts, window), "profiles")
     reps = materialize(base.where(F.col("id").isNotNull() & (F.col("n") >= window)).groupBy("print").agg(F.min("id").alias("owner")), "owners")
-    named = reps.select("print", F.col("owner").alias("id"))
-    owners = base.join(named, ["id", "print"], "left_semi").select("id", "tag", "anchors").dropDuplicates(["id", "tag"])
-    found = repeated_starts(texts.select("id", "tag", "text"), owners, window)
+    found = repeated_spans(texts.select("id", "tag", "text"), _owners(base, reps, window), window)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, tag, text, starts in b.itertuples(index=False, name=None):
-                words = split(text)
-                gone = covered(len(words), np.asarray(starts, np.int64), window)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                stay = b" ".join(w for w, g in zip(words, gone) if not g)
-                spans = [{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2])]
-                rows.append((doc, tag, int(gone.sum()), spans, hashlib.sha256(stay).hexdigest()))
+            for doc, tag, text, spans in b.itertuples(index=False, name=None):
+                words, stay, at = split(text), [], 0
+                for x in spans:
+                    stay += words[at : x["start"]]
+                    at = x["end"]
+                stay += words[at:]
+                rows.append((doc, tag, len(words) - len(stay), spans, hashlib.sha256(b" ".join(stay)).hexdigest()))
             yield pd.DataFrame(rows, columns=["id", "tag", "gone", "spans", "kept"])
 
-    chosen = texts.join(_sent(found, "starts"), ["id", "tag"]).select("id", "tag", "text", "starts")
-    span = "array<struct<start: int, end: int>>"
-    cuts = materialize(chosen.mapInPandas(cut, f"id long, tag long, gone long, spans {span}, kept string").dropDuplicates(["id", "tag"]), "cuts")
+    chosen = texts.join(_sent(found, 48 + 16 * F.size("spans")), ["id", "tag"]).select("id", "tag", "text", "spans")
+    cuts = materialize(chosen.mapInPandas(cut, f"id long, tag long, gone long, spans {SPANS}, kept string").dropDuplicates(["id", "tag"]), "cuts")
     every = F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("end")))
     out = base.drop("anchors").join(reps, "print", "left").join(cuts, ["id", "tag"], "left")
     copy = F.coalesce(F.col("id") > F.col("owner"), F.lit(False))
@@ -240,7 +294,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         F.col("id").alias(id_col),
         F.col("n").alias("n_words"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
-        F.when(copy, every).otherwise(F.coalesce("spans", F.array().cast(span))).alias("removed"),
+        F.when(copy, every).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "plain")).alias("kept_sha256"),
     )
 
