@@ -27,7 +27,11 @@ from .stats import LEDGER_BASE, STUDY, closed_of
 from .structure import REVERSALS, SWING_BASE, by_level, by_level_sql, deduped
 
 NUMBER = "CAST(substr(ticker, 2) AS bigint)"
-number = F.substring("ticker", 2, 20).cast("long")
+
+
+def number():
+    return F.substring("ticker", 2, 20).cast("long")
+
 
 # --- stored bars (A8 to A10) -----------------------------------------------------------------
 
@@ -76,7 +80,7 @@ def a4(spark, d):
     named = lambda rows: rows.withColumn("file", file).drop("part")
     ingest.write_named(named(_as_feed(b)), "file", feed)
     read = [len(ingest.ingest_changed(spark, feed, LATE, store))]
-    part = number % 4
+    part = number() % 4
     edited = _as_feed(b.where((part == 1) & (F.dayofmonth("date") <= 15)).withColumn("close", F.col("close") * 2))
     mended = b.where(part == 3).select(F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("ticker").alias("Ticker"), *[F.col(c).alias(c.title()) for c in ("open", "high", "low")], F.col("close").cast("string").alias("Close"), F.col("volume").alias("Volume"), part.alias("part"))
     ingest.write_named(named(edited.unionByName(mended)), "file", feed)
@@ -154,8 +158,8 @@ def _planted(rows):
     """Bars in which every seventh ticker has its first day twice, and of every seventh and first the closes are no prices on its last day."""
     first = F.row_number().over(I.w()) == 1
     rows = rows.withColumns({"_first": first, "_last": F.col("date") == F.max("date").over(I.every())})
-    twice = rows.where((number % 7 == 0) & F.col("_first"))
-    out = rows.unionByName(twice).withColumn("close", F.when((number % 7 == 1) & F.col("_last"), F.lit(-1.0)).otherwise(F.col("close")))
+    twice = rows.where((number() % 7 == 0) & F.col("_first"))
+    out = rows.unionByName(twice).withColumn("close", F.when((number() % 7 == 1) & F.col("_last"), F.lit(-1.0)).otherwise(F.col("close")))
     return out.drop("_first", "_last")
 
 
@@ -171,7 +175,7 @@ def m5(spark, d):
 CASE WHEN {NUMBER} % 7 <> 1 THEN min(entry_date) END AS first_entry FROM (SELECT DISTINCT ticker FROM bars) LEFT JOIN (SELECT ticker, entry_date, 1 AS s FROM t2) USING (ticker) GROUP BY 1 HAVING {NUMBER} % 7 = 1 OR count(s) > 0""")
 def m5w(spark, d):
     last = F.col("date") == F.max("date").over(I.every())
-    rows = bars(spark, d).withColumn("close", F.when((number % 7 == 1) & last, F.lit(-1.0)).otherwise(F.col("close")))
+    rows = bars(spark, d).withColumn("close", F.when((number() % 7 == 1) & last, F.lit(-1.0)).otherwise(F.col("close")))
     out = V.event_study_or_error(rows, sector_map(spark, d))
     return out.groupBy("ticker").agg(F.max("error").alias("error"), F.count("entry_date").alias("trades"), F.min("entry_date").alias("first_entry"))
 
@@ -214,9 +218,9 @@ def k10(spark, d):
     newest = lambda h, n: active.where(F.col("horizon") == h).orderBy(F.desc("pick_date"), F.desc("id")).limit(n)
     live = newest("short", 3).unionByName(newest("medium", 1)).unionByName(newest("long", 2)).select("ticker", "horizon")
     rows = prices_of(spark, d).join(sector_map(spark, d), "ticker")
-    source = F.when((F.col("horizon") != "short") | (number % 100 == 1), "scan").otherwise("pre_breakout")
+    source = F.when((F.col("horizon") != "short") | (number() % 100 == 1), "scan").otherwise("pre_breakout")
     pools = rows.select("ticker", "sector", "price", F.col("price").alias("score"), F.explode(F.array(*[F.lit(h) for h in P.SLOTS])).alias("horizon")).withColumn("source", source)
-    day = F.when(number % 4 == 0, F.lit(AS_OF)).when(number % 5 == 0, F.lit("2001-05-31")).cast("date")
+    day = F.when(number() % 4 == 0, F.lit(AS_OF)).when(number() % 5 == 0, F.lit("2001-05-31")).cast("date")
     excluded = rows.select("ticker", F.lit("long").alias("horizon"), day.alias("excluded_date")).where("excluded_date is not null")
     return P.refill_slots(live, pools, excluded, rows.where("sector like '%3'").select("sector"), AS_OF)
 
