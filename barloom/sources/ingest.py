@@ -128,7 +128,8 @@ def ingest_changed(spark: SparkSession, folder: str, as_of: str, store: str) ->
     rows, _ = split_valid(read_feed(spark, paths, as_of))
     rows = rows.withColumn("file_id", F.sha2(_file_key("_file"), 256))
     # a file without a valid row overwrites its partition with none: the rows it had go by the tracker's time
-    rows.select(*[c.split()[0] for c in STORED.split(", ")]).repartition("file_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{store}/rows")
+    # a large file is split over several tasks
+    rows.select(*[c.split()[0] for c in STORED.split(", ")]).hint("rebalance", "file_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{store}/rows")
     track(tracker, found.drop("path")).write.mode("overwrite").parquet(f"{store}/tracker/run={n + 1}")
     return paths
 
@@ -250,14 +251,33 @@ def _opened(path: str, write: bool):
 
 
 def write_named(df: DataFrame, name: str, folder: str) -> int:
-    """One CSV file for each value of ``name``, which is its file name; the number of files. A file is written by one task, in place."""
+    """One CSV file for each value of ``name``, which is its file name; the number of files.
 
-    def put(g: pd.DataFrame) -> pd.DataFrame:
-        with _opened(f"{folder}/{g[name].iloc[0]}", True) as out:
-            out.write(g.drop(columns=[name]).to_csv(index=False).encode())
-        return pd.DataFrame({"rows": [len(g)]})
+    A file is written by one task, in place, batch by batch: the rows come as lines, sorted by file, so nobody holds a file.
+    """
+    columns = [c for c in df.columns if c != name]
+    header = pd.DataFrame(columns=columns).to_csv(index=False).encode()
+    # quotes are doubled and blanks kept, as other writers of CSV do
+    line = F.to_csv(F.struct(*columns), {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
 
-    return df.groupBy(name).applyInPandas(put, "rows long").count()
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = out = None
+        try:
+            for b in batches:
+                for file, lines in b.groupby("file", sort=False)["line"]:
+                    if file != now:
+                        if out is not None:
+                            out.close()
+                        now, out = file, _opened(f"{folder}/{file}", True)
+                        out.write(header)
+                        yield pd.DataFrame({"file": [file]})
+                    out.write(("\n".join(lines) + "\n").encode())
+        finally:
+            if out is not None:
+                out.close()
+
+    rows = df.select(F.col(name).alias("file"), line.alias("line")).repartition("file").sortWithinPartitions("file")
+    return rows.mapInPandas(put, "file string").count()
 
 
 def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 << 20) -> str:

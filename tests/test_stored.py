@@ -233,3 +233,30 @@ def test_names_equal_all_pairs(spark):
     many = [spark.range(3000).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("key"), F.concat(F.lit("alpha "), F.lit(p), F.col("id").cast("string")).alias("name")) for p in "lr"]
     out = picks.fuzzy_match(*many, common=100)
     assert [tuple(x) for x in out.groupBy("right_key", "ratio", "matched").count().collect()] == [("r0", 0.5, True, 3000)]
+
+
+def test_named_files_are_written_row_by_row(spark, tmp_path):
+    rows = [("a.csv", "x,y", 1.5), ("a.csv", ' "q"', None), ("b.csv", None, 2.0)]
+    df = spark.createDataFrame(rows, "file string, Text string, N double").repartition(3)
+    assert ingest.write_named(df, "file", str(tmp_path)) == 2
+    read = pd.read_csv(tmp_path / "a.csv").sort_values("Text")
+    assert list(read.columns) == ["Text", "N"] and list(read["Text"]) == [' "q"', "x,y"]
+    assert (tmp_path / "b.csv").read_text().splitlines() == ["Text,N", ",2.0"]
+
+
+def test_named_files_hold_no_file_in_a_worker(spark, tmp_path, monkeypatch):
+    """A file of more rows than an Arrow batch is written whole, and no group is handed to a worker."""
+    from pyspark.sql.group import GroupedData
+
+    def never(*_, **__):
+        raise AssertionError("a file was gathered")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", never)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        df = spark.range(1000).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("file"), "id")
+        assert ingest.write_named(df, "file", str(tmp_path)) == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(i for k in range(3) for i in pd.read_csv(tmp_path / f"f{k}")["id"]) == list(range(1000))
