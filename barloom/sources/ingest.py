@@ -284,7 +284,8 @@ def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 <<
     """All topics as one nested JSON document, an array of rows each; its path.
 
     The rows are written in parts by many tasks. One task then copies the parts into the document, ``chunk`` bytes at a
-    time, with commas for the ends of lines, so nobody holds a topic. It is renamed when it is whole.
+    time, with commas for the ends of lines, so nobody holds a topic. It is renamed when it is whole. Each row, and each
+    bracket, has a line of its own, which lets ``read_document`` read it in splits.
     """
     spark = next(iter(topics.values())).sparkSession
     parts = []
@@ -299,7 +300,7 @@ def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 <<
         first = True
         for p in paths:
             with _opened(re.sub("^file:/+", "file:///", p), False) as part:
-                end = b"" if first else b","
+                end = b"" if first else b",\n"
                 while data := part.read(chunk):
                     # the line end of a row is written when the next row begins
                     body = data.rstrip(b"\n")
@@ -314,11 +315,11 @@ def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 <<
         by = g.sort_values("path").groupby("topic")["path"].apply(list)
         with _opened(f"{target}.new", True) as out:
             for i, name in enumerate(names):
-                out.write((("{" if i == 0 else ",\n") + f'"{name}": [').encode())
+                out.write((("{\n" if i == 0 else ",\n") + f'"{name}": [\n').encode())
                 for piece in lines(by.get(name, [])):
                     out.write(piece)
-                out.write(b"]")
-            out.write(b"}")
+                out.write(b"\n]")
+            out.write(b"\n}\n")
         system, at = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
         system.move(f"{at}.new", at)
         return pd.DataFrame({"bytes": [system.get_file_info(at).size]})
@@ -327,6 +328,28 @@ def write_document(topics: dict[str, DataFrame], folder: str, chunk: int = 1 <<
     return target
 
 
+def read_document(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Topics of a document that ``write_document`` wrote, as (``at``, ``row``): the place of a row and the row in the topic's schema.
+
+    The file is read in splits by lines. A line's topic is that of the last head before it; heads are one row a topic.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", place.alias("at"))
+    head = F.regexp_extract("value", r'^"(.*)": \[$', 1)
+    heads = sorted((tuple(r["at"]), r["topic"]) for r in lines.select("at", head.alias("topic")).where("topic <> ''").collect())
+
+    def after(at: tuple) -> Column:
+        return (F.col("at.block") > at[0]) | ((F.col("at.block") == at[0]) & (F.col("at.line") > at[1]))
+
+    out = {}
+    for (at, topic), following in zip(heads, [h[0] for h in heads[1:]] + [None]):
+        if topic in schemas:
+            rows = lines.where(after(at) & F.col("value").startswith("{"))
+            rows = rows.where(~after(following)) if following else rows
+            out[topic] = rows.select("at", F.from_json(F.rtrim("value", F.lit(",")), schemas[topic]).alias("row"))
+    return out
+
+
 def write_per_key(df: DataFrame, key: str, folder: str) -> None:
     """A JSON folder per key; overwriting removes those of keys that are gone."""
     publishable(df).repartition(key).write.mode("overwrite").partitionBy(key).json(folder)

@@ -235,6 +235,20 @@ def test_names_equal_all_pairs(spark):
     assert [tuple(x) for x in out.groupBy("right_key", "ratio", "matched").count().collect()] == [("r0", 0.5, True, 3000)]
 
 
+def test_document_is_read_in_splits(spark, tmp_path):
+    df = spark.range(300).select(F.concat(F.lit('{"\n],'), F.col("id").cast("string")).alias("text"), "id")
+    path = ingest.write_document({"none": df.limit(0), "rows": df.repartition(5), "one": df.limit(1)}, f"{tmp_path}/doc")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        doc = ingest.read_document(spark, path, {"none": "id bigint", "rows": "text string, id bigint", "one": "map<string, string>"})
+        assert doc["rows"].rdd.getNumPartitions() > 1
+        assert sorted((r["row"]["id"], r["row"]["text"]) for r in doc["rows"].collect()) == [(i, f'{{"\n],{i}') for i in range(300)]
+        assert doc["none"].isEmpty() and [list(r["row"]) for r in doc["one"].collect()] == [["text", "id"]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_named_files_are_written_row_by_row(spark, tmp_path):
     rows = [("a.csv", "x,y", 1.5), ("a.csv", ' "q"', None), ("b.csv", None, 2.0)]
     df = spark.createDataFrame(rows, "file string, Text string, N double").repartition(3)
