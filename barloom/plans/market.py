@@ -23,17 +23,17 @@ def universe(bars: DataFrame, days: int | None = T.scan_days) -> DataFrame:
     return I.history_trim(I.scan_lookback(bars, days) if days else bars)
 
 
-def scan(bars: DataFrame) -> DataFrame:
+def scan(bars: DataFrame, adapt: bool = True) -> DataFrame:
     """Indicators, range position and signal flags of every bar, with the raw action and its gates."""
-    df = I.range_position(I.indicators(bars))
+    df = I.range_position(I.indicators(bars, adapt))
     df = df.withColumns({"crossover": I.crossover(), "momentum": I.momentum()})
     df = df.withColumn("raw_action", R.raw_action())
     return df.withColumns(R.gates())
 
 
-def matrix(bars: DataFrame, sectors: DataFrame, analogs: DataFrame | None = None, days: int | None = T.scan_days) -> DataFrame:
+def matrix(bars: DataFrame, sectors: DataFrame, analogs: DataFrame | None = None, days: int | None = T.scan_days, adapt: bool = True) -> DataFrame:
     """K2: one scored row per ticker with enough bars (C2) in the universe."""
-    df = with_sector(I.latest(scan(universe(bars, days))), sectors).where(F.col("n_bars") >= T.min_bars)
+    df = with_sector(I.latest(scan(universe(bars, days), adapt)), sectors).where(F.col("n_bars") >= T.min_bars)
     if analogs is None:
         df = df.withColumns({"confidence": F.lit(0.0), "projected_pct": F.lit(None).cast("double")})
     else:
@@ -124,12 +124,12 @@ def sector_index_return(rows: DataFrame, sector_index: DataFrame, index_of: Data
     return rows.join(index_of, "sector", "left").join(ret, "index_ticker", "left")
 
 
-def watchlist(bars: DataFrame, sectors: DataFrame, zones: DataFrame, index_returns: DataFrame, regime: str = "unknown", analogs: DataFrame | None = None, days: int | None = T.scan_days) -> DataFrame:
+def watchlist(bars: DataFrame, sectors: DataFrame, zones: DataFrame, index_returns: DataFrame, regime: str = "unknown", analogs: DataFrame | None = None, days: int | None = T.scan_days, adapt: bool = True) -> DataFrame:
     """K3: additive pre-breakout score of the tickers that have not fired yet; floor 35.
 
     ``zones``: ticker, resistance. ``index_returns``: sector, index_5d. ``days`` 0: ``bars`` are a universe already.
     """
-    df = I.with_up_down_volume(I.volume_build(scan(bars if days == 0 else universe(bars, days))))
+    df = I.with_up_down_volume(I.volume_build(scan(bars if days == 0 else universe(bars, days), adapt)))
     df = df.withColumns({"adx_rising": I.adx_rising(), "ret_5": F.coalesce(I.n_bar_return(5), F.lit(0.0)), "high_10": F.max("high").over(I.last(10))})
     # three parts need the last bars of this: it is made once
     df = df.withColumn("_back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where(F.col("_back") <= 60).drop("_back")

@@ -277,6 +277,6 @@ def k3(spark, d):
 
     ret = I.latest(sector_index_bars(spark, d).withColumn("index_5d", I.n_bar_return(5))).select(F.col("ticker").alias("index_ticker"), "index_5d")
     index_returns = _index_of(spark, d).join(ret, "index_ticker").select("sector", "index_5d")
-    out = M.watchlist(b, sector_map(spark, d), zones, index_returns, analogs=S.analog_match(b), days=0)
+    out = M.watchlist(b, sector_map(spark, d), zones, index_returns, analogs=S.analog_match(b), days=0, adapt=False)
     out = M.watchlist_tiers(out).withColumns({f"p_{k}": F.col(f"points.{k}") for k in WATCH_POINTS})
     return out.select("ticker", "tier", "rank", *rounded(out, 3, "breakout_score", "dist_to_resistance_pct", *(f"p_{k}" for k in WATCH_POINTS)))
