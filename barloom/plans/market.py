@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import NO_SECTOR, T, W
 from ..functions import rules as R
 from ..operators import indicators as I
+from ..shared import written
 from ..sources.layout import stored
 
 
@@ -230,6 +231,7 @@ def sector_highlights(summary: DataFrame, n: int = 5) -> DataFrame:
 def rotation_flags(rows: DataFrame, owned: DataFrame, n: int = 10) -> DataFrame:
     """Held rows for which the best row of the category that is not held scores higher."""
     rows = rows.withColumn("category", category(F.col("raw_action"))).where("category is not null")
+    rows = written(rows.select("ticker", "category", "score"), "rotation")  # the scan is made once
     held = rows.join(owned.select("ticker").distinct(), "ticker", "left_semi").select("category", F.col("ticker").alias("held"), F.col("score").alias("held_score"))
     free = rows.join(owned.select("ticker").distinct(), "ticker", "left_anti")
     best = free.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "ticker"))).where("r = 1")
@@ -316,7 +318,7 @@ def screens(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
 
 def action_listing(rows: DataFrame, action: str, n: int = 10) -> DataFrame:
     """The best n rows of an action, with the number of rows left out."""
-    own = rows.where(F.col("raw_action").contains(action))
+    own = written(rows.where(F.col("raw_action").contains(action)), "listing")  # the scan is made once
     total = own.agg(F.count("*").alias("_n"))
     best = own.orderBy(F.desc("score"), "ticker").limit(n)
     return best.join(F.broadcast(total)).withColumn("remaining", F.greatest(F.col("_n") - n, F.lit(0))).drop("_n")
