@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import NO_SECTOR
 
-#: Cells that mean "no value". Fixed.
-BLANKS = ("", "-", "--", "nan", "none", "n/a")
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -17,20 +14,23 @@ def _c(x) -> Column:
 
 def number(x) -> Column:
     """Commas and percent signs removed, blanks null, sign kept."""
-    t = F.trim(F.regexp_replace(_c(x).cast("string"), "[,%]", ""))
-    return F.when(~F.lower(t).isin(*BLANKS), t.try_cast("double"))
+    # of the cells that mean "no value" (empty, -, --, nan, none, n/a) only nan would be read as a number
+    return F.nanvl(F.trim(F.translate(_c(x).cast("string"), ",%", "")).try_cast("double"), F.lit(None).cast("double"))
+
+
+def positive(x) -> Column:
+    n = _c(x)
+    return F.when(n > 0, n)
 
 
 def price(x) -> Column:
     """B1: as ``number``; zero and below are null."""
-    n = number(x)
-    return F.when((n > 0) & ~F.isnan(n), n)
+    return positive(number(x))
 
 
 def volume(x) -> Column:
     """B2: as ``number``; null and negative are 0."""
-    n = number(x)
-    return F.greatest(F.coalesce(F.when(~F.isnan(n), n), F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.coalesce(number(x), F.lit(0.0)), F.lit(0.0))
 
 
 #: B4, fixed.
@@ -53,8 +53,9 @@ def feed_date(x, as_of) -> Column:
     t = F.trim(_c(x).cast("string"))
     n = t.try_cast("double")
     serial = F.when((n > 30_000) & (n < 70_000), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int")))
-    text = F.coalesce(F.try_to_date(t, "yyyy-MM-dd"), F.try_to_date(t, "M/d/yyyy"), F.try_to_date(t, "d/M/yyyy"))
-    day = F.when(n.isNotNull(), serial).otherwise(text)
+    # no number is an ISO date: most cells need one look
+    other = F.when(n.isNotNull(), serial).otherwise(F.coalesce(F.try_to_date(t, "M/d/yyyy"), F.try_to_date(t, "d/M/yyyy")))
+    day = F.coalesce(F.try_to_date(t, "yyyy-MM-dd"), other)
     return F.when(day <= F.date_add(F.lit(as_of).cast("date"), 2), day)
 
 

@@ -38,7 +38,7 @@ def _as_feed(df):
 
 def _feed(spark, d):
     folder = shared_dir(spark, "feed")
-    _as_feed(bars(spark, d)).repartition("part").write.partitionBy("part").option("header", True).csv(folder)
+    _as_feed(bars(spark, d)).hint("rebalance", "part").write.partitionBy("part").option("header", True).csv(folder)
     return folder
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..shared import written
 
 #: A1: exact names, then words, then words that rule a header out.
 FIELDS = {
@@ -52,15 +53,14 @@ def resolve(header: list[str], saved: dict[str, str] | None = None) -> dict[str,
 def clean_bars(raw: DataFrame, columns: dict[str, str], as_of: str) -> DataFrame:
     """A1: typed bars; ``valid`` is false where date, ticker or close are missing."""
     get = lambda f: F.col(f"`{columns[f]}`") if f in columns else F.lit(None).cast("string")
-    close = C.price(get("close"))
-    df = raw.select(
-        C.feed_date(get("date"), as_of).alias("date"),
-        C.symbol(C.sanitize(get("ticker"), 20)).alias("ticker"),
-        *[F.coalesce(C.price(get(f)), close).alias(f) for f in ("open", "high", "low")],
-        close.alias("close"),
-        C.volume(get("volume")).alias("volume"),
-        *[c for c in raw.columns if c.startswith("_file")],
-    )
+    files = [c for c in raw.columns if c.startswith("_file")]
+    # in steps, so that Spark reads each cell once however often its value is used
+    read = raw.select(
+        C.feed_date(get("date"), as_of).alias("date"), C.sanitize(get("ticker"), 20).alias("ticker"),
+        *[C.number(get(f)).alias(f) for f in ("open", "high", "low", "close")], C.volume(get("volume")).alias("volume"), *files,
+    )
+    close = C.positive("close")
+    df = read.select("date", C.symbol("ticker").alias("ticker"), *[F.coalesce(C.positive(f), close).alias(f) for f in ("open", "high", "low")], close.alias("close"), "volume", *files)
     return df.withColumn("valid", F.coalesce(F.col("date").isNotNull() & (F.length("ticker") > 0) & F.col("close").isNotNull(), F.lit(False)))
 
 
@@ -93,7 +93,8 @@ def _file_key(path: str) -> Column:
 
 def file_outcomes(found: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tracker rows of the discovered files that gave a valid row, and the other files with a message."""
-    seen = rows.groupBy(_file_key("_file").alias("file_path")).agg(F.count_if("valid").alias("valid_rows"))
+    # one row a file, for which all files are read once
+    seen = written(rows.groupBy(_file_key("_file").alias("file_path")).agg(F.count_if("valid").alias("valid_rows")), "outcomes")
     df = found.withColumn("file_path", _file_key("path")).join(seen, "file_path", "left")
     read = F.coalesce(F.col("valid_rows") > 0, F.lit(False))
     good = df.where(read).select("file_path", F.col("modificationTime").alias("last_modified"), "file_hash")

@@ -81,6 +81,7 @@ def start_ingest(spark: SparkSession, folder: str, header: list[str], as_of: str
         fs.delete(before, True)
         merged = f"{target}/merged/batch={n}"
         if not exists(f"{merged}/_SUCCESS"):
+            batch.persist()  # the files are read once
             good, bad = ingest.split_valid(batch)
             bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={n}")
             good = good.withColumn("month", month)
@@ -88,6 +89,7 @@ def start_ingest(spark: SparkSession, folder: str, header: list[str], as_of: str
             touched = [r[0] for r in good.select("month").distinct().collect()]  # one short text a month
             stored = stored.where(F.col("month").isin(touched))
             ingest.upsert(stored, good, ["ticker", "date"], ["_file_time", "_file"]).write.mode("overwrite").parquet(merged)
+            batch.unpersist()
         # a month is spread over a few tasks, by ticker
         out = spark.read.schema(schema).parquet(merged).repartition("month", F.pmod(F.xxhash64("ticker"), F.lit(MONTH_PARTS)))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{target}/bars")
