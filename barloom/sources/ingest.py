@@ -205,9 +205,9 @@ def recent(rows: DataFrame, date: str, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def versioned(spark: SparkSession, folder: str) -> DataFrame:
-    """Every version of a JSON document of picks; one row per version, horizon and pick."""
-    docs = spark.read.option("multiLine", True).json(folder).select("*", F.col("_metadata.file_modification_time").alias("version"))
+def versioned(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Every version of a JSON document of picks; one row per version, horizon and pick. ``lines``: many documents a file, each a line."""
+    docs = spark.read.option("multiLine", not lines).json(folder).select("*", F.col("_metadata.file_modification_time").alias("version"))
     out = None
     for horizon in ("short", "medium", "long"):
         # a list that is empty in every version has no struct to read
