@@ -51,7 +51,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date"), "l_discount", "l_tax", "l_quantity"
     )
-    return _walk(_daily(rows, "ticker", "date"), "ticker")
+    # days and walk are both made where a ticker's rows lie: they are dealt out once
+    return _walk(_daily(rows.repartition("ticker"), "ticker", "date"), "ticker")
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
