@@ -9,7 +9,7 @@ end_date, levels, quality.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -437,17 +437,17 @@ def analog_match(bars: DataFrame, window: int = 15, horizon: int = 5, min_sim: f
 
     One row per ticker with a match: confidence, projected_pct, sample_size, dispersion and percentiles.
     """
-    df = numbered(bars)
-    arr = F.collect_list("close").over(w().rowsBetween(1 - window, 0))
-    df = df.withColumns({"_a": arr, "_future": F.lead("close", horizon).over(w())}).where(f"size(_a) = {window} and n >= {max(window + horizon, min_bars)}")
-    mean = F.aggregate("_a", F.lit(0.0), lambda s, x: s + x) / window
-    df = df.withColumn("_m", mean)
-    sd = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / window) + 1e-8
-    df = df.withColumn("_z", F.transform("_a", lambda x: (x - F.col("_m")) / sd))
-    now = df.where("idx = n - 1").select("ticker", F.col("_z").alias("_now"))
+    at = range(window)
+    total = lambda xs: reduce(lambda s, x: s + x, xs, F.lit(0.0))
+    df = numbered(bars).withColumns({f"_x{i}": F.lag("close", window - 1 - i).over(w()) for i in at} | {"_future": F.lead("close", horizon).over(w())})
+    df = df.where((F.col("idx") >= window - 1) & (F.col("n") >= max(window + horizon, min_bars)))
+    df = df.withColumn("_m", total(F.col(f"_x{i}") for i in at) / window)
+    df = df.withColumn("_sd", F.sqrt(total((F.col(f"_x{i}") - F.col("_m")) * (F.col(f"_x{i}") - F.col("_m")) for i in at) / window) + 1e-8)
+    z = F.array(*[(F.col(f"_x{i}") - F.col("_m")) / F.col("_sd") for i in at])
+    df = df.withColumn("_now", F.first(F.when(F.col("idx") == F.col("n") - 1, z), ignorenulls=True).over(every()))
     # neither the window nor what followed it may reach into the latest window
-    past = df.where(F.col("idx") + horizon < F.col("n") - window).join(now, "ticker")
-    sim = F.aggregate(F.zip_with("_z", "_now", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / window
+    past = df.where(F.col("idx") + horizon < F.col("n") - window)
+    sim = total((F.col(f"_x{i}") - F.col("_m")) / F.col("_sd") * F.col("_now")[i] for i in at) / window
     past = past.select("ticker", "idx", sim.alias("sim"), ((F.col("_future") - F.col("close")) / F.col("close")).alias("ret"))
     ranked = past.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("sim"), "idx"))).where((F.col("_r") <= top) & (F.col("sim") >= min_sim))
     out = ranked.groupBy("ticker").agg(
