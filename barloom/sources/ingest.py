@@ -156,13 +156,13 @@ def enrichment(raw: DataFrame, numbers: list[str], ratings: list[str]) -> DataFr
 def normalise_history(raw: DataFrame, names: DataFrame) -> DataFrame:
     """Vendor history (Date, Price, Open, High, Low, Vol., _file) as bars; tickers that two files claim are left out."""
     key = C.filename_key(F.regexp_extract("_file", r"([^/]+)$", 1))
-    df = raw.withColumn("filename", key).join(names.select("filename", "ticker"), "filename")
-    clear = df.groupBy("ticker").agg(F.count_distinct("filename").alias("_n")).where("_n = 1").select("ticker")
-    out = df.join(clear, "ticker", "left_semi")
-    close = C.price("Price")
-    return out.select(
-        C.us_date("Date").alias("date"), "ticker", *[F.coalesce(C.price(c), close).alias(c.lower()) for c in ("Open", "High", "Low")], close.alias("close"), C.suffixed_volume("`Vol.`").alias("volume")
-    ).where("date is not null and close is not null")
+    # names are looked up and compared for each file once; of the rows only this asks for no more than their file
+    files = raw.select("_file").distinct().withColumn("filename", key).join(names.select("filename", "ticker"), "filename")
+    clear = files.groupBy("ticker").agg(F.count_distinct("filename").alias("_n")).where("_n = 1").select("ticker")
+    fields = ("Open", "High", "Low")
+    rows = raw.select("_file", C.us_date("Date").alias("date"), C.price("Price").alias("close"), *[C.price(c).alias(c.lower()) for c in fields], C.suffixed_volume("`Vol.`").alias("volume"))
+    rows = rows.where("date is not null and close is not null").join(files.join(clear, "ticker", "left_semi").select("_file", "ticker").hint("shuffle_hash"), "_file")
+    return rows.select("date", "ticker", *[F.coalesce(c.lower(), "close").alias(c.lower()) for c in fields], "close", "volume")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: list[str | Column]) -> DataFrame:
