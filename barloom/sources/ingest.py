@@ -158,10 +158,11 @@ def normalise_history(raw: DataFrame, names: DataFrame) -> DataFrame:
     key = C.filename_key(F.regexp_extract("_file", r"([^/]+)$", 1))
     # names are looked up and compared for each file once; of the rows only this asks for no more than their file
     files = raw.select("_file").distinct().withColumn("filename", key).join(names.select("filename", "ticker"), "filename")
-    clear = files.groupBy("ticker").agg(F.count_distinct("filename").alias("_n")).where("_n = 1").select("ticker")
+    claims = Window.partitionBy("ticker")
+    clear = files.withColumns({"_a": F.min("filename").over(claims), "_b": F.max("filename").over(claims)}).where("_a = _b and ticker is not null")
     fields = ("Open", "High", "Low")
     rows = raw.select("_file", C.us_date("Date").alias("date"), C.price("Price").alias("close"), *[C.price(c).alias(c.lower()) for c in fields], C.suffixed_volume("`Vol.`").alias("volume"))
-    rows = rows.where("date is not null and close is not null").join(files.join(clear, "ticker", "left_semi").select("_file", "ticker").hint("shuffle_hash"), "_file")
+    rows = rows.where("date is not null and close is not null").join(clear.select("_file", "ticker").hint("shuffle_hash"), "_file")
     return rows.select("date", "ticker", *[F.coalesce(c.lower(), "close").alias(c.lower()) for c in fields], "close", "volume")
 
 
