@@ -226,7 +226,8 @@ def histories(bars: DataFrame, least: float = 0.08, longest: int = 15, steady: f
 
     up, down = pole("_top", 1, "ups"), pole("_low", -1, "downs")
     best = F.when(F.coalesce(F.abs(down["move"]) > F.abs(up["move"]), up.isNull()), down).otherwise(up)
-    own = F.struct("idx", "date", "price", "back1", "back2", "ahead1", "ahead2")
+    near = F.when((F.col("back1") > 0) & (F.col("ahead1") > 0), 1).when((F.col("back1") < 0) & (F.col("ahead1") < 0), -1).otherwise(0)
+    own = F.struct("idx", "date", "price", near.alias("turn"), "back2", "ahead2")
     out = df.groupBy("ticker").agg(F.array_sort(F.collect_list(own)).alias("bars"), F.array_sort(F.collect_list(best)).alias("found"))
     start = F.struct(F.lit(0).alias("free"), F.slice("found", 1, 0).alias("kept"))
 
@@ -245,13 +246,13 @@ def flags_and_pennants(history: DataFrame, eps: float = EPSILON, longest: int =
 
     def turns(sign: int) -> Column:
         def turn(x):
-            near = (sign * x["back1"] > 0) & (sign * x["ahead1"] > 0)
             far = ((x["idx"] - 2 < F.col("p.j")) | (sign * x["back2"] > 0)) & ((x["idx"] + 2 > F.col("e")) | (sign * x["ahead2"] > 0))
-            return (x["idx"] > F.col("p.j")) & (x["idx"] < F.col("e")) & near & far
+            return (x["turn"] == sign) & (x["idx"] > F.col("p.j")) & (x["idx"] < F.col("e")) & far
 
         return F.filter("rest", turn)
 
-    df = df.withColumns({"tops": turns(1), "lows": turns(-1)}).where("size(tops) >= 2 and size(lows) >= 2")
+    # exploded, so that they are made once: a condition on plain columns would be put in front and make them again
+    df = df.select("*", F.explode(F.array(F.struct(turns(1).alias("tops"), turns(-1).alias("lows")))).alias("t")).select("*", "t.*").where("size(tops) >= 2 and size(lows) >= 2")
     prices = F.transform("rest", lambda x: x["price"])
     mean = F.try_divide(F.aggregate(prices, F.lit(0.0), lambda a, x: a + x), F.size("rest"))
     (ts, ti, _), (ls, li, _) = _fit(F.col("tops")), _fit(F.col("lows"))
@@ -387,9 +388,9 @@ DETECTORS = {
 }
 
 
-def detect_all(bars: DataFrame, dedupe: bool = True, detectors=None) -> DataFrame:
-    """Every detector's matches, without overlaps."""
-    prepared, out = Prepared(bars), None
+def detect_all(bars: DataFrame | Prepared, dedupe: bool = True, detectors=None) -> DataFrame:
+    """Every detector's matches, without overlaps. Bars that are prepared already are not stored again."""
+    prepared, out = bars if isinstance(bars, Prepared) else Prepared(bars), None
     for f in (detectors or DETECTORS).values():
         rows = f(prepared)
         out = rows if out is None else out.unionByName(rows)
