@@ -19,6 +19,8 @@ def stock_charts(bars: DataFrame, n: int = 365) -> DataFrame:
     Where no zone lies above or below the price, the highest high and the lowest low of 250 bars stand in.
     Tickers with a single bar are left out.
     """
+    prepared = S.Prepared(bars)  # all parts read the bars as stored
+    bars = prepared.bars
     recent = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
     df = I.money_flow(bars).withColumn("_r", recent).where(F.col("_r") <= max(n, RANGE))
     near, shown = F.col("_r") <= RANGE, F.col("_r") <= n
@@ -30,7 +32,7 @@ def stock_charts(bars: DataFrame, n: int = 365) -> DataFrame:
     zones = S.support_resistance(bars).where("rank = 1").groupBy("ticker").agg(*[F.max(F.when(F.col("side") == s, F.col("level"))).alias(f"_{s}") for s in ("resistance", "support")])
     points = I.pivot_points(bars)
     points = points.select("ticker", F.struct(*[c for c in points.columns if c != "ticker"]).alias("pivots"))
-    found = S.detect_all(bars).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("start_index", "end_index", "pattern", "direction", "quality"))).alias("patterns"))
+    found = S.detect_all(prepared).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("start_index", "end_index", "pattern", "direction", "quality"))).alias("patterns"))
     out = rows.join(zones, "ticker", "left").join(points, "ticker", "left").join(found, "ticker", "left")
     return out.select(
         "ticker", *[F.col(f"_b.{c}").alias(f"{c}s") for c in (*fields, "vwap")], F.coalesce("_resistance", "_high").alias("resistance"), F.coalesce("_support", "_low").alias("support"),

@@ -78,4 +78,16 @@ def test_vendor_rows_meet_their_names_by_file_once(spark):
     out = ingest.normalise_history(raw, names)
     assert out.count() == 2
     joins = [x for x in plan_of(out).splitlines() if "Join" in x]
-    assert len(joins) == 3 and sum("_file" in x for x in joins) == 1  # files by name, clear tickers; rows by file
+    assert len(joins) == 2 and sum("_file" in x for x in joins) == 1  # files by name, rows by file
+
+
+def test_charts_store_the_bars_once(spark, monkeypatch):
+    from barloom.operators import structure
+    from barloom.plans import charts
+    from barloom.sources.views import bars
+
+    labels = []
+    kept = structure.stored
+    monkeypatch.setattr(structure, "stored", lambda df, label: labels.append(label) or kept(df, label))
+    out = charts.stock_charts(bars(spark, "/root/testdata/sf0.001"))
+    assert sorted(labels) == ["bars", "histories", "swings"] and "lineitem" not in plan_of(out)
