@@ -10,11 +10,14 @@ counts them (``Run.dropped``).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,50 +25,109 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 DAY_MS = 86_400_000
 
 
+def rank(price: float) -> float:
+    """A price in the order of Spark and SQL, where NaN is above all."""
+    return math.inf if math.isnan(price) else price
+
+
+def first_hits(rows: Iterable[tuple], size: int = 10_000) -> list[tuple]:
+    """Of (at, rank, price), those that are the first hit of any target: in order, each ranked above all before it.
+
+    The rows are taken ``size`` at a time, so that a ticker's rows are not sorted as a whole.
+    """
+    kept: list[tuple] = []
+    for part in batched(rows, size):
+        rising: list[tuple] = []
+        for row in sorted([*kept, *part]):
+            if not rising or row[1] > rising[-1][1]:
+                rising.append(row)
+        kept = rising
+    return kept
+
+
 class TargetWatch(StatefulProcessor):
-    """A ticker's open picks, each with the earliest hit so far; a pick leaves when no earlier hit can come any more."""
+    """A ticker's open picks, each with the earliest hit so far; a pick leaves when no earlier hit can come any more.
+
+    Tickers are many and their rows few, so what a ticker costs is its calls to the store and its frames: rows are
+    handed over instead of frames, a ticker's picks are read and written by one call each, and it has one timer, that
+    of its earliest hit.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.picks = handle.getMapState("picks", "pick_id long", "target double, at long, price double")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for pick, target in zip(initialState["pick_id"], initialState["target"]):
-            self.picks.updateValue((int(pick),), (float(target), -1, 0.0))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = list(self.picks.iterator())
-        seen = pd.concat(list(rows), ignore_index=True)
-        for (pick,), (target, at, price) in held:
-            hits = seen[seen["price"] >= target]
-            if len(hits):
-                first = min(zip(hits["at"], hits["price"]))
-                if at < 0 or first < (at, price):
-                    self.picks.updateValue((pick,), (target, int(first[0]), float(first[1])))
-                    self.handle.registerTimer(int(first[0]) // 1000)
+        self.picks = handle.getListState("picks", "pick_id long, target double, at long, price double")
+        self.taken: tuple = (None, {})
+
+    def _held(self) -> dict:
+        return {pick: (target, at, price) for pick, target, at, price in self.picks.get()}
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        new = {p["pick_id"]: (p["target"], None, None) for p in initialState.open}
+        self.picks.appendList([(pick, *v) for pick, v in new.items()])
+        self.taken = key, (self.taken[1] | new if self.taken[0] == key else new)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.taken[1] if self.taken[0] == key else self._held()  # the first rows follow on the initial state
+        self.taken = None, {}
+        if not held:
+            return iter(())
+        least, changed = min(rank(target) for target, _, _ in held.values()), {}
+        hits = first_hits((at, rank(price), price) for _, _, price, at in rows if not price < least)
+        ranks = [r for _, r, _ in hits]
+        for pick, (target, at, price) in held.items():
+            i = bisect_left(ranks, rank(target))
+            if i < len(hits) and (at is None or hits[i][:2] < (at, rank(price))):
+                changed[pick] = (target, hits[i][0], hits[i][2])
+        if changed:
+            before, held = self._next(held), held | changed
+            after = self._next(held)
+            self.picks.put([(pick, *v) for pick, v in held.items()])
+            if after != before:
+                self.handle.registerTimer(after)
+                if before is not None:
+                    self.handle.deleteTimer(before)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        done = [(pick, at, price) for (pick,), (_, at, price) in list(self.picks.iterator()) if 0 <= at // 1000 <= now and at >= 0]
-        for pick, *_ in done:
-            self.picks.removeKey((pick,))  # a ticker without picks has no state
-        if done:
-            yield pd.DataFrame({"ticker": key[0], "pick_id": [x[0] for x in done], "at": [x[1] for x in done], "price": [x[2] for x in done]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = self._held()
+        rest = {pick: v for pick, v in held.items() if v[1] is None or v[1] // 1000 > now}
+        if not rest:
+            self.picks.clear()  # a ticker without picks has no state
+        elif len(rest) < len(held):
+            self.picks.put([(pick, *v) for pick, v in rest.items()])
+        after = self._next(rest)
+        if after is not None:
+            self.handle.registerTimer(after)
+        for pick, (_, at, price) in held.items():
+            if pick not in rest:
+                yield Row(ticker=key[0], pick_id=pick, at=at, price=price)
+
+    @staticmethod
+    def _next(held: dict) -> int | None:
+        """When the earliest of the hits can leave."""
+        return min((at // 1000 for _, at, _ in held.values() if at is not None), default=None)
 
     def close(self) -> None:
         pass
 
 
+#: Picks of a ticker that are handed over as one row when a watch begins, at most.
+TAKEN = 1000
+
+
 def watch_targets(prices: DataFrame, picks: DataFrame, delay: str) -> DataFrame:
     """Each pick once, with the earliest price at or above its target (of prices at that time, the least).
 
     ``prices`` (a stream): ticker, ts, price. ``picks``: ticker, pick_id, target; they are taken in when the stream
-    begins. A pick leaves as soon as the watermark, ``delay`` behind the latest price, has passed its hit.
+    begins. A pick leaves as soon as the watermark, ``delay`` behind the latest price, has passed its hit. Rows with a
+    null are left out.
     """
-    rows = prices.select("ticker", "ts", "price", F.unix_micros("ts").alias("at")).withWatermark("ts", delay)
-    held = picks.select("ticker", "pick_id", "target").groupBy("ticker")
-    out = rows.groupBy("ticker").transformWithStateInPandas(TargetWatch(), "ticker string, pick_id long, at long, price double", "Append", "EventTime", initialState=held)
+    rows = prices.select("ticker", "ts", "price", F.unix_micros("ts").alias("at")).withWatermark("ts", delay).where("ticker IS NOT NULL AND ts IS NOT NULL AND price IS NOT NULL")
+    part = F.floor((F.row_number().over(Window.partitionBy("ticker").orderBy("pick_id")) - 1) / TAKEN)
+    held = picks.select("ticker", "pick_id", "target").dropna().withColumn("part", part)
+    held = held.groupBy("ticker", "part").agg(F.collect_list(F.struct("pick_id", "target")).alias("open")).select("ticker", "open")
+    out = rows.groupBy("ticker").transformWithState(TargetWatch(), "ticker string, pick_id long, at long, price double", "Append", "EventTime", initialState=held.groupBy("ticker"))
     return out.select("ticker", "pick_id", F.timestamp_micros("at").alias("ts"), "price")
 
 
