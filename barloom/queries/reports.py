@@ -160,7 +160,8 @@ def a15(spark, d):
     folder = shared_dir(spark, "tickers")
     b, sectors = bars(spark, d), sector_map(spark, d)
     ingest.write_per_key(charts.ticker_shards(charts.stock_charts(b), matrix_of(spark, d), sectors), "ticker", folder)
-    df = spark.read.json(folder)
+    schema = "sector string, last_data_date string, matrix struct<raw_action: string, score: double>, chart_history struct<dates: array<string>>"
+    df = ingest.read_per_key(spark, folder, "ticker", schema)
     df = df.select("ticker", "sector", "last_data_date", "matrix.raw_action", F.size("chart_history.dates").cast("long").alias("bars"), F.col("matrix.score").alias("score"))
     return df.select("ticker", "sector", "last_data_date", "raw_action", "bars", *rounded(df, 3, "score"))
 

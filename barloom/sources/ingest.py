@@ -7,11 +7,16 @@ key and never touch rows that have no new version.
 
 from __future__ import annotations
 
+import io
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -243,9 +248,19 @@ def write_topics(topics: dict[str, DataFrame], folder: str) -> None:
     reduce(DataFrame.unionByName, counted).write.mode("overwrite").json(f"{folder}/manifest")
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _removed(folder: str) -> None:
+    system, at = _located(folder)
+    if system.get_file_info(at).type != fs.FileType.NotFound:
+        system.delete_dir(at)
+
+
 def _opened(path: str, write: bool):
     """A stream on a file in the shared folder, in a task."""
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, at = _located(path)
     if write:
         system.create_dir(at.rsplit("/", 1)[0], recursive=True)
         return system.open_output_stream(at, compression=None)
@@ -352,9 +367,72 @@ def read_document(spark: SparkSession, path: str, schemas: dict[str, str]) -> di
     return out
 
 
+#: What Spark's readers expect escaped in the name of a key's folder.
+_ESCAPED = str.maketrans({c: f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]})
+_KEY_LINE = pa.schema([("key", pa.string()), ("line", pa.string())])
+_KEY_FILE = pa.schema([("key", pa.string()), ("file", pa.string())])
+
+
 def write_per_key(df: DataFrame, key: str, folder: str) -> None:
-    """A JSON folder per key; overwriting removes those of keys that are gone."""
-    publishable(df).repartition(key).write.mode("overwrite").partitionBy(key).json(folder)
+    """A JSON file per key, in a folder named as Spark's writers name it; overwriting removes those of keys that are gone.
+
+    Tasks write the files, row by row, and ``_manifest`` has their keys and paths. Spark's own writer and reader keep
+    some kilobytes a file on the driver. The folder takes its name when it is whole.
+    """
+    df, new = publishable(df), f"{folder}.new"
+    rows = df.withColumn(key, F.nullif(F.col(key).cast("string"), F.lit(""))).repartition(key).sortWithinPartitions(key)
+    rows = rows.select(F.col(key).alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("line"))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _located(new)
+        pairs = (x for b in batches for x in zip(b["key"].to_pylist(), b["line"].to_pylist()))
+        keys, files = [], []
+        for k, of in groupby(pairs, itemgetter(0)):
+            place = f"{key}={'__HIVE_DEFAULT_PARTITION__' if k is None else k.translate(_ESCAPED)}"
+            part = f"{at}/{place}/.{uuid.uuid4().hex}"  # another attempt of the task has a file of its own
+            system.create_dir(f"{at}/{place}", recursive=True)
+            with system.open_output_stream(part, compression=None) as out:
+                for _, line in of:
+                    out.write(line.encode() + b"\n")
+            system.move(part, f"{at}/{place}/shard.json")
+            keys.append(k)
+            files.append(f"{place}/shard.json")
+            if len(keys) == 1000:
+                yield pa.RecordBatch.from_arrays([keys, files], schema=_KEY_FILE)
+                keys, files = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([keys, files], schema=_KEY_FILE)
+
+    _removed(new)
+    rows.mapInArrow(put, "key string, file string").write.parquet(f"{new}/_manifest")
+    _removed(folder)
+    system, at = _located(new)
+    system.move(at, _located(folder)[1])
+
+
+def read_per_key(spark: SparkSession, folder: str, key: str, schema: str) -> DataFrame:
+    """The rows of the files that ``write_per_key`` wrote, with their key as text. Tasks open the files that the
+    manifest names, so that nobody lists them; a file that is missing or cut off is an error."""
+    names = spark.read.schema("key string, file string").parquet(f"{folder}/_manifest")
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _located(folder)
+        keys, lines, held = [], [], 0
+        for k, file in (x for b in batches for x in zip(b["key"].to_pylist(), b["file"].to_pylist())):
+            with system.open_input_stream(f"{at}/{file}", compression=None) as f, io.BufferedReader(f) as text:
+                for line in text:
+                    keys.append(k)
+                    lines.append(line.decode())
+                    held += len(line)
+                    if held >= 1 << 22:
+                        yield pa.RecordBatch.from_arrays([keys, lines], schema=_KEY_LINE)
+                        keys, lines, held = [], [], 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([keys, lines], schema=_KEY_LINE)
+
+    # names are small, so Spark would read all of them in a few tasks
+    rows = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(get, "key string, line string")
+    return rows.select(F.col("key").alias(key), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("row")).select(key, "row.*")
 
 
 def write_ledger(closed: DataFrame, summary: DataFrame, folder: str) -> None:
