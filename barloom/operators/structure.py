@@ -296,7 +296,8 @@ def cups(history: DataFrame, swing: DataFrame, eps: float = EPSILON, shortest: i
     rims = swing.where("kind = 'P'").select("ticker", F.col("idx").alias("i"), F.col("price").alias("p"), "date")
     left = rims.select("ticker", F.floor(F.col("i") / longest).alias("_b"), F.col("i").alias("l"), F.col("p").alias("pl"), F.col("date").alias("dl"))
     right = rims.select("ticker", F.explode(F.array(F.floor(F.col("i") / longest), F.floor(F.col("i") / longest) - 1)).alias("_b"), F.col("i").alias("r"), F.col("p").alias("pr"))
-    pairs = left.join(right, ["ticker", "_b"]).drop("_b").withColumns({"wide": F.col("r") - F.col("l"), "differ": pct_diff("pl", "pr")})
+    # stored swings are a small file of many rows: by its size Spark would take all of them to the driver to broadcast them
+    pairs = left.join(right.hint("merge"), ["ticker", "_b"]).drop("_b").withColumns({"wide": F.col("r") - F.col("l"), "differ": pct_diff("pl", "pr")})
     pairs = pairs.where(F.col("wide").between(shortest, longest) & (F.col("differ") <= eps))
     own = pairs.groupBy("ticker").agg(F.collect_list(F.struct("l", "r", "pl", "pr", "dl", "wide", "differ")).alias("rims"))
     behind = lambda wide: F.greatest(F.lit(5), F.floor(wide / 4).cast("int"))

@@ -1,11 +1,16 @@
 """A file per key: written and read by tasks, so that the driver holds no list of them."""
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 from test_oracles import SF
 
 from barloom import registry
+from barloom.operators import structure
 from barloom.sources import ingest
+from barloom.sources.views import bars
 
 SCHEMA = "name string, v struct<x: array<double>>"
 
@@ -48,3 +53,11 @@ def test_shards_are_not_listed(spark, monkeypatch, name):
     files = registry.queries()[name](spark, SF).inputFiles()
     shards = [f for f in files if folders[0].rsplit("/", 1)[1] in f]
     assert shards and all("/_manifest/" in f for f in shards)
+
+
+def test_stored_swings_are_not_broadcast(spark):
+    prepared = structure.Prepared(bars(spark, SF))
+    with contextlib.redirect_stdout(io.StringIO()) as text:
+        structure.cups(prepared.history, prepared.swing).explain()
+    rims = [x for x in text.getvalue().splitlines() if "Join [ticker" in x and "_b" in x]
+    assert len(rims) == 1 and "SortMergeJoin" in rims[0]
